@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobgrain.functions.text import lexicon_tags, union_lists
-from jobgrain.operators.scale import spread_join
 
 # Up to this many keywords the lexicon becomes one generated expression.
 INLINE_KEYWORDS = 1_000
@@ -51,16 +50,15 @@ def tag_texts(df: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFra
 
 
 def tag_texts_by_anchor(df: DataFrame, lexicon: DataFrame, key: str, text: str,
-                        anchor: int = 4) -> DataFrame:
+                        anchor: int = 6) -> DataFrame:
     keywords = (lexicon.select("skill", "keyword").where(F.col("keyword") != "").distinct()
                 .withColumn("_len", F.least(F.length("keyword"), F.lit(anchor)))
                 .withColumn("_anchor", F.substring("keyword", F.lit(1), F.col("_len"))))
     lowered = df.select(key, F.lower(F.col(text)).alias("_text")).where(F.col("_text").isNotNull())
     sizes = [r["_len"] for r in keywords.select("_len").distinct().collect()]  # at most `anchor`
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - (size - 1), F.lit(1))),
-                        lambda i, size=size: F.substring(F.col("_text"), i, F.lit(size)))
-            for size in sorted(sizes)]
+    # A look-ahead matches at every position, so runs overlap and cost is linear.
+    runs = [F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sorted(sizes)]
     anchors = lowered.select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("_anchor"))
-    hits = spread_join(anchors, keywords.drop("_len"), "_anchor", "inner").drop("_anchor")
+    hits = anchors.join(keywords.drop("_len"), "_anchor").drop("_anchor")
     checked = hits.join(lowered, key).where(F.contains(F.col("_text"), F.col("keyword")))
     return checked.select(key, "skill").distinct()
