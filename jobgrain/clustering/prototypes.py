@@ -82,21 +82,19 @@ def update(tuples: DataFrame, features: FeatureSet, centroids: list[dict],
 def update_table(tuples: DataFrame, features: FeatureSet, centroids: list[dict],
                  gamma: float) -> DataFrame:
     """One step as a table: per cluster a row of sums, per categorical its mode."""
-    placed = (tuples.withColumn("_near", nearest(features, centroids, gamma))
-              .select(*features.columns, WEIGHT, F.col("_near.cid").alias(CLUSTER), F.col("_near.d").alias("_d")))
+    placed = tuples.withColumn("_near", nearest(features, centroids, gamma))
     # The sums ride along as a feature without a name, so tuples are read once.
-    wide = ([F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("value"))]
-            + [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features.categorical])
-    means = [F.when(F.col("feature").isNull(), F.col(c)) for c in features.numeric]
-    counted = (placed.select(CLUSTER, WEIGHT, "_d", *features.numeric, F.inline(F.array(*wide)))
+    pairs = ["named_struct('feature', string(null), 'value', string(null))"] + [
+        f"named_struct('feature', '{c}', 'value', `{c}`)" for c in features.categorical]
+    unnamed = [f"if(feature is null, `{c}` * {WEIGHT}, null)" for c in features.numeric]
+    counted = (placed.selectExpr(f"_near.cid as {CLUSTER}", f"{WEIGHT} * _near.d as _cost", WEIGHT,
+                                 *[f"`{c}`" for c in features.numeric], f"inline(array({', '.join(pairs)}))")
                .groupBy(CLUSTER, "feature", "value")
-               .agg(F.sum(WEIGHT).alias("_n"), F.sum(F.col(WEIGHT) * F.col("_d")).alias("_cost"),
-                    *[F.sum(m * F.col(WEIGHT)).alias(f"_s_{c}") for m, c in zip(means, features.numeric)]))
-    pick = F.struct((-F.col("_n")).alias("n"), F.col("value").alias("v"))
-    return (counted.groupBy(CLUSTER, "feature").agg(
-        F.min(pick)["v"].alias("value"), F.sum("_n").alias("size"),
-        F.sum("_cost").alias("cost"),
-        *[(F.sum(f"_s_{c}") / F.sum("_n")).alias(f"mean_{c}") for c in features.numeric]))
+               .agg(F.expr(f"sum({WEIGHT}) as _n"), F.expr("sum(_cost) as _cost"),
+                    *[F.expr(f"sum({u}) as `_s_{c}`") for u, c in zip(unnamed, features.numeric)]))
+    return counted.groupBy(CLUSTER, "feature").agg(
+        F.expr("min(struct(-_n as n, value as v)).v as value"), F.expr("sum(_n) as size"), F.expr("sum(_cost) as cost"),
+        *[F.expr(f"sum(`_s_{c}`) / sum(_n) as `mean_{c}`") for c in features.numeric])
 
 
 def fit(tuples: DataFrame, features: FeatureSet, seeds: list[dict], gamma: float,

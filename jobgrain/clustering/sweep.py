@@ -1,9 +1,11 @@
 """Choice of method and of k."""
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from jobgrain.clustering import euclidean, kmeans, prototypes, silhouette
 from jobgrain.clustering.features import (FeatureSet, assign, measure, resolve, split_types,
@@ -40,6 +42,13 @@ class Sweep:
             "method_name string, n_clusters int, silhouette_score double")
 
 
+def best_k(runs: DataFrame) -> DataFrame:
+    """The run of greatest score, the lowest k on a tie (K4)."""
+    pick = F.max(F.struct("silhouette_score", (-F.col("k")).alias("_k"), "k"))
+    return (runs.where(F.col("silhouette_score").isNotNull()).agg(pick.alias("_r"))
+            .select("_r.k", "_r.silhouette_score"))
+
+
 def label_rows(df: DataFrame, features: FeatureSet, fit: Fit, prefix: str = "_z_") -> DataFrame:
     kept = df.dropna(how="any", subset=features.columns)
     renamed = {c: f"{prefix}{c}" for c in features.columns}
@@ -108,19 +117,27 @@ class Model:
 
 
 def sweep(df: DataFrame, selected: list[str], ks=range(2, 13), restarts: int = 3,
-          final_restarts: int = 10, pin: int | None = None) -> Sweep:
+          final_restarts: int = 10, pin: int | None = None, parallel: int = 4) -> Sweep:
     """Fit every k, score it, refit the best (first on a tie), or the pinned one.
 
     `selected` are feature labels or column names. Only k-sized results reach
     the driver; a k that cannot be fitted or scored is reported with its reason.
+    Values of k are independent, so `parallel` of them share the cluster: the jobs
+    of one are short and would leave most executors idle.
     """
     features = measure(df, split_types(resolve(selected)))
     model = Model(settle(tuples_of(df, features)), features, max([*ks, pin or 0]))
-    rows, best_k, best_score = [], ks[0], -1.0
-    for k in ks:
+
+    @inheritable_thread_target(df.sparkSession)
+    def attempt(k: int):
         fit = model.fit(k, restarts)
         score, reason = (None, "more clusters than distinct tuples") if fit is None else model.score(fit)
-        rows.append((model.method_name, k, score, reason))
+        return model.method_name, k, score, reason
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        rows = list(pool.map(attempt, ks))
+    best_k, best_score = ks[0], -1.0
+    for _, k, score, _ in rows:
         if score is not None and score > best_score:
             best_k, best_score = k, score
     chosen = best_k if pin is None else pin

@@ -29,68 +29,59 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(nation, customer.c_nationkey == nation.n_nationkey))
 
 
+def _id_name(i: str, n: str) -> str:
+    return f"named_struct('id', string({i}), 'name', string({n}))"
+
+
+def _named(n: str) -> str:
+    return f"named_struct('name', string({n}))"
+
+
+_STREET = "concat('Street ', o_custkey % 50)"
+_SALARY = """if(k % 7 = 0, null, named_struct('from', if(k % 3 = 0, null, round(o_totalprice)),
+  'to', if(k % 4 = 0, null, round(o_totalprice * 1.25)), 'currency', if(k % 5 = 0, 'USD', 'RUR')))"""
+_SKILLS = f"array({_named('c_mktsegment')}, {_named('n_name')}, {_named('lvl')})"
+_ROLE = "named_struct('id', string({0}), 'name', concat('role ', {0}))"
+
+RAW_COLUMNS = {
+    "id": "string(k)",
+    "name": "concat_ws(' ', c_mktsegment, o_orderpriority)",
+    "salary": _SALARY, "salary_range": _SALARY,
+    "experience": f"if(exp_id is null, null, {_id_name('exp_id', 'lvl')})",
+    "employer": _id_name("c_custkey", "c_name"),
+    "area": _id_name("n_nationkey", "n_name"),
+    "type": _id_name("lower(o_orderstatus)", "concat('type ', o_orderstatus)"),
+    "schedule": f"""case o_orderstatus when 'O' then {_id_name("'remote'", "'Удаленная работа'")}
+      when 'F' then {_id_name("'fullDay'", "'Полный день'")} end""",
+    "employment": f"""case k % 3 when 0 then {_id_name("'full'", "'Full time'")}
+      when 1 then {_id_name("'part'", "'Part time'")} end""",
+    "employment_form": f"""if(k % 4 = 0, null, {_id_name("concat('form', k % 4)", "concat('Form ', k % 4)")})""",
+    "department": f"""if(k % 10 = 0, {_id_name("concat(c_custkey, '-dep')", "c_mktsegment")}, null)""",
+    "professional_roles": f"""case when k % 4 = 0 then array() when k % 8 = 1 then null
+      else array({_ROLE.format("(k % 170)")}, {_ROLE.format("((k + 7) % 170)")}) end""",
+    "work_format": f"""if(k % 5 = 0, array(), array({_id_name("concat('f', k % 3)", "concat('Format ', k % 3)")}))""",
+    "working_hours": f"""if(k % 6 = 0, null, array({_named("concat('h', k % 9)")}))""",
+    "work_schedule_by_days": f"""if(k % 2 = 0, array({_named("'5/2'")}), array())""",
+    "key_skills": f"""case when k % 11 = 0 then null when k % 13 = 0 then array()
+      when k % 2 = 0 then concat({_SKILLS}, array({_named('c_mktsegment')})) else {_SKILLS} end""",
+    "address": f"""if(k % 6 = 0, null, named_struct('city', n_name, 'street', {_STREET},
+      'building', if(k % 5 = 0, null, string(k % 200)), 'raw', concat_ws(', ', n_name, {_STREET})))""",
+    "snippet": """if(k % 9 = 0, null, named_struct('requirement', concat(lower(c_mktsegment), ' analyst, ', lvl),
+      'responsibility', if(k % 5 = 0, null, concat('reports for ', n_name))))""",
+    "published_at": """concat(date_format(o_orderdate + make_dt_interval(0, 0, int(k % 1440), 0),
+      "yyyy-MM-dd'T'HH:mm:ss"), '+0300')""",
+}
+
+
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`POSTING_CORE` plus `k` (the order key) and three service columns."""
-    k, priority = F.col("o_orderkey"), F.col("o_orderpriority")
-    level = F.substring(priority, 3, 100)
-    text = lambda c: c.cast("string")
-    id_name = lambda i, n: F.struct(text(i).alias("id"), text(n).alias("name"))
-    named = lambda n: F.struct(text(n).alias("name"))
-    unless = lambda bad, c: F.when(~bad, c)
-    no_ids, no_names = F.array().cast("array<struct<id:string,name:string>>"), F.array().cast("array<struct<name:string>>")
-
-    def role(n):
-        return id_name(n, F.concat(F.lit("role "), text(n)))
-
-    salary = unless(k % 7 == 0, F.struct(
-        unless(k % 3 == 0, F.round(F.col("o_totalprice"))).alias("from"),
-        unless(k % 4 == 0, F.round(F.col("o_totalprice") * 1.25)).alias("to"),
-        F.when(k % 5 == 0, "USD").otherwise("RUR").alias("currency")))
-    experience = F.create_map(*[F.lit(v) for v in (
-        "1", "noExperience", "2", "between1And3", "3", "between3And6", "4", "moreThan6")])
-    exp_id = F.try_element_at(experience, F.substring(priority, 1, 1))
-    status = F.col("o_orderstatus")
-    street = F.concat(F.lit("Street "), text(F.col("o_custkey") % 50))
-    skills = F.array(named(F.col("c_mktsegment")), named(F.col("n_name")), named(level))
-    moment = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (k % 1440).cast("int"), F.lit(0))
-
-    columns = {
-        "id": text(k), "name": F.concat_ws(" ", "c_mktsegment", priority),
-        "salary": salary, "salary_range": salary,
-        "experience": unless(exp_id.isNull(), id_name(exp_id, level)),
-        "employer": id_name(F.col("c_custkey"), F.col("c_name")),
-        "area": id_name(F.col("n_nationkey"), F.col("n_name")),
-        "type": id_name(F.lower(status), F.concat(F.lit("type "), status)),
-        "schedule": F.when(status == "O", id_name(F.lit("remote"), F.lit("Удаленная работа")))
-                     .when(status == "F", id_name(F.lit("fullDay"), F.lit("Полный день"))),
-        "employment": F.when(k % 3 == 0, id_name(F.lit("full"), F.lit("Full time")))
-                       .when(k % 3 == 1, id_name(F.lit("part"), F.lit("Part time"))),
-        "employment_form": unless(k % 4 == 0, id_name(F.concat(F.lit("form"), text(k % 4)),
-                                                      F.concat(F.lit("Form "), text(k % 4)))),
-        "department": F.when(k % 10 == 0, id_name(F.concat(text(F.col("c_custkey")), F.lit("-dep")),
-                                                  F.col("c_mktsegment"))),
-        "professional_roles": F.when(k % 4 == 0, no_ids).when(k % 8 == 1, F.lit(None).cast("array<struct<id:string,name:string>>"))
-                               .otherwise(F.array(role(k % 170), role((k + 7) % 170))),
-        "work_format": F.when(k % 5 == 0, no_ids).otherwise(
-            F.array(id_name(F.concat(F.lit("f"), text(k % 3)), F.concat(F.lit("Format "), text(k % 3))))),
-        "working_hours": unless(k % 6 == 0, F.array(named(F.concat(F.lit("h"), text(k % 9))))),
-        "work_schedule_by_days": F.when(k % 2 == 0, F.array(named(F.lit("5/2")))).otherwise(no_names),
-        "key_skills": F.when(k % 11 == 0, F.lit(None).cast("array<struct<name:string>>")).when(k % 13 == 0, no_names)
-                       .when(k % 2 == 0, F.concat(skills, F.array(named(F.col("c_mktsegment"))))).otherwise(skills),
-        "address": unless(k % 6 == 0, F.struct(
-            F.col("n_name").alias("city"), street.alias("street"),
-            unless(k % 5 == 0, text(k % 200)).alias("building"),
-            F.concat_ws(", ", "n_name", street).alias("raw"))),
-        "snippet": unless(k % 9 == 0, F.struct(
-            F.concat(F.lower("c_mktsegment"), F.lit(" analyst, "), level).alias("requirement"),
-            unless(k % 5 == 0, F.concat(F.lit("reports for "), F.col("n_name"))).alias("responsibility"))),
-        "published_at": F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0300")),
-    }
-    service = {"alternate_url": F.concat(F.lit("/p/"), text(k)), "archived": text(k % 17 == 0),
-               "created_at": text(F.col("o_orderdate"))}
-    return base(spark, sf_dir).select(
-        *[columns[f.name].cast(f.dataType).alias(f.name) for f in POSTING_CORE.fields],
-        *[c.alias(n) for n, c in service.items()], k.alias("k"))
+    keyed = base(spark, sf_dir).selectExpr(
+        "*", "o_orderkey as k", "substring(o_orderpriority, 3) as lvl",
+        "case substring(o_orderpriority, 1, 1) when '1' then 'noExperience' when '2' then 'between1And3'"
+        " when '3' then 'between3And6' when '4' then 'moreThan6' end as exp_id")
+    return keyed.selectExpr(
+        *[f"cast({RAW_COLUMNS[f.name]} as {f.dataType.simpleString()}) as {f.name}" for f in POSTING_CORE.fields],
+        "concat('/p/', k) as alternate_url", "string(k % 17 = 0) as archived", "string(o_orderdate) as created_at", "k")
 
 
 POSTINGS_SQL = f"""
