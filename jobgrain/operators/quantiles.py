@@ -36,16 +36,18 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
         joined, edge = rows, bands.select("_edges").scalar()
     joined = joined.select(*by, "_x", edge.alias("_edges"))
 
-    # Per wanted quantile a row is below its bracket (value dropped, so all such
-    # rows collapse before the shuffle), inside it, or of no interest.
-    marks = [F.when(F.col("_x") < F.col("_edges")[i],
-                    F.struct(F.lit(i).alias("q"), F.lit(None).cast("double").alias("x")))
-             .when(F.col("_x") <= F.col("_edges")[i + len(names)],
-                   F.struct(F.lit(i).alias("q"), F.col("_x").alias("x")))
-             for i in range(len(names))]
-    marked = (joined.select(*by, F.explode(F.array_compact(F.array(*marks))).alias("_m"))
-              .groupBy(*by, "_m.q", "_m.x").agg(F.count(F.lit(1)).alias("_n")))
-    upto = F.sum("_n").over(W.partitionBy(*by, "q").orderBy(F.col("x").asc_nulls_first())
+    # Per wanted quantile a row lies below (-1), inside (0) or above (1) its
+    # bracket. Only the values inside are told apart, so all other rows collapse
+    # to a count and their extremes before the shuffle.
+    def mark(i):
+        low, high = F.col("_edges")[i], F.col("_edges")[i + len(names)]
+        side = F.when(F.col("_x") < low, -1).when(F.col("_x") > high, 1).otherwise(0)
+        return F.struct(F.lit(i).alias("q"), side.alias("side"), F.when(side == 0, F.col("_x")).alias("x"))
+
+    marked = (joined.select(*by, "_x", F.inline(F.array(*[mark(i) for i in range(len(names))])))
+              .groupBy(*by, "q", "side", "x")
+              .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last")))
+    upto = F.sum("_n").over(W.partitionBy(*by, "q").orderBy("side", "x")
                             .rowsBetween(W.unboundedPreceding, W.currentRow))
     ranked = marked.withColumn("_upto", upto)
 
@@ -58,8 +60,11 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
     ranked = ranked.withColumn("_total", total).withColumn("_h", p_of * (F.col("_total") - 1))
 
     def at(rank):
-        here = F.col("x").isNotNull() & (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
-        return F.max(F.when(here, F.col("x")))
+        # A rank just outside the bracket is the extreme of its side.
+        value = (F.when(F.col("side") == 0, F.col("x"))
+                 .when((F.col("side") == -1) & (rank == F.col("_upto") - 1), F.col("_last"))
+                 .when((F.col("side") == 1) & (rank == F.col("_upto") - F.col("_n")), F.col("_first")))
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), value))
 
     low, high = F.floor("_h"), F.ceil("_h")
     picked = ranked.groupBy(*by, "q").agg(

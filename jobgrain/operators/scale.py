@@ -1,6 +1,7 @@
 """Shared ways to keep a join or an iteration safe at any data size."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, visible to all executors."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder and cut its lineage."""
     spark = df.sparkSession

@@ -4,11 +4,17 @@ from pyspark.sql import types as T
 
 from jobgrain.fixed_values import SERVICE_COLUMNS
 
-ID_NAME = T.StructType.fromDDL("id string, name string")
-NAMED = T.StructType.fromDDL("name string")
-SALARY = T.StructType.fromDDL("`from` double, `to` double, currency string")
-ADDRESS = T.StructType.fromDDL("city string, street string, building string, raw string")
-SNIPPET = T.StructType.fromDDL("requirement string, responsibility string")
+
+def _struct(*fields) -> T.StructType:
+    """Fields are names of text columns or (name, type)."""
+    return T.StructType([T.StructField(*((f, T.StringType()) if isinstance(f, str) else f)) for f in fields])
+
+
+ID_NAME = _struct("id", "name")
+NAMED = _struct("name")
+SALARY = _struct(("from", T.DoubleType()), ("to", T.DoubleType()), "currency")
+ADDRESS = _struct("city", "street", "building", "raw")
+SNIPPET = _struct("requirement", "responsibility")
 
 ENTITY_COLUMNS = ["experience", "employer", "area", "type", "schedule", "employment",
                   "employment_form", "department"]
@@ -30,8 +36,6 @@ POSTING_RAW = T.StructType(
 
 PAGE = T.StructType([T.StructField("items", T.ArrayType(POSTING_CORE))])
 
-ROLE_CATALOGUE = T.StructType.fromDDL(
-    "categories array<struct<id: string, name: string,"
-    " roles: array<struct<id: string, name: string>>>>")
+ROLE_CATALOGUE = _struct(("categories", T.ArrayType(_struct("id", "name", ("roles", T.ArrayType(ID_NAME))))))
 
-LEXICON = T.StructType.fromDDL("skill string, keyword string")
+LEXICON = _struct("skill", "keyword")

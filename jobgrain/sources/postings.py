@@ -83,8 +83,9 @@ def until_empty_page(pages: DataFrame, batch: str, page: str, items: str = "item
             .where(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop"))
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ROLE_CATALOGUE).option("multiLine", True).json(path)
+def read_catalogue(spark: SparkSession, path: str, whole_document: bool = True) -> DataFrame:
+    """One catalogue per file, or per line if not `whole_document`."""
+    return spark.read.schema(ROLE_CATALOGUE).option("multiLine", whole_document).json(path)
 
 
 def catalogue_roles(catalogue: DataFrame, stem: str = ROLE_NAME_STEM) -> DataFrame:

@@ -2,14 +2,7 @@
 
 
 def _load():
-    from workload import cleaning  # noqa: F401
-    for name in ("filtering", "statistics", "clusters", "files"):
-        try:
-            __import__(f"workload.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"workload.{name}":
-                raise
-    from workload import registry
+    from workload import cleaning, filtering, statistics, clusters, files, registry  # noqa: F401
     return registry
 
 
