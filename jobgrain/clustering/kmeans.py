@@ -4,6 +4,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 
+from jobgrain.clustering import prototypes
 from jobgrain.clustering.features import WEIGHT, FeatureSet
 
 
@@ -14,6 +15,9 @@ def as_vectors(tuples: DataFrame, features: FeatureSet) -> DataFrame:
 def fit(vectors: DataFrame, features: FeatureSet, k: int, restarts: int, seed: int = 42,
         max_iter: int = 300) -> tuple[list[dict], float]:
     """Best of `restarts` fits by training cost; centroids as plain rows."""
+    if k == 1:  # below what Spark ML accepts
+        centroids, cost, _ = prototypes.fit(vectors, features, [dict.fromkeys(features.numeric, 0.0)], 1.0)
+        return centroids, cost
     best = None
     for i in range(restarts):
         model = KMeans(k=k, seed=seed + i, featuresCol="_v", weightCol=WEIGHT, maxIter=max_iter,

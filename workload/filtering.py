@@ -6,7 +6,7 @@ from jobgrain.functions import text
 from jobgrain.operators import dedup, filters, statistics, tagging
 from workload.cleaning import cleaned
 from workload.registry import query, r
-from workload.tables import raw_postings, table
+from workload.tables import documents, raw_postings, table
 
 INCLUDE, EXCLUDE = ["machinery", "building", "house"], ["low", "urgent"]
 
@@ -51,7 +51,7 @@ def f05(spark, sf):
 SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and')
   AND NOT contains(lower(text), 'der ')""", postings=False)
 def f06(spark, sf):
-    return filters.by_skill_text(table(spark, sf, "documents"), ["The", "AND"], ["Der "], text="text").select("doc_id")
+    return filters.by_skill_text(documents(spark, sf), ["The", "AND"], ["Der "], text="text").select("doc_id")
 
 
 @query("f07_analyst_role", """
@@ -155,7 +155,7 @@ def s07_distinct(spark, sf):
 WITH lex AS (SELECT 'item ' || item_id AS skill, lower(substr(text, 1, 16)) AS keyword FROM benchmark)
 SELECT DISTINCT doc_id, skill FROM documents JOIN lex ON contains(lower(text), keyword)""", postings=False)
 def j04(spark, sf):
-    return tagging.tag_texts(table(spark, sf, "documents"), _passages(spark, sf), "doc_id", "text")
+    return tagging.tag_texts(documents(spark, sf), _passages(spark, sf), "doc_id", "text")
 
 
 def _passages(spark, sf):
@@ -169,7 +169,7 @@ WITH lex AS (SELECT 'item ' || item_id AS skill, lower(substr(text, 1, 16)) AS k
 SELECT DISTINCT doc_id, skill FROM documents JOIN lex ON contains(lower(text), keyword)""", postings=False)
 def j04_anchor(spark, sf):
     """The way taken for a lexicon too large to inline."""
-    return tagging.tag_texts_by_anchor(table(spark, sf, "documents"), _passages(spark, sf), "doc_id", "text", anchor=8)
+    return tagging.tag_texts_by_anchor(documents(spark, sf), _passages(spark, sf), "doc_id", "text", anchor=8)
 
 
 @query("j05_table_thresholds", """
@@ -216,7 +216,7 @@ def _tags_sql(column: str) -> str:
 
 @query("t01_lexicon_tags", f"SELECT doc_id, array_to_string({_tags_sql('text')}, '|') AS tags FROM documents", postings=False)
 def t01(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.select("doc_id", F.array_join(text.lexicon_tags(F.col("text"), LEXICON), "|").alias("tags"))
 
 
@@ -224,7 +224,7 @@ def t01(spark, sf):
 SELECT d.doc_id, array_to_string(list_sort(list_distinct(list_concat({_tags_sql('d.text')}, {_tags_sql('c.text')}))), '|') AS tags
 FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0""", postings=False)
 def t01_two(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("requirement"))
+    docs = documents(spark, sf).select("doc_id", F.col("text").alias("requirement"))
     talk = table(spark, sf, "conversations").where("turn = 0").select(
         F.col("conv_id").alias("doc_id"), F.col("text").alias("responsibility"))
     tagged = tagging.tag_skills(docs.join(talk, "doc_id", "left"), LEXICON)
@@ -236,13 +236,13 @@ SELECT doc_id, regexp_matches(lower(text), '(^|[^\\pL\\pN\\pM_])and($|[^\\pL\\pN
 def t01_words(spark, sf):
     """Keywords as whole words."""
     tags = text.lexicon_tags(F.col("text"), {"and": ["and"]}, mode="word")
-    return table(spark, sf, "documents").select("doc_id", (F.size(tags) > 0).alias("has_and"))
+    return documents(spark, sf).select("doc_id", (F.size(tags) > 0).alias("has_and"))
 
 
 @query("t02_tag_frequency", f"""
 SELECT skill, count(*) AS n FROM (SELECT unnest({_tags_sql('text')}) AS skill FROM documents) GROUP BY skill""", postings=False)
 def t02(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return statistics.skill_counts(docs.select(text.lexicon_tags(F.col("text"), LEXICON).alias("skills_list")))
 
 

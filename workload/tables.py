@@ -7,6 +7,7 @@ a clean table should look.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobgrain.operators.scale import use_all_cores
 from jobgrain.schema import POSTING_CORE
 
 AS_OF = "2001-09-01 00:00:00"
@@ -16,13 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return use_all_cores(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def as_of() -> Column:
     """The instant AS_OF in UTC, whatever the session zone is."""
     return F.lit(f"{AS_OF}+00:00").cast("timestamp")
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = use_all_cores(table(spark, sf_dir, "orders"), "o_orderkey")
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     return (orders.join(customer, orders.o_custkey == customer.c_custkey)
