@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from jobgrain.clustering.features import CLUSTER, WEIGHT
 from jobgrain.clustering.silhouette import abs_difference_sums, mean_silhouette
+from jobgrain.operators.scale import small_join
 
 NODES = 20
 MAX_LEVELS = 64
+MAX_SERIES = 5_000
 
 _NODE = [math.cos((2 * q + 1) * math.pi / (2 * NODES)) for q in range(NODES)]
 # Chebyshev series coefficients from values at the nodes; the transpose turns
@@ -147,7 +149,8 @@ def euclidean_sums(tuples: DataFrame, wide: str, level: str, levels: list[float]
               .agg(*[F.max(F.when(F.col(CLUSTER) == i, F.col("_series"))).alias(f"_series{i}") for i in range(k)]))
 
     u = (F.col(wide) - center(d_leaf, F.col("_leaf"))) / half(d_leaf)
-    found = (near.withColumn("_leaf", cell(F.col(wide), depth)).join(series, ["_leaf", level], "left")
+    # One row per leaf cell and level, however many tuples a cell has.
+    found = (small_join(near.withColumn("_leaf", cell(F.col(wide), depth)), series, ["_leaf", level], "left", MAX_SERIES)
              .withColumn("_angle", _angle(u)).withColumn("_polynomials", F.expr(_POLYNOMIALS)))
 
     def total(i: int) -> Column:

@@ -24,14 +24,14 @@ def cluster_ids(df: DataFrame, k: int) -> DataFrame:
 def sizes(df: DataFrame, k: int) -> DataFrame:
     """Rows per cluster, 0 for an empty one."""
     counts = df.groupBy(CLUSTER).agg(F.count(F.lit(1)).alias("n"))
-    return cluster_ids(df, k).join(counts, CLUSTER, "left").select(CLUSTER, F.coalesce("n", F.lit(0)).alias("n"))
+    return cluster_ids(df, k).join(F.broadcast(counts), CLUSTER, "left").select(CLUSTER, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def salaries(df: DataFrame) -> DataFrame:
     """Median and mean of the known salaries per cluster."""
     medians = quantiles(df, "salary_avg", {"median_salary": 0.5}, by=[CLUSTER]).drop("n")
     means = df.groupBy(CLUSTER).agg(F.avg("salary_avg").alias("mean_salary"))
-    return means.join(medians, CLUSTER, "left").select(CLUSTER, "median_salary", "mean_salary")
+    return means.join(F.broadcast(medians), CLUSTER, "left").select(CLUSTER, "median_salary", "mean_salary")
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -44,10 +44,10 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def titles(counts: DataFrame, totals: DataFrame, feature: str = "name", share: float = TITLE_SHARE) -> DataFrame:
     """Names with at least `share` of the cluster, most frequent first.
 
-    At 30% no cluster can have more than three.
+    At 30% no cluster can have more than three. `totals` has a row per cluster.
     """
     frequent = (counts.where(F.col("feature") == feature)
-                .join(totals.select(CLUSTER, F.col("n").alias("_total")), CLUSTER)
+                .join(F.broadcast(totals.select(CLUSTER, F.col("n").alias("_total"))), CLUSTER)
                 .where(F.col("n") / F.col("_total") >= share))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value")))
     return frequent.groupBy(CLUSTER).agg(F.array_join(F.transform(ordered, lambda t: t["value"]), " / ").alias("titles"))
@@ -107,12 +107,13 @@ def profiles(df: DataFrame, k: int, numeric: list[str], categorical: list[str],
     counts = value_counts(df, list(dict.fromkeys(["name", *categorical])))
     picked = modes(counts.where(F.col("feature").isin(categorical))) if categorical else None
 
-    out = (cluster_ids(df, k).join(base, CLUSTER, "left").join(medians, CLUSTER, "left")
-           .join(titles(counts, base), CLUSTER, "left").join(top_skills(df), CLUSTER, "left"))
+    out = cluster_ids(df, k)
+    for part in (base, medians, titles(counts, base), top_skills(df)):  # k rows each
+        out = out.join(F.broadcast(part), CLUSTER, "left")
     if picked is not None:
         wide = picked.groupBy(CLUSTER).agg(
             *[F.max(F.when(F.col("feature") == c, F.col("mode"))).alias(f"_mode_{c}") for c in categorical])
-        out = out.join(wide, CLUSTER, "left")
+        out = out.join(F.broadcast(wide), CLUSTER, "left")
     out = salary_tags(df, out, population)
 
     number = F.col(CLUSTER) + 1

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobgrain.clustering.features import CLUSTER, WEIGHT, FeatureSet, distance, nearest
-from jobgrain.operators.scale import broadcast_if_small
+from jobgrain.operators.scale import small_join
 
 DENSITY = "density"
 
@@ -27,7 +27,7 @@ def with_density(tuples: DataFrame, features: FeatureSet) -> DataFrame:
     """Mean relative frequency of a tuple's categorical values."""
     out = tuples
     for c in features.categorical:
-        out = out.join(broadcast_if_small(value_frequencies(tuples, c)), c)
+        out = small_join(out, value_frequencies(tuples, c), c)
     shares = [F.col(f"_f_{c}") for c in features.categorical]
     return (out.withColumn(DENSITY, reduce(add, shares) / F.lit(float(len(shares))))
             .drop(*[f"_f_{c}" for c in features.categorical]))

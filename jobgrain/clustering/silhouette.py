@@ -6,6 +6,7 @@ numeric one follows from running counts and sums over the sorted values. The
 two-feature Euclidean case, which is not separable, is in `euclidean`.
 """
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobgrain.clustering.features import CLUSTER, WEIGHT
+from jobgrain.operators.scale import few_values, spread_join
 
 # Up to this many distinct values one sorted run is fine; beyond, they are cut
 # into BUCKETS runs of about equal length.
@@ -38,12 +40,25 @@ def skip_reason(sizes: list[int]) -> str | None:
     return None
 
 
+@dataclass(frozen=True)
+class Columns:
+    """What a scoring plan needs to know of the feature columns; the same for every k."""
+    cuts: dict[str, list[float]]
+    few: set[str]
+
+
+def inspect(tuples: DataFrame, numeric: list[str], categorical: list[str]) -> Columns:
+    """Cuts of the numerics, and which columns have few distinct values."""
+    cuts = {c: run_bounds(tuples, c) for c in numeric}
+    few = {c for c in numeric if not cuts[c]} | {c for c in categorical if few_values(tuples, c)}
+    return Columns(cuts, few)
+
+
 def run_bounds(tuples: DataFrame, column: str) -> list[float]:
     """Values that cut the distinct values of a column into runs; none if few."""
-    values = tuples.select(column).distinct()
-    if len(values.limit(ONE_RUN + 1).collect()) <= ONE_RUN:
+    if few_values(tuples, column, ONE_RUN):
         return []
-    cuts = values.agg(F.percentile_approx(column, [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0]
+    cuts = tuples.select(column).distinct().agg(F.percentile_approx(column, [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0]
     return sorted(set(cuts))
 
 
@@ -84,29 +99,29 @@ def mismatch_sums(tuples: DataFrame, column: str, sizes: list[int]) -> DataFrame
 
 
 def gower_sums(tuples: DataFrame, ranges: dict[str, float], categorical: list[str], sizes: list[int],
-               bounds: dict[str, list[float]] | None = None) -> DataFrame:
+               columns: Columns | None = None) -> DataFrame:
     """Tuples with `_d0.._d{k-1}`: summed Gower distance to the rows of each cluster."""
+    columns = inspect(tuples, list(ranges), categorical) if columns is None else columns
     k, out, terms = len(sizes), tuples, [[] for _ in sizes]
-    for c, r in ranges.items():
-        if not r:
-            continue
-        sums = abs_difference_sums(tuples, c, k, (bounds or {}).get(c, ()))
-        out = out.join(_named(sums, c, k), c)
+
+    def attach(sums, c, scale):
+        nonlocal out
+        named = sums.withColumnsRenamed({f"_s{i}": f"_{c}_{i}" for i in range(k)})
+        # One row per distinct value: broadcast only where these were counted.
+        out = out.join(F.broadcast(named), c) if c in columns.few else spread_join(out, named, c, "inner")
         for i in range(k):
-            terms[i].append(F.col(f"_{c}_{i}") / F.lit(float(r)))
+            terms[i].append(F.col(f"_{c}_{i}") / F.lit(scale))
+
+    for c, r in ranges.items():
+        if r:
+            attach(abs_difference_sums(tuples, c, k, columns.cuts.get(c, ())), c, float(r))
     for c in categorical:
-        out = out.join(_named(mismatch_sums(tuples, c, sizes), c, k), c)
-        for i in range(k):
-            terms[i].append(F.col(f"_{c}_{i}"))
+        attach(mismatch_sums(tuples, c, sizes), c, 1.0)
     features = float(len(ranges) + len(categorical))
     sums = [(reduce(add, t, F.lit(0.0)) / F.lit(features)).alias(f"_d{i}") for i, t in enumerate(terms)]
     return out.select(*tuples.columns, *sums)
 
 
-def _named(sums: DataFrame, column: str, k: int) -> DataFrame:
-    return sums.withColumnsRenamed({f"_s{i}": f"_{column}_{i}" for i in range(k)})
-
-
 def coefficient(sizes: list[int]) -> Column:
     """Silhouette of a tuple from its `_d0..` sums; 0 in a cluster of one."""
     own = F.element_at(F.array(*[F.lit(n) for n in sizes]), F.col(CLUSTER) + 1)
@@ -123,14 +138,15 @@ def mean_silhouette(sums: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def gower_silhouette(tuples: DataFrame, ranges: dict[str, float], categorical: list[str],
-                     sizes: list[int], bounds=None) -> DataFrame:
-    return mean_silhouette(gower_sums(tuples, ranges, categorical, sizes, bounds), sizes)
+                     sizes: list[int], columns: Columns | None = None) -> DataFrame:
+    return mean_silhouette(gower_sums(tuples, ranges, categorical, sizes, columns), sizes)
 
 
-def hamming_silhouette(tuples: DataFrame, categorical: list[str], sizes: list[int]) -> DataFrame:
-    return gower_silhouette(tuples, {}, categorical, sizes)
+def hamming_silhouette(tuples: DataFrame, categorical: list[str], sizes: list[int],
+                       columns: Columns | None = None) -> DataFrame:
+    return gower_silhouette(tuples, {}, categorical, sizes, columns)
 
 
-def line_silhouette(tuples: DataFrame, column: str, sizes: list[int], bounds=()) -> DataFrame:
+def line_silhouette(tuples: DataFrame, column: str, sizes: list[int], columns: Columns | None = None) -> DataFrame:
     """Euclidean with one feature: the absolute difference."""
-    return gower_silhouette(tuples, {column: 1.0}, [], sizes, {column: list(bounds)})
+    return gower_silhouette(tuples, {column: 1.0}, [], sizes, columns)

@@ -66,7 +66,7 @@ class Model:
     def __init__(self, tuples: DataFrame, features: FeatureSet, max_k: int):
         self.tuples, self.features = tuples, features
         self.gamma = prototypes.default_gamma(features)
-        self.bounds = {c: silhouette.run_bounds(tuples, c) for c in features.numeric}
+        self.columns = silhouette.inspect(tuples, features.numeric, features.categorical)
         if not features.categorical:
             self.method_name = "K-Means"
             self.vectors = kmeans.as_vectors(tuples, features)
@@ -100,9 +100,9 @@ class Model:
         f = self.features
         if f.categorical:
             ranges = {c: f.moments[c].z_range for c in f.numeric}
-            one = silhouette.gower_silhouette(labelled, ranges, f.categorical, sizes, self.bounds)
+            one = silhouette.gower_silhouette(labelled, ranges, f.categorical, sizes, self.columns)
         elif len(f.numeric) == 1:
-            one = silhouette.line_silhouette(labelled, f.numeric[0], sizes, self.bounds[f.numeric[0]])
+            one = silhouette.line_silhouette(labelled, f.numeric[0], sizes, self.columns)
         else:
             one = self._plane(labelled, sizes)
         return one.first()["silhouette"], None
@@ -113,7 +113,7 @@ class Model:
         m = self.features.moments[wide]
         scale = m.std or 1.0
         return euclidean.plane_silhouette(labelled, wide, level, (low - m.mean) / scale,
-                                          (high - m.mean) / scale, sizes, bounds=self.bounds[wide])
+                                          (high - m.mean) / scale, sizes, bounds=self.columns.cuts[wide])
 
 
 def sweep(df: DataFrame, selected: list[str], ks=range(2, 13), restarts: int = 3,

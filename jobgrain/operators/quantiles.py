@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobgrain.operators.scale import broadcast_if_small
+from jobgrain.operators.scale import small_join
 
 ACCURACY = 10_000
 
@@ -30,7 +30,7 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
         F.percentile_approx("_x", edges, accuracy).alias("_edges"))
 
     if by:
-        joined = rows.join(broadcast_if_small(bands.drop("_total")), by)
+        joined = small_join(rows, bands.drop("_total"), by)
         edge = F.col("_edges")
     else:
         joined, edge = rows, bands.select("_edges").scalar()
@@ -53,7 +53,7 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
 
     p_of = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("q") + 1)
     if by:
-        ranked = ranked.join(broadcast_if_small(bands.drop("_edges")), by)
+        ranked = small_join(ranked, bands.drop("_edges"), by)
         total = F.col("_total")
     else:
         total = bands.select("_total").scalar()
@@ -69,12 +69,14 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
     low, high = F.floor("_h"), F.ceil("_h")
     picked = ranked.groupBy(*by, "q").agg(
         at(low).alias("_lo"), at(high).alias("_hi"),
-        F.max(F.col("_h") - low).alias("_part"))
+        F.max(F.col("_h") - low).alias("_part"), F.max("_total").alias("_rows"))
     found = F.coalesce(F.col("_lo"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
     found_hi = F.coalesce(F.col("_hi"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-    picked = picked.select(*by, "q", (found + (found_hi - found) * F.col("_part")).alias("_v"))
+    picked = picked.select(*by, "q", "_rows", (found + (found_hi - found) * F.col("_part")).alias("_v"))
     columns = [F.max(F.when(F.col("q") == i, F.col("_v"))).alias(n) for i, n in enumerate(names)]
+    if by:
+        columns.append(F.max("_rows").alias("n"))
     result = picked.groupBy(*by).agg(*columns)
     if by:
-        return result.join(bands.select(*by, F.col("_total").alias("n")), by)
+        return result
     return result.withColumn("n", F.coalesce(bands.select("_total").scalar(), F.lit(0)))

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +43,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast copy of `df` if it has at most `limit` rows, else `df` itself.
+def small_join(left: DataFrame, right: DataFrame, keys, how: str = "inner",
+               limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Equi-join that broadcasts `right` if it has at most `limit` rows.
 
-    The check fetches at most `limit + 1` rows.
+    The check fetches at most `limit + 1` rows, and those are what is broadcast.
+    A larger `right` goes through `spread_join`.
     """
-    rows = df.limit(limit + 1).collect()
+    rows = right.limit(limit + 1).collect()
     if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+        return spread_join(left, right, keys, how)
+    return left.join(F.broadcast(left.sparkSession.createDataFrame(rows, right.schema)), _listed(keys), how)
+
+
+def few_values(df: DataFrame, column: str, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a column has at most `limit` distinct values."""
+    return df.select(column).distinct().limit(limit + 1).count() <= limit
 
 
 def use_all_cores(df: DataFrame, key: str) -> DataFrame:
@@ -62,30 +71,36 @@ def use_all_cores(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+def _listed(keys) -> list[str]:
+    return [keys] if isinstance(keys, str) else list(keys)
+
+
+def hot_keys(df: DataFrame, keys, share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold more than `share` of the rows, at most 1 / share of them."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    keys = _listed(keys)
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("total"))
-    return counts.where(F.col("_n") > share * total.scalar()).select(key)
+    return counts.where(F.col("_n") > share * total.scalar()).select(*keys)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str,
+def spread_join(left: DataFrame, right: DataFrame, keys, how: str,
                 share: float = HOT_SHARE, spread: int = SPREAD) -> DataFrame:
     """Equi-join of any `left` with a `right` that has few rows per key.
 
-    Rows of a hot key on the left, and rows without a key, are dealt over `spread` salts and the
-    matching right rows are repeated for each salt, so no task gets a whole hot
-    key. The salt depends only on the input partition, hence a retried task
-    deals its rows the same way.
+    Rows of a hot key on the left, and rows without a key, are dealt over
+    `spread` salts and the matching right rows are repeated for each salt, so no
+    task gets a whole hot key. The salt depends only on the input partition,
+    hence a retried task deals its rows the same way.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    hot = F.broadcast(hot_keys(left, key, share).select(F.col(key).alias("_hot")))
-    salt = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(spread)))
-    salted_left = (left.join(hot, F.col(key) == F.col("_hot"), "left")
-                   .withColumn("_salt", F.coalesce(salt.cast("int"), F.lit(0))).drop("_hot"))
-    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(spread - 1))
-                   ).otherwise(F.array(F.lit(0)))
-    salted_right = (right.join(hot, F.col(key) == F.col("_hot"), "left")
-                    .withColumn("_salt", F.explode(salts)).drop("_hot"))
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    keys = _listed(keys)
+    # At most 1 / share rows, so safe to broadcast at any size of the inputs.
+    hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
+    absent = reduce(or_, [F.col(k).isNull() for k in keys])
+    salt = F.when(F.col("_hot") | absent, F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(spread)))
+    salted_left = (left.join(hot, keys, "left").withColumn("_salt", F.coalesce(salt.cast("int"), F.lit(0)))
+                   .select(*left.columns, "_salt"))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = (right.join(hot, keys, "left").select(*right.columns, F.explode(salts).alias("_salt")))
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

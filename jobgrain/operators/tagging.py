@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobgrain.functions.text import lexicon_tags, union_lists
+from jobgrain.operators.scale import small_join
 
 # Up to this many keywords the lexicon becomes one generated expression.
 INLINE_KEYWORDS = 1_000
@@ -59,6 +60,6 @@ def tag_texts_by_anchor(df: DataFrame, lexicon: DataFrame, key: str, text: str,
     # A look-ahead matches at every position, so runs overlap and cost is linear.
     runs = [F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sorted(sizes)]
     anchors = lowered.select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("_anchor"))
-    hits = anchors.join(keywords.drop("_len"), "_anchor").drop("_anchor")
+    hits = small_join(anchors, keywords.drop("_len"), "_anchor").drop("_anchor")
     checked = hits.join(lowered, key).where(F.contains(F.col("_text"), F.col("keyword")))
     return checked.select(key, "skill").distinct()

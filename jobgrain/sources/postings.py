@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from jobgrain.fixed_values import ANALYST_ROLE_IDS, ROLE_NAME_STEM
 from jobgrain.operators.clean import parse_cells
 from jobgrain.operators.filters import by_name_stem, by_role
+from jobgrain.operators.scale import small_join
 from jobgrain.schema import PAGE, POSTING_RAW, ROLE_CATALOGUE
 
 SNAPSHOT = "snapshot_ts"
@@ -79,7 +80,7 @@ def until_empty_page(pages: DataFrame, batch: str, page: str, items: str = "item
     """Pages of each batch before its first empty one."""
     empty = F.col(items).isNull() | (F.size(items) == 0)
     stops = pages.where(empty).groupBy(batch).agg(F.min(page).alias("_stop"))
-    return (pages.where(~empty).join(stops, batch, "left")
+    return (small_join(pages.where(~empty), stops, batch, "left")
             .where(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop"))
 
 

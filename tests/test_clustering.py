@@ -60,8 +60,8 @@ def test_gower_with_and_without_cut_runs(points, monkeypatch):
     monkeypatch.setattr(silhouette, "ONE_RUN", 10)
     cuts = silhouette.run_bounds(t, "x")
     assert len(cuts) > 50
-    for bounds in ({}, {"x": cuts}):
-        got = silhouette.gower_silhouette(t, {"x": span}, ["c"], sizes, bounds).first()[0]
+    for columns in (silhouette.Columns({}, {"x", "c"}), silhouette.Columns({"x": cuts}, set()), silhouette.inspect(t, ["x"], ["c"])):
+        got = silhouette.gower_silhouette(t, {"x": span}, ["c"], sizes, columns).first()[0]
         assert got == pytest.approx(want, abs=1e-12)
 
 

@@ -95,10 +95,21 @@ def test_quantiles_by_group_and_empty(spark):
     assert empty["m"] is None and empty["n"] == 0
 
 
-def test_broadcast_if_small_hands_back_a_large_table(spark):
-    df = spark.range(50)
-    assert scale.broadcast_if_small(df, 10) is df
-    assert scale.broadcast_if_small(df, 50).count() == 50
+def test_small_join_has_a_way_for_large_tables(spark):
+    left = _skewed(spark)
+    right = spark.createDataFrame([(f"k{i}", i) for i in range(600)] + [("hot", 1)], "k string, x int")
+    want = sorted(map(repr, left.join(right, "k").collect()))
+    for limit in (10, 10_000):
+        joined = scale.small_join(left, right, "k", limit=limit)
+        assert sorted(map(repr, joined.collect())) == want
+
+
+def test_quantiles_of_many_groups(spark, monkeypatch):
+    df = spark.range(4000).select((F.col("id") % 40).alias("g"), F.col("id").cast("double").alias("x"))
+    want = sorted(map(tuple, quantiles(df, "x", {"m": 0.5}, by=["g"]).collect()))
+    assert want[0] == (0, 1980.0, 100)
+    monkeypatch.setattr(scale.small_join, "__defaults__", ("inner", 5))
+    assert sorted(map(tuple, quantiles(df, "x", {"m": 0.5}, by=["g"]).collect())) == want
 
 
 def test_anchored_tags_equal_brute_force(spark):
