@@ -68,12 +68,24 @@ def abs_difference_sums(tuples: DataFrame, column: str, k: int, bounds=(), by=()
     hist = tuples.groupBy(*by, column).agg(*[
         F.sum(F.when(F.col(CLUSTER) == i, F.col(WEIGHT)).otherwise(0)).cast("double").alias(f"_n{i}")
         for i in range(k)])
-    run = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < x)) if bounds else F.lit(0)
-    hist = hist.withColumn("_run", run)
-    totals = hist.groupBy(*by, "_run").agg(
-        *[F.sum(f"_n{i}").alias(f"_c{i}") for i in range(k)],
-        *[F.sum(F.col(f"_n{i}") * x).alias(f"_m{i}") for i in range(k)])
+    counts, masses = [f"_n{i}" for i in range(k)], [F.col(f"_n{i}") * x for i in range(k)]
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+
+    def result(df, upto):
+        def total_to(i):
+            count, all_count, mass, all_mass = upto(i)
+            return x * (2 * count - all_count) + all_mass - 2 * mass
+        return df.select(*by, column, *[total_to(i).alias(f"_s{i}") for i in range(k)])
+
+    if not bounds:
+        run = whole.orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return result(hist, lambda i: (F.sum(counts[i]).over(run), F.sum(counts[i]).over(whole),
+                                       F.sum(masses[i]).over(run), F.sum(masses[i]).over(whole)))
+
+    hist = hist.withColumn("_run", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < x)))
+    totals = hist.groupBy(*by, "_run").agg(
+        *[F.sum(c).alias(f"_c{i}") for i, c in enumerate(counts)],
+        *[F.sum(m).alias(f"_m{i}") for i, m in enumerate(masses)])
     before = whole.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
     parts = [f"{p}{i}" for p in ("_c", "_m") for i in range(k)]
     offsets = totals.select(*by, "_run",
@@ -81,14 +93,10 @@ def abs_difference_sums(tuples: DataFrame, column: str, k: int, bounds=(), by=()
                             *[F.sum(p).over(whole).alias(f"_all{p}") for p in parts])
     # One row per run (and per `by` value): at most BUCKETS rows each.
     placed = hist.join(F.broadcast(offsets), by + ["_run"])
-    inside = W.partitionBy(*by, "_run").orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow)
-
-    def total_to(i):
-        count = F.col(f"_before_c{i}") + F.sum(f"_n{i}").over(inside)
-        mass = F.col(f"_before_m{i}") + F.sum(F.col(f"_n{i}") * x).over(inside)
-        return x * (2 * count - F.col(f"_all_c{i}")) + F.col(f"_all_m{i}") - 2 * mass
-
-    return placed.select(*by, column, *[total_to(i).alias(f"_s{i}") for i in range(k)])
+    run = W.partitionBy(*by, "_run").orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return result(placed, lambda i: (
+        F.col(f"_before_c{i}") + F.sum(counts[i]).over(run), F.col(f"_all_c{i}"),
+        F.col(f"_before_m{i}") + F.sum(masses[i]).over(run), F.col(f"_all_m{i}")))
 
 
 def mismatch_sums(tuples: DataFrame, column: str, sizes: list[int]) -> DataFrame:
