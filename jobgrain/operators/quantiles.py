@@ -1,40 +1,50 @@
 """Exact interpolated quantiles without a per-group buffer of all values.
 
 Spark's `percentile` keeps every distinct value of a group in one buffer. Here a
-sketch first brackets each wanted rank; a second pass counts what lies below
-the bracket and the values inside it, which are a small share of the rows.
+coarse sketch first brackets each wanted rank; a second pass counts what lies
+outside the bracket and lists the distinct values inside it. Where those are
+many, they are counted in SLOTS equal slices of the bracket first, and only the
+slices that hold a wanted rank are put in order.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobgrain.operators.scale import small_join
+from jobgrain.operators.scale import BROADCAST_ROWS, spread_join
 
-ACCURACY = 10_000
+# Rank error of the sketch is n / ACCURACY. Coarse on purpose: every map task
+# sends its sketch to the one task of its group.
+ACCURACY = 1_000
+SLACK = 4
+ONE_SORT = 2_000_000
+SLOTS = 4_096
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] = (),
-              accuracy: int = ACCURACY) -> DataFrame:
+              accuracy: int = ACCURACY, one_sort: int = ONE_SORT) -> DataFrame:
     """One row per group with a column per entry of `probs`, plus the count `n`.
 
     Linear interpolation at rank p * (n - 1). Groups without a value are absent;
-    without `by` there is always one row.
+    without `by` there is always one row. The sketch pass runs at once.
     """
     by, names = list(by), list(probs)
     rows = df.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    slack = 4.0 / accuracy
+    slack = SLACK / accuracy
     edges = [max(p - slack, 0.0) for p in probs.values()] + [min(p + slack, 1.0) for p in probs.values()]
-    bands = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_total"),
-        F.percentile_approx("_x", edges, accuracy).alias("_edges"))
-
-    if by:
-        joined = small_join(rows, bands.drop("_total"), by)
-        edge = F.col("_edges")
+    bands = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"),
+                                  F.percentile_approx("_x", edges, accuracy).alias("_edges"))
+    found = bands.limit(BROADCAST_ROWS + 1).collect()
+    few = len(found) <= BROADCAST_ROWS
+    if not by:
+        total, limits = found[0]["_total"], found[0]["_edges"] or [0.0] * len(edges)
+        placed = rows.withColumns({"_total": F.lit(total), "_edges": F.array(*map(F.lit, limits))})
+    elif few:
+        placed = rows.join(F.broadcast(df.sparkSession.createDataFrame(found, bands.schema)), by)
     else:
-        joined, edge = rows, bands.select("_edges").scalar()
-    joined = joined.select(*by, "_x", edge.alias("_edges"))
+        placed = spread_join(rows, bands, by, "inner")
+    largest = max((r["_total"] for r in found), default=0)
+    sliced = not few or largest * 2 * slack > one_sort
 
     # Per wanted quantile a row lies below (-1), inside (0) or above (1) its
     # bracket. Only the values inside are told apart, so all other rows collapse
@@ -42,41 +52,50 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
     def mark(i):
         low, high = F.col("_edges")[i], F.col("_edges")[i + len(names)]
         side = F.when(F.col("_x") < low, -1).when(F.col("_x") > high, 1).otherwise(0)
-        return F.struct(F.lit(i).alias("q"), side.alias("side"), F.when(side == 0, F.col("_x")).alias("x"))
+        share = F.coalesce((F.col("_x") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+        slot = F.when(side == 0, F.floor(share * SLOTS)).otherwise(0) if sliced else F.lit(0).cast("bigint")
+        return F.struct(F.lit(i).alias("q"), side.alias("side"), slot.alias("slot"),
+                        F.when(side == 0, F.col("_x")).alias("x"))
 
-    marked = (joined.select(*by, "_x", F.inline(F.array(*[mark(i) for i in range(len(names))])))
-              .groupBy(*by, "q", "side", "x")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last")))
-    upto = F.sum("_n").over(W.partitionBy(*by, "q").orderBy("side", "x")
-                            .rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = marked.withColumn("_upto", upto)
+    key = [*by, "q"]
+    marked = (placed.select(*by, "_x", "_total", F.inline(F.array(*[mark(i) for i in range(len(names))])))
+              .groupBy(*key, "side", "slot", "x")
+              .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last"),
+                   F.max("_total").alias("_total"))
+              .withColumn("_h", F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("q") + 1)
+                          * (F.col("_total") - 1)))
+    low, high = F.floor("_h"), F.ceil("_h")
 
-    p_of = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("q") + 1)
-    if by:
-        ranked = small_join(ranked, bands.drop("_edges"), by)
-        total = F.col("_total")
+    if sliced:
+        slots = marked.groupBy(*key, "side", "slot").agg(F.sum("_n").alias("_size"), F.max("_h").alias("_h"))
+        through = F.sum("_size").over(W.partitionBy(*key).orderBy("side", "slot")
+                                      .rowsBetween(W.unboundedPreceding, W.currentRow))
+        first = F.col("_through") - F.col("_size")
+        wanted = (slots.withColumn("_through", through)
+                  .where(((low >= first) & (low < F.col("_through"))) | ((high >= first) & (high < F.col("_through"))))
+                  .select(*key, "side", "slot", first.alias("_before")))
+        # At most two slots per group and quantile.
+        kept = marked.join(F.broadcast(wanted) if few else wanted, [*key, "side", "slot"])
     else:
-        total = bands.select("_total").scalar()
-    ranked = ranked.withColumn("_total", total).withColumn("_h", p_of * (F.col("_total") - 1))
+        kept = marked.withColumn("_before", F.lit(0))
+    run = (W.partitionBy(*key, "side", "slot") if sliced else W.partitionBy(*key)).orderBy("side", "x")
+    upto = F.col("_before") + F.sum("_n").over(run.rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = kept.withColumn("_upto", upto)
 
     def at(rank):
         # A rank just outside the bracket is the extreme of its side.
-        value = (F.when(F.col("side") == 0, F.col("x"))
-                 .when((F.col("side") == -1) & (rank == F.col("_upto") - 1), F.col("_last"))
-                 .when((F.col("side") == 1) & (rank == F.col("_upto") - F.col("_n")), F.col("_first")))
-        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), value))
+        held = (F.when(F.col("side") == 0, F.col("x"))
+                .when((F.col("side") == -1) & (rank == F.col("_upto") - 1), F.col("_last"))
+                .when((F.col("side") == 1) & (rank == F.col("_upto") - F.col("_n")), F.col("_first")))
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), held))
 
-    low, high = F.floor("_h"), F.ceil("_h")
-    picked = ranked.groupBy(*by, "q").agg(
-        at(low).alias("_lo"), at(high).alias("_hi"),
-        F.max(F.col("_h") - low).alias("_part"), F.max("_total").alias("_rows"))
-    found = F.coalesce(F.col("_lo"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-    found_hi = F.coalesce(F.col("_hi"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-    picked = picked.select(*by, "q", "_rows", (found + (found_hi - found) * F.col("_part")).alias("_v"))
-    columns = [F.max(F.when(F.col("q") == i, F.col("_v"))).alias(n) for i, n in enumerate(names)]
-    if by:
-        columns.append(F.max("_rows").alias("n"))
-    result = picked.groupBy(*by).agg(*columns)
-    if by:
-        return result
-    return result.withColumn("n", F.coalesce(bands.select("_total").scalar(), F.lit(0)))
+    def sure(c):
+        missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+        return F.coalesce(F.col(c), missed)
+
+    picked = ranked.groupBy(*key).agg(at(low).alias("_lo"), at(high).alias("_hi"),
+                                      F.max(F.col("_h") - low).alias("_part"), F.max("_total").alias("_total"))
+    picked = picked.select(*key, "_total", (sure("_lo") + (sure("_hi") - sure("_lo")) * F.col("_part")).alias("_v"))
+    return picked.groupBy(*by).agg(
+        *[F.max(F.when(F.col("q") == i, F.col("_v"))).alias(n) for i, n in enumerate(names)],
+        F.coalesce(F.max("_total"), F.lit(0)).alias("n"))
