@@ -386,10 +386,46 @@ def c03(spark, sf):
 
 
 @query("c04_kmodes_sweep")
-def c04(spark, sf):
+def c04_sweep(spark, sf):
     return _runs(W.sweep(_frame(spark, sf), ["schedule_name", "area_name"], range(2, 5), restarts=1, final_restarts=1))
 
 
+def _kmodes_sql(k: int, steps: int) -> str:
+    """Seeds and then `steps` reassignments, unrolled; later steps repeat a converged result."""
+    miss = "(CASE WHEN {0}.a <> {1}.a THEN 1 ELSE 0 END + CASE WHEN {0}.b <> {1}.b THEN 1 ELSE 0 END)"
+    parts = ["""t AS MATERIALIZED (SELECT schedule_name AS a, area_name AS b, count(*) AS w FROM p
+      WHERE schedule_name IS NOT NULL AND area_name IS NOT NULL GROUP BY ALL)""",
+             """g0 AS MATERIALIZED (SELECT a, b, (sum(w) OVER (PARTITION BY a) / sum(w) OVER ()
+      + sum(w) OVER (PARTITION BY b) / sum(w) OVER ()) / 2 AS density, CAST(99 AS BIGINT) AS gap FROM t)""",
+             "s0 AS MATERIALIZED (SELECT a, b FROM g0 ORDER BY density DESC, a, b LIMIT 1)"]
+    for i in range(1, k):
+        parts += [f"g{i} AS MATERIALIZED (SELECT g.a, g.b, density, least(gap, {miss.format('g', 's')}) AS gap FROM g{i - 1} g, s{i - 1} s)",
+                  f"s{i} AS MATERIALIZED (SELECT a, b FROM g{i} WHERE gap > 0 ORDER BY gap * density DESC, a, b LIMIT 1)"]
+    parts.append("m0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS cid, a, b FROM s{i}" for i in range(k)) + ")")
+    for n in range(1, steps + 1):
+        parts += [f"""near{n} AS MATERIALIZED (SELECT a, b, w, cid FROM (SELECT t.a, t.b, t.w, m.cid,
+          row_number() OVER (PARTITION BY t.a, t.b ORDER BY {miss.format('t', 'm')}, m.cid) AS rn FROM t, m{n - 1} m) WHERE rn = 1)""",
+                  *[f"""{c}{n}x AS (SELECT cid, {c} AS v FROM (SELECT cid, {c}, row_number() OVER (PARTITION BY cid ORDER BY sum(w) DESC, {c}) AS rn
+          FROM near{n} GROUP BY cid, {c}) WHERE rn = 1)""" for c in "ab"],
+                  f"""m{n} AS MATERIALIZED (SELECT m.cid, coalesce(x.v, m.a) AS a, coalesce(y.v, m.b) AS b
+          FROM m{n - 1} m LEFT JOIN a{n}x x USING (cid) LEFT JOIN b{n}x y USING (cid))"""]
+    return ("WITH " + ", ".join(parts) + f" SELECT CAST(cid AS INTEGER) AS cluster, a AS schedule_name, b AS area_name,"
+            f" (SELECT CAST(sum(w) AS BIGINT) FROM near{steps} z WHERE z.cid = m.cid) AS size FROM m{steps} m")
+
+
+@query("c04_kmodes_centroids", _kmodes_sql(4, 8))
+def c04(spark, sf):
+    """A whole fit: seeds, iterations until the cost stops falling, rows per cluster."""
+    frame = _frame(spark, sf)
+    features = measure(frame, FeatureSet([], ["schedule_name", "area_name"]))
+    model = W.Model(W.settle(tuples_of(frame, features)), features, 4)
+    fit = model.fit(4, 1)
+    counts = silhouette.cluster_sizes(model.labelled(fit), 4)
+    return spark.createDataFrame(
+        [(i, c["schedule_name"], c["area_name"], counts[i] or None) for i, c in enumerate(fit.centroids)],
+        "cluster int, schedule_name string, area_name string, size bigint")
+
+
 @query("c05_kprototypes_centroids")
 def c05(spark, sf):
     frame = _frame(spark, sf)
