@@ -426,7 +426,30 @@ def c04(spark, sf):
         "cluster int, schedule_name string, area_name string, size bigint")
 
 
-@query("c05_kprototypes_centroids")
+def _kprototypes_sql(k: int, steps: int) -> str:
+    """The same for scaled pay and schedule, with squared distance plus half a mismatch."""
+    gap = "(({0}.x - {1}.x) * ({0}.x - {1}.x) + CASE WHEN {0}.b <> {1}.b THEN 0.5 ELSE 0 END)"
+    parts = ["kept AS (SELECT round(salary_avg, -3) AS pay, schedule_name AS b FROM p WHERE salary_avg IS NOT NULL AND schedule_name IS NOT NULL)",
+             """t AS MATERIALIZED (SELECT (pay - (SELECT avg(pay) FROM kept)) / (SELECT stddev_pop(pay) FROM kept) AS x, b, count(*) AS w
+      FROM kept GROUP BY ALL)""",
+             """g0 AS MATERIALIZED (SELECT x, b, sum(w) OVER (PARTITION BY b) / sum(w) OVER () AS density, CAST(1e300 AS DOUBLE) AS gap FROM t)""",
+             "s0 AS MATERIALIZED (SELECT x, b FROM g0 ORDER BY density DESC, abs(x), b, x LIMIT 1)"]
+    for i in range(1, k):
+        parts += [f"g{i} AS MATERIALIZED (SELECT g.x, g.b, density, least(gap, {gap.format('g', 's')}) AS gap FROM g{i - 1} g, s{i - 1} s)",
+                  f"s{i} AS MATERIALIZED (SELECT x, b FROM g{i} WHERE gap > 0 ORDER BY gap * density DESC, abs(x), b, x LIMIT 1)"]
+    parts.append("m0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS cid, x, b FROM s{i}" for i in range(k)) + ")")
+    for n in range(1, steps + 1):
+        parts += [f"""near{n} AS MATERIALIZED (SELECT x, b, w, cid FROM (SELECT t.x, t.b, t.w, m.cid,
+          row_number() OVER (PARTITION BY t.x, t.b ORDER BY {gap.format('t', 'm')}, m.cid) AS rn FROM t, m{n - 1} m) WHERE rn = 1)""",
+                  f"x{n} AS (SELECT cid, sum(x * w) / sum(w) AS v FROM near{n} GROUP BY cid)",
+                  f"""b{n} AS (SELECT cid, b AS v FROM (SELECT cid, b, row_number() OVER (PARTITION BY cid ORDER BY sum(w) DESC, b) AS rn
+          FROM near{n} GROUP BY cid, b) WHERE rn = 1)""",
+                  f"""m{n} AS MATERIALIZED (SELECT m.cid, coalesce(x.v, m.x) AS x, coalesce(y.v, m.b) AS b
+          FROM m{n - 1} m LEFT JOIN x{n} x USING (cid) LEFT JOIN b{n} y USING (cid))"""]
+    return ("WITH " + ", ".join(parts) + f" SELECT CAST(cid AS INTEGER) AS cluster, round(x, 6) AS salary_avg, b AS schedule_name FROM m{steps}")
+
+
+@query("c05_kprototypes_centroids", _kprototypes_sql(3, 30))
 def c05(spark, sf):
     frame = _frame(spark, sf)
     features = measure(frame, FeatureSet(["salary_avg"], ["schedule_name"]))
