@@ -1,5 +1,7 @@
 """Filters on the literal cases."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +10,6 @@ from jobgrain.schema import POSTING_RAW
 
 
 def postings(spark, rows):
-    from pyspark.sql.types import Row  # noqa: F401
-    import json
     return spark.read.schema(POSTING_RAW).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
 
 

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobgrain import fixed_values as V
+from jobgrain.clustering.features import FeatureSet, resolve
 from jobgrain.functions import nested, numbers, text
 from jobgrain.operators import clean, statistics
+from jobgrain.operators.filters import is_remote
 from jobgrain.plans.jobs import clean_table
 from workload.registry import query, r
 from workload.tables import as_of, raw_postings, table
@@ -203,7 +205,6 @@ WITH kept AS (SELECT * FROM p WHERE salary_avg IS NOT NULL AND min_experience_ye
 SELECT CAST(count(*) AS BIGINT) AS rows_kept, CAST(sum(min_experience_years) AS BIGINT) AS years FROM kept""")
 def p34(spark, sf):
     """Features picked by their display labels."""
-    from jobgrain.clustering.features import resolve
     columns = resolve(["Зарплата", "Минимальный опыт"])
     return cleaned(spark, sf).select(*columns).dropna().agg(
         F.count(F.lit(1)).alias("rows_kept"), F.sum("min_experience_years").alias("years"))
@@ -212,7 +213,6 @@ def p34(spark, sf):
 @query("p35_categorical_cast", """
 SELECT id, CAST(min_experience_years AS VARCHAR) AS min_experience_years FROM p""")
 def p35(spark, sf):
-    from jobgrain.clustering.features import FeatureSet
     return FeatureSet([], ["min_experience_years"]).encode(cleaned(spark, sf).select("id", "min_experience_years"))
 
 
@@ -242,7 +242,6 @@ SELECT area_name, round(100.0 * paid / total, 4) AS paid_pct,
   CASE WHEN pay > 100000 THEN (pay // 1000) || 'K ₽' ELSE pay || ' ₽' END AS pay_text,
   round(100 - remote, 4) AS office_pct FROM a""")
 def p38(spark, sf):
-    from jobgrain.operators.filters import is_remote
     sums = cleaned(spark, sf).groupBy("area_name").agg(
         F.count(F.lit(1)).alias("total"), F.count_if("has_salary").alias("paid"), F.avg("salary_avg").alias("pay"),
         F.count_if(is_remote(F.col("schedule_name"))).alias("remote"))
