@@ -63,10 +63,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int
     for b in range(blocks):
         part = grams.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b).select(
             F.col("code").alias("code_"), F.col("length").alias("length_"), "gram", "items")
-        same = ((F.col("code") == F.col("code_")) & (F.col("length") == F.col("length_")) & (F.col("at") >= 0)
-                & (F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("length"))) == F.col("gram")))
+        # Only the codes are join keys; the words are compared for the few rows that the hash set lets through.
+        same = (F.col("code") == F.col("code_")) & (F.col("length") == F.col("length_"))
         joined = probed.join(F.broadcast(part), same, "left" if b == 0 else "inner")
-        parts.append(joined.where((F.col("at") < 0) | F.col("gram").isNotNull()).select(
+        verified = F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("length"))) == F.col("gram")
+        parts.append(joined.where((F.col("at") < 0) | (F.col("gram").isNotNull() & verified)).select(
             "doc_id", "d1", "d2", "at", "length", "items", F.when(F.col("at") < 0, F.col("code")).alias("n_words")))
     rows = reduce(DataFrame.union, parts)
     return (rows.groupBy("doc_id", "d1", "d2").agg(
