@@ -31,8 +31,14 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def ascii_lower(text):
-    """`text` with A-Z in lower case and everything else untouched."""
-    return F.translate(text, UPPER, LOWER)
+    """`text` with A-Z in lower case and everything else untouched.
+
+    `lower` would also change other letters, so it is only used where there are none.
+    """
+    by_letter = text
+    for big, small in zip(UPPER, LOWER):
+        by_letter = F.replace(by_letter, F.lit(big), F.lit(small))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(by_letter)
 
 
 def connected(links: DataFrame, left: str, right: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from jobgrain.llm.common import ascii_lower, settle
 
-# Words are runs of a-z, 0-9 and non-ASCII characters, after A-Z became lower case.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Words are runs of a-z, 0-9 and non-ASCII characters, after A-Z became lower case; this is what lies between them.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 # Windows in one broadcast hash table; more windows are searched block by block.
 BLOCK = 100_000
@@ -16,14 +16,19 @@ BLOCK = 100_000
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    return F.regexp_extract_all(F.coalesce(ascii_lower(text), F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), BETWEEN), "")
 
 
-def _spans(w: str, hashes: str, length: int) -> Column:
-    """(at, length, code) of every run of `length` words."""
+def _code(w: str, at: Column, length: int) -> Column:
+    """A hash of up to four words spread over a run of `length` words; equal runs have equal codes."""
+    picked = sorted({round(k * (length - 1) / 3) for k in range(4)})
+    return F.xxhash64(F.lit(length), *[F.get(w, at + k) for k in picked])
+
+
+def _codes(w: str, length: int) -> Column:
+    """The codes of all runs of `length` words, by where they begin."""
     starts = F.when(F.size(w) >= length, F.sequence(F.lit(0), F.size(w) - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(
-        i.alias("at"), F.lit(length).alias("length"), F.xxhash64(*[F.get(hashes, i + k) for k in range(length)]).alias("code")))
+    return F.transform(starts, lambda i: _code(w, i, length))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -32,8 +37,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     spans = items.select("item_id", "w", F.explode(starts).alias("i")).select(
         "item_id", F.slice("w", F.col("i") + 1, window).alias("g")).distinct()
-    coded = reduce(lambda col, k: F.when(F.size("g") == k, F.xxhash64(*[F.xxhash64(F.get("g", F.lit(j))) for j in range(k)])).otherwise(col),
-                   range(1, window + 1), F.lit(None).cast("long"))
+    coded = F.coalesce(*[F.when(F.size("g") == n, _code("g", F.lit(0), n)) for n in range(1, window + 1)])
     return spans.select("item_id", F.concat_ws(" ", "g").alias("gram"), F.size("g").alias("length"), coded.alias("code"))
 
 
@@ -47,7 +51,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int
     (about 20 MB); a hit is taken only if the words themselves are equal. A text is
     never shuffled: what leaves a scan is one row per document plus its hits.
     """
-    spark = docs.sparkSession
     found = settle(item_windows(benchmark, window))
     grams = found.groupBy("gram", "length", "code").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     sizes = grams.agg(F.count(F.lit(1)).alias("n"), F.collect_set("length").alias("lengths")).first()
@@ -55,24 +58,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int
     lengths = sorted(sizes["lengths"])
     keyed = docs.select("doc_id", F.xxhash64("text").alias("d1"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("d2"),
                         words(F.col("text")).alias("w"))
-    hashed = keyed.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    probes = [F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("length"), F.size("w").cast("long").alias("code")))]
-    probes += [_spans("w", "h", n) for n in lengths]
-    probed = hashed.select("doc_id", "d1", "d2", "w", F.inline(F.concat(*probes)))
+    # One row per run of words, run lengths one after another, behind one row (at 0, without a code) for the text itself.
+    codes = F.concat(F.array(F.lit(None).cast("long")), *[_codes("w", n) for n in lengths])
+    probed = keyed.select("doc_id", "d1", "d2", "w", F.posexplode(codes).alias("at", "code"))
+    runs, before = F.lit(1), {}
+    for n in lengths:
+        before[n] = runs
+        runs = runs + F.greatest(F.size("w") - n + 1, F.lit(0))
+    begins = F.col("at") - F.coalesce(*[F.when(F.col("length") == n, before[n]) for n in lengths], F.lit(0))
     parts = []
     for b in range(blocks):
         part = grams.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b).select(
-            F.col("code").alias("code_"), F.col("length").alias("length_"), "gram", "items")
+            F.col("code").alias("code_"), "length", "gram", "items")
         # Only the codes are join keys; the words are compared for the few rows that the hash set lets through.
-        same = (F.col("code") == F.col("code_")) & (F.col("length") == F.col("length_"))
-        joined = probed.join(F.broadcast(part), same, "left" if b == 0 else "inner")
-        verified = F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("length"))) == F.col("gram")
-        parts.append(joined.where((F.col("at") < 0) | (F.col("gram").isNotNull() & verified)).select(
-            "doc_id", "d1", "d2", "at", "length", "items", F.when(F.col("at") < 0, F.col("code")).alias("n_words")))
+        joined = probed.join(F.broadcast(part), F.col("code") == F.col("code_"), "left" if b == 0 else "inner")
+        verified = F.concat_ws(" ", F.slice("w", begins + 1, F.col("length"))) == F.col("gram")
+        parts.append(joined.where((F.col("at") == 0) | (F.col("gram").isNotNull() & verified)).select(
+            "doc_id", "d1", "d2", F.when(F.col("at") > 0, begins).alias("at"), "length", "items",
+            F.when(F.col("at") == 0, F.size("w").cast("long")).alias("n_words")))
     rows = reduce(DataFrame.union, parts)
     return (rows.groupBy("doc_id", "d1", "d2").agg(
         F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"),
-        F.array_sort(F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "length")))).alias("hits"),
+        F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "length")))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))
 
 
