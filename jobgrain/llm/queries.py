@@ -1,6 +1,6 @@
 """One query per corpus operator, over whole tables and with production parameters, and their SQL."""
 
-from jobgrain.llm import decontamination, html, quality, sharding
+from jobgrain.llm import decontamination, html, mtree, ngram_join, quality, sharding
 from jobgrain.llm.common import table
 from jobgrain.llm.oracles import ORACLES
 
@@ -25,4 +25,12 @@ def op8_quality_bradley_terry(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op6_decontamination, op7_hilbert_sharding, op8_quality_bradley_terry)}
+def op9_ngram_jaccard(spark, sf_dir):
+    return ngram_join.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op10_mtree_topk(spark, sf_dir):
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op6_decontamination, op7_hilbert_sharding, op8_quality_bradley_terry, op9_ngram_jaccard, op10_mtree_topk)}
