@@ -1,6 +1,6 @@
 """One query per corpus operator, over whole tables and with production parameters, and their SQL."""
 
-from jobgrain.llm import decontamination, html, mtree, ngram_join, quality, sharding
+from jobgrain.llm import decontamination, html, mtree, ngram_join, pieces, pii, quality, sharding, substrings
 from jobgrain.llm.common import table
 from jobgrain.llm.oracles import ORACLES
 
@@ -9,6 +9,18 @@ def op2_html_extraction(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_pii_feistel(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece_nbest(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark, sf_dir):
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,4 +45,5 @@ def op10_mtree_topk(spark, sf_dir):
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op6_decontamination, op7_hilbert_sharding, op8_quality_bradley_terry, op9_ngram_jaccard, op10_mtree_topk)}
+QUERIES = {f.__name__: f for f in (
+    op2_html_extraction, op3_pii_feistel, op4_sentencepiece_nbest, op5_substring_dedup, op6_decontamination, op7_hilbert_sharding, op8_quality_bradley_terry, op9_ngram_jaccard, op10_mtree_topk)}
