@@ -1,10 +1,14 @@
 """One query per corpus operator, over whole tables and with production parameters, and their SQL."""
 
-from jobgrain.llm import decontamination, html, mtree, ngram_join, pieces, pii, quality, sharding, substrings
+from jobgrain.llm import decontamination, html, lines, mtree, ngram_join, pieces, pii, quality, sharding, substrings
 from jobgrain.llm.common import table
 from jobgrain.llm.oracles import ORACLES
 
 
+def op1_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -46,4 +50,4 @@ def op10_mtree_topk(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_html_extraction, op3_pii_feistel, op4_sentencepiece_nbest, op5_substring_dedup, op6_decontamination, op7_hilbert_sharding, op8_quality_bradley_terry, op9_ngram_jaccard, op10_mtree_topk)}
+    op1_line_dedup, op2_html_extraction, op3_pii_feistel, op4_sentencepiece_nbest, op5_substring_dedup, op6_decontamination, op7_hilbert_sharding, op8_quality_bradley_terry, op9_ngram_jaccard, op10_mtree_topk)}
