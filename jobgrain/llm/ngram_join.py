@@ -27,27 +27,51 @@ PERCENT = 85
 FREQUENT = 65_536
 FLUSH = 2_000_000
 SEED = 20_240_229
+# An odd factor with well-mixed bits (the golden ratio times 2**64).
+MIX = np.uint64(0x9E3779B97F4A7C15)
+# Words remembered per worker process.
+REMEMBERED = 400_000
+# Keys that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 SET = "node binary, n int, family binary, prefix array<long>"
 
 
-def gram_codes(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit codes of the n-grams of a text; of the whole sequence if it has fewer words.
+class _WordCodes(dict):
+    """64-bit codes of words, made when first asked for. Bounded: emptied when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
+        return code
+
+
+_word_codes = _WordCodes()
+
+
+def all_codes(text: str | None, n: int) -> np.ndarray:
+    """64-bit codes of the n-grams of a text in order; of the whole sequence if it has fewer words.
 
     Words are separated by ASCII white space and lower-cased within ASCII, which is
-    what bytes.split and bytes.lower do.
+    what bytes.split and bytes.lower do. A code mixes the codes of its words.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    count = len(words)
+    if not count:
         return np.empty(0, np.int64)
-    joined = b" ".join(words)
-    code = xxhash.xxh3_64_intdigest
-    if len(words) <= n:
-        return np.array([code(joined, SEED)], np.uint64).view(np.int64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-n].tolist()]
-    stops = (ends[n - 1:] - 1).tolist()
-    return np.unique(np.fromiter((code(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(stops)).view(np.int64))
+    codes = np.fromiter(map(_word_codes.__getitem__, words), np.uint64, count)
+    size = min(n, count)
+    mixed = np.full(count - size + 1, size, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX + codes[k:count - size + 1 + k]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
+def gram_codes(text: str | None, n: int) -> np.ndarray:
+    """The set of codes of a text, sorted."""
+    return np.unique(all_codes(text, n))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -72,7 +96,7 @@ def frequent_grams(docs: DataFrame, n: int = N, limit: int = FREQUENT) -> np.nda
 
         for batch in batches:
             for text in batch["text"]:
-                held.append(gram_codes(text, n))
+                held.append(all_codes(text, n))
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield flushed()
@@ -117,14 +141,37 @@ def _may_reach(n1, n2, at1, at2, percent: int):
             & ((100 + percent) * rest.cast("long") >= percent * (n1 + n2).cast("long")))
 
 
-def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    left = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    right = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+def _checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` to be broadcast if it has at most `limit` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity; the sets are read again, from one document of each node."""
+    @F.pandas_udf("grams array<long>, node binary")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        sets = [gram_codes(t, n) for t in texts]
+        return pd.DataFrame({"grams": sets, "node": [xxhash.xxh3_128_digest(g.tobytes()) for g in sets]})
+
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes, "nid").select("nid", "node", "id"))
+    slim = docs.select("doc_id", "text")
+    ids = wanted.where("id is not null").select(F.col("id").alias("doc_id")).distinct()
+    texts = slim.join(_checked_broadcast(ids), "doc_id", "left_semi").select("text")
+    if not wanted.where("id is null").isEmpty():  # nodes that only documents without an id have
+        texts = texts.union(slim.where("doc_id is null").select("text"))
+    # A repeated id may bring other texts along; the digest tells which set was read.
+    grams = settle(texts.select(described("text").alias("s")).select("s.*").join(wanted.select("nid", "node"), "node").select("nid", "grams"))
+    left = grams.select(F.col("nid").alias("a"), F.col("grams").alias("ga"))
+    right = grams.select(F.col("nid").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
-    return (pairs.join(left, "a").join(right, "b")
-            .withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("ga") + F.size("gb") - F.col("both")))
-            .select("a", "b"))
+    return settle(pairs.join(left, "a").join(right, "b").withColumn("both", both)
+                  .where(100 * F.col("both") >= percent * (F.size("ga") + F.size("gb") - F.col("both")))
+                  .select("a", "b").distinct())
+
+
+def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds `root` to rows with a nid; a node without links is its own root."""
+    return df.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
 
 
 def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -132,56 +179,48 @@ def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
 
     component_id is the smallest doc_id that links reach, its own row included; links
     counts the different sets verified as similar to the row's set on the way (0 for
-    a set that is in no pair). A null or empty text has an empty set and is linked
-    with nothing: its component is its own id. Rows with a null doc_id take part
-    and pass links on, but never name a component unless nothing else does (null).
-    Repeated rows are all returned. Extra columns are not looked at. An empty table
-    gives an empty result.
+    a set that is in no pair); node is the digest of the set, so exact copies share
+    it. A null or empty text has an empty set and is linked with nothing: its
+    component is its own id. Rows with a null doc_id take part and pass links on, but
+    a component is only named null if it has no other. Repeated rows are all
+    returned. Extra columns are not looked at. An empty table gives an empty result.
     """
     sets = settle(gram_sets(docs.select("doc_id", "text"), frequent_grams(docs, n), n, percent))
-    full = sets.where("n > 0")
-    nodes = full.groupBy("node", "n", "family").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
-    families = nodes.groupBy("family", "n").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
-    postings = families.select("family", "head", "n", "members", F.posexplode("prefix").alias("at", "gram"))
+    nodes = settle(sets.where("n > 0").groupBy("node", "n", "family").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
+                   .withColumn("nid", F.monotonically_increasing_id()))
+    # Families of several members; the member of lowest number stands for all of them.
+    crowded = nodes.groupBy("family", "n").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    crowded = settle(nodes.select("nid", "family", "n").join(crowded, ["family", "n"]).select("nid", "head"))
+    heads = nodes.join(_checked_broadcast(crowded.where("nid != head").select("nid")), "nid", "left_anti")
+    postings = heads.select("nid", "n", F.posexplode("prefix").alias("at", "gram"))
     per_gram = Window.partitionBy("gram")
     # Grams that only one family has in its prefix give no pair.
     shared = settle(postings.withColumn("lists", F.count(F.lit(1)).over(per_gram))
-                    .withColumn("hub", F.first(F.struct("at", "family", "head", "n")).over(per_gram.orderBy("at", "n", "family")))
+                    .withColumn("hub", F.first(F.struct("at", "nid", "n")).over(per_gram.orderBy("at", "n", "nid")))
                     .where("lists > 1").drop("lists"))
-    crowded = settle(nodes.join(families.where("members > 1").select("family", "head"), "family").select("node", "family", "head"))
-
-    # The grams of all nodes that may be in a pair, read once more from their texts.
-    wanted = (shared.select(F.col("head").alias("node")).union(crowded.select("node"))
-              .union(crowded.select("head"))).distinct()
-    grams = settle(_grams_of(docs, sets, wanted, n))
-
-    stars = (shared.where((F.col("hub.family") != F.col("family"))
-                          & _may_reach(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"), percent))
-             .select(F.least("head", "hub.head").alias("a"), F.greatest("head", "hub.head").alias("b"))
-             .union(crowded.where("node != head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))).distinct())
-    stars = settle(stars)
-    links = settle(_verified(stars, grams, percent))
+
+    stars = shared.where((F.col("hub.nid") != F.col("nid")) & _may_reach(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"), percent))
+    stars = settle(stars.select(F.least("nid", "hub.nid").alias("a"), F.greatest("nid", "hub.nid").alias("b"))
+                   .union(crowded.where("nid != head").select(F.least("nid", "head"), F.greatest("nid", "head"))).distinct())
+    links = _verified(stars, docs, nodes, n, percent)
     roots = connected(links, "a", "b")
 
-    # What the first links leave apart: families of one gram, and members of one family, in different components.
-    open_lists = _rooted(shared.select("gram", "family", "head", "n", "at"), roots, "head")
-    per_list = open_lists.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram")
-    open_lists = settle(open_lists.join(per_list, "gram"))
-    other = open_lists.select("gram", *[F.col(c).alias(f"{c}2") for c in ("family", "head", "n", "at", "root")])
-    met = open_lists.join(other, "gram").where(
-        (F.col("family") < F.col("family2")) & (F.col("root") != F.col("root2"))
-        & _may_reach(F.col("n"), F.col("n2"), F.col("at"), F.col("at2"), percent))
-    pairs = met.select(F.least("head", "head2").alias("a"), F.greatest("head", "head2").alias("b")).distinct()
-    pairs = settle(pairs.join(stars, ["a", "b"], "left_anti"))
-    more = _verified(pairs, grams, percent)
+    # What the first links leave apart: families of one gram that are in different components.
+    lists = _rooted(shared.drop("hub"), roots)
+    apart = lists.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram")
+    lists = settle(lists.join(apart, "gram"))
+    met = _met(lists, lists, percent).where("nid < nid2")
     if not crowded.isEmpty():
-        more = more.union(_verified(_members_apart(shared, crowded, roots, stars, percent), grams, percent))
-    more = settle(more)
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = connected(links, "a", "b")
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    placed = _rooted(nodes.select("node", "id"), roots, "node").join(degrees, "node", "left")
+        met = met.union(_members_apart(shared.drop("hub"), crowded, roots, percent))
+    pairs = settle(met.select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b")).distinct()
+                   .join(stars, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        more = _verified(pairs, docs, nodes, n, percent)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = connected(links, "a", "b")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("links"))
+    placed = _rooted(nodes.select("nid", "node", "id"), roots).join(degrees, "nid", "left")
     lowest = placed.groupBy("root").agg(F.min("id").alias("component"))
     found = placed.join(lowest, "root").select("node", "component", "links")
     return (sets.select("doc_id", "n", "node").join(found, "node", "left")
@@ -190,47 +229,23 @@ def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
                     F.coalesce("links", F.lit(0)).alias("links"), "node"))
 
 
-def _rooted(df: DataFrame, roots: DataFrame, node: str) -> DataFrame:
-    """Adds `root`; a node without links is its own root."""
-    return df.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(nid, nid2) of rows of one gram in different components that pass the filters."""
+    other = right.select("gram", *[F.col(c).alias(f"{c}2") for c in ("nid", "n", "at", "root")])
+    return (left.join(other, "gram").where((F.col("root") != F.col("root2"))
+                                           & _may_reach(F.col("n"), F.col("n2"), F.col("at"), F.col("at2"), percent))
+            .select("nid", "nid2"))
 
 
-def _members_apart(shared: DataFrame, crowded: DataFrame, roots: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of crowded families that are in different components and were not compared yet.
+def _members_apart(lists: DataFrame, crowded: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs with a member of a crowded family, in different components: expanded from group pairs to members.
 
-    A member stands for its family in the lists of its grams; families of one member
-    are their own member.
+    A member stands for its family in the lists of its grams; a family of one member is its own member.
     """
-    lists = shared.select("gram", "family", "head", "n", "at")
-    members = _rooted(crowded.select("node", "family"), roots, "node")
-    alone = _rooted(lists.join(crowded.select("family").distinct(), "family", "left_anti")
-                    .withColumnRenamed("head", "node"), roots, "node")
-    within = members.withColumnRenamed("node", "a").join(
-        members.select("family", F.col("node").alias("b"), F.col("root").alias("root2")), "family").where("a < b and root != root2")
-    many = lists.join(members, "family").select("gram", "family", "node", "n", "at", "root")
-    rows = many.union(alone.select("gram", "family", "node", "n", "at", "root"))
-    other = rows.select("gram", *[F.col(c).alias(f"{c}2") for c in ("family", "node", "n", "at", "root")])
-    across = many.join(other, "gram").where(
-        (F.col("family") != F.col("family2")) & (F.col("root") != F.col("root2"))
-        & _may_reach(F.col("n"), F.col("n2"), F.col("at"), F.col("at2"), percent))
-    return (across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-            .union(within.select("a", "b")).distinct().join(stars, ["a", "b"], "left_anti"))
-
-
-def _grams_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, grams) of the wanted nodes, from one document of each."""
-    @F.pandas_udf("array<long>")
-    def codes(texts: pd.Series) -> pd.Series:
-        return pd.Series([gram_codes(t, n) for t in texts], dtype=object)
-
-    @F.pandas_udf("binary")
-    def digest(lists: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_128_digest(np.ascontiguousarray(g, np.int64).tobytes()) for g in lists], dtype=object)
-
-    # Ids, not texts, decide which documents are read again; the digest then tells which set it is.
-    ids = (sets.where("n > 0").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-           .select(F.when(~F.col("unnamed") | F.col("id").isNotNull(), F.col("id")).alias("id")).distinct())
-    named = docs.select("doc_id", "text").join(ids.where("id is not null").withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    unnamed = docs.select("doc_id", "text").where("doc_id is null") if not ids.where("id is null").isEmpty() else named.limit(0)
-    read = named.union(unnamed).select(codes("text").alias("grams")).withColumn("node", digest("grams"))
-    return read.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    members = _rooted(crowded, roots)
+    within = (members.join(members.select("head", F.col("nid").alias("nid2"), F.col("root").alias("root2")), "head")
+              .where("nid < nid2 and root != root2").select("nid", "nid2"))
+    standing = lists.withColumnRenamed("nid", "head")
+    many = standing.join(members, "head").select("gram", "nid", "n", "at", "root")
+    alone = _rooted(lists.join(crowded.select(F.col("head").alias("nid")).distinct(), "nid", "left_anti"), roots)
+    return _met(many, many.union(alone.select("gram", "nid", "n", "at", "root")), percent).where("nid != nid2").union(within)
