@@ -12,6 +12,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 # Windows in one broadcast hash table; more windows are searched block by block.
 BLOCK = 100_000
+# Contaminated documents that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -112,8 +114,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     Rows are matched by doc_id and text, so a null doc_id is handled like any other.
     """
-    bad = (scan(docs.select("doc_id", "text"), benchmark.select(F.col("item_id").cast("string"), "text"), window, block)
-           .where(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2")))
+    bad = settle(scan(docs.select("doc_id", "text"), benchmark.select(F.col("item_id").cast("string"), "text"), window, block)
+                 .where(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2")))
+    if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     same = (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_d1"))
             & (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == F.col("_d2")))
     return docs.join(bad, same, "left_anti")

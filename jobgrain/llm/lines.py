@@ -22,9 +22,9 @@ UNNAMED = 1 << 62
 HASH_BITS = 59
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
+def _ordered(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text, ord, mark): documents are ordered by ord, texts of one ord are told apart by mark."""
-    return docs.select("doc_id", "text").withColumns({
+    return docs.select("doc_id", "text", *more).withColumns({
         "ord": F.coalesce(F.col("doc_id").cast("long"), F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("text"), 3)),
         "mark": F.shiftleft(F.hash("text").cast("long").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")), 32)})
 
@@ -48,18 +48,21 @@ def frequent_words(docs: DataFrame, limit: int = FREQUENT) -> list[str]:
     return [r["item"] for r in sorted(top or [], key=lambda r: (-r["count"], r["item"]))]
 
 
-def _keys(words: Column, frequent: list[str]) -> Column:
-    """Sorted distinct numbers of the words: the class of rarity above the bits of a hash, so rare words come first."""
-    bounds = [0, *CLASSES]
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
-    def key(w: Column) -> Column:
-        rank = F.lit(0).cast("long")
-        for i, (a, b) in reversed(list(enumerate(zip(bounds, bounds[1:])))):
-            if frequent[a:b]:
-                rank = F.when(w.isin(frequent[a:b]), F.lit(len(CLASSES) - i).cast("long")).otherwise(rank)
-        return F.shiftleft(rank, HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+def _keys(words: str, frequent: list[str]) -> Column:
+    """Sorted distinct numbers of the words: the class of rarity above the bits of a hash, so rare words come first.
 
-    return F.sort_array(F.array_distinct(F.transform(words, key)))
+    Written as SQL text, since thousands of literals are slow to hand over one by one.
+    """
+    bounds = [0, *CLASSES]
+    classes = [(len(CLASSES) - i, frequent[a:b]) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if frequent[a:b]]
+    cases = " ".join(f"WHEN w IN ({', '.join(map(_quoted, some))}) THEN {rank}L" for rank, some in classes)
+    rank = f"CASE {cases} ELSE 0L END" if cases else "0L"
+    key = f"shiftleft({rank}, {HASH_BITS}) | (xxhash64(w) & {(1 << HASH_BITS) - 1}L)"
+    return F.expr(f"sort_array(array_distinct(transform({words}, w -> {key})))")
 
 
 def line_classes(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -> DataFrame:
@@ -71,7 +74,7 @@ def line_classes(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -
     """
     lines = _ordered(docs).select("ord", "mark", F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
     keyed = lines.select("ord", F.col("mark").bitwiseOR(F.col("line").cast("long")).alias("spot"),
-                         _keys(_words(F.col("raw")), frequent).alias("k")).where("size(k) > 0")
+                         _words(F.col("raw")).alias("words")).where("size(words) > 0").select("ord", "spot", _keys("words", frequent).alias("k"))
     one = F.lit(1).cast("long")
     n = F.size("k")
     rows = keyed.select(
@@ -148,6 +151,26 @@ def later_matches(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -
     return removed.union(_verified(settle(more), docs, percent).distinct())
 
 
+def _kept(docs: DataFrame, percent: int) -> DataFrame:
+    """(ord, mark, kept): the numbers of the lines with words that stay, per text."""
+    classes = settle(line_classes(docs, frequent_words(docs), percent))
+    removed = later_matches(docs, classes, percent)
+    return (classes.select("ord", "spot").join(_checked_broadcast(removed), ["ord", "spot"], "left_anti")
+            .groupBy("ord", F.col("spot").bitwiseAND(F.lit(-(1 << 32))).alias("mark"))
+            .agg(F.collect_list(F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("kept")))
+
+
+def _rebuilt(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(row, text, all, stay) of every row: its columns, its new text, its old lines and the numbers of those that stay."""
+    rows = (_ordered(docs.select(F.struct("*").alias("row"), "doc_id", "text"), "row").join(kept, ["ord", "mark"], "left")
+            .withColumn("all", _lines(F.col("text"))))
+    blank = F.filter(F.transform("all", lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("stay", F.array_sort(F.array_union(F.coalesce("kept", F.array().cast("array<int>")), blank)))
+    text = F.when(F.size("stay") == F.size("all"), F.col("text")).otherwise(
+        F.array_join(F.transform("stay", lambda i: F.get("all", i)), "\n"))
+    return rows.select("row", text.alias("text"), "all", "stay")
+
+
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of `docs`: doc_id, text without later lines, n_lines and n_removed.
 
@@ -160,16 +183,17 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     no lines. An empty table gives an empty result; extra columns are not looked at.
     """
     slim = docs.select("doc_id", "text")
-    classes = settle(line_classes(slim, frequent_words(slim), percent))
-    removed = later_matches(slim, classes, percent)
-    kept = (classes.select("ord", "spot").join(removed, ["ord", "spot"], "left_anti")
-            .groupBy("ord", F.col("spot").bitwiseAND(F.lit(-(1 << 32))).alias("mark"))
-            .agg(F.collect_list(F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("kept")))
-    rows = _ordered(slim).join(kept, ["ord", "mark"], "left").withColumn("all", _lines(F.col("text")))
-    blank = F.filter(F.transform("all", lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
-    stay = F.array_sort(F.array_union(F.coalesce("kept", F.array().cast("array<int>")), blank))
-    rows = rows.withColumn("stay", stay)
-    text = F.when(F.size("stay") == F.size("all"), F.col("text")).otherwise(
-        F.array_join(F.transform("stay", lambda i: F.get("all", i)), "\n"))
-    return rows.select("doc_id", text.alias("text"), F.greatest(F.size("all"), F.lit(0)).alias("n_lines"),
+    rows = _rebuilt(slim, _kept(slim, percent))
+    return rows.select("row.doc_id", "text", F.greatest(F.size("all"), F.lit(0)).alias("n_lines"),
                        F.greatest(F.size("all") - F.size("stay"), F.lit(0)).alias("n_removed"))
+
+
+def drop_later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """`docs` with later lines taken out of `text` and `n_chars`, if there is one, counted anew.
+
+    A document of which no line with a word is left goes; one that had none stays.
+    """
+    rows = _rebuilt(docs, _kept(docs.select("doc_id", "text"), percent))
+    rows = rows.where((F.size("stay") == F.size("all")) | F.col("text").rlike(r"\S") | F.col("text").isNull())
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

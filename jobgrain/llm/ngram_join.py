@@ -110,7 +110,7 @@ def frequent_grams(docs: DataFrame, n: int = N, limit: int = FREQUENT) -> np.nda
 
 
 def gram_sets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id with its set: node (128-bit digest), n, family (digest of size and prefix) and prefix."""
+    """doc_id and mark (a hash of the text) with the set: node (128-bit digest), n, family (digest of size and prefix) and prefix."""
     by_code = np.argsort(frequent, kind="stable")
     known = frequent[by_code]
 
@@ -131,7 +131,7 @@ def gram_sets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int =
             rows.append((node, len(codes), xxhash.xxh3_128_digest(np.append(prefix, len(codes)).tobytes()), prefix))
         return pd.DataFrame(rows, columns=["node", "n", "family", "prefix"])
 
-    return docs.select("doc_id", described("text").alias("s")).select("doc_id", "s.*")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), described("text").alias("s")).select("doc_id", "mark", "s.*")
 
 
 def _may_reach(n1, n2, at1, at2, percent: int):
@@ -175,12 +175,13 @@ def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, links and node of every row.
+    """doc_id, n_shingles, component_id, links, node, mark and root of every row.
 
     component_id is the smallest doc_id that links reach, its own row included; links
     counts the different sets verified as similar to the row's set on the way (0 for
     a set that is in no pair); node is the digest of the set, so exact copies share
-    it. A null or empty text has an empty set and is linked with nothing: its
+    it; mark is a hash of the text; root names the component even where its id is
+    null, and is null for an empty set. A null or empty text has an empty set and is linked with nothing: its
     component is its own id. Rows with a null doc_id take part and pass links on, but
     a component is only named null if it has no other. Repeated rows are all
     returned. Extra columns are not looked at. An empty table gives an empty result.
@@ -222,11 +223,27 @@ def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     degrees = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("links"))
     placed = _rooted(nodes.select("nid", "node", "id"), roots).join(degrees, "nid", "left")
     lowest = placed.groupBy("root").agg(F.min("id").alias("component"))
-    found = placed.join(lowest, "root").select("node", "component", "links")
-    return (sets.select("doc_id", "n", "node").join(found, "node", "left")
+    found = placed.join(lowest, "root").select("node", "component", "links", "root")
+    return (sets.select("doc_id", "n", "node", "mark").join(found, "node", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.coalesce("links", F.lit(0)).alias("links"), "node"))
+                    F.coalesce("links", F.lit(0)).alias("links"), "node", "mark", "root"))
+
+
+def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one document of each component: the one of smallest id, all columns unchanged.
+
+    Documents without words stay. Documents with a null id only stay if their
+    component has no other, then the one of smallest hash. Rows equal in id and text
+    are one document.
+    """
+    placed = settle(join_components(docs, n, percent).where("root is not null").select("doc_id", "mark", "root"))
+    keeper = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("kept"), F.count(F.lit(1)).alias("size"))
+    losers = settle(placed.join(keeper.where("size > 1"), "root").where(
+        ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("mark") == F.col("kept.mark"))))
+        .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct())
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark"))
+    return docs.join(_checked_broadcast(losers), same, "left_anti")
 
 
 def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
