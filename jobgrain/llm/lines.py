@@ -72,9 +72,10 @@ def line_classes(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -
     for the parity of the words of each of 64 hash classes: two sets differ in at
     least as many words as their sketches do in bits.
     """
-    lines = _ordered(docs).select("ord", "mark", F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
+    lines = (_ordered(docs).select("ord", "mark", F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
+             .where(F.col("raw").rlike(r"\S")))  # on the line itself, so that its words are not made twice
     keyed = lines.select("ord", F.col("mark").bitwiseOR(F.col("line").cast("long")).alias("spot"),
-                         _words(F.col("raw")).alias("words")).where("size(words) > 0").select("ord", "spot", _keys("words", frequent).alias("k"))
+                         _words(F.col("raw")).alias("words")).select("ord", "spot", _keys("words", frequent).alias("k"))
     one = F.lit(1).cast("long")
     n = F.size("k")
     rows = keyed.select(
