@@ -27,6 +27,7 @@ MARK = "\udfff"
 HIGH = "\uffff"
 UNKNOWN_PENALTY = 10.0
 LOWEST = float("-inf")
+STOP = ()
 # Words remembered per worker process and generation; two generations are kept.
 REMEMBERED = 300_000
 ENCODED = ("n_pieces int, score double, ids array<int>, "
@@ -69,23 +70,26 @@ class Model:
         words = f"{SPACE}*(?:{body}*?[^\\W\\d_](?=[{ends}])|{body}+)" if ends else f"{SPACE}*{body}+"
         return re.compile((f"[{alone}]|" if alone else "") + f"{words}|{SPACE}+", re.S)
 
+    def _as_bytes(self, character: str) -> tuple[int, ...]:
+        """Byte pieces of a character that is no piece."""
+        return tuple(self.bytes_from + b for b in (SPACE if character == MARK else character).encode("utf-8", "surrogatepass"))
+
     def edges(self, word: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
         """(start, end, score, ids) of the pieces in `word` by start; an unknown character is its bytes."""
         found, front, size = [], self.front, len(word)
         for start in range(size):
             end = start + 1
             piece = word[start]
-            hit = front.get(piece, 0)
+            hit = front.get(piece, STOP)
             if not hit:
-                raw = SPACE if piece == MARK else piece
-                found.append((start, end, self.unknown, tuple(self.bytes_from + b for b in raw.encode("utf-8", "surrogatepass"))))
-            while hit != 0:
+                found.append((start, end, self.unknown, self._as_bytes(piece)))
+            while hit is not STOP:
                 if hit:
                     found.append((start, end, hit[1], (hit[0],)))
                 end += 1
                 if end > size:
                     break
-                hit = front.get(word[start:end], 0)
+                hit = front.get(word[start:end], STOP)
         return found
 
     def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
@@ -98,25 +102,40 @@ class Model:
         return hit
 
     def _best(self, word: str) -> tuple[float, tuple[int, ...], float]:
-        edges, size = self.edges(word), len(word)
-        best, into = [0.0] + [LOWEST] * size, [None] * (size + 1)
-        for edge in edges:
-            way = best[edge[0]] + edge[2]
-            if way > best[edge[1]]:
-                best[edge[1]], into[edge[1]] = way, edge
+        front, size = self.front.get, len(word)
+        best, start_of, ids_of = [0.0] + [LOWEST] * size, [0] * (size + 1), [()] * (size + 1)
+        edges = []
+        for start in range(size):
+            base, end = best[start], start + 1
+            hit = front(word[start], STOP)
+            if not hit:
+                edges.append((start, end, self.unknown))
+                if base + self.unknown > best[end]:
+                    best[end], start_of[end], ids_of[end] = base + self.unknown, start, self._as_bytes(word[start])
+            while hit is not STOP:
+                if hit:
+                    i, x = hit
+                    edges.append((start, end, x))
+                    if base + x > best[end]:
+                        best[end], start_of[end], ids_of[end] = base + x, start, (i,)
+                end += 1
+                if end > size:
+                    break
+                hit = front(word[start:end], STOP)
         at, ids, after = size, (), [0] * (size + 1)
         while at:
-            edge = into[at]
-            after[edge[0]] = at
-            ids = edge[3] + ids
-            at = edge[0]
+            ids = ids_of[at] + ids
+            after[start_of[at]] = at
+            at = start_of[at]
         rest, second = [LOWEST] * size + [0.0], LOWEST
-        for start, end, x, _ in reversed(edges):
+        for start, end, x in reversed(edges):
             x += rest[end]
             if x > rest[start]:
                 rest[start] = x
-            if after[start] != end and best[start] + x > second:
-                second = best[start] + x
+            if after[start] != end:
+                x += best[start]
+                if x > second:
+                    second = x
         return best[size], ids, best[size] - second
 
     def paths(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
