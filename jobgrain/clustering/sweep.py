@@ -108,7 +108,9 @@ class Model:
         return one.first()["silhouette"], None
 
     def _plane(self, labelled: DataFrame, sizes: list[int]) -> DataFrame:
-        wide, level = self.features.numeric
+        # The feature with fewer distinct values takes the part of the levels, in whatever order they were named.
+        counts = self.tuples.agg(*[F.count_distinct(c).alias(c) for c in self.features.numeric]).first()
+        level, wide = sorted(self.features.numeric, key=lambda c: (counts[c], c))
         low, high = (self.features.moments[wide].low, self.features.moments[wide].high)
         m = self.features.moments[wide]
         scale = m.std or 1.0

@@ -66,7 +66,7 @@ def lexicon_tags(c: Column, lexicon: dict[str, list[str]], mode: str = "substrin
     """
     def tags(t):
         hits = [F.when(reduce(or_, [_keyword_hit(t, k, mode) for k in keywords]), F.lit(skill))
-                for skill, keywords in lexicon.items() if keywords]
+                for skill, given in lexicon.items() if (keywords := [k for k in given if k])]
         if not hits:
             return F.array().cast("array<string>")
         return F.array_sort(F.array_compact(F.array(*hits)))

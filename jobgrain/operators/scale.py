@@ -1,5 +1,6 @@
 """Shared ways to keep a join or an iteration safe at any data size."""
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -22,7 +23,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="jobgrain-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)

@@ -1,10 +1,11 @@
 """Skill tagging of free text against a lexicon of (skill, keyword) rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobgrain.functions.text import lexicon_tags, union_lists
-from jobgrain.operators.scale import small_join
+from jobgrain.operators.scale import BROADCAST_ROWS, spread_join
+from jobgrain.schema import LEXICON
 
 # Up to this many keywords the lexicon becomes one generated expression.
 INLINE_KEYWORDS = 1_000
@@ -17,7 +18,7 @@ def name_lexicon(skills: list[str]) -> dict[str, list[str]]:
 
 def lexicon_from_table(lexicon: DataFrame, limit: int = INLINE_KEYWORDS) -> dict[str, list[str]] | None:
     """The lexicon as a dict, or None when it has more than `limit` keywords."""
-    rows = lexicon.select("skill", "keyword").distinct().limit(limit + 1).collect()
+    rows = usable(lexicon).limit(limit + 1).collect()
     if len(rows) > limit:
         return None
     table: dict[str, list[str]] = {}
@@ -26,6 +27,16 @@ def lexicon_from_table(lexicon: DataFrame, limit: int = INLINE_KEYWORDS) -> dict
     return table
 
 
+def usable(lexicon: DataFrame) -> DataFrame:
+    """Distinct (skill, keyword) rows; a null or empty keyword finds nothing."""
+    return lexicon.select("skill", "keyword").where((F.col("keyword") != "") & F.col("skill").isNotNull()).distinct()
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """A lexicon table from JSON Lines of {skill, keyword}."""
+    return usable(spark.read.schema(LEXICON).option("mode", "FAILFAST").json(path))
+
+
 def tag_skills(df: DataFrame, lexicon: dict[str, list[str]], texts=("requirement", "responsibility"),
                skills: str = "skills_list", mode: str = "substring") -> DataFrame:
     """Merge the skills found in each text into the skill list."""
@@ -41,25 +52,36 @@ def tag_texts(df: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFra
 
     A small lexicon is inlined. A large one is joined on keyword anchors, the
     leading characters of each keyword, against the distinct character runs of
-    the text of that length; the full keyword is then checked. `key` must be
-    unique.
+    the text of that length; the full keyword is then checked. Pairs are distinct
+    and empty keywords find nothing, whichever way is taken.
     """
     table = lexicon_from_table(lexicon)
     if table is not None:
-        return df.select(key, F.explode(lexicon_tags(F.col(text), table)).alias("skill"))
+        return df.select(key, F.explode(lexicon_tags(F.col(text), table)).alias("skill")).distinct()
     return tag_texts_by_anchor(df, lexicon, key, text)
 
 
 def tag_texts_by_anchor(df: DataFrame, lexicon: DataFrame, key: str, text: str,
                         anchor: int = 6) -> DataFrame:
-    keywords = (lexicon.select("skill", "keyword").where(F.col("keyword") != "").distinct()
+    """The way for large lexicons.
+
+    Up to BROADCAST_ROWS keywords are broadcast and the text stays on its row, so no text is
+    shuffled and only runs that are an anchor meet it; more keywords are joined by a shuffle
+    of the runs, and then the texts, by `key`, which must be unique there.
+    """
+    keywords = (usable(lexicon)
                 .withColumn("_len", F.least(F.length("keyword"), F.lit(anchor)))
                 .withColumn("_anchor", F.substring("keyword", F.lit(1), F.col("_len"))))
     lowered = df.select(key, F.lower(F.col(text)).alias("_text")).where(F.col("_text").isNotNull())
     sizes = [r["_len"] for r in keywords.select("_len").distinct().collect()]  # at most `anchor`
     # A look-ahead matches at every position, so runs overlap and cost is linear.
     runs = [F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sorted(sizes)]
-    anchors = lowered.select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("_anchor"))
-    hits = small_join(anchors, keywords.drop("_len"), "_anchor").drop("_anchor")
+    if not sizes:
+        return df.select(key, F.lit("").alias("skill")).where("false")
+    found = F.explode(F.array_distinct(F.concat(*runs))).alias("_anchor")
+    if keywords.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hits = lowered.select(key, "_text", found).join(F.broadcast(keywords.drop("_len")), "_anchor")
+        return hits.where(F.contains(F.col("_text"), F.col("keyword"))).select(key, "skill").distinct()
+    hits = spread_join(lowered.select(key, found), keywords.drop("_len"), "_anchor", "inner").drop("_anchor")
     checked = hits.join(lowered, key).where(F.contains(F.col("_text"), F.col("keyword")))
     return checked.select(key, "skill").distinct()

@@ -44,21 +44,33 @@ def filter_job(raw: DataFrame, path: str, snapshot: str, order_by: list, **phras
 def clean_table(raw: DataFrame, as_of: Column | None = None, remove_outliers: bool = False,
                 remove_json: bool = True, tag_text: bool = False, lexicon: dict | None = None,
                 vocabulary: list[str] | None = None) -> DataFrame:
-    """Raw postings to the clean table; `vocabulary` adds skill indicator columns."""
-    out = clean.flatten(clean.parse_cells(raw), as_of, keep_raw=not remove_json)
+    """Raw postings to the clean table; `vocabulary` adds skill indicator columns.
+
+    `remove_json` drops the nested sources and service columns; all other columns of the
+    input stay, and `_bad_cells` names the cells that could not be read.
+    """
+    out = clean.flatten(clean.parse_cells(raw), as_of, keep_raw=True)
+    if remove_json:
+        out = clean.drop_raw(out)
     if tag_text:
-        out = tagging.tag_skills(out, lexicon or {})
+        if not lexicon:
+            raise ValueError("tagging texts needs a lexicon")
+        out = tagging.tag_skills(out, lexicon).withColumn("skills_count", F.size("skills_list"))
     if vocabulary:
         out = clean.skill_indicators(out, vocabulary)
     return filters.without_outliers(out) if remove_outliers else out
 
 
-def clean_job(raw: DataFrame, path: str, snapshot: str, indicators: bool = True, **options) -> DataFrame:
-    """Clean, write the snapshot as Parquet, return its statistics."""
+def clean_job(raw: DataFrame, path: str, snapshot: str, indicators: bool = True, remove_outliers: bool = False,
+              **options) -> DataFrame:
+    """Clean, write the snapshot as Parquet, return its statistics.
+
+    The skills that get a column are those of all postings, outliers included.
+    """
     base = clean_table(raw, **options)
     if indicators:
         base = clean.skill_indicators(base, statistics.skill_vocabulary(base))
-    io.write_clean(base, path, snapshot)
+    io.write_clean(filters.without_outliers(base) if remove_outliers else base, path, snapshot)
     written = base.sparkSession.read.parquet(f"{path}/{io.SNAPSHOT}={snapshot}")
     return statistics.statistics_report(written)
 
@@ -88,10 +100,10 @@ def run_all(spark: SparkSession, pages_path: str, output: str, snapshot: str, as
     the run.
     """
     started = time.monotonic()
-    pages = spark.read.schema(_with_origin(PAGE)).json(pages_path)
+    pages = io.read_postings(spark, pages_path, _with_origin(PAGE))
     raw_path, kept_path = f"{output}/raw", f"{output}/relevant"
     io.write_postings(collect(pages, roles=roles), raw_path, snapshot)
-    raw = spark.read.schema(_with_origin(POSTING_RAW)).json(f"{raw_path}/{io.SNAPSHOT}={snapshot}")
+    raw = io.read_postings(spark, f"{raw_path}/{io.SNAPSHOT}={snapshot}", _with_origin(POSTING_RAW))
     order = ["batch", "page", "published_at"]
     before, after = filter_job(raw, kept_path, snapshot, order, include=include, exclude=exclude)
     kept = io.read_postings(spark, f"{kept_path}/{io.SNAPSHOT}={snapshot}")

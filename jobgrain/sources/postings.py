@@ -1,5 +1,6 @@
 """Landed JSON, result snapshots and the run report."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,16 +12,29 @@ from jobgrain.operators.scale import small_join
 from jobgrain.schema import PAGE, POSTING_RAW, ROLE_CATALOGUE
 
 SNAPSHOT = "snapshot_ts"
+CORRUPT = "_corrupt_record"
+# What read_postings does with text that is not JSON of the schema.
+JSON_MODES = {"fail": "FAILFAST", "keep": "PERMISSIVE", "drop": "DROPMALFORMED"}
 
 
 def read_postings(spark: SparkSession, path: str, schema: T.StructType = POSTING_RAW,
-                  whole_array: bool = False) -> DataFrame:
+                  whole_array: bool = False, malformed: str = "fail") -> DataFrame:
     """Postings from JSON Lines (each line a record or an array of records).
 
     `whole_array` reads files that are one pretty-printed array each; such a
-    file cannot be split, so land many of them.
+    file cannot be split, so land many of them. `malformed` text fails the read,
+    or is kept as a row with nothing but its text in `_corrupt_record`, or dropped.
     """
-    return spark.read.schema(schema).option("multiLine", whole_array).json(path)
+    if malformed == "keep":
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return (spark.read.schema(schema).option("multiLine", whole_array).option("mode", JSON_MODES[malformed])
+            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+
+
+def corrupt_records(spark: SparkSession, path: str, whole_array: bool = False) -> DataFrame:
+    """(file, text) of the records of landed files that are not JSON."""
+    rows = read_postings(spark, path, whole_array=whole_array, malformed="keep")
+    return rows.where(F.col(CORRUPT).isNotNull()).select(F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("text"))
 
 
 def read_postings_as_text(spark: SparkSession, path: str, schema: T.StructType = POSTING_RAW) -> DataFrame:
@@ -30,22 +44,21 @@ def read_postings_as_text(spark: SparkSession, path: str, schema: T.StructType =
 
 
 def write_postings(df: DataFrame, path: str, snapshot: str) -> None:
-    """Append one snapshot as JSON Lines; the snapshot id is the partition."""
-    (df.withColumn(SNAPSHOT, F.lit(snapshot)).write.mode("append")
-     .option("ignoreNullFields", "false").partitionBy(SNAPSHOT).json(path))
+    """Write one snapshot as JSON Lines; the snapshot id is the partition. A second run replaces it."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{SNAPSHOT}={snapshot}")
 
 
 def write_clean(df: DataFrame, path: str, snapshot: str) -> None:
-    """Append one snapshot of the clean table as Parquet."""
-    df.withColumn(SNAPSHOT, F.lit(snapshot)).write.mode("append").partitionBy(SNAPSHOT).parquet(path)
+    """Write one snapshot of the clean table as Parquet. A second run replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/{SNAPSHOT}={snapshot}")
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV export; lists and structs go out as JSON text."""
+    """CSV export, replacing an earlier one; lists and structs go out as JSON text."""
     flat = [F.to_json(F.col(f"`{f.name}`")).alias(f.name)
             if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{f.name}`")
             for f in df.schema.fields]
-    df.select(*flat).write.mode("append").option("header", True).csv(path)
+    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
 def latest_snapshot(df: DataFrame, column: str = SNAPSHOT) -> DataFrame:
@@ -57,11 +70,30 @@ def latest_snapshot(df: DataFrame, column: str = SNAPSHOT) -> DataFrame:
     return df.where(F.col(column) == df.agg(F.max(column).alias("newest")).scalar())
 
 
+def listed_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, modificationTime) of the files below a folder; only the listing is read, no content. Empty if there is no folder."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, modificationTime timestamp")
+    return files.select("path", "modificationTime")
+
+
 def latest_file(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the most recently modified Parquet file, the last path on a tie."""
-    df = spark.read.parquet(path).withColumn("_m", F.struct("_metadata.file_modification_time",
-                                                            "_metadata.file_path"))
-    return df.where(F.col("_m") == df.agg(F.max("_m").alias("newest")).scalar()).drop("_m")
+    """Rows of the most recently modified Parquet file, the last path on a tie; no columns and no rows without a file."""
+    newest = listed_files(spark, path).agg(F.max(F.struct("modificationTime", "path")).alias("m")).first()["m"]
+    return spark.createDataFrame([], T.StructType()) if newest is None else spark.read.parquet(newest["path"])
+
+
+def read_newest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest Parquet snapshot below `path`, found by the names of the partitions; empty without one."""
+    name = F.regexp_extract("path", rf"/{SNAPSHOT}=([^/]+)/", 1)
+    newest = listed_files(spark, path).select(F.max(F.when(name != "", name)).alias("n")).first()["n"]
+    if newest is None:
+        return spark.createDataFrame([], T.StructType())
+    return spark.read.option("basePath", path).parquet(f"{path}/{SNAPSHOT}={newest}")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jobgrain.functions.dates import instant
 from jobgrain.schema import POSTING_RAW
 
 
@@ -12,15 +11,17 @@ def new_postings(spark: SparkSession, landing: str, lateness: str | None = None,
                  schema=POSTING_RAW) -> DataFrame:
     """Stream of first-seen postings from a folder of landed JSON files.
 
-    The seen ids are state. With `lateness` an id is forgotten that long after
-    its publication time, which bounds the state; without it no repeat ever
-    passes and the state grows with the ids.
+    The seen ids are state. With `lateness` an id is forgotten that long after the
+    file that brought it was written, which bounds the state; when a posting was
+    published does not matter, so none is dropped for being old. Files must land
+    within `lateness` of their modification time. Without it no repeat ever passes and
+    the state grows with the ids. A malformed record fails the stream.
     """
-    rows = spark.readStream.schema(schema).json(landing).where(F.col("id").isNotNull() & (F.col("id") != ""))
+    rows = spark.readStream.schema(schema).option("mode", "FAILFAST").json(landing).where(F.col("id").isNotNull() & (F.col("id") != ""))
     if lateness is None:
         return rows.dropDuplicates(["id"])
-    timed = rows.withColumn("_event_time", instant(F.col("published_at"))).withWatermark("_event_time", lateness)
-    return timed.dropDuplicatesWithinWatermark(["id"]).drop("_event_time")
+    timed = rows.select("*", F.col("_metadata.file_modification_time").alias("_arrived")).withWatermark("_arrived", lateness)
+    return timed.dropDuplicatesWithinWatermark(["id"]).drop("_arrived")
 
 
 def ingest_available(stream: DataFrame, output: str, checkpoint: str) -> StreamingQuery:

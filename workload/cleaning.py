@@ -160,9 +160,14 @@ def p30_top(spark, sf):
         F.struct(F.lit(c).alias("indicator"), F.col(c).cast("bigint").alias("postings")) for c in names])))
 
 
-FLAT = ["id", "name", *[c for out in clean.DERIVED.values() for c in out], "has_salary", "salary_avg",
-        "min_experience_years", "avg_experience_years", "published_at", "published_date",
-        "published_year_month", "days_since_publication"]
+FLAT = [
+    "id", "name", "salary_from", "salary_to", "salary_currency", "has_salary", "salary_avg", "experience_id", "experience_name",
+    "min_experience_years", "avg_experience_years", "published_at", "published_date", "published_year_month",
+    "days_since_publication", "employer_id", "employer_name", "area_id", "area_name", "type_id", "type_name", "schedule_id",
+    "schedule_name", "employment_id", "employment_name", "employment_form_id", "employment_form_name", "department_id",
+    "department_name", "address_city", "address_street", "address_building", "address_raw", "requirement", "responsibility",
+    "main_role_id", "main_role_name", "work_format_name", "work_format_id", "working_hours_name", "work_schedule_name",
+    "skills_list", "skills_count"]
 
 
 @query("p31_drop_raw_columns", f"""

@@ -1,5 +1,7 @@
 """Landed files, snapshots and whole jobs (S, L, incremental ingest)."""
 
+import time
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,7 +101,7 @@ def s05(spark, sf):
     path = scratch_path(spark, "snapshots")
     orders = table(spark, sf, "orders").withColumn(io.SNAPSHOT, F.concat(F.lit("2026010"), F.col("o_orderkey") % 3))
     orders.write.partitionBy(io.SNAPSHOT).parquet(path)
-    newest = io.latest_snapshot(spark.read.parquet(path))
+    newest = io.read_newest_snapshot(spark, path)
     return newest.select("o_orderkey", r("o_totalprice", 2).alias("price"))
 
 
@@ -189,6 +191,61 @@ def _landed_pages(spark, sf):
     return placed.groupBy("batch", "page").agg(F.collect_list(F.struct(*FIELDS)).alias("items"))
 
 
+@query("l01_filter_job_twice", f"SELECT count(*) AS n, 2 AS runs FROM {KEPT}")
+def l01_twice(spark, sf):
+    """A second run of one snapshot replaces the first."""
+    path = scratch_path(spark, "relevant")
+    for _ in range(2):
+        jobs.filter_job(raw_postings(spark, sf), path, "s1", ["k"], include=INCLUDE, exclude=EXCLUDE)
+    return io.read_postings(spark, path).agg(F.count(F.lit(1)).alias("n")).withColumn("runs", F.lit(2))
+
+
+@query("l02_clean_job_without_outliers", """
+WITH q AS (SELECT quantile_cont(salary_avg, 0.25) AS a, quantile_cont(salary_avg, 0.75) AS b FROM p WHERE salary_avg IS NOT NULL),
+kept AS (SELECT p.* FROM p, q WHERE salary_avg IS NULL OR salary_avg BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))
+SELECT count(*) AS n, count(salary_avg) AS paid, (SELECT count(DISTINCT s) FROM (SELECT unnest(skills_list) AS s FROM p)) AS skills FROM kept""")
+def l02_outliers(spark, sf):
+    """Skill columns come from all postings, rows without the outliers."""
+    path = scratch_path(spark, "cleaned")
+    jobs.clean_job(raw_postings(spark, sf), path, "s1", as_of=as_of(), remove_outliers=True)
+    written = io.read_newest_snapshot(spark, path)
+    skills = len([c for c in written.columns if c.startswith("skill_")])
+    return written.agg(F.count(F.lit(1)).alias("n"), F.count("salary_avg").alias("paid")).withColumn("skills", F.lit(skills).cast("bigint"))
+
+
+@query("s01_corrupt_records", """
+SELECT count(*) FILTER (WHERE event_id % 7 = 3) AS corrupt, count(*) FILTER (WHERE event_id % 7 <> 3) AS good FROM events""", postings=False)
+def s01_corrupt(spark, sf):
+    """Every seventh line broken off: reported, not lost."""
+    path = scratch_path(spark, "broken")
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("name")))
+    table(spark, sf, "events").select(F.when(F.col("event_id") % 7 == 3, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)).write.text(path)
+    rows = io.read_postings(spark, path, POSTING_CORE, malformed="keep")
+    return rows.agg(F.count(io.CORRUPT).alias("corrupt"), F.count("id").alias("good"))
+
+
+@query("p01_bad_cells", """
+SELECT 'salary' AS cell, count(*) FILTER (WHERE o_orderkey % 5 = 1) AS n FROM orders""", postings=False)
+def p01_bad(spark, sf):
+    """Unreadable cells are named in the clean table."""
+    key = F.col("o_orderkey")
+    raw = table(spark, sf, "orders").select(
+        key.cast("string").alias("id"), *[F.lit(None).cast("string").alias(f.name) for f in POSTING_CORE.fields if f.name not in ("id", "salary")],
+        F.when(key % 5 == 1, "{'from': 1,").otherwise("{'from': 1, 'to': 2}").alias("salary"))
+    out = jobs.clean_table(raw, as_of())
+    return out.select(F.explode("_bad_cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k03_newest_file", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 2", postings=False)
+def k03(spark, sf):
+    """Three files, the last written is read."""
+    path = scratch_path(spark, "files")
+    for i in range(3):
+        table(spark, sf, "orders").where(f"o_orderkey % 3 = {i}").select("o_orderkey").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)  # file systems with coarse clocks
+    return io.latest_file(spark, path)
+
+
 @query("l03_collect_job", f"SELECT id, CAST(k % 3 AS INTEGER) AS batch FROM p WHERE list_has_any(roles, [{ROLES}])")
 def l03(spark, sf):
     return jobs.collect(_landed_pages(spark, sf), dedupe_within=True).select("id", "batch")

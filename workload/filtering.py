@@ -1,5 +1,8 @@
 """Filters, deduplication, joins, set operations and text tagging (F, D, J, U, T)."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobgrain.functions import text
@@ -131,10 +134,11 @@ BATCHES_SQL = """b AS (
 
 @query("d02_incremental_anti_join", f"""
 WITH {BATCHES_SQL}
-SELECT id, o_totalprice FROM b WHERE batch = 1 AND id NOT IN (SELECT id FROM b WHERE batch = 0)""", postings=False)
+SELECT id, o_totalprice, batch FROM b WHERE batch > 0 AND id NOT IN (SELECT id FROM b AS c WHERE c.batch < b.batch)""", postings=False)
 def d02(spark, sf):
     b = _batches(spark, sf)
-    return dedup.only_new(b.where("batch = 1"), b.where("batch = 0")).select("id", "o_totalprice")
+    new = [dedup.only_new(b.where(f"batch = {i}"), b.where(f"batch < {i}")) for i in (1, 2, 3)]
+    return reduce(DataFrame.union, [n.select("id", "o_totalprice", "batch") for n in new])
 
 
 @query("s07_ordered_batches", f"""
@@ -153,20 +157,21 @@ def s07_distinct(spark, sf):
 
 
 @query("j04_text_lexicon", """
-WITH lex AS (SELECT 'item ' || item_id AS skill, lower(substr(text, 1, 16)) AS keyword FROM benchmark)
+WITH lex AS (SELECT 'item ' || item_id AS skill, lower(text) AS keyword FROM benchmark UNION ALL SELECT 'blank', NULL)
 SELECT DISTINCT doc_id, skill FROM documents JOIN lex ON contains(lower(text), keyword)""", postings=False)
 def j04(spark, sf):
     return tagging.tag_texts(documents(spark, sf), _passages(spark, sf), "doc_id", "text")
 
 
 def _passages(spark, sf):
-    """A lexicon table: opening words of every benchmark passage."""
-    return table(spark, sf, "benchmark").select(
-        F.concat(F.lit("item "), F.col("item_id")).alias("skill"), F.lower(F.substring("text", 1, 16)).alias("keyword"))
+    """A lexicon table: every benchmark passage, and an empty keyword that finds nothing."""
+    passages = table(spark, sf, "benchmark").select(
+        F.concat(F.lit("item "), F.col("item_id")).alias("skill"), F.lower("text").alias("keyword"))
+    return passages.union(spark.range(1).select(F.lit("blank"), F.lit("")))
 
 
 @query("j04_text_lexicon_by_anchor", """
-WITH lex AS (SELECT 'item ' || item_id AS skill, lower(substr(text, 1, 16)) AS keyword FROM benchmark)
+WITH lex AS (SELECT 'item ' || item_id AS skill, lower(text) AS keyword FROM benchmark UNION ALL SELECT 'blank', NULL)
 SELECT DISTINCT doc_id, skill FROM documents JOIN lex ON contains(lower(text), keyword)""", postings=False)
 def j04_anchor(spark, sf):
     """The way taken for a lexicon too large to inline."""
@@ -187,11 +192,13 @@ def j05(spark, sf):
 
 @query("u01_append", """
 SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice, CAST(NULL AS VARCHAR) AS note FROM orders WHERE o_orderkey % 3 = 0
-UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, o_orderpriority FROM orders WHERE o_orderkey % 3 = 1""", postings=False)
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, o_orderpriority FROM orders WHERE o_orderkey % 3 = 1
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 3 = 2""", postings=False)
 def u01(spark, sf):
     orders = table(spark, sf, "orders").withColumn("id", F.col("o_orderkey").cast("string"))
     return dedup.append([orders.where("o_orderkey % 3 = 0").select("id", "o_totalprice"),
-                         orders.where("o_orderkey % 3 = 1").select("id", F.col("o_orderpriority").alias("note"))])
+                         orders.where("o_orderkey % 3 = 1").select("id", F.col("o_orderpriority").alias("note")),
+                         orders.where("o_orderkey % 3 = 2").select(F.col("o_orderpriority").alias("note"), "id", "o_totalprice")])
 
 
 @query("u02_union_lists", """
@@ -222,11 +229,12 @@ def t01(spark, sf):
 
 @query("t01_lexicon_tags_two_texts", f"""
 SELECT d.doc_id, array_to_string(list_sort(list_distinct(list_concat({_tags_sql('d.text')}, {_tags_sql('c.text')}))), '|') AS tags
-FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0""", postings=False)
+FROM documents d LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1) c
+  ON c.conv_id = d.doc_id""", postings=False)
 def t01_two(spark, sf):
     docs = documents(spark, sf).select("doc_id", F.col("text").alias("requirement"))
-    talk = table(spark, sf, "conversations").where("turn = 0").select(
-        F.col("conv_id").alias("doc_id"), F.col("text").alias("responsibility"))
+    talk = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias("responsibility"))
     tagged = tagging.tag_skills(docs.join(talk, "doc_id", "left"), LEXICON)
     return tagged.select("doc_id", F.array_join("skills_list", "|").alias("tags"))
 
