@@ -13,6 +13,7 @@ import heapq
 import re
 from itertools import count
 
+import ahocorasick
 import pandas as pd
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,11 @@ class Model:
         self.known = {p: (i, s) for i, (p, s, ok) in enumerate(zip(pieces, scores, plain)) if ok}
         # Every piece with its id and score, and every front part of a piece with None.
         self.front = {p[:i]: None for p in self.known for i in range(1, len(p))} | self.known
+        self.alone = frozenset(p for p in self.known if len(p) == 1)
+        self.matcher = ahocorasick.Automaton()
+        for p, (i, x) in self.known.items():
+            self.matcher.add_word(p, (len(p), x, (i,)))
+        self.matcher.make_automaton()
         self.shown = [p.replace(SPACE, " ") for p in pieces]
         self.shown[bytes_from:bytes_from + 256] = [chr(b) if b < 128 else HIGH for b in range(256)]
         usual = [s for _, s in self.known.values() if s > -1e8]
@@ -102,26 +108,14 @@ class Model:
         return hit
 
     def _best(self, word: str) -> tuple[float, tuple[int, ...], float]:
-        front, size = self.front.get, len(word)
+        size = len(word)
         best, start_of, ids_of = [0.0] + [LOWEST] * size, [0] * (size + 1), [()] * (size + 1)
         edges = []
-        for start in range(size):
-            base, end = best[start], start + 1
-            hit = front(word[start], STOP)
-            if not hit:
-                edges.append((start, end, self.unknown))
-                if base + self.unknown > best[end]:
-                    best[end], start_of[end], ids_of[end] = base + self.unknown, start, self._as_bytes(word[start])
-            while hit is not STOP:
-                if hit:
-                    i, x = hit
-                    edges.append((start, end, x))
-                    if base + x > best[end]:
-                        best[end], start_of[end], ids_of[end] = base + x, start, (i,)
-                end += 1
-                if end > size:
-                    break
-                hit = front(word[start:end], STOP)
+        for start, end, x, piece in self._by_end(word):
+            edges.append((start, end, x))
+            way = best[start] + x
+            if way > best[end]:
+                best[end], start_of[end], ids_of[end] = way, start, piece
         at, ids, after = size, (), [0] * (size + 1)
         while at:
             ids = ids_of[at] + ids
@@ -138,6 +132,12 @@ class Model:
                     second = x
         return best[size], ids, best[size] - second
 
+    def _by_end(self, word: str):
+        """The edges of a word by end: found in one pass if each of its characters is a piece."""
+        if self.alone.issuperset(word):
+            return [(end + 1 - n, end + 1, x, ids) for end, (n, x, ids) in self.matcher.iter(word)]
+        return sorted(self.edges(word), key=lambda e: (e[1], e[0]))
+
     def paths(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths of a word, best first: A* from its end, the front scores being exact estimates."""
         if (word, n) in self.searched:
