@@ -25,12 +25,12 @@ N = 4
 PERCENT = 85
 # Grams that are ordered by their count; all others come before them in hash order.
 FREQUENT = 65_536
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 SEED = 20_240_229
 # An odd factor with well-mixed bits (the golden ratio times 2**64).
 MIX = np.uint64(0x9E3779B97F4A7C15)
 # Words remembered per worker process.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 # Keys that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
