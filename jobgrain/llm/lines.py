@@ -14,8 +14,7 @@ from jobgrain.llm.common import settle
 PERCENT = 80
 # Words looked for among the frequent ones, and the ends of their classes, most frequent first.
 FREQUENT = 6_000
-CLASSES = (40, 300, 1_500, FREQUENT)
-TRACKED = 100_000
+CLASSES = (100, 1_000, FREQUENT)
 # Keys that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 UNNAMED = 1 << 62
@@ -38,14 +37,13 @@ def _words(line: Column) -> Column:
 
 
 def frequent_words(docs: DataFrame, limit: int = FREQUENT) -> list[str]:
-    """The most frequent words of all texts, most frequent first.
+    """The most frequent words of all texts, most frequent first; at most `limit` come to the driver.
 
-    A frequent-items sketch of bounded size, merged from all tasks. The list only
-    sets the order of the words; any list gives the same result.
+    The list only sets the order of the words; any list gives the same result.
     """
-    top = (docs.select(F.explode(_words("text")).alias("w"))
-           .agg(F.expr(f"approx_top_k(w, {limit}, {TRACKED})").alias("top")).first()["top"])
-    return [r["item"] for r in sorted(top or [], key=lambda r: (-r["count"], r["item"]))]
+    top = (docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.desc("n"), "w").limit(limit).collect())
+    return [r["w"] for r in top]
 
 
 def _quoted(word: str) -> str:
@@ -66,97 +64,100 @@ def _keys(words: str, frequent: list[str]) -> Column:
 
 
 def line_classes(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -> DataFrame:
-    """One row per distinct set of words: (ord, spot) of its first line, n, sketch and prefix.
+    """One row per distinct set of words: (ord, spot) of its first line, n, sketch and prefix, and its number.
 
     `spot` is the mark of the text above the number of the line. `sketch` has one bit
     for the parity of the words of each of 64 hash classes: two sets differ in at
-    least as many words as their sketches do in bits.
+    least as many words as their sketches do in bits. Numbers rise with (ord, spot).
     """
     lines = (_ordered(docs).select("ord", "mark", F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
              .where(F.col("raw").rlike(r"\S")))  # on the line itself, so that its words are not made twice
     keyed = lines.select("ord", F.col("mark").bitwiseOR(F.col("line").cast("long")).alias("spot"),
                          _words(F.col("raw")).alias("words")).select("ord", "spot", _keys("words", frequent).alias("k"))
-    one = F.lit(1).cast("long")
     n = F.size("k")
     rows = keyed.select(
         "ord", "spot", F.xxhash64("k").alias("c1"), F.xxhash64(F.lit(1), "k").alias("c2"), n.alias("n"),
-        F.aggregate("k", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63).cast("long")).cast("int")))).alias("sketch"),
+        F.expr("aggregate(k, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63L AS int)))").alias("sketch"),
         F.slice("k", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
-    return (rows.groupBy("c1", "c2").agg(F.min(F.struct("ord", "spot")).alias("at"), F.first("n").alias("n"),
-                                         F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-            .select("at.ord", "at.spot", "n", "sketch", "prefix"))
+    classes = (rows.groupBy("c1", "c2").agg(F.min(F.struct("ord", "spot")).alias("at"), F.first("n").alias("n"),
+                                            F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+               .select("at.ord", "at.spot", "n", "sketch", "prefix"))
+    return (classes.repartitionByRange("ord", "spot").sortWithinPartitions("ord", "spot")
+            .withColumn("number", F.monotonically_increasing_id()))
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length, positional and sketch filters for two postings of one word; prefixes name their columns."""
-    n1, n2 = F.col(f"{a}n"), F.col(f"{b}n")
-    rest = F.least(n1 - F.col(f"{a}place"), n2 - F.col(f"{b}place"))
+    """Length, positional and sketch filters for two postings of one word; `a` and `b` go before their columns.
+
+    `np` holds the size of the set above the place of the word in its prefix.
+    """
+    n1, n2 = (F.shiftright(f"{x}np", 32) for x in (a, b))
+    place = [F.col(f"{x}np").bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a, b)]
+    rest = F.least(n1 - place[0], n2 - place[1])
     return ((100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * rest >= percent * (n1 + n2))
             & ((100 + percent) * F.bit_count(F.col(f"{a}sketch").bitwiseXOR(F.col(f"{b}sketch"))) <= (100 - percent) * (n1 + n2)))
 
 
+def _postings(classes: DataFrame) -> DataFrame:
+    """(word, number, np, sketch) for each word of each prefix."""
+    rows = classes.select("number", "n", "sketch", F.posexplode("prefix").alias("place", "word"))
+    return rows.select("word", "number", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("np"), "sketch")
+
+
 def _checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` to be broadcast if it has at most `limit` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (ord, spot, ord2, spot2) whose whole sets of words reach the similarity."""
-    spots = pairs.select("ord", "spot").union(pairs.select("ord2", "spot2")).distinct()
-    mask = F.lit((1 << 32) - 1)
-    per = settle(spots.groupBy("ord", F.col("spot").bitwiseAND(F.lit(-(1 << 32))).alias("mark"))
-                 .agg(F.collect_list(F.col("spot").bitwiseAND(mask).cast("int")).alias("wanted")))
-    texts = _ordered(docs).select("ord", "mark", "text").join(_checked_broadcast(per), ["ord", "mark"])
-    lines = (texts.select("ord", "mark", _lines(F.col("text")).alias("all"), "wanted")
-             .select("ord", "mark", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("raw")))).alias("x")))
-    sets = (lines.select("ord", F.col("mark").bitwiseOR(F.col("x.line").cast("long")).alias("spot"),
-                         F.array_distinct(_words(F.col("x.raw"))).alias("w"))
-            .groupBy("ord", "spot").agg(F.first("w").alias("w")))  # equal rows of `docs` give a set twice
-    sets = settle(sets)
-    other = sets.select(F.col("ord").alias("ord2"), F.col("spot").alias("spot2"), F.col("w").alias("w2"))
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Numbers of the pairs (number, other) whose whole sets of words reach the similarity; the lines are read again."""
+    numbers = pairs.select(F.explode(F.array("number", "other")).alias("number")).distinct()
+    spots = classes.select("number", "ord", "spot").join(_checked_broadcast(settle(numbers)), "number", "left_semi")
+    per = settle(spots.groupBy("ord", F.col("spot").bitwiseAND(F.lit(-(1 << 32))).alias("mark")).agg(F.collect_list(F.struct(
+        F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line"), "number")).alias("wanted")))
+    texts = _ordered(docs).join(_checked_broadcast(per), ["ord", "mark"])
+    lines = (texts.select(_lines(F.col("text")).alias("all"), "wanted")
+             .select(F.explode(F.transform("wanted", lambda x: F.struct(x["number"].alias("number"), F.get("all", x["line"]).alias("raw")))).alias("x")))
+    sets = settle(lines.select("x.number", F.array_distinct(_words(F.col("x.raw"))).alias("w")))
+    other = sets.select(F.col("number").alias("other"), F.col("w").alias("w2"))
     common = F.size(F.array_intersect("w", "w2"))
-    return (pairs.join(sets, ["ord", "spot"]).join(other, ["ord2", "spot2"]).withColumn("common", common)
-            .where(100 * F.col("common") >= percent * (F.size("w") + F.size("w2") - F.col("common")))
-            .select("ord", "spot"))
+    # Equal rows of `docs` give a set twice, hence distinct().
+    return settle(pairs.join(sets, "number").join(other, "other").withColumn("common", common)
+                  .where(100 * F.col("common") >= percent * (F.size("w") + F.size("w2") - F.col("common")))
+                  .select("number").distinct())
 
 
 def later_matches(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(ord, spot) of the classes whose first line is similar to an earlier line.
+    """Numbers of the classes whose first line is similar to an earlier line.
 
     A posting that passes the filters against the first line of its word's list is
     compared with that line alone, which keeps a group of near copies from meeting
     in all pairs; all other postings meet every earlier line of their lists. Lines
     that were left with a failed comparison then meet all earlier lines too.
     """
-    postings = classes.select("ord", "spot", "n", "sketch", F.posexplode("prefix").alias("place", "word"))
-    per_word = Window.partitionBy("word").orderBy("ord", "spot")
-    hub = F.first(F.struct(*[F.col(c) for c in ("ord", "spot", "n", "place", "sketch")])).over(per_word)
-    hubbed = postings.withColumn("hub", hub).where((F.col("hub.ord") != F.col("ord")) | (F.col("hub.spot") != F.col("spot")))
-    hubbed = hubbed.withColumn("near", _may_match("", "hub.", percent))
-    other = postings.select("word", *[F.col(c).alias(f"o{c}") for c in ("ord", "spot", "n", "place", "sketch")])
-    earlier = (F.col("oord") < F.col("ord")) | ((F.col("oord") == F.col("ord")) & (F.col("ospot") < F.col("spot")))
-    stars = hubbed.where("near").select("ord", "spot", F.col("hub.ord").alias("ord2"), F.col("hub.spot").alias("spot2"))
-    met = (hubbed.where("not near").drop("hub", "near").join(other, "word").where(earlier & _may_match("", "o", percent))
-           .select("ord", "spot", F.col("oord").alias("ord2"), F.col("ospot").alias("spot2")))
-    pairs = settle(stars.withColumn("star", F.lit(True)).union(met.withColumn("star", F.lit(False)))
-                   .groupBy("ord", "spot", "ord2", "spot2").agg(F.max("star").alias("star")))
-    removed = settle(_verified(pairs.drop("star"), docs, percent).distinct())
-    failed = settle(pairs.where("star").select("ord", "spot").distinct().join(removed, ["ord", "spot"], "left_anti"))
+    postings = _postings(classes)
+    hub = F.first(F.struct("number", "np", "sketch")).over(Window.partitionBy("word").orderBy("number"))
+    hubbed = postings.withColumn("hub", hub).where(F.col("hub.number") < F.col("number")).withColumn("near", _may_match("", "hub.", percent))
+    other = postings.select("word", F.col("number").alias("other"), F.col("np").alias("onp"), F.col("sketch").alias("osketch"))
+    alone = F.col("near") & (F.col("other") == F.col("hub.number"))
+    every = ~F.col("near") & (F.col("other") < F.col("number")) & _may_match("", "o", percent)
+    pairs = settle(hubbed.join(other, "word").where(alone | every)
+                   .groupBy("number", "other").agg(F.max("near").alias("near")))
+    removed = _verified(pairs.drop("near"), classes, docs, percent)
+    failed = settle(pairs.where("near").select("number").distinct().join(removed, "number", "left_anti"))
     if failed.isEmpty():
         return removed
-    open_ = classes.join(_checked_broadcast(failed), ["ord", "spot"], "left_semi")
-    probes = settle(open_.select("ord", "spot", "n", "sketch", F.posexplode("prefix").alias("place", "word")))
-    more = (other.join(_checked_broadcast(probes), "word").where(earlier & _may_match("", "o", percent))
-            .select("ord", "spot", F.col("oord").alias("ord2"), F.col("ospot").alias("spot2")).distinct()
-            .join(pairs, ["ord", "spot", "ord2", "spot2"], "left_anti"))
-    return removed.union(_verified(settle(more), docs, percent).distinct())
+    probes = settle(_postings(classes.join(_checked_broadcast(failed), "number", "left_semi")))
+    more = settle(other.join(_checked_broadcast(probes), "word").where((F.col("other") < F.col("number")) & _may_match("", "o", percent))
+                  .select("number", "other").distinct().join(pairs.select("number", "other"), ["number", "other"], "left_anti"))
+    return removed if more.isEmpty() else removed.union(_verified(more, classes, docs, percent))
 
 
 def _kept(docs: DataFrame, percent: int) -> DataFrame:
     """(ord, mark, kept): the numbers of the lines with words that stay, per text."""
     classes = settle(line_classes(docs, frequent_words(docs), percent))
     removed = later_matches(docs, classes, percent)
-    return (classes.select("ord", "spot").join(_checked_broadcast(removed), ["ord", "spot"], "left_anti")
+    return (classes.select("number", "ord", "spot").join(_checked_broadcast(removed), "number", "left_anti")
             .groupBy("ord", F.col("spot").bitwiseAND(F.lit(-(1 << 32))).alias("mark"))
             .agg(F.collect_list(F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("kept")))
 
