@@ -1,6 +1,7 @@
 """Helpers that several corpus operators share: table access, lineage cuts, words and linked groups."""
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Actions inside hand at most `rows` rows at once to a Python worker, which bounds its memory for long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ascii_lower(text):
     """`text` with A-Z in lower case and everything else untouched.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import connected, settle
+from jobgrain.llm.common import connected, settle, small_batches
 
 N = 4
 PERCENT = 85
@@ -29,27 +29,14 @@ FLUSH = 1_000_000
 SEED = 20_240_229
 # An odd factor with well-mixed bits (the golden ratio times 2**64).
 MIX = np.uint64(0x9E3779B97F4A7C15)
-# Words remembered per worker process.
-REMEMBERED = 100_000
+# Texts handed to a Python worker at once: with the default of 10,000 they are most of its memory.
+BATCH = 500
 # Keys that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 SET = "node binary, n int, family binary, prefix array<long>"
 
 
-class _WordCodes(dict):
-    """64-bit codes of words, made when first asked for. Bounded: emptied when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
-        return code
-
-
-_word_codes = _WordCodes()
-
-
 def all_codes(text: str | None, n: int) -> np.ndarray:
     """64-bit codes of the n-grams of a text in order; of the whole sequence if it has fewer words.
 
@@ -60,7 +47,7 @@ def all_codes(text: str | None, n: int) -> np.ndarray:
     count = len(words)
     if not count:
         return np.empty(0, np.int64)
-    codes = np.fromiter(map(_word_codes.__getitem__, words), np.uint64, count)
+    codes = np.fromiter([xxhash.xxh3_64_intdigest(w, SEED) for w in words], np.uint64, count)
     size = min(n, count)
     mixed = np.full(count - size + 1, size, np.uint64)
     for k in range(size):
@@ -104,8 +91,9 @@ def frequent_grams(docs: DataFrame, n: int = N, limit: int = FREQUENT) -> np.nda
         if held:
             yield flushed()
 
-    top = (docs.select("text").mapInPandas(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-           .where("c > 3").orderBy(F.desc("c"), "gram").limit(limit).select("gram").collect())
+    with small_batches(docs.sparkSession, BATCH):
+        top = (docs.select("text").mapInPandas(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+               .where("c > 3").orderBy(F.desc("c"), "gram").limit(limit).select("gram").collect())
     return np.array([r[0] for r in reversed(top)], np.int64)
 
 
@@ -160,7 +148,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
     if not wanted.where("id is null").isEmpty():  # nodes that only documents without an id have
         texts = texts.union(slim.where("doc_id is null").select("text"))
     # A repeated id may bring other texts along; the digest tells which set was read.
-    grams = settle(texts.select(described("text").alias("s")).select("s.*").join(wanted.select("nid", "node"), "node").select("nid", "grams"))
+    with small_batches(docs.sparkSession, BATCH):
+        grams = settle(texts.select(described("text").alias("s")).select("s.*").join(wanted.select("nid", "node"), "node").select("nid", "grams"))
     left = grams.select(F.col("nid").alias("a"), F.col("grams").alias("ga"))
     right = grams.select(F.col("nid").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
@@ -186,7 +175,9 @@ def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     a component is only named null if it has no other. Repeated rows are all
     returned. Extra columns are not looked at. An empty table gives an empty result.
     """
-    sets = settle(gram_sets(docs.select("doc_id", "text"), frequent_grams(docs, n), n, percent))
+    frequent = frequent_grams(docs, n)
+    with small_batches(docs.sparkSession, BATCH):
+        sets = settle(gram_sets(docs.select("doc_id", "text"), frequent, n, percent))
     nodes = settle(sets.where("n > 0").groupBy("node", "n", "family").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
                    .withColumn("nid", F.monotonically_increasing_id()))
     # Families of several members; the member of lowest number stands for all of them.
