@@ -13,16 +13,17 @@ def as_vectors(tuples: DataFrame, features: FeatureSet) -> DataFrame:
 
 
 def fit(vectors: DataFrame, features: FeatureSet, k: int, restarts: int, seed: int = 42,
-        max_iter: int = 300) -> tuple[list[dict], float]:
-    """Best of `restarts` fits by training cost; centroids as plain rows."""
+        max_iter: int = 300) -> tuple[list[dict], float, int, bool]:
+    """Best of `restarts` fits by training cost: centroids as plain rows, cost, iterations, whether it settled."""
     if k == 1:  # below what Spark ML accepts
         centroids, cost, _ = prototypes.fit(vectors, features, [dict.fromkeys(features.numeric, 0.0)], 1.0)
-        return centroids, cost
+        return centroids, cost, 1, True
     best = None
     for i in range(restarts):
         model = KMeans(k=k, seed=seed + i, featuresCol="_v", weightCol=WEIGHT, maxIter=max_iter,
                        tol=1e-4, initMode="k-means||").fit(vectors)
         cost = model.summary.trainingCost
         if best is None or cost < best[1]:
-            best = ([dict(zip(features.numeric, map(float, c))) for c in model.clusterCenters()], cost)
+            best = ([dict(zip(features.numeric, map(float, c))) for c in model.clusterCenters()], cost,
+                    model.summary.numIter, model.summary.numIter < max_iter)
     return best

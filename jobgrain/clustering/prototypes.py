@@ -15,6 +15,8 @@ from jobgrain.operators.scale import small_join
 
 DENSITY = "density"
 
+MAX_ITER = 100
+
 
 def value_frequencies(tuples: DataFrame, column: str) -> DataFrame:
     """Relative frequency of each value of one categorical feature."""
@@ -98,7 +100,7 @@ def update_table(tuples: DataFrame, features: FeatureSet, centroids: list[dict],
 
 
 def fit(tuples: DataFrame, features: FeatureSet, seeds: list[dict], gamma: float,
-        max_iter: int = 100) -> tuple[list[dict], float, list[float]]:
+        max_iter: int = MAX_ITER) -> tuple[list[dict], float, list[float]]:
     """Iterate until the cost stops falling; returns centroids, cost, cost history."""
     centroids, history = seeds, []
     while len(history) < max_iter:

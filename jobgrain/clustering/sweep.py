@@ -12,7 +12,7 @@ from jobgrain.clustering.features import (FeatureSet, assign, measure, resolve,
                                           tuples_of)
 from jobgrain.operators.scale import settle
 
-RUNS = "method_name string, k int, silhouette_score double, skipped_reason string"
+RUNS = "method_name string, k int, silhouette_score double, skipped_reason string, iterations int, converged boolean"
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,8 @@ class Fit:
     centroids: list[dict]
     gamma: float
     cost: float
+    iterations: int = 0
+    converged: bool = True
 
 
 @dataclass(frozen=True)
@@ -83,10 +85,10 @@ class Model:
         if k > self.distinct:
             return None
         if self.method_name == "K-Means":
-            centroids, cost = kmeans.fit(self.vectors, self.features, k, restarts)
-        else:
-            centroids, cost, _ = prototypes.fit(self.tuples, self.features, self.seeds[:k], self.gamma)
-        return Fit(self.method_name, k, centroids, self.gamma, cost)
+            found = kmeans.fit(self.vectors, self.features, k, restarts)
+            return Fit(self.method_name, k, found[0], self.gamma, *found[1:])
+        centroids, cost, history = prototypes.fit(self.tuples, self.features, self.seeds[:k], self.gamma)
+        return Fit(self.method_name, k, centroids, self.gamma, cost, len(history), len(history) < prototypes.MAX_ITER)
 
     def labelled(self, fit: Fit) -> DataFrame:
         return assign(self.tuples, self.features, fit.centroids, fit.gamma)
@@ -122,7 +124,8 @@ def sweep(df: DataFrame, selected: list[str], ks=range(2, 13), restarts: int = 3
           final_restarts: int = 10, pin: int | None = None, parallel: int = 4) -> Sweep:
     """Fit every k, score it, refit the best (first on a tie), or the pinned one.
 
-    `selected` are feature labels or column names. Only k-sized results reach
+    `selected` are feature labels or column names, in any order. `runs` says of each k how
+    many iterations it took and whether it settled before the limit. Only k-sized results reach
     the driver; a k that cannot be fitted or scored is reported with its reason.
     Values of k are independent, so `parallel` of them share the cluster: the jobs
     of one are short and would leave most executors idle.
@@ -134,17 +137,17 @@ def sweep(df: DataFrame, selected: list[str], ks=range(2, 13), restarts: int = 3
     def attempt(k: int):
         fit = model.fit(k, restarts)
         score, reason = (None, "more clusters than distinct tuples") if fit is None else model.score(fit)
-        return model.method_name, k, score, reason
+        return model.method_name, k, score, reason, fit and fit.iterations, fit and fit.converged
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         rows = list(pool.map(attempt, ks))
     best_k, best_score = ks[0], -1.0
-    for _, k, score, _ in rows:
+    for _, k, score, *_ in rows:
         if score is not None and score > best_score:
             best_k, best_score = k, score
     chosen = best_k if pin is None else pin
     if pin is not None:
-        best_score = next((s for _, k, s, _ in rows if k == pin and s is not None), -1.0)
+        best_score = next((s for _, k, s, *_ in rows if k == pin and s is not None), -1.0)
     final = model.fit(chosen, final_restarts)
     if final is None:
         raise ValueError(f"{chosen} clusters need at least as many distinct tuples")

@@ -369,8 +369,8 @@ def c01(spark, sf):
 
 
 def _frame(spark, sf):
-    """The analysis columns with pay rounded to thousands."""
-    return cleaned(spark, sf).withColumn("salary_avg", F.round("salary_avg", -3))
+    """The analysis columns."""
+    return cleaned(spark, sf)
 
 
 @query("c02_sweep_mixed")
@@ -385,6 +385,15 @@ def c03(spark, sf):
     return profile.sizes(found.label(frame), found.best.k)
 
 
+@query("c03_features_in_any_order", "SELECT true AS same, CAST(2 AS BIGINT) AS runs")
+def c03_order(spark, sf):
+    """Two numeric features, each first once, over unrounded pay: the same scores."""
+    scores = [W.sweep(_frame(spark, sf), pair, [3], restarts=1, final_restarts=1).runs.select(r("silhouette_score", 6).alias("s"))
+              for pair in (["salary_avg", "min_experience_years"], ["min_experience_years", "salary_avg"])]
+    both = scores[0].union(scores[1])
+    return both.agg((F.count_distinct("s") == 1).alias("same"), F.count("s").alias("runs"))
+
+
 @query("c04_kmodes_sweep")
 def c04_sweep(spark, sf):
     return _runs(W.sweep(_frame(spark, sf), ["schedule_name", "area_name"], range(2, 5), restarts=1, final_restarts=1))
@@ -429,7 +438,7 @@ def c04(spark, sf):
 def _kprototypes_sql(k: int, steps: int) -> str:
     """The same for scaled pay and schedule, with squared distance plus half a mismatch."""
     gap = "(({0}.x - {1}.x) * ({0}.x - {1}.x) + CASE WHEN {0}.b <> {1}.b THEN 0.5 ELSE 0 END)"
-    parts = ["kept AS (SELECT round(salary_avg, -3) AS pay, schedule_name AS b FROM p WHERE salary_avg IS NOT NULL AND schedule_name IS NOT NULL)",
+    parts = ["kept AS (SELECT salary_avg AS pay, schedule_name AS b FROM p WHERE salary_avg IS NOT NULL AND schedule_name IS NOT NULL)",
              """t AS MATERIALIZED (SELECT (pay - (SELECT avg(pay) FROM kept)) / (SELECT stddev_pop(pay) FROM kept) AS x, b, count(*) AS w
       FROM kept GROUP BY ALL)""",
              """g0 AS MATERIALIZED (SELECT x, b, sum(w) OVER (PARTITION BY b) / sum(w) OVER () AS density, CAST(1e300 AS DOUBLE) AS gap FROM t)""",
@@ -449,7 +458,7 @@ def _kprototypes_sql(k: int, steps: int) -> str:
     return ("WITH " + ", ".join(parts) + f" SELECT CAST(cid AS INTEGER) AS cluster, round(x, 6) AS salary_avg, b AS schedule_name FROM m{steps}")
 
 
-@query("c05_kprototypes_centroids", _kprototypes_sql(3, 30))
+@query("c05_kprototypes_centroids", _kprototypes_sql(3, 80))
 def c05(spark, sf):
     frame = _frame(spark, sf)
     features = measure(frame, FeatureSet(["salary_avg"], ["schedule_name"]))

@@ -203,14 +203,15 @@ def l01_twice(spark, sf):
 @query("l02_clean_job_without_outliers", """
 WITH q AS (SELECT quantile_cont(salary_avg, 0.25) AS a, quantile_cont(salary_avg, 0.75) AS b FROM p WHERE salary_avg IS NOT NULL),
 kept AS (SELECT p.* FROM p, q WHERE salary_avg IS NULL OR salary_avg BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))
-SELECT count(*) AS n, count(salary_avg) AS paid, (SELECT count(DISTINCT s) FROM (SELECT unnest(skills_list) AS s FROM p)) AS skills FROM kept""")
+SELECT count(*) AS n, count(salary_avg) AS paid, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT 'skill_' || lower(replace(replace(s, ' ', '_'), '/', '_')) AS s
+   FROM (SELECT unnest(skills_list) AS s FROM p) GROUP BY s ORDER BY count(*) DESC, s LIMIT 15)) AS skills FROM kept""")
 def l02_outliers(spark, sf):
     """Skill columns come from all postings, rows without the outliers."""
     path = scratch_path(spark, "cleaned")
     jobs.clean_job(raw_postings(spark, sf), path, "s1", as_of=as_of(), remove_outliers=True)
     written = io.read_newest_snapshot(spark, path)
-    skills = len([c for c in written.columns if c.startswith("skill_")])
-    return written.agg(F.count(F.lit(1)).alias("n"), F.count("salary_avg").alias("paid")).withColumn("skills", F.lit(skills).cast("bigint"))
+    skills = ",".join(sorted(c for c in written.columns if c.startswith("skill_")))
+    return written.agg(F.count(F.lit(1)).alias("n"), F.count("salary_avg").alias("paid")).withColumn("skills", F.lit(skills))
 
 
 @query("s01_corrupt_records", """
@@ -259,7 +260,7 @@ def l04(spark, sf):
     for snapshot in ("s0", "s1"):
         io.write_clean(clean.where("area_name <> 'NATION_0'") if snapshot == "s0" else clean, path, snapshot)
     found = jobs.analyse(spark.read.parquet(path), ["График работы", "Местность"], range(2, 4),
-                         families=False, restarts=1, final_restarts=1)
+                         restarts=1, final_restarts=1)
     return found.profiles.withColumns({"skills": F.array_join("skills", "|"), "mean_salary": r("mean_salary"),
                                        "remote_rate": r("remote_rate", 6)})
 
