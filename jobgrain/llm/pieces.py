@@ -11,7 +11,8 @@ loses least, since no other word can take part in the N best.
 import hashlib
 import heapq
 import re
-from itertools import count
+from itertools import chain, count
+from operator import itemgetter
 
 import ahocorasick
 import pandas as pd
@@ -66,14 +67,14 @@ class Model:
         return [p.id_to_piece(i) for i in ids], [p.get_score(i) for i in ids], plain, p.piece_to_id("<0x00>")
 
     def _cuts(self) -> re.Pattern:
-        """What cuts a text where no piece can reach over: at word marks, at characters of their own, and after
-        a letter if a mark of punctuation follows that no piece has behind a letter."""
+        """What cuts a text where no piece can reach over: at word marks, at characters of their own, and before
+        a mark of punctuation if no piece has it behind the character before."""
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.known):
             return re.compile(".+", re.S)
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.known))
-        ends = re.escape("".join(c for c in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.known)))
-        body = f"[^{SPACE}{alone}]"
-        words = f"{SPACE}*(?:{body}*?[^\\W\\d_](?=[{ends}])|{body}+)" if ends else f"{SPACE}*{body}+"
+        ends = ".,;:!?"
+        bound = re.escape("".join(sorted({a for p in self.known for a, b in zip(p, p[1:]) if b in ends} - {SPACE})))
+        words = f"{SPACE}*[^{SPACE}{alone}{ends}{bound}]++(?=[{ends}])|{SPACE}*[^{SPACE}{alone}]+"
         return re.compile((f"[{alone}]|" if alone else "") + f"{words}|{SPACE}+", re.S)
 
     def _as_bytes(self, character: str) -> tuple[int, ...]:
@@ -169,11 +170,11 @@ class Model:
         words = self.words.findall(SPACE + text.replace(SPACE, MARK).replace(" ", SPACE))
         known, best = self.young.get, self.best
         parts = [known(w) or best(w) for w in words]
-        total = sum(p[0] for p in parts)
-        ids = [i for p in parts for i in p[1]]
+        total = sum(map(itemgetter(0), parts))
+        ids = list(chain.from_iterable(map(itemgetter(1), parts)))
         if n < 2:
             return total, ids, []
-        close = sorted(i for _, i in heapq.nsmallest(n - 1, ((p[2], i) for i, p in enumerate(parts))))
+        close = sorted(i for _, i in heapq.nsmallest(n - 1, zip(map(itemgetter(2), parts), count())))
         choices = [self.paths(words[i], n) for i in close]
         at, starts = 0, {}
         wanted = set(close)
