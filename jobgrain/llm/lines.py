@@ -64,11 +64,12 @@ def _keys(words: str, frequent: list[str]) -> Column:
 
 
 def line_classes(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -> DataFrame:
-    """One row per distinct set of words: (ord, spot) of its first line, n, sketch and prefix, and its number.
+    """One row per distinct set of words: (ord, spot) of its first line, n, sketches and prefix, and its number.
 
-    `spot` is the mark of the text above the number of the line. `sketch` has one bit
-    for the parity of the words of each of 64 hash classes: two sets differ in at
-    least as many words as their sketches do in bits. Numbers rise with (ord, spot).
+    `spot` is the mark of the text above the number of the line. `wide` has one bit
+    for the parity of the words of each of 256 hash classes, `sketch` of each of 64:
+    two sets differ in at least as many words as their sketches do in bits. Numbers
+    rise with (ord, spot).
     """
     lines = (_ordered(docs).select("ord", "mark", F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
              .where(F.col("raw").rlike(r"\S")))  # on the line itself, so that its words are not made twice
@@ -77,11 +78,12 @@ def line_classes(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -
     n = F.size("k")
     rows = keyed.select(
         "ord", "spot", F.xxhash64("k").alias("c1"), F.xxhash64(F.lit(1), "k").alias("c2"), n.alias("n"),
-        F.expr("aggregate(k, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63L AS int)))").alias("sketch"),
+        F.expr("transform(sequence(0, 3), j -> aggregate(filter(k, x -> (shiftright(x, 6) & 3L) = j), 0L,"
+               " (acc, x) -> acc ^ shiftleft(1L, cast(x & 63L AS int))))").alias("wide"),
         F.slice("k", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
     classes = (rows.groupBy("c1", "c2").agg(F.min(F.struct("ord", "spot")).alias("at"), F.first("n").alias("n"),
-                                            F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-               .select("at.ord", "at.spot", "n", "sketch", "prefix"))
+                                            F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
+               .select("at.ord", "at.spot", "n", "wide", F.expr("aggregate(wide, 0L, (acc, x) -> acc ^ x)").alias("sketch"), "prefix"))
     return (classes.repartitionByRange("ord", "spot").sortWithinPartitions("ord", "spot")
             .withColumn("number", F.monotonically_increasing_id()))
 
@@ -111,6 +113,11 @@ def _checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Numbers of the pairs (number, other) whose whole sets of words reach the similarity; the lines are read again."""
+    marks = classes.select("number", F.col("n").alias("n1"), F.col("wide").alias("w1"))
+    others = classes.select(F.col("number").alias("other"), F.col("n").alias("n2"), F.col("wide").alias("w2"))
+    apart = F.expr("aggregate(zip_with(w1, w2, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
+    pairs = settle(pairs.join(marks, "number").join(others, "other")
+                   .where((100 + percent) * apart <= (100 - percent) * (F.col("n1") + F.col("n2"))).select("number", "other"))
     numbers = pairs.select(F.explode(F.array("number", "other")).alias("number")).distinct()
     spots = classes.select("number", "ord", "spot").join(_checked_broadcast(settle(numbers)), "number", "left_semi")
     per = settle(spots.groupBy("ord", F.col("spot").bitwiseAND(F.lit(-(1 << 32))).alias("mark")).agg(F.collect_list(F.struct(

@@ -34,7 +34,9 @@ BATCH = 500
 # Keys that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
-SET = "node binary, n int, family binary, prefix array<long>"
+SET = "node binary, n int, family binary, sketch array<long>, prefix array<long>"
+# Bits of a sketch: the parity of the grams of each hash class. Sets differ in at least as many grams as sketches in bits.
+SKETCH = 1_024
 
 
 def all_codes(text: str | None, n: int) -> np.ndarray:
@@ -98,7 +100,7 @@ def frequent_grams(docs: DataFrame, n: int = N, limit: int = FREQUENT) -> np.nda
 
 
 def gram_sets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id and mark (a hash of the text) with the set: node (128-bit digest), n, family (digest of size and prefix) and prefix."""
+    """doc_id and mark (a hash of the text) with the set: node (128-bit digest), n, family (digest of size and prefix), sketch and prefix."""
     by_code = np.argsort(frequent, kind="stable")
     known = frequent[by_code]
 
@@ -108,7 +110,7 @@ def gram_sets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int =
         for text in texts:
             codes = gram_codes(text, n)
             if not len(codes):
-                rows.append((None, 0, None, None))
+                rows.append((None, 0, None, None, None))
                 continue
             rank = np.zeros(len(codes), np.int64)
             if len(known):
@@ -116,8 +118,10 @@ def gram_sets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int =
                 rank = np.where(known[at] == codes, by_code[at] + 1, 0)
             prefix = codes[np.lexsort((codes, rank))][:prefix_length(len(codes), percent)]
             node = xxhash.xxh3_128_digest(codes.tobytes())
-            rows.append((node, len(codes), xxhash.xxh3_128_digest(np.append(prefix, len(codes)).tobytes()), prefix))
-        return pd.DataFrame(rows, columns=["node", "n", "family", "prefix"])
+            parity = np.bincount(codes & (SKETCH - 1), minlength=SKETCH) & 1
+            rows.append((node, len(codes), xxhash.xxh3_128_digest(np.append(prefix, len(codes)).tobytes()),
+                         np.packbits(parity.astype(np.uint8)).view(np.int64), prefix))
+        return pd.DataFrame(rows, columns=["node", "n", "family", "sketch", "prefix"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), described("text").alias("s")).select("doc_id", "mark", "s.*")
 
@@ -141,6 +145,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
         sets = [gram_codes(t, n) for t in texts]
         return pd.DataFrame({"grams": sets, "node": [xxhash.xxh3_128_digest(g.tobytes()) for g in sets]})
 
+    marks = nodes.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    other = nodes.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
+    pairs = settle(pairs.join(marks, "a").join(other, "b")
+                   .where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"))
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes, "nid").select("nid", "node", "id"))
     slim = docs.select("doc_id", "text")
     ids = wanted.where("id is not null").select(F.col("id").alias("doc_id")).distinct()
@@ -178,7 +187,7 @@ def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     frequent = frequent_grams(docs, n)
     with small_batches(docs.sparkSession, BATCH):
         sets = settle(gram_sets(docs.select("doc_id", "text"), frequent, n, percent))
-    nodes = settle(sets.where("n > 0").groupBy("node", "n", "family").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
+    nodes = settle(sets.where("n > 0").groupBy("node", "n", "family").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
                    .withColumn("nid", F.monotonically_increasing_id()))
     # Families of several members; the member of lowest number stands for all of them.
     crowded = nodes.groupBy("family", "n").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
