@@ -85,7 +85,7 @@ class Model:
         if k > self.distinct:
             return None
         if self.method_name == "K-Means":
-            found = kmeans.fit(self.vectors, self.features, k, restarts)
+            found = kmeans.fit_reported(self.vectors, self.features, k, restarts)
             return Fit(self.method_name, k, found[0], self.gamma, *found[1:])
         centroids, cost, history = prototypes.fit(self.tuples, self.features, self.seeds[:k], self.gamma)
         return Fit(self.method_name, k, centroids, self.gamma, cost, len(history), len(history) < prototypes.MAX_ITER)
@@ -130,7 +130,10 @@ def sweep(df: DataFrame, selected: list[str], ks=range(2, 13), restarts: int = 3
     Values of k are independent, so `parallel` of them share the cluster: the jobs
     of one are short and would leave most executors idle.
     """
-    features = measure(df, split_types(resolve(selected)))
+    chosen = split_types(resolve(selected))
+    if not chosen.categorical:  # seeds depend on how the tuples are dealt, which the order of the columns decides
+        chosen = split_types(sorted(resolve(selected)))
+    features = measure(df, chosen)
     model = Model(settle(tuples_of(df, features)), features, max([*ks, pin or 0]))
 
     @inheritable_thread_target(df.sparkSession)
