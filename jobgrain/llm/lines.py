@@ -15,6 +15,7 @@ PERCENT = 80
 # Words looked for among the frequent ones, and the ends of their classes, most frequent first.
 FREQUENT = 6_000
 CLASSES = (100, 1_000, FREQUENT)
+TRACKED = 100_000
 # Keys that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 UNNAMED = 1 << 62
@@ -39,11 +40,13 @@ def _words(line: Column) -> Column:
 def frequent_words(docs: DataFrame, limit: int = FREQUENT) -> list[str]:
     """The most frequent words of all texts, most frequent first; at most `limit` come to the driver.
 
-    The list only sets the order of the words; any list gives the same result.
+    A frequent-items sketch of bounded size, merged from all tasks, instead of a
+    shuffle of the vocabulary. The list only sets the order of the words; any list
+    gives the same result.
     """
-    top = (docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), "w").limit(limit).collect())
-    return [r["w"] for r in top]
+    top = (docs.select(F.explode(_words(F.col("text"))).alias("w"))
+           .agg(F.expr(f"approx_top_k(w, {limit}, {TRACKED})").alias("top")).first()["top"])
+    return [r["item"] for r in sorted(top or [], key=lambda r: (-r["count"], r["item"]))]
 
 
 def _quoted(word: str) -> str:
