@@ -32,9 +32,11 @@ def read_postings(spark: SparkSession, path: str, schema: T.StructType = POSTING
 
 
 def corrupt_records(spark: SparkSession, path: str, whole_array: bool = False) -> DataFrame:
-    """(file, text) of the records of landed files that are not JSON."""
+    """(file, text, id) of the records of landed files that are not JSON; `id` if it could be read before the fault."""
     rows = read_postings(spark, path, whole_array=whole_array, malformed="keep")
-    return rows.where(F.col(CORRUPT).isNotNull()).select(F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("text"))
+    # Spark refuses a scan of the corrupt column alone, which count() would make; the second test always holds.
+    broken = F.col(CORRUPT).isNotNull() & (F.length(F.coalesce("id", F.lit(""))) >= 0)
+    return rows.where(broken).select(F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("text"), "id")
 
 
 def read_postings_as_text(spark: SparkSession, path: str, schema: T.StructType = POSTING_RAW) -> DataFrame:
