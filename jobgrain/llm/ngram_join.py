@@ -24,7 +24,7 @@ from jobgrain.llm.common import connected, settle, small_batches
 N = 4
 PERCENT = 85
 # Grams that are ordered by their count; all others come before them in hash order.
-FREQUENT = 65_536
+FREQUENT = 500_000
 FLUSH = 1_000_000
 SEED = 20_240_229
 # An odd factor with well-mixed bits (the golden ratio times 2**64).
@@ -95,8 +95,8 @@ def frequent_grams(docs: DataFrame, n: int = N, limit: int = FREQUENT) -> np.nda
 
     with small_batches(docs.sparkSession, BATCH):
         top = (docs.select("text").mapInPandas(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-               .where("c > 3").orderBy(F.desc("c"), "gram").limit(limit).select("gram").collect())
-    return np.array([r[0] for r in reversed(top)], np.int64)
+               .where("c > 3").orderBy(F.desc("c"), "gram").limit(limit).select("gram").toPandas())
+    return top["gram"].to_numpy(np.int64)[::-1]
 
 
 def gram_sets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -145,6 +145,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
         sets = [gram_codes(t, n) for t in texts]
         return pd.DataFrame({"grams": sets, "node": [xxhash.xxh3_128_digest(g.tobytes()) for g in sets]})
 
+    # Else the test for null that a join implies is made on the function's result, for all documents, below the semi-join.
+    described = described.asNondeterministic()
     marks = nodes.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     other = nodes.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
@@ -158,7 +160,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
         texts = texts.union(slim.where("doc_id is null").select("text"))
     # A repeated id may bring other texts along; the digest tells which set was read.
     with small_batches(docs.sparkSession, BATCH):
-        grams = settle(texts.select(described("text").alias("s")).select("s.*").join(wanted.select("nid", "node"), "node").select("nid", "grams"))
+        read = texts.select(described("text").alias("s")).select("s.*")
+        grams = settle(read.join(wanted.select("nid", "node"), "node").select("nid", "grams"))
     left = grams.select(F.col("nid").alias("a"), F.col("grams").alias("ga"))
     right = grams.select(F.col("nid").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
