@@ -1,6 +1,7 @@
-"""Substring dedup: passages that repeat are found as runs of consecutive sentences."""
+"""Substring dedup: passages that repeat are found as runs of consecutive sentences, and as windows of words wherever they begin."""
 
 import re
+from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
@@ -9,10 +10,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobgrain.llm.common import settle
+
 # A sentence, or a clause of one, ends behind a punctuation mark before white space, and at a line break.
 END = re.compile(r"(?<=[.!?…,;:。！？])\s+|\s*\n\s*")
+WORD = re.compile(r"\S+")
 RUN = 3
 MIN_WORDS = 8
+# Words of a window, and of an anchor: the anchor of a window is the gram of least hash in it, so equal windows have equal anchors.
+WINDOW = 50
+ANCHOR = 25
+# Bits of the sketch of repeated anchors; a full sketch costs time, never a window.
+SKETCH_BITS = 1 << 26
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASES = (0xD6E8FEB86659FD95, 0xA0761D6478BD642D)
 # Ids of documents without one lie above all others, told apart by their text.
 UNNAMED = 1 << 62
 
@@ -24,7 +35,79 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(starts, [*ends, len(text)]) if b > a]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(SEEDS[0])
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(SEEDS[1])
+    return x ^ (x >> np.uint64(32))
+
+
+@lru_cache(maxsize=32)
+def _powers(base: int, n: int) -> np.ndarray:
+    powers = np.full(n, base, np.uint64)
+    powers[0] = 1
+    return np.multiply.accumulate(powers)
+
+
+def _rolled(codes: np.ndarray, base: int, *sizes: int) -> list[np.ndarray]:
+    """For each size, a hash of every gram of that many codes: a polynomial modulo 2 ** 64, from prefix sums."""
+    n = len(codes)
+    room = 1 << n.bit_length()
+    powers, back = _powers(base, room), _powers(pow(base, -1, 1 << 64), room)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(codes * powers[:n], out=sums[1:])
+    return [_mixed((sums[k:] - sums[:n + 1 - k]) * back[:n + 1 - k]) for k in sizes]
+
+
+def word_codes(text: str) -> np.ndarray:
+    """A code of each word of a text in lower case."""
+    words = text.lower().split()
+    try:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    except UnicodeEncodeError:  # half of a surrogate pair
+        return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def windows(codes: np.ndarray) -> np.ndarray:
+    """Digests, two numbers each, of all windows of WINDOW words in order."""
+    if len(codes) < WINDOW:
+        return np.empty((0, 2), np.int64)
+    one, = _rolled(codes, BASES[0], WINDOW)
+    two, = _rolled(_mixed(codes), BASES[1], WINDOW)
+    return np.stack([one, two], axis=1).view(np.int64)
+
+
+def anchors(codes: np.ndarray) -> np.ndarray:
+    """The anchor of each window of WINDOW words."""
+    if len(codes) < WINDOW:
+        return np.empty(0, np.int64)
+    low, = _rolled(codes, BASES[0], ANCHOR)
+    reach, span = 1, WINDOW - ANCHOR + 1
+    while reach < span:  # the least of `reach` grams each; steps may overlap
+        step = min(reach, span - reach)
+        low = np.minimum(low[:-step], low[step:])
+        reach += step
+    return low.view(np.int64)
+
+
+def _later(digests: np.ndarray) -> np.ndarray:
+    """Which windows of a text come again in it: true for all but the first of each digest."""
+    later = np.zeros(len(digests), bool)
+    if len(np.unique(digests[:, 0])) < len(digests):
+        order = np.lexsort((digests[:, 1], digests[:, 0]))  # stable: equal digests stay in order of place
+        later[order[1:]] = (digests[order[1:]] == digests[order[:-1]]).all(axis=1)
+    return later
+
+
 def runs(text: str, run: int, min_words: int) -> list[tuple[int, bytes]]:
+    """(place, digest) of every run of a text.
+
+    A run is `run` sentences with at least `min_words` words, its place the first
+    sentence, or any WINDOW consecutive words, its place -1 - the first word.
+    """
+    return _sentence_runs(text, run, min_words) + [(-1 - i, d.tobytes()) for i, d in enumerate(windows(word_codes(text)))]
+
+
+def _sentence_runs(text: str, run: int, min_words: int) -> list[tuple[int, bytes]]:
     """(first sentence, digest) of every run of `run` sentences that has at least `min_words` words.
 
     Sentences are compared in lower case and without regard to white space.
@@ -39,30 +122,41 @@ def runs(text: str, run: int, min_words: int) -> list[tuple[int, bytes]]:
 def _first_runs(text: str, run: int, min_words: int) -> tuple[dict[bytes, int], list[int]]:
     """Each digest with its first place, and the places where a digest comes again in the same text."""
     first, again = {}, []
-    for at, digest in runs(text, run, min_words):
+    for at, digest in _sentence_runs(text, run, min_words):
         if first.setdefault(digest, at) != at:
             again.append(at)
     return first, again
 
 
 def cut(text: str, places, run: int) -> tuple[str, int, list[tuple[int, int]]]:
-    """The text without the sentences of the runs at `places`; how many went, and the stretches that went."""
+    """The text without the sentences and words of the runs at `places`; how many sentences lost words, and the stretches that went."""
     spans = sentences(text)
-    gone = sorted({s for at in places for s in range(at, min(at + run, len(spans)))})
-    if not gone:
+    parts = sorted({s for at in places if at >= 0 for s in range(at, min(at + run, len(spans)))})
+    parts = [spans[s] for s in parts]
+    firsts = sorted(-1 - at for at in places if at < 0)
+    if firsts:
+        words = [m.start() for m in WORD.finditer(text)] + [len(text)]
+        parts = sorted(parts + [(words[w], words[min(w + WINDOW, len(words) - 1)]) for w in firsts])
+    if not parts:
         return text, 0, []
     stretches = []
-    for s in gone:
-        if stretches and stretches[-1][1] == spans[s][0]:
-            stretches[-1][1] = spans[s][1]
+    for a, b in parts:
+        if stretches and stretches[-1][1] >= a:
+            stretches[-1][1] = max(stretches[-1][1], b)
         else:
-            stretches.append(list(spans[s]))
-    kept, at = [], 0
+            stretches.append([a, b])
+    kept, at, n = [], 0, 0
     for a, b in stretches:
         kept.append(text[at:a])
         at = b
     kept.append(text[at:])
-    return "".join(kept).rstrip(), len(gone), [tuple(x) for x in stretches]
+    at = iter(stretches)
+    here = next(at)
+    for a, b in spans:
+        while here and here[1] <= a:
+            here = next(at, None)
+        n += bool(here and here[0] < b)
+    return "".join(kept).rstrip(), n, [tuple(x) for x in stretches]
 
 
 def _order() -> Column:
@@ -76,41 +170,100 @@ def _mark() -> Column:
     return F.hash("text")
 
 
+def _sketch(codes: DataFrame, name: str) -> np.ndarray:
+    """One bit for each of SKETCH_BITS classes of the codes in column `name`, of any number."""
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:  # as bytes: a million rows would fill the driver's memory
+            yield pd.DataFrame({"part": [batch[["word", "bits"]].to_numpy(np.int64).tobytes()]})
+
+    bits = (codes.select(F.col(name).bitwiseAND(F.lit(SKETCH_BITS - 1)).alias("bit")).groupBy(F.expr("bit >> 6").alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")))
+    sketch = np.zeros(SKETCH_BITS // 64, np.int64)
+    for row in bits.mapInPandas(packed, "part binary").collect():
+        words, values = np.frombuffer(row["part"], np.int64).reshape(-1, 2).T
+        sketch[words] = values
+    return sketch
+
+
+def _in_sketch(sketch: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Places of the codes whose class has its bit set: all that were put in, and a few more."""
+    bit = codes & (SKETCH_BITS - 1)
+    return np.flatnonzero((sketch[bit >> 6] >> (bit & 63)) & 1)
+
+
+def _by_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for begin in range(0, len(batch), 256):  # a bounded number of texts at a time
+            yield batch.iloc[begin:begin + 256]
+
+
+def repeated_anchors(docs: DataFrame) -> np.ndarray:
+    """A sketch of the anchors that documents of different places share."""
+    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _by_parts(batches):
+            found = [np.unique(anchors(word_codes(t))) for t in part["text"]]
+            yield pd.DataFrame({"place": np.repeat(part["place"].to_numpy(np.int64), [len(f) for f in found]), "anchor": np.concatenate(found)})
+
+    shared = (docs.where("text is not null").select(_order().alias("place"), "text").mapInPandas(emitted, "place long, anchor long")
+              .groupBy("anchor").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last"))
+    return _sketch(shared, "anchor")
+
+
 def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(place, mark, at): in the document at `place` whose text has the hash `mark`, the run that begins at sentence `at` also occurs in an earlier document.
+    """(place, mark, at): in the document at `place` whose text has the hash `mark`, the run at `at` also occurs in an earlier document.
 
-    Every document hands on each of its runs once. They are counted by digest, with
-    partial sums, so a passage that a third of all documents share is one row per
-    task; then only documents behind the first one are kept by a join whose other
-    side has one row per digest.
+    Every document hands on each of its runs once; of its windows only those whose
+    anchor another document has too, for no other window can be repeated. They are
+    counted by digest, with partial sums, so a passage that a third of all documents
+    share is one row per task. Then the runs are made again, and those in a sketch of
+    the repeated digests meet one row per digest in a join that keeps the documents
+    behind the first one. Sketches have a fixed size; they only save rows.
     """
-    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for begin in range(0, len(batch), 256):  # a bounded number of texts at a time
-                part = batch.iloc[begin:begin + 256]
-                found = [_first_runs(t, run, min_words)[0] for t in part["text"]]
-                sizes = [len(f) for f in found]
-                halves = np.frombuffer(b"".join(d for f in found for d in f), np.int64).reshape(-1, 2)
+    context = docs.sparkSession.sparkContext
+    common = context.broadcast(repeated_anchors(docs))
+
+    def emitting(wanted=None):
+        def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in _by_parts(batches):
+                digests, places = [], []
+                for text in part["text"]:
+                    found = _first_runs(text, run, min_words)[0]
+                    here, at = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2), np.fromiter(found.values(), np.int32, len(found))
+                    codes = word_codes(text)
+                    shared = _in_sketch(common.value, anchors(codes))
+                    if len(shared):
+                        new = windows(codes)[shared]
+                        first = ~_later(new)
+                        here, at = np.concatenate([here, new[first]]), np.concatenate([at, (-1 - shared[first]).astype(np.int32)])
+                    if wanted is not None:
+                        asked = _in_sketch(wanted.value, here[:, 0])
+                        here, at = here[asked], at[asked]
+                    digests.append(here)
+                    places.append(at)
+                sizes = [len(x) for x in places]
+                halves = np.concatenate(digests)
                 yield pd.DataFrame({"place": np.repeat(part["place"].to_numpy(np.int64), sizes),
                                     "mark": np.repeat(part["mark"].to_numpy(np.int32), sizes), "d1": halves[:, 0], "d2": halves[:, 1],
-                                    "at": np.fromiter((at for f in found for at in f.values()), np.int32, sum(sizes))})
+                                    "at": np.concatenate(places)})
+        return texts.mapInPandas(emitted, "place long, mark int, d1 long, d2 long, at int")
 
-    rows = docs.where("text is not null").select(_order().alias("place"), _mark().alias("mark"), "text").mapInPandas(
-        emitted, "place long, mark int, d1 long, d2 long, at int")
-    firsts = (rows.groupBy("d1", "d2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-              .where("first < last").drop("last"))
+    texts = docs.where("text is not null").select(_order().alias("place"), _mark().alias("mark"), "text")
+    firsts = settle(emitting().groupBy("d1", "d2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+                    .where("first < last").drop("last"))
+    rows = emitting(context.broadcast(_sketch(firsts, "d1")))
     return rows.join(firsts, ["d1", "d2"]).where("place > first").select("place", "mark", "at")
 
 
 def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """Per row of `docs`: doc_id, text without repeated passages, n_sentences, n_removed and the removed stretches.
 
-    A run of `run` consecutive sentences is repeated if an earlier document, or an
-    earlier place of the same text, has it too; every sentence of a run that is not
-    the first of its kind is removed. Documents are ordered by id. Rows with a null
+    A run of `run` consecutive sentences, or of WINDOW words wherever it begins, is
+    repeated if an earlier document, or an earlier place of the same text, has it
+    too; all of a run that is not the first of its kind is removed. `n_removed`
+    counts the sentences that lost all or some of their words. Documents are ordered by id. Rows with a null
     id come behind all others, in an order made from their text. Rows of equal id
-    (or, without one, of equal text) do not take sentences from each other. Texts of
-    fewer sentences, null and empty texts stay as they are (null gives ''). `removed`
+    (or, without one, of equal text) do not take sentences from each other. Shorter
+    texts, null and empty texts stay as they are (null gives ''). `removed`
     holds (start, stop) code points in the old text. An empty table gives an empty
     result; extra columns are not looked at.
     """
@@ -124,6 +277,7 @@ def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFr
         for text, at in zip(texts, places):
             text = text or ""
             _, again = _first_runs(text, run, min_words)
+            again.extend(-1 - np.flatnonzero(_later(windows(word_codes(text)))))
             left, n, stretches = cut(text, [*again, *(at if at is not None else ())], run)
             rows.append((left, len(sentences(text)), n, [{"start": a, "stop": b} for a, b in stretches]))
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed"])

@@ -291,3 +291,28 @@ def test_pipeline_stages(spark, docs, texts):
         assert sorted((r.doc_id, r.text) for r in df.collect()) == now, name
     last = pieces.decode(corpus_pipeline.run(spark, SF)).select("doc_id", "text").collect()
     assert sorted((r.doc_id, r.text) for r in last) == now
+
+
+def test_repeated_windows_of_words_go(spark):
+    """Against brute force: no window of 50 words comes twice, be it inside long clauses or over very short ones."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    inside, short, listed = (rng.sample(words, 70) for _ in range(3))
+    texts = []
+    for i in range(6):
+        own = rng.sample(words, 40)
+        texts.append(" ".join([*own[:20], *(inside if i % 2 else own), *own[20:], "Own end."]))  # one clause
+        texts.append(f"Own {i}. " + " ".join(f"{w.upper() if i % 2 else w}.!!" for w in short) + f" end {i}")
+        texts.append(f"Own list {i}\n" + "\n".join(listed) + f"\nlast {i}")
+    texts.append("once " + " ".join(inside) + " between " + " ".join(inside) + " twice")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, want = set(), []
+    for t in texts:
+        w = t.lower().split()
+        here = [" ".join(w[i:i + 50]) for i in range(len(w) - 49)]
+        gone = {j for i, x in enumerate(here) if x in seen or x in here[:i] for j in range(i, i + 50)}
+        seen.update(here)
+        want.append([x for j, x in enumerate(w) if j not in gone])
+    got = {r.doc_id: r.text.lower().split() for r in substrings.dedup(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(len(t.split()) for t in texts) - sum(map(len, want)) == 14 * 70 + 10  # ten are common words beside the passages
