@@ -1,8 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass labels each block
-from its container, its share of linked characters, its length and its share of
-stop words. Blocks that stay undecided take the label of their nearest decided
+from its share of linked characters, its length and its share of stop words, and
+from its container. Blocks that stay undecided take the label of their nearest decided
 neighbours in the second pass.
 """
 
@@ -169,15 +169,10 @@ def blocks_of(source: str) -> list[tuple]:
     return page.blocks
 
 
-def _first_pass(block: tuple, rules: Rules) -> str:
-    text, linked, zone, heading = block
-    if zone == "furniture":
+def _by_text(text: str, linked: int, heading: bool, rules: Rules) -> str:
+    """Label of a block from its text alone."""
+    if linked > rules.max_link_density * len(text.replace(" ", "")):
         return "bad"
-    size = len(text.replace(" ", ""))
-    if linked > rules.max_link_density * size:
-        return "bad" if zone != "main" or linked == size and size < rules.short and text.count(" ") < 1 else "near"
-    if zone == "main":
-        return "good"
     if heading:
         return "short"
     words = text.lower().split()
@@ -189,6 +184,29 @@ def _first_pass(block: tuple, rules: Rules) -> str:
     return "near" if share >= rules.stop_word_low else "bad"
 
 
+def _in_main(text: str, linked: int, rules: Rules) -> str:
+    """Label of a block in a container that is trusted to be the article."""
+    size = len(text.replace(" ", ""))
+    if linked > rules.max_link_density * size:
+        return "bad" if linked == size and size < rules.short and text.count(" ") < 1 else "near"
+    return "good"
+
+
+def _first_pass(blocks: list[tuple], rules: Rules) -> list[str]:
+    """Every block is labelled by its text, then by its container.
+
+    The article and main containers are trusted if they hold at least as much text
+    as the good blocks outside them. Then all of their text is good, and outside
+    them only blocks that are good by themselves count. If not, they decide nothing.
+    """
+    labels = ["bad" if zone == "furniture" else _by_text(text, linked, heading, rules) for text, linked, zone, heading in blocks]
+    inside = [_in_main(text, linked, rules) if zone == "main" else None for text, linked, zone, _ in blocks]
+    held = sum(len(b[0]) for b, x in zip(blocks, inside) if x == "good")
+    if held and held >= sum(len(b[0]) for b, x, own in zip(blocks, inside, labels) if x is None and own == "good"):
+        labels = [x or ("bad" if own in ("near", "short") else own) for x, own in zip(inside, labels)]
+    return labels
+
+
 def _second_pass(labels: list[str]) -> list[bool]:
     """Undecided blocks follow their nearest decided neighbours; `near` ones need one good side, `short` ones two."""
     before, last = [], "bad"
@@ -212,9 +230,7 @@ def main_text(source: str | None, rules: Rules = Rules()) -> str:
     if not source:
         return ""
     blocks = blocks_of(source)
-    if any(z == "main" for _, _, z, _ in blocks):  # a page that marks its article: the rest is furniture
-        blocks = [b if b[2] else (b[0], b[1], "furniture", b[3]) for b in blocks]
-    labels = [_first_pass(b, rules) for b in blocks]
+    labels = _first_pass(blocks, rules)
     return "\n\n".join(b[0] for b, keep in zip(blocks, _second_pass(labels)) if keep)
 
 

@@ -316,3 +316,15 @@ def test_repeated_windows_of_words_go(spark):
     got = {r.doc_id: r.text.lower().split() for r in substrings.dedup(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert sum(len(t.split()) for t in texts) - sum(map(len, want)) == 14 * 70 + 10  # ten are common words beside the passages
+
+
+PROSE = ("This is a paragraph of the text that the page is about, and it has as many of the small words as a text has in it, so that it is "
+         "told from the rest of the page by what it is made of, and not by the container that it is in. ")
+
+
+def test_html_text_outside_of_a_teaser():
+    got = html.main_text(f"<nav><a>x</a></nav><div id=content><p>{PROSE}</p><p>{PROSE * 2}</p></div>"
+                         "<section><article><h3>Next</h3><p>teaser</p></article></section><footer>end</footer>")
+    assert got == f"{PROSE.strip()}\n\n{(PROSE * 2).strip()}"
+    got = html.main_text(f"<article><p>{PROSE * 2}</p><p>Short.</p></article><div><p>{PROSE}</p><p>More on this</p></div>")
+    assert got == f"{(PROSE * 2).strip()}\n\nShort.\n\n{PROSE.strip()}"
