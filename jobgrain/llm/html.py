@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
                  r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 MARKED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 SPACE = re.compile(r"\s+")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
@@ -26,13 +26,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Their content is no text of the page.
 OPAQUE = frozenset("script style noscript template head title iframe object svg math select option textarea button audio video canvas".split())
 RAW = frozenset("script style textarea title iframe".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 MAIN = frozenset("article main".split())
 # Words of a class, an id or a role that mark page furniture.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments complementary consent "
                       "contentinfo cookie cookies copyright disqus dialog footer gdpr login masthead menu modal nav navbar navigation "
                       "newsletter notice notices notification pager pagination popup promo promoted promotion related respond search share "
                       "sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget alert".split())
+# Words that say where a thing is or what kind of box it has, and leave what it is to the others of the same token.
+NEUTRAL = frozenset("main site page top bottom left right box list wrapper wrap container section area block slot item items bar inner outer content "
+                    "primary secondary global header unit group panel region links icons buttons".split())
+# Their ids are names of what they hold, as generators make them from titles.
+NAMED = frozenset("h1 h2 h3 h4 h5 h6 p section article main li".split())
 
 # Frequent function words of the languages the rules are meant for.
 STOP_WORDS = frozenset((
@@ -60,11 +65,14 @@ class _Page:
         self.blocks, self.pieces, self.linked, self.open = [], [], 0, []
 
     def zone(self) -> str:
-        """What the innermost deciding container says: main, furniture or nothing."""
+        """What the innermost deciding container says: main, furniture, `hint` once for each hint around the block, or nothing."""
+        hints = ""
         for name, zone in reversed(self.open):
-            if zone:
-                return zone
-        return ""
+            if zone == "hint":
+                hints += zone
+            elif zone:
+                return hints if hints and zone == "main" else zone
+        return hints
 
     def add(self, text: str, in_link: bool) -> None:
         self.pieces.append(text)
@@ -78,22 +86,27 @@ class _Page:
         self.pieces, self.linked = [], 0
 
 
+def _is_furniture(token: str, inside: str) -> bool:
+    """Whether a whole class, id or role says so: `main-nav` does, `has-sidebar` and `related-work` do not."""
+    parts = {p.lower() for p in PARTS.findall(token)}
+    return bool(FURNITURE & parts) and parts <= FURNITURE | NEUTRAL or "header" in parts and parts <= NEUTRAL and inside != "main"
+
+
 def _zone_of(name: str, attributes: str, inside: str) -> str:
     if name in ("body", "html"):
         return ""
     if name in BOILERPLATE or name == "header" and inside != "main":
         return "furniture"
+    hinted, main = name == "form", name in MAIN
     for key, value in MARKED.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return "furniture"
-        if key in ("class", "id", "role"):
-            parts = {p.lower() for p in PARTS.findall(value)}
-            if FURNITURE & parts or "header" in parts and inside != "main":
-                return "furniture"
+        if key in ("class", "id", "role") and not (key == "id" and name in NAMED):
+            hinted = hinted or any(_is_furniture(token, inside) for token in value.split())
         if key == "role" and value.lower() in ("main", "article"):
-            return "main"
-    return "main" if name in MAIN else ""
+            main = True
+    return "hint" if hinted else "main" if main else ""
 
 
 def blocks_of(source: str) -> list[tuple]:
@@ -155,6 +168,8 @@ def blocks_of(source: str) -> list[tuple]:
                 zone = _zone_of(name, attributes, inside)
                 if name in MAIN and inside == "furniture":  # an unclosed menu before the article, or a reader comment in it
                     zone = "furniture" if any(z == "main" for _, z in page.open) else "main"
+                elif name in MAIN and inside.startswith("hint") and any(z == "main" for _, z in page.open):
+                    zone = "hint"  # a reader comment
                 elif inside == "furniture":
                     zone = "furniture"
                 while page.open and page.open[-1][0] in INLINE and (name in ("p", "li", "div", "article", "main", "footer", "nav")):
@@ -200,6 +215,10 @@ def _first_pass(blocks: list[tuple], rules: Rules) -> list[str]:
     them only blocks that are good by themselves count. If not, they decide nothing.
     """
     labels = ["bad" if zone == "furniture" else _by_text(text, linked, heading, rules) for text, linked, zone, heading in blocks]
+    # Hints are followed while good text remains: what has more of them around it than the best text has is furniture.
+    hints = [zone.count("hint") for _, _, zone, _ in blocks]
+    least = min((h for h, x in zip(hints, labels) if x == "good"), default=0)
+    labels = ["bad" if h > least else x for h, x in zip(hints, labels)]
     inside = [_in_main(text, linked, rules) if zone == "main" else None for text, linked, zone, _ in blocks]
     held = sum(len(b[0]) for b, x in zip(blocks, inside) if x == "good")
     if held and held >= sum(len(b[0]) for b, x, own in zip(blocks, inside, labels) if x is None and own == "good"):

@@ -328,3 +328,13 @@ def test_html_text_outside_of_a_teaser():
     assert got == f"{PROSE.strip()}\n\n{(PROSE * 2).strip()}"
     got = html.main_text(f"<article><p>{PROSE * 2}</p><p>Short.</p></article><div><p>{PROSE}</p><p>More on this</p></div>")
     assert got == f"{(PROSE * 2).strip()}\n\nShort.\n\n{PROSE.strip()}"
+
+
+def test_html_class_words_are_hints():
+    long = (PROSE * 2).strip()
+    named = (f"<article><h2 id='search-results'>Found</h2><p>{long}</p><section id='related-work'><h2 id=related>Work</h2><p class='notice-of-meeting'>{long}</p>"
+             f"</section><h2 id='copyright-law'>Law</h2><p id=comment>{long}</p><div class='main-nav'><p>{long}</div><p class=comment>x</article>")
+    assert html.main_text(named) == f"Found\n\n{long}\n\nWork\n\n{long}\n\nLaw\n\n{long}"
+    inner = f"<div><p>{long}</p><p>{long}</p></div><div class='comments'><p>{long}</p></div>"
+    for page in (f"<div class='layout has-sidebar'>{inner}</div>", f"<div class=no-sidebar>{inner}</div>", f"<form action=/>{inner}</form>", f"<div class=sidebar>{inner}</div>"):
+        assert html.main_text(page) == f"{long}\n\n{long}"
