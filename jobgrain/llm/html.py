@@ -184,14 +184,17 @@ def blocks_of(source: str) -> list[tuple]:
     return page.blocks
 
 
-def _by_text(text: str, linked: int, heading: bool, rules: Rules) -> str:
-    """Label of a block from its text alone."""
+def _stop_share(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+
+
+def _by_text(text: str, linked: int, heading: bool, share: float, rules: Rules) -> str:
+    """Label of a block from its text alone; `share` is that of its stop words."""
     if linked > rules.max_link_density * len(text.replace(" ", "")):
         return "bad"
     if heading:
-        return "short"
-    words = text.lower().split()
-    share = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+        return "heading"
     if len(text) < rules.short:
         return "bad" if linked else "short"
     if share >= rules.stop_word_high:
@@ -199,6 +202,36 @@ def _by_text(text: str, linked: int, heading: bool, rules: Rules) -> str:
     return "near" if share >= rules.stop_word_low else "bad"
 
 
+def _texts(blocks: list[tuple], rules: Rules) -> list[str]:
+    """Labels of the blocks from their texts.
+
+    If no long block of the page reaches the low share of stop words, its language is
+    not one of the listed ones, and length and links decide. Neighbouring undecided
+    blocks of one zone are good if together they are long and have the high share.
+    """
+    shares = [_stop_share(b[0]) for b in blocks]
+    open_ = [zone != "furniture" and linked <= rules.max_link_density * len(text.replace(" ", "")) for text, linked, zone, _ in blocks]
+    known = [x for x, b, o in zip(shares, blocks, open_) if o and len(b[0]) > rules.long] or [
+        x for x, b, o in zip(shares, blocks, open_) if o and len(b[0]) >= rules.short]
+    if known and max(known) < rules.stop_word_low:
+        shares = [1.0] * len(blocks)
+    labels = ["bad" if b[2] == "furniture" else _by_text(*b[:2], b[3], x, rules) for b, x in zip(blocks, shares)]
+    run = []
+    for i in range(len(blocks) + 1):
+        if i < len(blocks) and labels[i] == "heading":
+            continue
+        if run and (i == len(blocks) or labels[i] not in ("near", "short") or blocks[i][2] != blocks[run[0]][2]):
+            words = [len(blocks[j][0].split()) for j in run]
+            if (sum(len(blocks[j][0]) for j in run) > rules.long
+                    and sum(shares[j] * n for j, n in zip(run, words)) >= rules.stop_word_high * sum(words)):
+                for j in run:
+                    labels[j] = "good"
+            run = []
+        if i < len(blocks) and labels[i] in ("near", "short"):
+            run.append(i)
+    return labels
+
+
 def _in_main(text: str, linked: int, rules: Rules) -> str:
     """Label of a block in a container that is trusted to be the article."""
     size = len(text.replace(" ", ""))
@@ -213,8 +246,10 @@ def _first_pass(blocks: list[tuple], rules: Rules) -> list[str]:
     The article and main containers are trusted if they hold at least as much text
     as the good blocks outside them. Then all of their text is good, and outside
     them only blocks that are good by themselves count. If not, they decide nothing.
+    A form, or a class or an id of furniture, is a hint that counts as long as there
+    is good text with fewer hints around it.
     """
-    labels = ["bad" if zone == "furniture" else _by_text(text, linked, heading, rules) for text, linked, zone, heading in blocks]
+    labels = _texts(blocks, rules)
     # Hints are followed while good text remains: what has more of them around it than the best text has is furniture.
     hints = [zone.count("hint") for _, _, zone, _ in blocks]
     least = min((h for h, x in zip(hints, labels) if x == "good"), default=0)
@@ -227,7 +262,7 @@ def _first_pass(blocks: list[tuple], rules: Rules) -> list[str]:
 
 
 def _second_pass(labels: list[str]) -> list[bool]:
-    """Undecided blocks follow their nearest decided neighbours; `near` ones need one good side, `short` ones two."""
+    """Undecided blocks follow their nearest decided neighbours; `near` ones need one good side, `short` ones two, headings one behind them."""
     before, last = [], "bad"
     for x in labels:
         before.append(last)
@@ -240,7 +275,7 @@ def _second_pass(labels: list[str]) -> list[bool]:
     keep = []
     for x, a, b in zip(labels, before, after):
         sides = (a == "good") + (b == "good")
-        keep.append(x == "good" or x == "near" and sides >= 1 or x == "short" and sides == 2)
+        keep.append(x == "good" or x == "near" and sides >= 1 or x == "short" and sides == 2 or x == "heading" and b == "good")
     return keep
 
 

@@ -338,3 +338,13 @@ def test_html_class_words_are_hints():
     inner = f"<div><p>{long}</p><p>{long}</p></div><div class='comments'><p>{long}</p></div>"
     for page in (f"<div class='layout has-sidebar'>{inner}</div>", f"<div class=no-sidebar>{inner}</div>", f"<form action=/>{inner}</form>", f"<div class=sidebar>{inner}</div>"):
         assert html.main_text(page) == f"{long}\n\n{long}"
+
+
+def test_html_thresholds_without_article():
+    assert html.main_text(PAGE).split("\n\n")[0] == "A title of the page"
+    short = [f"This is the {n} of the short ones, and it is not a long one." for n in ("first", "second", "third", "fourth")]
+    page = "<nav><a>Menu</a></nav><div><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in short) + "</div><footer>end</footer>"
+    assert html.main_text(page).split("\n\n") == ["Title", *short]
+    polish = "Wczoraj wieczorem mieszkańcy naszego miasta zebrali się przed ratuszem, żeby wysłuchać przemówienia nowego burmistrza. " * 2
+    page = f"<ul><li><a>Strona</a><li><a>Kontakt</a></ul><div><h1>Wieczór</h1><p>{polish}</p><p>{polish}</p></div><div><a>Dalej</a></div>"
+    assert html.main_text(page).split("\n\n") == ["Wieczór", polish.strip(), polish.strip()]
