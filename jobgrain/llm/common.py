@@ -6,6 +6,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows that are broadcast at most, and the number of parts of a hot key beyond that.
+BROADCAST_ROWS = 500_000
+SALTS = 16
+
 # ASCII letters only: the other letters of a text keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,6 +35,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], unique: str) -> DataFrame:
+    """Left join with a `right` of one row per key; nulls in a key are equal to each other.
+
+    Up to BROADCAST_ROWS rows of `right`, which are counted, are broadcast. Beyond, each is repeated for every salt and the
+    rows of `left` are dealt over the salts by their `unique` column, so that a hot key is split.
+    """
+    names = {k: f"_right_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    same = [left[k].eqNullSafe(right[r]) for k, r in names.items()]
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), same, "left").drop(*names.values())
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(SALTS)).cast("int"))
+    dealt = right.withColumn("_right_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = [salted[k].eqNullSafe(dealt[r]) for k, r in (names | {"_salt": "_right_salt"}).items()]
+    return salted.join(dealt, same, "left").drop("_salt", "_right_salt", *names.values())
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Actions inside hand at most `rows` rows at once to a Python worker, which bounds its memory for long texts."""

@@ -49,3 +49,42 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 ORACLES |= {"op9_ngram_jaccard": OP9, "op10_mtree_topk": OP10}
+
+
+def _round(before: str, after: str) -> str:
+    """One assignment (`<after>_near`) to the entries of `before`, and the entries it leads to."""
+    return f"""
+{after}_near AS (
+  SELECT vec_id, part, min(struct_pack(d := d, entry := entry)) AS near
+  FROM (SELECT vec_id, p.part, entry,
+               CAST(coalesce(list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i]))), 0) AS BIGINT) AS d
+        FROM parts p JOIN {before} b ON p.part = b.part) GROUP BY 1, 2),
+{after}_means AS (
+  SELECT part, entry, list(mean ORDER BY i) AS c FROM (
+    SELECT part, entry, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS mean FROM (
+      SELECT p.part, near.entry AS entry, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x
+      FROM parts p JOIN {after}_near n ON p.vec_id = n.vec_id AND p.part = n.part) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+{after} AS (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM {before} b LEFT JOIN {after}_means m ON b.part = m.part AND b.entry = m.entry)"""
+
+
+OP12 = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT vec_id, part, e[part * (len(e) // 16) + 1:(part + 1) * (len(e) // 16)] AS v
+  FROM (SELECT vec_id, e, unnest(range(16)) AS part FROM kept)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64),
+b0 AS (SELECT part, entry, v AS c FROM parts JOIN firsts USING (vec_id)),
+{_round("b0", "b1")},
+{_round("b1", "b2")},
+{_round("b2", "b3")},
+coded AS (
+  SELECT vec_id, string_agg(lower(lpad(to_hex(near.entry), 2, '0')), '' ORDER BY part) AS code, CAST(sum(near.d) AS BIGINT) AS error
+  FROM b3_near GROUP BY 1),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS s FROM b2)
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""
+
+ORACLES |= {"op12_orchard_codes": OP12}

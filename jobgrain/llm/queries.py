@@ -1,6 +1,7 @@
 """One query per corpus operator, over whole tables and with production parameters, and their SQL."""
 
-from jobgrain.llm import decontamination, html, lines, mtree, ngram_join, pieces, pii, quality, sharding, substrings
+from jobgrain.llm import (codes, decontamination, html, lines, mtree, ngram_join, pieces, pii, quality, sharding, simhash, substrings,
+                          whitening)
 from jobgrain.llm.common import table
 from jobgrain.llm.oracles import ORACLES
 
@@ -49,5 +50,18 @@ def op10_mtree_topk(spark, sf_dir):
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_simhash_gph(spark, sf_dir):
+    return simhash.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_orchard_codes(spark, sf_dir):
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_html_extraction, op3_pii_feistel, op4_sentencepiece_nbest, op5_substring_dedup, op6_decontamination, op7_hilbert_sharding, op8_quality_bradley_terry, op9_ngram_jaccard, op10_mtree_topk)}
+    op1_line_dedup, op2_html_extraction, op3_pii_feistel, op4_sentencepiece_nbest, op5_substring_dedup, op6_decontamination, op7_hilbert_sharding, op8_quality_bradley_terry, op9_ngram_jaccard, op10_mtree_topk,
+    op11_simhash_gph, op12_orchard_codes, op13_embedding_whitening)}
