@@ -169,7 +169,8 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, scale: int = SCALE,
 
     Vectors become whole numbers; each distinct one is fitted once, so repeats have no weight. Null vectors and vectors with
     a null or non-finite component take no part. Rows with a null or repeated id are all returned. There are no more
-    components than the rank of the covariance: where all vectors are equal there are none, and no rows. Components of equal
+    components than the rank of the covariance (what is below the rounding of its largest entry is zero): where all vectors are
+    equal there are none, and no rows. Components of equal
     eigenvalue are any orthogonal ones of their space, the same for all rows. deviation is exact, and null where it does not
     fit in a long. Vectors of different lengths raise a ValueError, components beyond 2**62 an ArithmeticError. Extra columns
     are not looked at. An empty table gives an empty result.

@@ -300,7 +300,7 @@ def test_whitening_edges(spark):
 
 def test_whitening_of_large_numbers_is_centred(spark):
     """A mean far above the spread, and products beyond a double's digits: nothing is lost before centring."""
-    rows = [(i, [1e13 + (i * 7 % 11), -1e13 + (i * i % 13), 3e9 * (i % 5)], 0) for i in range(40)]
+    rows = [(i, [1e13 + (i * 7 % 11), -1e13 + (i * i % 13), 3e13 + 3e4 * (i % 5)], 0) for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     whole = [(i, [int(np.floor(64 * x)) + 1_000_000 for x in v]) for i, v, _ in rows]
     n, _, shares, deviations = plain_whitening(whole)
