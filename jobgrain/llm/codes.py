@@ -8,15 +8,13 @@ search ends there. All parts of a batch move through their lists together.
 """
 
 import hashlib
-from typing import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobgrain.llm.common import lookup, settle
-from jobgrain.llm.vectors import shape, stacked, whole
+from jobgrain.llm.vectors import shape, stacked, totals, whole
 
 SCALE = 256
 PARTS = 16
@@ -100,29 +98,23 @@ def _moved(rows: DataFrame, books: Codebooks, exact: bool) -> Codebooks:
     """One round: every entry becomes the floor of the mean of its parts; an unused entry stays."""
     parts, k, width = books.entries.shape
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((parts, k), np.int64)
-        totals = np.zeros((parts, k, width), object)
-        for batch in batches:
-            matrix = stacked(batch["x"], parts * width, exact)
-            indexes, _ = books.assign(matrix)
-            for p in range(parts):
-                mine = matrix[:, p * width:(p + 1) * width]
-                counts[p] += np.bincount(indexes[:, p], minlength=k)
-                for entry in np.unique(indexes[:, p]):
-                    # Sums of a batch of longs below 2**28 fit in a long; larger ones are Python's integers.
-                    totals[p, entry] += mine[indexes[:, p] == entry].sum(0).astype(object)
-        part, entry, place = np.indices(totals.shape)
-        yield pd.DataFrame({"part": part.ravel(), "entry": entry.ravel(), "place": place.ravel(), "c": np.repeat(counts.ravel(), width),
-                            "total": [str(t) for t in totals.ravel()]})
-
-    # One row per number of the codebooks, whatever the number of vectors.
-    sums = (rows.select("x").mapInPandas(summed, "part int, entry int, place int, c long, total string")
-            .groupBy("part", "entry", "place").agg(F.sum("c").alias("c"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect())
+    def summed(batch: pd.DataFrame) -> np.ndarray:
+        matrix = stacked(batch["x"], parts * width, exact)
+        indexes, _ = books.assign(matrix)
+        sums = np.zeros((parts, k, width + 1), object)  # the last place counts
+        for p in range(parts):
+            mine = matrix[:, p * width:(p + 1) * width]
+            for entry in np.unique(indexes[:, p]):
+                # Sums of a batch of longs below 2**28 fit in a long; larger ones are Python's integers.
+                at = indexes[:, p] == entry
+                sums[p, entry, :width], sums[p, entry, width] = mine[at].sum(0).astype(object), int(at.sum())
+        return sums.ravel()
+
+    # As many numbers as the codebooks have, whatever the number of vectors.
+    sums = totals(rows.select("x"), summed, parts * k * (width + 1)).reshape(parts, k, width + 1)
     entries = books.entries.copy()
-    for part, entry, place, c, total in sums:
-        if c:
-            entries[part, entry, place] = int(total) // c
+    used = sums[:, :, width] > 0
+    entries[used] = sums[used][:, :width] // sums[used][:, width:]
     return Codebooks(entries)
 
 

@@ -1,5 +1,8 @@
 """Whole-number vectors of a column of float arrays, shared by the operators on embeddings."""
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -7,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Whole components of this size or more do not surely fit in a long.
 TOO_LARGE = 1 << 62
+# Tasks that add up the sums of all others; their results are what reaches the driver.
+MERGERS = 16
 
 
 def whole(vector: Column, scale: int, offset: int = 0) -> Column:
@@ -33,3 +38,27 @@ def stacked(lists: pd.Series, width: int, exact: bool) -> np.ndarray:
     """One row per list: longs, or Python's integers where products would not fit in a long."""
     flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.empty(0, np.int64)
     return flat.reshape(len(lists), width).astype(object if exact else np.int64)
+
+
+def totals(rows: DataFrame, measure: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all batches of `rows` of the `size` numbers that `measure` makes of each; exact for Python's integers.
+
+    Every task hands on one row, MERGERS tasks add those up, and the driver adds MERGERS rows, however many tasks there are.
+    """
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, met = np.zeros(size, object), False
+        for batch in batches:
+            total, met = total + measure(batch), True
+        if met:
+            yield pd.DataFrame({"total": [pickle.dumps(total)]})
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, met = np.zeros(size, object), False
+        for batch in batches:
+            for one in batch["total"]:
+                total, met = total + pickle.loads(one), True
+        if met:
+            yield pd.DataFrame({"total": [pickle.dumps(total)]})
+
+    parts = rows.mapInPandas(partial, "total binary").repartition(MERGERS).mapInPandas(merged, "total binary").collect()
+    return sum((pickle.loads(t) for t, in parts), np.zeros(size, object))

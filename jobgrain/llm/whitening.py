@@ -6,15 +6,13 @@ right make the columns of L orthogonal without ever forming another product. The
 L J = U D, so A has the eigenvalues D squared and the normalised columns U.
 """
 
-from typing import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobgrain.llm.common import settle
-from jobgrain.llm.vectors import shape, stacked, whole
+from jobgrain.llm.vectors import shape, stacked, totals, whole
 
 SCALE = 64
 OFFSET = 1_000_000
@@ -106,29 +104,14 @@ class Whitening:
         return [int(s) if s < 1 << 63 else None for s in (gaps * gaps).sum(1)]
 
 
-def _summed(rows: DataFrame, measure, size: int) -> list[int]:
-    """Exact sums over all rows of the whole numbers that `measure` makes of a batch of vectors."""
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, object)
-        for batch in batches:
-            total = total + measure(batch["x"])
-        yield pd.DataFrame({"place": np.arange(size), "total": [str(t) for t in total]})
-
-    found = [0] * size
-    for place, total in (rows.mapInPandas(partial, "place int, total string").groupBy("place")
-                         .agg(F.sum(F.col("total").cast("decimal(38,0)"))).collect()):
-        found[place] = int(total)
-    return found
-
-
 def fit(distinct: DataFrame, n: int, dims: int, largest: int, components: int = COMPONENTS) -> Whitening:
     """Components of the distinct whole vectors `x`, from two passes: sums, then the scatter about their rounded mean."""
-    sums = _summed(distinct, lambda x: stacked(x, dims, True).sum(0), dims)
+    sums = totals(distinct, lambda batch: stacked(batch["x"], dims, True).sum(0), dims).tolist()
     centre = np.array([round(s / n) if n else 0 for s in sums], np.int64)
 
-    def scatter(lists: pd.Series) -> np.ndarray:
+    def scatter(batch: pd.DataFrame) -> np.ndarray:
         total = np.zeros((dims, dims), object)
-        about = stacked(lists, dims, largest >= 1 << 61) - centre
+        about = stacked(batch["x"], dims, largest >= 1 << 61) - centre
         for i in range(0, len(about), CHUNK):
             part = about[i:i + CHUNK]
             if len(part) * int(np.abs(part).max(initial=0)) ** 2 < 1 << 53:
@@ -139,7 +122,7 @@ def fit(distinct: DataFrame, n: int, dims: int, largest: int, components: int =
                 total += part.T @ part
         return total.ravel()
 
-    about = np.array(_summed(distinct, scatter, dims * dims), object).reshape(dims, dims)
+    about = totals(distinct, scatter, dims * dims).reshape(dims, dims)
     return Whitening(n, sums, about, centre, components)
 
 
@@ -147,18 +130,11 @@ def identity_error(distinct: DataFrame, fitted: Whitening, dims: int) -> float:
     """Largest absolute entry of the covariance of the whitened fit list less the identity, measured over all of it."""
     size = len(fitted.values)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, square = np.zeros(size), np.zeros((size, size))
-        for batch in batches:
-            white = fitted.whitened(stacked(batch["x"], dims, False))
-            total += white.sum(0)
-            square += white.T @ white
-        flat = np.concatenate([total, square.ravel()])
-        yield pd.DataFrame({"place": np.arange(len(flat)), "total": flat})
-
-    sums = np.zeros(size + size * size)
-    for place, total in distinct.mapInPandas(partial, "place int, total double").groupBy("place").agg(F.sum("total")).collect():
-        sums[place] = total
+    def moments(batch: pd.DataFrame) -> np.ndarray:
+        white = fitted.whitened(stacked(batch["x"], dims, False))
+        return np.concatenate([white.sum(0), (white.T @ white).ravel()])
+
+    sums = totals(distinct, moments, size + size * size).astype(np.float64)
     mean, square = sums[:size] / fitted.n, sums[size:].reshape(size, size) / fitted.n
     return float(np.abs(square - np.outer(mean, mean) - np.eye(size)).max(initial=0))
 
@@ -169,11 +145,11 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, scale: int = SCALE,
 
     Vectors become whole numbers; each distinct one is fitted once, so repeats have no weight. Null vectors and vectors with
     a null or non-finite component take no part. Rows with a null or repeated id are all returned. There are no more
-    components than the rank of the covariance (what is below the rounding of its largest entry is zero): where all vectors are
-    equal there are none, and no rows. Components of equal
-    eigenvalue are any orthogonal ones of their space, the same for all rows. deviation is exact, and null where it does not
-    fit in a long. Vectors of different lengths raise a ValueError, components beyond 2**62 an ArithmeticError. Extra columns
-    are not looked at. An empty table gives an empty result.
+    components than the rank of the covariance (what is below the rounding of its largest entry is zero): where all vectors
+    are equal there are none, and no rows. Components of equal eigenvalue are any orthogonal ones of their space, the same
+    for all rows. deviation is exact, and null where it does not fit in a long. Vectors of different lengths raise a
+    ValueError, components beyond 2**62 an ArithmeticError. Extra columns are not looked at. An empty table gives an empty
+    result.
     """
     rows = settle(vectors.select(F.col(id_column).alias("id"), whole(F.col(vector), scale, offset).alias("x")).where("x is not null"))
     _, dims, largest = shape(rows, "x")
