@@ -1,7 +1,7 @@
 """Euclidean silhouette of two numeric features without pairs of tuples.
 
-One feature (`level`, e.g. years of experience) has few distinct values, the
-other (`wide`, e.g. salary) any number. Within a level the distance is an
+Where one feature (`level`, e.g. years of experience) has few distinct values, the
+other (`wide`, e.g. salary) any number, no Python runs; else see `quadtree`. Within a level the distance is an
 absolute difference, handled by running sums. Between levels that differ by c
 the distance sqrt(dx^2 + c^2) is smooth in dx at the scale of c, so the rows of
 a cell no wider than c act exactly (to rounding) like NODES weighted points at
@@ -15,12 +15,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobgrain.clustering import quadtree, scoring
 from jobgrain.clustering.features import CLUSTER, WEIGHT
 from jobgrain.clustering.silhouette import abs_difference_sums, mean_silhouette
 from jobgrain.operators.scale import small_join
 
 NODES = 20
-MAX_LEVELS = 64
+# Up to this many distinct values a feature is taken as levels; beyond, both features go through `quadtree`.
+FEW_LEVELS = 64
 MAX_SERIES = 5_000
 
 _NODE = [math.cos((2 * q + 1) * math.pi / (2 * NODES)) for q in range(NODES)]
@@ -48,12 +50,10 @@ def _times(matrix: list[list[float]], vector: str) -> str:
 _POLYNOMIALS = f"transform(sequence(0, {NODES - 1}), n -> cos(n * _angle))"
 
 
-def level_values(tuples: DataFrame, level: str) -> list[float]:
-    rows = tuples.select(level).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{level} has more than {MAX_LEVELS} distinct values; "
-                         "one of two numeric features must have few")
-    return sorted(r[0] for r in rows)
+def level_values(tuples: DataFrame, level: str) -> list[float] | None:
+    """The distinct values in order, or None if they are many."""
+    rows = tuples.select(level).distinct().limit(FEW_LEVELS + 1).collect()
+    return None if len(rows) > FEW_LEVELS else sorted(r[0] for r in rows)
 
 
 def _angle(u: Column) -> Column:
@@ -162,6 +162,11 @@ def euclidean_sums(tuples: DataFrame, wide: str, level: str, levels: list[float]
 
 def plane_silhouette(tuples: DataFrame, wide: str, level: str, low: float, high: float,
                      sizes: list[int], levels: list[float] | None = None, bounds=()) -> DataFrame:
+    """One row: `silhouette`. `low` and `high` bound the wide feature; both features may have any number of values."""
     levels = level_values(tuples, level) if levels is None else levels
+    if levels is None:
+        labelled = tuples.withColumn(scoring.LABELS, F.array(CLUSTER))
+        score, = scoring.silhouettes(quadtree.plane_sums(labelled, wide, level, [len(sizes)]), [sizes])
+        return tuples.sparkSession.createDataFrame([(score,)], "silhouette double")
     return mean_silhouette(
         euclidean_sums(tuples, wide, level, levels, low, high, len(sizes), bounds), sizes)

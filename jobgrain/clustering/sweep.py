@@ -1,30 +1,15 @@
 """Choice of method and of k."""
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
-from jobgrain.clustering import euclidean, kmeans, prototypes, silhouette
-from jobgrain.clustering.features import (FeatureSet, assign, measure, resolve, split_types,
-                                          tuples_of)
-from jobgrain.operators.scale import settle
+from jobgrain.clustering.features import CLUSTER, FeatureSet, assign, measure, resolve, split_types
+from jobgrain.clustering.methods import Data, Fit, Method, by_types
+from jobgrain.operators.scale import spread_join
 
-RUNS = "method_name string, k int, silhouette_score double, skipped_reason string, iterations int, converged boolean"
-
-
-@dataclass(frozen=True)
-class Fit:
-    """One labelling rule: centroids in encoded units."""
-    method_name: str
-    k: int
-    centroids: list[dict]
-    gamma: float
-    cost: float
-    iterations: int = 0
-    converged: bool = True
+RUNS = "method_name string, k int, silhouette_score double, skipped_reason string, iterations int, converged boolean, cost double"
 
 
 @dataclass(frozen=True)
@@ -35,7 +20,7 @@ class Sweep:
     best_score: float
 
     def label(self, df: DataFrame, encoded_prefix: str = "_z_") -> DataFrame:
-        """Kept rows of `df` with their cluster, a row-local projection."""
+        """Kept rows of `df` with their cluster: a row-local projection, or a join for methods without centroids."""
         return label_rows(df, self.features, self.best, encoded_prefix)
 
     def summary(self) -> DataFrame:
@@ -58,101 +43,52 @@ def label_rows(df: DataFrame, features: FeatureSet, fit: Fit, prefix: str = "_z_
         **{renamed[c]: features.moments[c].z(F.col(c)) for c in features.numeric},
         **{renamed[c]: F.col(c).cast("string") for c in features.categorical}})
     aliased = FeatureSet([renamed[c] for c in features.numeric], [renamed[c] for c in features.categorical])
+    if fit.labels is not None:
+        given = fit.labels.select(*[F.col(c).alias(renamed[c]) for c in features.columns], CLUSTER)
+        return spread_join(encoded, given, list(renamed.values()), "inner").drop(*renamed.values())
     centroids = [{renamed[c]: v for c, v in m.items()} for m in fit.centroids]
     return assign(encoded, aliased, centroids, fit.gamma).drop(*renamed.values())
 
 
-class Model:
-    """Fits and scores one method on settled tuples."""
-
-    def __init__(self, tuples: DataFrame, features: FeatureSet, max_k: int):
-        self.tuples, self.features = tuples, features
-        self.gamma = prototypes.default_gamma(features)
-        self.columns = silhouette.inspect(tuples, features.numeric, features.categorical)
-        if not features.categorical:
-            self.method_name = "K-Means"
-            self.vectors = kmeans.as_vectors(tuples, features)
-            self.seeds = []
-        else:
-            self.method_name = "K-Prototypes" if features.numeric else "K-Modes"
-            dense = settle(prototypes.with_density(tuples, features))
-            # Seeds of a smaller k are a prefix of these.
-            self.seeds = prototypes.cao_seeds(dense, features, max_k, self.gamma)
-        self.distinct = len(tuples.limit(max_k + 1).collect())
-
-    def fit(self, k: int, restarts: int) -> Fit | None:
-        """None when there are fewer distinct tuples than clusters."""
-        if k > self.distinct:
-            return None
-        if self.method_name == "K-Means":
-            found = kmeans.fit_reported(self.vectors, self.features, k, restarts)
-            return Fit(self.method_name, k, found[0], self.gamma, *found[1:])
-        centroids, cost, history = prototypes.fit(self.tuples, self.features, self.seeds[:k], self.gamma)
-        return Fit(self.method_name, k, centroids, self.gamma, cost, len(history), len(history) < prototypes.MAX_ITER)
-
-    def labelled(self, fit: Fit) -> DataFrame:
-        return assign(self.tuples, self.features, fit.centroids, fit.gamma)
-
-    def score(self, fit: Fit) -> tuple[float | None, str | None]:
-        labelled = self.labelled(fit)
-        sizes = silhouette.cluster_sizes(labelled, fit.k)
-        reason = silhouette.skip_reason(sizes)
-        if reason:
-            return None, reason
-        f = self.features
-        if f.categorical:
-            ranges = {c: f.moments[c].z_range for c in f.numeric}
-            one = silhouette.gower_silhouette(labelled, ranges, f.categorical, sizes, self.columns)
-        elif len(f.numeric) == 1:
-            one = silhouette.line_silhouette(labelled, f.numeric[0], sizes, self.columns)
-        else:
-            one = self._plane(labelled, sizes)
-        return one.first()["silhouette"], None
-
-    def _plane(self, labelled: DataFrame, sizes: list[int]) -> DataFrame:
-        # The feature with fewer distinct values takes the part of the levels, in whatever order they were named.
-        counts = self.tuples.agg(*[F.count_distinct(c).alias(c) for c in self.features.numeric]).first()
-        level, wide = sorted(self.features.numeric, key=lambda c: (counts[c], c))
-        low, high = (self.features.moments[wide].low, self.features.moments[wide].high)
-        m = self.features.moments[wide]
-        scale = m.std or 1.0
-        return euclidean.plane_silhouette(labelled, wide, level, (low - m.mean) / scale,
-                                          (high - m.mean) / scale, sizes, bounds=self.columns.cuts[wide])
-
-
-def sweep(df: DataFrame, selected: list[str], ks=range(2, 13), restarts: int = 3,
-          final_restarts: int = 10, pin: int | None = None, parallel: int = 4) -> Sweep:
+def sweep(df: DataFrame, selected: list[str], ks=range(2, 13), restarts: int | None = None,
+          final_restarts: int | None = None, pin: int | None = None, method: Method | None = None) -> Sweep:
     """Fit every k, score it, refit the best (first on a tie), or the pinned one.
 
-    `selected` are feature labels or column names, in any order. `runs` says of each k how
-    many iterations it took and whether it settled before the limit. Only k-sized results reach
-    the driver; a k that cannot be fitted or scored is reported with its reason.
-    Values of k are independent, so `parallel` of them share the cluster: the jobs
-    of one are short and would leave most executors idle.
+    `selected` are feature labels or column names, in any order. The method follows from their types unless one is given,
+    and brings its own restarts unless they are given: of several the one of least cost counts. All k and restarts move
+    through the tuples together, and all labels are scored together. `runs` says of each k how many iterations it took and
+    whether it settled before the limit. Only k-sized results reach the driver; a k that cannot be fitted or scored is
+    reported with its reason.
     """
     chosen = split_types(resolve(selected))
-    if not chosen.categorical:  # seeds depend on how the tuples are dealt, which the order of the columns decides
+    if not chosen.categorical:  # centroids are sums over features, whose order must not matter
         chosen = split_types(sorted(resolve(selected)))
     features = measure(df, chosen)
-    model = Model(settle(tuples_of(df, features)), features, max([*ks, pin or 0]))
-
-    @inheritable_thread_target(df.sparkSession)
-    def attempt(k: int):
-        fit = model.fit(k, restarts)
-        score, reason = (None, "more clusters than distinct tuples") if fit is None else model.score(fit)
-        return model.method_name, k, score, reason, fit and fit.iterations, fit and fit.converged
+    method, data, ks = method or by_types(features), Data.of(df, features), list(ks)
+    restarts = method.restarts if restarts is None else restarts
+    final_restarts = method.final_restarts if final_restarts is None else final_restarts
+
+    def fitted(wanted: list[int], tries: range) -> dict[tuple[int, int], Fit]:
+        runs = [(k, r) for k in wanted for r in tries if k <= data.count]
+        return method.fit(data, runs) if runs else {}
+
+    every = fitted(ks, range(restarts))
+    best = {k: min((f for run, f in every.items() if run[0] == k), key=lambda f: f.cost) for k in ks if k <= data.count}
+    scored = dict(zip(best, data.scores(list(best.values()), method.metric)))
+    rows = []
+    for k in ks:
+        fit, (score, reason) = best.get(k), scored.get(k, (None, "more clusters than distinct tuples"))
+        rows.append((method.name, k, score, reason, fit and fit.iterations, fit and fit.converged, fit and fit.cost))
 
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        rows = list(pool.map(attempt, ks))
     best_k, best_score = ks[0], -1.0
     for _, k, score, *_ in rows:
         if score is not None and score > best_score:
             best_k, best_score = k, score
-    chosen = best_k if pin is None else pin
     if pin is not None:
-        best_score = next((s for _, k, s, *_ in rows if k == pin and s is not None), -1.0)
-    final = model.fit(chosen, final_restarts)
-    if final is None:
-        raise ValueError(f"{chosen} clusters need at least as many distinct tuples")
-    runs = df.sparkSession.createDataFrame(rows, RUNS)
-    return Sweep(features, runs, final, max(best_score, 0.0))
+        best_k, best_score = pin, next((s for _, k, s, *_ in rows if k == pin and s is not None), -1.0)
+    # Restarts that the search has made already are not made again.
+    done = restarts if best_k in best else 0
+    last = [f for run, f in every.items() if run[0] == best_k] + list(fitted([best_k], range(done, final_restarts)).values())
+    if not last:
+        raise ValueError(f"{best_k} clusters need at least as many distinct tuples")
+    return Sweep(features, df.sparkSession.createDataFrame(rows, RUNS), min(last, key=lambda f: f.cost), max(best_score, 0.0))

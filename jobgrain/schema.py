@@ -39,3 +39,8 @@ PAGE = T.StructType([T.StructField("items", T.ArrayType(POSTING_CORE))])
 ROLE_CATALOGUE = _struct(("categories", T.ArrayType(_struct("id", "name", ("roles", T.ArrayType(ID_NAME))))))
 
 LEXICON = _struct("skill", "keyword")
+
+
+def with_fields(schema: T.StructType, **types: str) -> T.StructType:
+    """A copy of `schema` with more fields; `StructType.add` would change the schema a DataFrame keeps."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in types.items())).fields])

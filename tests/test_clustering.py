@@ -82,11 +82,18 @@ def test_plane(points, stretch):
     assert got.first()[0] == pytest.approx(want, abs=1e-10)
 
 
-def test_plane_needs_one_feature_of_few_values(spark):
-    t = spark.range(100).select(F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("e"),
-                                F.lit(0).alias(CLUSTER), F.lit(1).alias("w"))
-    with pytest.raises(ValueError):
-        euclidean.plane_silhouette(t, "x", "e", 0.0, 99.0, [100])
+def test_plane_of_two_features_of_many_values(spark):
+    """Two wide features: clumps, a far outlier, lines, equal points with other labels, and a cluster of one row."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, 900), rng.lognormal(0, 2, 600), np.full(300, 2.5), rng.normal(9, 1e-3, 199), [4e4]])
+    y = np.concatenate([rng.exponential(3, 1500), np.linspace(0, 1, 300), rng.normal(9, 1e-3, 199), [-5.0]])
+    x[:40], y[:40] = x[40:80], y[40:80]
+    labels = rng.integers(0, 4, 2000)
+    labels[7] = 5
+    t = weighted(spark.createDataFrame([(float(a), float(b), int(i)) for a, b, i in zip(x, y, labels)], "x double, e double, cluster int"), "x", "e")
+    want = brute_silhouette(np.hypot(x[:, None] - x, y[:, None] - y), labels)
+    got = euclidean.plane_silhouette(t, "x", "e", 0.0, 0.0, silhouette.cluster_sizes(t, 6))
+    assert got.first()[0] == pytest.approx(want, abs=1e-9)
 
 
 def test_skip_reasons():

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from jobgrain.clustering import euclidean, profile, prototypes, silhouette
+from jobgrain.clustering import euclidean, methods, profile, prototypes, quadtree, scoring, silhouette
 from jobgrain.clustering import sweep as W
 from jobgrain.clustering.features import (CLUSTER, FeatureSet, collapse, gower, measure, nearest,
                                           tuples_of)
@@ -14,10 +14,10 @@ from workload.tables import base, table
 CATS = ["c_mktsegment", "o_orderstatus", "n_name"]
 GIVEN = 4  # given labels: customer key modulo 4
 
-# Features of the base view: rounded pay, years, segment.
+# Features of the base view: whole pay, years, segment.
 FEATURES_SQL = """
 f AS (SELECT k, o_custkey, CAST(o_custkey % 4 AS INTEGER) AS cluster, c_mktsegment, o_orderstatus, n_name,
-        round(o_totalprice, -4) AS pay,
+        o_totalprice AS pay, c_acctbal AS balance,
         CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 3 WHEN '4' THEN 6 END AS years
       FROM b)"""
 
@@ -25,7 +25,7 @@ f AS (SELECT k, o_custkey, CAST(o_custkey % 4 AS INTEGER) AS cluster, c_mktsegme
 def base_rows(spark, sf):
     return base(spark, sf).selectExpr(
         "o_orderkey as k", "int(o_custkey % 4) as cluster", "c_mktsegment", "o_orderstatus", "n_name",
-        "round(o_totalprice, -4) as pay",
+        "o_totalprice as pay", "c_acctbal as balance",
         "case substring(o_orderpriority, 1, 1) when '1' then 0 when '2' then 1 when '3' then 3 when '4' then 6 end as years")
 
 
@@ -142,14 +142,29 @@ def a22(spark, sf):
 # --- distances and silhouettes of given labels ------------------------------
 
 RANGE_SQL = "g AS (SELECT max(pay) - min(pay) AS span FROM f)"
-TUPLES_SQL = "t AS (SELECT pay, c_mktsegment, cluster, count(*) AS w FROM f GROUP BY ALL)"
-SUMS_SQL = """d AS (SELECT a.pay, a.c_mktsegment, a.cluster, a.w, z.cluster AS other, sum(z.w * ({distance})) AS total, sum(z.w) AS n
-  FROM t a, t z{extra} GROUP BY ALL),
-si AS (SELECT pay, c_mktsegment, cluster, w,
-  max(total / (n - 1)) FILTER (other = cluster) AS inner_mean, min(total / n) FILTER (other <> cluster) AS outer_mean
-  FROM d GROUP BY ALL)
-SELECT round(sum(w * (outer_mean - inner_mean) / greatest(outer_mean, inner_mean)) / sum(w), 9) AS silhouette FROM si"""
-GOWER_SQL = "(abs(a.pay - z.pay) / span + CASE WHEN a.c_mktsegment <> z.c_mktsegment THEN 1 ELSE 0 END) / 2"
+
+
+def _line_sums(values: str) -> str:
+    """`ls`: per value of pay and cluster, the sum of |pay - x| over the cluster, from running counts and sums."""
+    return f"""
+h AS (SELECT v.pay, c.other, count(f.pay) AS n, coalesce(sum(f.pay), 0) AS mass
+  FROM (SELECT DISTINCT pay FROM {values}) v CROSS JOIN (SELECT unnest(range({GIVEN})) AS other) c
+  LEFT JOIN {values} f ON f.pay = v.pay AND f.cluster = c.other GROUP BY 1, 2),
+ls AS (SELECT pay, other, pay * (2 * sum(n) OVER upto - sum(n) OVER whole) + sum(mass) OVER whole - 2 * sum(mass) OVER upto AS total,
+  CAST(sum(n) OVER whole AS DOUBLE) AS n FROM h
+  WINDOW upto AS (PARTITION BY other ORDER BY pay), whole AS (PARTITION BY other))"""
+
+
+# Per row and cluster: the mean of half a scaled difference and half a mismatch.
+GOWER_SUMS_SQL = f"""{_line_sums('f')},
+m AS (SELECT cluster AS other, c_mktsegment, count(*) AS same FROM f GROUP BY 1, 2),
+d AS (SELECT f.k, f.pay, f.c_mktsegment, f.cluster, ls.other, (ls.total / span + ls.n - coalesce(m.same, 0)) / 2 AS total, ls.n
+  FROM f JOIN ls ON f.pay = ls.pay LEFT JOIN m ON m.other = ls.other AND m.c_mktsegment = f.c_mktsegment, g)"""
+LINE_SUMS_SQL = f"""{_line_sums('f')},
+d AS (SELECT f.k, f.pay, f.c_mktsegment, f.cluster, ls.other, ls.total, ls.n FROM f JOIN ls ON f.pay = ls.pay)"""
+SCORE_SQL = """si AS (SELECT k, max(total / (n - 1)) FILTER (other = cluster) AS inner_mean, min(total / n) FILTER (other <> cluster) AS outer_mean
+  FROM d GROUP BY k)
+SELECT round(avg((outer_mean - inner_mean) / greatest(outer_mean, inner_mean)), 9) AS silhouette FROM si"""
 
 
 def _pay_range(rows):
@@ -173,9 +188,9 @@ def c07(spark, sf):
 
 
 @query("j02_distance_sums", f"""
-WITH {FEATURES_SQL}, {RANGE_SQL}, {TUPLES_SQL}
-SELECT a.pay, a.c_mktsegment, a.cluster, a.w, {', '.join(f'round(sum(z.w * {GOWER_SQL}) FILTER (z.cluster = {i}), 5) AS to_{i}' for i in range(4))}
-FROM t a, t z, g GROUP BY ALL""")
+WITH {FEATURES_SQL}, {RANGE_SQL}, {GOWER_SUMS_SQL}
+SELECT pay, c_mktsegment, cluster, count(DISTINCT k) AS w, {', '.join(f'round(max(total) FILTER (other = {i}), 5) AS to_{i}' for i in range(4))}
+FROM d GROUP BY pay, c_mktsegment, cluster""")
 def j02(spark, sf):
     """What the full distance matrix is used for: each tuple's distance to whole clusters."""
     tuples = _weighted(base_rows(spark, sf), ["pay", "c_mktsegment"])
@@ -185,20 +200,24 @@ def j02(spark, sf):
 
 
 @query("c08_silhouette_line", f"""
-WITH {FEATURES_SQL}, {TUPLES_SQL}, {SUMS_SQL.format(distance='abs(a.pay - z.pay)', extra='')}""")
+WITH {FEATURES_SQL}, {LINE_SUMS_SQL}, {SCORE_SQL}""")
 def c08_line(spark, sf):
     tuples = _weighted(base_rows(spark, sf), ["pay"])
     return _sil(silhouette.line_silhouette(tuples, "pay", silhouette.cluster_sizes(tuples, GIVEN)))
 
 
-@query("c08_silhouette_plane", f"""
-WITH {FEATURES_SQL}, kept AS (SELECT * FROM f WHERE years IS NOT NULL),
-z AS (SELECT (pay - (SELECT avg(pay) FROM kept)) / (SELECT stddev_pop(pay) FROM kept) AS pay,
-  (years - (SELECT avg(years) FROM kept)) / (SELECT stddev_pop(years) FROM kept) AS c_mktsegment, cluster FROM kept),
-t AS (SELECT pay, c_mktsegment, cluster, count(*) AS w FROM z GROUP BY ALL),
-{SUMS_SQL.format(distance='sqrt((a.pay - z.pay) ** 2 + (a.c_mktsegment - z.c_mktsegment) ** 2)', extra='')}""")
+def _plane_sql(x: str, y: str) -> str:
+    """Scaled features, and every pair of rows."""
+    return f"""kept AS (SELECT * FROM f WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+z AS (SELECT k, cluster, ({x} - (SELECT avg({x}) FROM kept)) / (SELECT stddev_pop({x}) FROM kept) AS x,
+  ({y} - (SELECT avg({y}) FROM kept)) / (SELECT stddev_pop({y}) FROM kept) AS y FROM kept),
+d AS (SELECT a.k, a.cluster, z.cluster AS other, sum(sqrt((a.x - z.x) ** 2 + (a.y - z.y) ** 2)) AS total, count(*) AS n
+  FROM z a, z GROUP BY ALL), {SCORE_SQL}"""
+
+
+@query("c08_silhouette_plane", f"WITH {FEATURES_SQL}, {_plane_sql('pay', 'years')}")
 def c08_plane(spark, sf):
-    """Two scaled numeric features, true Euclidean distance."""
+    """Two scaled numeric features, one of few values, true Euclidean distance."""
     rows = base_rows(spark, sf)
     features = measure(rows, FeatureSet(["pay", "years"], []))
     tuples = features.encode(_weighted(rows, ["pay", "years"]))
@@ -207,6 +226,17 @@ def c08_plane(spark, sf):
                                            (pay.high - pay.mean) / pay.std, silhouette.cluster_sizes(tuples, GIVEN)))
 
 
+@query("c08_silhouette_two_prices", f"WITH {FEATURES_SQL}, {_plane_sql('pay', 'balance')}")
+def c08_prices(spark, sf):
+    """Two scaled features of many values each."""
+    rows = base_rows(spark, sf)
+    features = measure(rows, FeatureSet(["pay", "balance"], []))
+    tuples = features.encode(_weighted(rows, ["pay", "balance"])).withColumn(scoring.LABELS, F.array(CLUSTER))
+    sizes = [silhouette.cluster_sizes(tuples, GIVEN)]
+    score, = scoring.silhouettes(quadtree.plane_sums(tuples, "pay", "balance", [GIVEN]), sizes)
+    return spark.createDataFrame([(round(score, 9),)], "silhouette double")
+
+
 @query("c09_silhouette_hamming", f"""
 WITH {FEATURES_SQL}, t AS (SELECT c_mktsegment, o_orderstatus AS pay, n_name, cluster, count(*) AS w FROM f GROUP BY ALL),
 d AS (SELECT a.c_mktsegment, a.pay, a.n_name, a.cluster, a.w, z.cluster AS other, sum(z.w) AS n,
@@ -221,7 +251,7 @@ def c09(spark, sf):
 
 
 @query("c10_silhouette_gower", f"""
-WITH {FEATURES_SQL}, {RANGE_SQL}, {TUPLES_SQL}, {SUMS_SQL.format(distance=GOWER_SQL, extra=', g')}""")
+WITH {FEATURES_SQL}, {RANGE_SQL}, {GOWER_SUMS_SQL}, {SCORE_SQL}""")
 def c10(spark, sf):
     tuples = _weighted(base_rows(spark, sf), ["pay", "c_mktsegment"])
     low, high = _pay_range(tuples)
@@ -360,7 +390,7 @@ def _runs(found):
 def c01(spark, sf):
     """Method chosen for numeric, categorical and mixed selections."""
     frame = _frame(spark, sf)
-    found = [W.sweep(frame, picked, range(2, 3), restarts=1, final_restarts=1) for picked in
+    found = [W.sweep(frame, picked, range(2, 4)) for picked in
              (["min_experience_years"], ["schedule_name", "area_name"], ["salary_avg", "schedule_name"])]
     out = found[0].summary()
     for f in found[1:]:
@@ -375,13 +405,14 @@ def _frame(spark, sf):
 
 @query("c02_sweep_mixed")
 def c02(spark, sf):
-    return _runs(W.sweep(_frame(spark, sf), ["Зарплата", "График работы"], range(2, 6), restarts=1, final_restarts=1))
+    """2 to 12 clusters, the default."""
+    return _runs(W.sweep(_frame(spark, sf), ["Зарплата", "График работы"]))
 
 
 @query("c03_kmeans_sizes")
 def c03(spark, sf):
     frame = _frame(spark, sf)
-    found = W.sweep(frame, ["salary_avg", "min_experience_years"], range(2, 4), restarts=1, final_restarts=2)
+    found = W.sweep(frame, ["salary_avg", "min_experience_years"])
     return profile.sizes(found.label(frame), found.best.k)
 
 
@@ -394,42 +425,84 @@ def c03_order(spark, sf):
     return both.agg((F.count_distinct("s") == 1).alias("same"), F.count("s").alias("runs"))
 
 
-@query("c04_kmodes_sweep")
-def c04_sweep(spark, sf):
-    return _runs(W.sweep(_frame(spark, sf), ["schedule_name", "area_name"], range(2, 5), restarts=1, final_restarts=1))
+MISS_SQL = "(CASE WHEN {0}.a <> {1}.a THEN 1 ELSE 0 END + CASE WHEN {0}.b <> {1}.b THEN 1 ELSE 0 END)"
 
 
-def _kmodes_sql(k: int, steps: int) -> str:
-    """Seeds and then `steps` reassignments, unrolled; later steps repeat a converged result."""
-    miss = "(CASE WHEN {0}.a <> {1}.a THEN 1 ELSE 0 END + CASE WHEN {0}.b <> {1}.b THEN 1 ELSE 0 END)"
+def _cao_sql(k: int) -> list[str]:
+    """Distinct tuples of schedule and area, and their k seeds."""
     parts = ["""t AS MATERIALIZED (SELECT schedule_name AS a, area_name AS b, count(*) AS w FROM p
       WHERE schedule_name IS NOT NULL AND area_name IS NOT NULL GROUP BY ALL)""",
              """g0 AS MATERIALIZED (SELECT a, b, (sum(w) OVER (PARTITION BY a) / sum(w) OVER ()
       + sum(w) OVER (PARTITION BY b) / sum(w) OVER ()) / 2 AS density, CAST(99 AS BIGINT) AS gap FROM t)""",
              "s0 AS MATERIALIZED (SELECT a, b FROM g0 ORDER BY density DESC, a, b LIMIT 1)"]
     for i in range(1, k):
-        parts += [f"g{i} AS MATERIALIZED (SELECT g.a, g.b, density, least(gap, {miss.format('g', 's')}) AS gap FROM g{i - 1} g, s{i - 1} s)",
+        parts += [f"g{i} AS MATERIALIZED (SELECT g.a, g.b, density, least(gap, {MISS_SQL.format('g', 's')}) AS gap FROM g{i - 1} g, s{i - 1} s)",
                   f"s{i} AS MATERIALIZED (SELECT a, b FROM g{i} WHERE gap > 0 ORDER BY gap * density DESC, a, b LIMIT 1)"]
-    parts.append("m0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS cid, a, b FROM s{i}" for i in range(k)) + ")")
+    return parts
+
+
+def _modes_sql(k: int, steps: int, at: str = "") -> list[str]:
+    """`steps` reassignments from the first k seeds, unrolled; later steps repeat a converged result."""
+    parts = [f"m{at}0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS cid, a, b FROM s{i}" for i in range(k)) + ")"]
     for n in range(1, steps + 1):
-        parts += [f"""near{n} AS MATERIALIZED (SELECT a, b, w, cid FROM (SELECT t.a, t.b, t.w, m.cid,
-          row_number() OVER (PARTITION BY t.a, t.b ORDER BY {miss.format('t', 'm')}, m.cid) AS rn FROM t, m{n - 1} m) WHERE rn = 1)""",
-                  *[f"""{c}{n}x AS (SELECT cid, {c} AS v FROM (SELECT cid, {c}, row_number() OVER (PARTITION BY cid ORDER BY sum(w) DESC, {c}) AS rn
-          FROM near{n} GROUP BY cid, {c}) WHERE rn = 1)""" for c in "ab"],
-                  f"""m{n} AS MATERIALIZED (SELECT m.cid, coalesce(x.v, m.a) AS a, coalesce(y.v, m.b) AS b
-          FROM m{n - 1} m LEFT JOIN a{n}x x USING (cid) LEFT JOIN b{n}x y USING (cid))"""]
-    return ("WITH " + ", ".join(parts) + f" SELECT CAST(cid AS INTEGER) AS cluster, a AS schedule_name, b AS area_name,"
+        m, near = f"m{at}{n - 1}", f"near{at}{n}"
+        parts += [f"""{near} AS MATERIALIZED (SELECT a, b, w, cid FROM (SELECT t.a, t.b, t.w, m.cid,
+          row_number() OVER (PARTITION BY t.a, t.b ORDER BY {MISS_SQL.format('t', 'm')}, m.cid) AS rn FROM t, {m} m) WHERE rn = 1)""",
+                  *[f"""{c}{at}{n}x AS (SELECT cid, {c} AS v FROM (SELECT cid, {c}, row_number() OVER (PARTITION BY cid ORDER BY sum(w) DESC, {c}) AS rn
+          FROM {near} GROUP BY cid, {c}) WHERE rn = 1)""" for c in "ab"],
+                  f"""m{at}{n} AS MATERIALIZED (SELECT m.cid, coalesce(x.v, m.a) AS a, coalesce(y.v, m.b) AS b
+          FROM {m} m LEFT JOIN a{at}{n}x x USING (cid) LEFT JOIN b{at}{n}x y USING (cid))"""]
+    return parts
+
+
+def _kmodes_sql(k: int, steps: int) -> str:
+    return ("WITH " + ", ".join(_cao_sql(k) + _modes_sql(k, steps)) + f" SELECT CAST(cid AS INTEGER) AS cluster, a AS schedule_name, b AS area_name,"
             f" (SELECT CAST(sum(w) AS BIGINT) FROM near{steps} z WHERE z.cid = m.cid) AS size FROM m{steps} m")
 
 
+def _kmodes_sweep_sql(ks: range, steps: int) -> str:
+    """Every k fitted, and the Hamming silhouette of its labels from counts of all pairs of tuples."""
+    parts = _cao_sql(max(ks))
+    for k in ks:
+        parts += _modes_sql(k, steps, f"{k}_")
+    parts += ["fits AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, a, b, w, cid FROM near{k}_{steps}" for k in ks) + ")",
+              f"""d AS (SELECT x.k, x.a, x.b, x.w, x.cid, y.cid AS other, sum(y.w * {MISS_SQL.format('x', 'y')}) / 2.0 AS total, sum(y.w) AS n
+      FROM fits x JOIN fits y ON x.k = y.k GROUP BY ALL)""",
+              """i AS (SELECT k, a, b, w, max(total / nullif(n - 1, 0)) FILTER (other = cid) AS inner_mean, min(total / n) FILTER (other <> cid) AS outer_mean
+      FROM d GROUP BY k, a, b, w, cid)""",
+              """sc AS (SELECT k, round(sum(w * coalesce((outer_mean - inner_mean) / nullif(greatest(inner_mean, outer_mean), 0), 0)) / sum(w), 6) AS score,
+      FROM i GROUP BY k)""",
+              f"co AS (SELECT f.k, sum(f.w * {MISS_SQL.format('f', 'm')}) AS cost FROM fits f JOIN (" + " UNION ALL ".join(
+                  f"SELECT {k} AS k, * FROM m{k}_{steps}" for k in ks) + ") m ON f.k = m.k AND f.cid = m.cid GROUP BY 1)"]
+    return "WITH " + ", ".join(parts)
+
+
+# The supplied tables settle in two or three steps; the query reports how many it took.
+KMODES_SWEEP_SQL = _kmodes_sweep_sql(range(2, 13), 5)
+
+
+@query("c04_kmodes_sweep", KMODES_SWEEP_SQL + """
+SELECT 'K-Modes' AS method_name, CAST(k AS INTEGER) AS k, score AS silhouette_score, CAST(cost AS DOUBLE) AS cost FROM sc JOIN co USING (k)""")
+def c04_sweep(spark, sf):
+    """2 to 12 clusters of schedule and area."""
+    return _runs(W.sweep(_frame(spark, sf), ["schedule_name", "area_name"])).select("method_name", "k", "silhouette_score", "cost")
+
+
+@query("c13_run_summary", KMODES_SWEEP_SQL + """
+SELECT 'K-Modes' AS method_name, CAST(k AS INTEGER) AS n_clusters, score AS silhouette_score FROM sc ORDER BY score DESC, k LIMIT 1""")
+def c13(spark, sf):
+    found = W.sweep(_frame(spark, sf), ["schedule_name", "area_name"])
+    return found.summary().withColumn("silhouette_score", r("silhouette_score", 6))
+
+
 @query("c04_kmodes_centroids", _kmodes_sql(4, 8))
 def c04(spark, sf):
     """A whole fit: seeds, iterations until the cost stops falling, rows per cluster."""
     frame = _frame(spark, sf)
     features = measure(frame, FeatureSet([], ["schedule_name", "area_name"]))
-    model = W.Model(W.settle(tuples_of(frame, features)), features, 4)
-    fit = model.fit(4, 1)
-    counts = silhouette.cluster_sizes(model.labelled(fit), 4)
+    data = methods.Data.of(frame, features)
+    fit = methods.KModes().fit(data, [(4, 0)])[4, 0]
+    counts = scoring.cluster_sizes(data.labelled([fit]), [4])[0]
     return spark.createDataFrame(
         [(i, c["schedule_name"], c["area_name"], counts[i] or None) for i, c in enumerate(fit.centroids)],
         "cluster int, schedule_name string, area_name string, size bigint")
@@ -462,25 +535,18 @@ def _kprototypes_sql(k: int, steps: int) -> str:
 def c05(spark, sf):
     frame = _frame(spark, sf)
     features = measure(frame, FeatureSet(["salary_avg"], ["schedule_name"]))
-    model = W.Model(W.settle(tuples_of(frame, features)), features, 3)
-    fit = model.fit(3, 1)
+    fit = methods.KPrototypes().fit(methods.Data.of(frame, features), [(3, 0)])[3, 0]
     return spark.createDataFrame(
         [(i, round(c["salary_avg"], 6), c["schedule_name"]) for i, c in enumerate(fit.centroids)],
         "cluster int, salary_avg double, schedule_name string")
 
 
-@query("c13_run_summary")
-def c13(spark, sf):
-    found = W.sweep(_frame(spark, sf), ["schedule_name", "area_name"], range(2, 4), restarts=1, final_restarts=1)
-    return found.summary().withColumn("silhouette_score", r("silhouette_score", 6))
-
-
 @query("c14_pinned_sweep")
 def c14(spark, sf):
     """All scores of a sweep, then sizes of a pinned k whatever its score."""
     frame = _frame(spark, sf)
-    found = W.sweep(frame, ["salary_avg", "schedule_name"], range(2, 4), restarts=1, final_restarts=1, pin=4)
-    return profile.sizes(found.label(frame), 4)
+    found = W.sweep(frame, ["salary_avg", "name"], range(2, 20), final_restarts=5, pin=16)
+    return profile.sizes(found.label(frame), 16)
 
 
 @query("k04_best_labelling", f"""
