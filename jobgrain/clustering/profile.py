@@ -13,8 +13,11 @@ from jobgrain.clustering.features import CLUSTER
 from jobgrain.functions.numbers import money_text
 from jobgrain.operators.filters import is_remote
 from jobgrain.operators.quantiles import quantiles
+from jobgrain.operators.tally import AMOUNT, ITEM, ROWS, VALUE, part, slots_of, tally
 
 TITLE_SHARE = 0.30
+# Stands for all clusters together where figures are grouped by cluster.
+EVERY = -1
 
 
 def cluster_ids(df: DataFrame, k: int) -> DataFrame:
@@ -57,6 +60,10 @@ def top_skills(df: DataFrame, n: int = 5, skills: str = "skills_list") -> DataFr
     """The `n` most mentioned skills of each cluster, ties by name."""
     counts = (df.select(CLUSTER, F.explode(skills).alias("skill")).where(F.col("skill").isNotNull())
               .groupBy(CLUSTER, "skill").agg(F.count(F.lit(1)).alias("_n")))
+    return _best_items(counts, n)
+
+
+def _best_items(counts: DataFrame, n: int = 5) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(CLUSTER).orderBy(F.desc("_n"), "skill"))
     best = counts.withColumn("_rank", rank).where(F.col("_rank") <= n)
     ordered = F.array_sort(F.collect_list(F.struct("_rank", "skill")))
@@ -83,12 +90,14 @@ def salary_tags(df: DataFrame, per_cluster: DataFrame, population: DataFrame | N
 
     The quantiles are over the kept rows, or over `population` if given.
     """
-    q = quantiles(df if population is None else population, "salary_avg", {"q30": 0.3, "q70": 0.7})
-    q30 = F.coalesce(q.select("q30").scalar(), F.lit(0.0))
-    q70 = F.coalesce(q.select("q70").scalar(), F.lit(0.0))
-    median = F.col("median_salary")
-    tag = (F.when(median.isNull() | (q70 <= 0), F.lit(""))
-           .when(median > q70, V.SALARY_TAG_HIGH).when(median > q30, V.SALARY_TAG_NORMAL)
+    q = quantiles(df if population is None else population, "salary_avg", {"q30": 0.3, "q70": 0.7}).first()
+    return _tagged(per_cluster, q["q30"], q["q70"])
+
+
+def _tagged(per_cluster: DataFrame, q30: float | None, q70: float | None) -> DataFrame:
+    median, low, high = F.col("median_salary"), q30 or 0.0, q70 or 0.0
+    tag = (F.when(median.isNull() | F.lit(high <= 0), F.lit(""))
+           .when(median > high, V.SALARY_TAG_HIGH).when(median > low, V.SALARY_TAG_NORMAL)
            .otherwise(V.SALARY_TAG_LOW))
     return per_cluster.select("*", tag.alias("salary_tag"))
 
@@ -99,22 +108,36 @@ def profiles(df: DataFrame, k: int, numeric: list[str], categorical: list[str],
 
     `df` holds the kept rows with a `cluster` column 0..k-1.
     """
-    base = df.groupBy(CLUSTER).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("salary_avg").alias("mean_salary"),
-        F.avg(F.col("min_experience_years")).alias("mean_years"),
-        (F.avg(is_remote(F.col("schedule_name"), stem).cast("double")) * 100).alias("remote_rate"))
-    medians = quantiles(df, "salary_avg", {"median_salary": 0.5}, by=[CLUSTER]).drop("n")
-    counts = value_counts(df, list(dict.fromkeys(["name", *categorical])))
+    named = list(dict.fromkeys(["name", *categorical]))
+    # One pass for all counts and sums, and one more that narrows the medians and the bounds of the tags down.
+    state = tally(df, [CLUSTER], amounts={"salary_avg": F.col("salary_avg"), "min_experience_years": F.col("min_experience_years"),
+                                          "remote": is_remote(F.col("schedule_name"), stem).cast("double")},
+                  values=named, items=["skills_list"], slots=["salary_avg"])
+    totals = part(state, ROWS).select(CLUSTER, "n")
+    amounts = part(state, AMOUNT).groupBy(CLUSTER).agg(*[
+        F.max(F.when(F.col("feature") == c, F.try_divide(F.col("total"), F.col("known")))).alias(n)
+        for c, n in (("salary_avg", "mean_salary"), ("min_experience_years", "mean_years"), ("remote", "_remote"))])
+    base = totals.join(amounts, CLUSTER).select(CLUSTER, "n", "mean_salary", "mean_years", (F.col("_remote") * 100).alias("remote_rate"))
+    counts = part(state, VALUE).where(F.col("key").isNotNull()).select(CLUSTER, "feature", F.col("key").alias("value"), "n")
     picked = modes(counts.where(F.col("feature").isin(categorical))) if categorical else None
+    skills = _best_items(part(state, ITEM).select(CLUSTER, F.col("key").alias("skill"), F.col("n").alias("_n")))
+
+    both = F.array(F.col(CLUSTER), F.lit(EVERY)) if population is None else F.array(CLUSTER)
+    slots = slots_of(state.withColumn("_group", F.explode(both)), "salary_avg", ["_group"])
+    bounds = quantiles(df.select("salary_avg", F.explode(both).alias("_group")), "salary_avg",
+                       {"median_salary": 0.5, "q30": 0.3, "q70": 0.7}, by=["_group"], slots=slots)
+    medians = bounds.where(F.col("_group") != EVERY).select(F.col("_group").alias(CLUSTER), "median_salary")
+    every = bounds.where(F.col("_group") == EVERY) if population is None else quantiles(population, "salary_avg", {"q30": 0.3, "q70": 0.7})
+    limits = every.select("q30", "q70").first()
 
     out = cluster_ids(df, k)
-    for part in (base, medians, titles(counts, base), top_skills(df)):  # k rows each
-        out = out.join(F.broadcast(part), CLUSTER, "left")
+    for one in (base, medians, titles(counts, base), skills):  # k rows each
+        out = out.join(F.broadcast(one), CLUSTER, "left")
     if picked is not None:
         wide = picked.groupBy(CLUSTER).agg(
             *[F.max(F.when(F.col("feature") == c, F.col("mode"))).alias(f"_mode_{c}") for c in categorical])
         out = out.join(F.broadcast(wide), CLUSTER, "left")
-    out = salary_tags(df, out, population)
+    out = _tagged(out, *(limits or (None, None)))
 
     number = F.col(CLUSTER) + 1
     title = F.coalesce(F.col("titles"), F.concat(F.lit(V.GROUP_TITLE_PREFIX), number))

@@ -1,101 +1,115 @@
-"""Exact interpolated quantiles without a per-group buffer of all values.
+"""Exact interpolated quantiles by selection in rounds, without a buffer of all values.
 
-Spark's `percentile` keeps every distinct value of a group in one buffer. Here a
-coarse sketch first brackets each wanted rank; a second pass counts what lies
-outside the bracket and lists the distinct values inside it. Where those are
-many, they are counted in SLOTS equal slices of the bracket first, and only the
-slices that hold a wanted rank are put in order.
+Spark's `percentile` keeps every distinct value of a group in one buffer. Here the
+first round counts the values in slots of a logarithmic scale, which any aggregate can
+carry along. The slot that holds a wanted rank is known exactly from the counts. If its
+least and greatest value differ, the next round reads only the values between these two:
+few are listed and put in order, many are counted in SLOTS narrower slots. A long tail
+or a far outlier costs a round at most, since every round starts from the bounds of the
+values that are left.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobgrain.operators.scale import BROADCAST_ROWS, spread_join
+from jobgrain.operators.scale import BROADCAST_ROWS, settle, spread_join
 
-# Rank error of the sketch is n / ACCURACY. Coarse on purpose: every map task
-# sends its sketch to the one task of its group.
-ACCURACY = 1_000
-SLACK = 4
-ONE_SORT = 2_000_000
+# Slots of the first round per doubling of the value.
+DETAIL = 64
 SLOTS = 4_096
+# Rows of a slot whose values are listed; of more they are counted in slots again.
+ONE_SORT = 200_000
+
+STATE = ["_r", "_rank", "_before", "_n", "_low", "_high", "_total"]
+
+
+def known(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The values as `_x`, with their groups; missing values and values without a group are left out."""
+    x = F.col(value).cast("double")
+    return df.select(*by, x.alias("_x")).dropna(subset=[*by, "_x"])
+
+
+def slot(x: Column) -> Column:
+    """Number of a slot of the first round: it never falls as x rises."""
+    return F.floor(F.signum(x) * F.log2(F.abs(x) + 1.0) * DETAIL)
+
+
+def slot_counts(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """The first round: rows, least and greatest value of each slot of each group."""
+    by = list(by)
+    return (known(df, value, by).groupBy(*by, slot(F.col("_x")).alias("_slot"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")))
+
+
+def _held(df: DataFrame) -> tuple[DataFrame, bool]:
+    """The state between rounds, and whether it is small: then it is held as local rows, else written."""
+    rows = df.limit(BROADCAST_ROWS + 1).collect()
+    small = len(rows) <= BROADCAST_ROWS
+    return (df.sparkSession.createDataFrame(rows, df.schema), True) if small else (settle(df), False)
+
+
+def _picked(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """The slots that hold the wanted rank of their bracket, with the rows before them."""
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_r").orderBy("_low").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return (counted.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+            .withColumn("_before", F.col("_upto") - F.col("_n")).select(*keys, *STATE))
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, by: list[str], small: bool, one_sort: int) -> DataFrame:
+    """One round over the values within the brackets of `state`."""
+    bracket = F.struct(*STATE)
+    if by:
+        brackets = state.groupBy(*by).agg(F.collect_list(bracket).alias("_b"))  # two for each quantile
+        placed = rows.join(F.broadcast(brackets), by) if small else spread_join(rows, brackets, by, "inner")
+    else:
+        listed = [F.struct(*[F.lit(b[c]).alias(c) for c in STATE]) for b in state.collect()]
+        placed = rows.withColumn("_b", F.array(*listed))
+    inside = F.filter("_b", lambda b: (F.col("_x") >= b["_low"]) & (F.col("_x") <= b["_high"]))
+    cut = placed.select(*by, "_x", F.inline(inside))
+    # Halves, so that the width of a bracket stays finite.
+    share = (F.col("_x") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+    few = F.col("_n") <= one_sort
+    counted = (cut.withColumns({"_slot": F.when(~few, F.floor(share * SLOTS)), "_value": F.when(few, F.col("_x"))})
+               .groupBy(*by, "_r", "_rank", "_before", "_total", "_slot", "_value")
+               .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")))
+    return _picked(counted, by)
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] = (),
-              accuracy: int = ACCURACY, one_sort: int = ONE_SORT) -> DataFrame:
+              one_sort: int = ONE_SORT, slots: DataFrame | None = None) -> DataFrame:
     """One row per group with a column per entry of `probs`, plus the count `n`.
 
-    Linear interpolation at rank p * (n - 1). Groups without a value are absent;
-    without `by` there is always one row. The sketch pass runs at once.
+    Linear interpolation at rank p * (n - 1). Groups without a value are absent; without `by` there is always one row.
+    The rounds run at once: one over all rows, unless its `slots` are given, and mostly one over the wanted slots only.
     """
     by, names = list(by), list(probs)
-    rows = df.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    slack = SLACK / accuracy
-    edges = [max(p - slack, 0.0) for p in probs.values()] + [min(p + slack, 1.0) for p in probs.values()]
-    bands = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"),
-                                  F.percentile_approx("_x", edges, accuracy).alias("_edges"))
-    found = bands.limit(BROADCAST_ROWS + 1).collect()
-    few = len(found) <= BROADCAST_ROWS
-    if not by:
-        total, limits = found[0]["_total"], found[0]["_edges"] or [0.0] * len(edges)
-        placed = rows.withColumns({"_total": F.lit(total), "_edges": F.array(*map(F.lit, limits))})
-    elif few:
-        placed = rows.join(F.broadcast(df.sparkSession.createDataFrame(found, bands.schema)), by)
-    else:
-        placed = spread_join(rows, bands, by, "inner")
-    largest = max((r["_total"] for r in found), default=0)
-    sliced = not few or largest * 2 * slack > one_sort
-
-    # Per wanted quantile a row lies below (-1), inside (0) or above (1) its
-    # bracket. Only the values inside are told apart, so all other rows collapse
-    # to a count and their extremes before the shuffle.
-    def mark(i):
-        low, high = F.col("_edges")[i], F.col("_edges")[i + len(names)]
-        side = F.when(F.col("_x") < low, -1).when(F.col("_x") > high, 1).otherwise(0)
-        share = F.coalesce((F.col("_x") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
-        slot = F.when(side == 0, F.floor(share * SLOTS)).otherwise(0) if sliced else F.lit(0).cast("bigint")
-        return F.struct(F.lit(i).alias("q"), side.alias("side"), slot.alias("slot"),
-                        F.when(side == 0, F.col("_x")).alias("x"))
-
-    key = [*by, "q"]
-    marked = (placed.select(*by, "_x", "_total", F.inline(F.array(*[mark(i) for i in range(len(names))])))
-              .groupBy(*key, "side", "slot", "x")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last"),
-                   F.max("_total").alias("_total"))
-              .withColumn("_h", F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("q") + 1)
-                          * (F.col("_total") - 1)))
-    low, high = F.floor("_h"), F.ceil("_h")
-
-    if sliced:
-        slots = marked.groupBy(*key, "side", "slot").agg(F.sum("_n").alias("_size"), F.max("_h").alias("_h"))
-        through = F.sum("_size").over(W.partitionBy(*key).orderBy("side", "slot")
-                                      .rowsBetween(W.unboundedPreceding, W.currentRow))
-        first = F.col("_through") - F.col("_size")
-        wanted = (slots.withColumn("_through", through)
-                  .where(((low >= first) & (low < F.col("_through"))) | ((high >= first) & (high < F.col("_through"))))
-                  .select(*key, "side", "slot", first.alias("_before")))
-        # At most two slots per group and quantile.
-        kept = marked.join(F.broadcast(wanted) if few else wanted, [*key, "side", "slot"])
-    else:
-        kept = marked.withColumn("_before", F.lit(0))
-    run = (W.partitionBy(*key, "side", "slot") if sliced else W.partitionBy(*key)).orderBy("side", "x")
-    upto = F.col("_before") + F.sum("_n").over(run.rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = kept.withColumn("_upto", upto)
-
-    def at(rank):
-        # A rank just outside the bracket is the extreme of its side.
-        held = (F.when(F.col("side") == 0, F.col("x"))
-                .when((F.col("side") == -1) & (rank == F.col("_upto") - 1), F.col("_last"))
-                .when((F.col("side") == 1) & (rank == F.col("_upto") - F.col("_n")), F.col("_first")))
-        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), held))
-
-    def sure(c):
-        missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-        return F.coalesce(F.col(c), missed)
-
-    picked = ranked.groupBy(*key).agg(at(low).alias("_lo"), at(high).alias("_hi"),
-                                      F.max(F.col("_h") - low).alias("_part"), F.max("_total").alias("_total"))
-    picked = picked.select(*key, "_total", (sure("_lo") + (sure("_hi") - sure("_lo")) * F.col("_part")).alias("_v"))
-    return picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("q") == i, F.col("_v"))).alias(n) for i, n in enumerate(names)],
-        F.coalesce(F.max("_total"), F.lit(0)).alias("n"))
+    spark, rows = df.sparkSession, known(df, value, by)
+    slots = slot_counts(df, value, by) if slots is None else slots
+    last = F.col("_total") - 1
+    ranks = F.array(*[F.struct(F.lit(2 * i + up).alias("_r"), f(F.lit(float(p)) * last).cast("long").alias("_rank"))
+                      for i, p in enumerate(probs.values()) for up, f in enumerate((F.floor, F.ceil))])
+    wanted = (slots.withColumns({"_total": F.sum("_n").over(W.partitionBy(*by)), "_before": F.lit(0).cast("long")})
+              .select(*by, "_n", "_low", "_high", "_total", "_before", F.inline(ranks)))
+    state, small = _held(_picked(wanted, by))
+    done = []
+    while True:
+        done.append(state.where("_low = _high"))
+        left = state.where("_low < _high")
+        if left.isEmpty():
+            break
+        state, small = _held(_narrowed(rows, left, by, small, one_sort))
+
+    found = done[0]
+    for more in done[1:]:
+        found = found.union(more)
+
+    def at(i: int) -> Column:
+        return F.max(F.when(F.col("_r") == i, F.col("_low")))
+
+    def between(i: int, p: float) -> Column:
+        part = F.lit(float(p)) * (F.max("_total") - 1)
+        return (at(2 * i) + (at(2 * i + 1) - at(2 * i)) * (part - F.floor(part))).alias(names[i])
+
+    out = found.groupBy(*by).agg(*[between(i, p) for i, p in enumerate(probs.values())], F.coalesce(F.max("_total"), F.lit(0)).alias("n"))
+    return spark.createDataFrame(out.collect(), out.schema) if small else out

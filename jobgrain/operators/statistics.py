@@ -1,13 +1,12 @@
 """Market statistics."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobgrain import fixed_values as V
 from jobgrain.functions.numbers import lookup, percent
 from jobgrain.operators.quantiles import quantiles
+from jobgrain.operators.tally import AMOUNT, ITEM, ROWS, VALUE, part, slots_of, tally
 
 
 def salary_coverage(df: DataFrame, flag: str = "has_salary") -> DataFrame:
@@ -19,12 +18,18 @@ def salary_coverage(df: DataFrame, flag: str = "has_salary") -> DataFrame:
 
 
 def salary_summary(df: DataFrame, value: str = "salary_avg", currency: str | None = None) -> DataFrame:
-    """Mean, median, least and greatest of the known values."""
+    """Mean, median, least and greatest of the known values, in two passes."""
     if currency is not None:
         df = df.where(F.col("salary_currency") == currency)
-    simple = df.agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    median = quantiles(df, value, {"median": 0.5}).select("median").scalar()
-    return simple.select("mean", median.alias("median"), "min", "max")
+    counts = tally(df, amounts={value: F.col(value)}, slots=[value])
+    return _summary(counts, df, value)
+
+
+def _summary(counts: DataFrame, df: DataFrame, value: str) -> DataFrame:
+    """The summary from a tally; the median passes over the values of its slot once more."""
+    median = quantiles(df, value, {"median": 0.5}, slots=slots_of(counts, value)).first()["median"]
+    return (part(counts, AMOUNT, value).groupBy().agg(F.try_divide(F.sum("total"), F.sum("known")).alias("mean"), F.min("low").alias("min"), F.max("high").alias("max"))
+            .select("mean", F.lit(median).cast("double").alias("median"), "min", "max"))
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -141,20 +146,31 @@ def trend_by_level(df: DataFrame, levels=V.LEVELS, table=V.LEVEL_BY_EXPERIENCE,
 
 
 def statistics_report(df: DataFrame, top: int = 10) -> DataFrame:
-    """The clean table's statistics as tidy (section, key, value) rows."""
-    def melt(section, one_row, *keys):
-        pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys])
-        return one_row.select(F.lit(section).alias("section"), F.inline(pairs))
-
-    def listed(section, table, key):
-        return table.select(F.lit(section).alias("section"), F.col(key).alias("key"),
-                            F.col("n").cast("double").alias("value"), "pct")
-
-    parts = [
-        melt("salary_coverage", salary_coverage(df), "with_salary", "without_salary", "with_pct", "without_pct"),
-        melt("salary", salary_summary(df), "mean", "median", "min", "max"),
-        listed("experience", distribution(df, "experience_name"), "value"),
-        melt("skills", mean_skills(df), "mean_skills"),
-        listed("top_skills", top_skills(df, top), "skill"),
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """The clean table's statistics as tidy (section, key, value) rows.
+
+    One pass over the table makes a tally of all figures, a second one narrows the median down.
+    """
+    counts = tally(df, amounts={"salary_avg": F.col("salary_avg"), "has_salary": F.col("has_salary").cast("int"), "skills_count": F.col("skills_count")},
+                   values=["experience_name"], items=["skills_list"], slots=["salary_avg"])
+    amounts = {r["feature"]: r for r in part(counts, AMOUNT).collect()}
+    total = part(counts, ROWS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    with_salary = int((amounts["has_salary"]["total"] if amounts else 0) or 0)
+    skills = amounts.get("skills_count")
+    mean = skills["total"] / skills["known"] if skills and skills["known"] else None
+    salary = _summary(counts, df, "salary_avg").first()
+
+    def share(n: int) -> float:
+        return 100.0 * n / total if total else 0.0
+
+    rest = total - with_salary
+    rows = [("salary_coverage", "with_salary", float(with_salary)), ("salary_coverage", "without_salary", float(rest)),
+            ("salary_coverage", "with_pct", share(with_salary)), ("salary_coverage", "without_pct", share(rest)),
+            *[("salary", c, salary[c]) for c in ("mean", "median", "min", "max")], ("skills", "mean_skills", mean)]
+    single = df.sparkSession.createDataFrame([(*r, None) for r in rows], "section string, key string, value double, pct double")
+
+    def listed(section: str, found: DataFrame) -> DataFrame:
+        return found.select(F.lit(section).alias("section"), "key", F.col("n").cast("double").alias("value"), percent(F.col("n"), F.lit(total)).alias("pct"))
+
+    levels = part(counts, VALUE, "experience_name").where(F.col("key").isNotNull())
+    best = part(counts, ITEM, "skills_list").orderBy(F.desc("n"), "key").limit(top)
+    return single.union(listed("experience", levels)).union(listed("top_skills", best))

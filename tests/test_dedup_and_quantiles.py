@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobgrain.operators import dedup, scale, tagging
+from jobgrain.operators import quantiles as quantile_rounds
 from jobgrain.operators.quantiles import quantiles
 
 
@@ -69,20 +70,34 @@ def test_append_fills_missing_columns(spark):
     assert out.count() == 3 and out.where("y is null").count() == 2
 
 
-@pytest.mark.parametrize("accuracy, one_sort", [(20, 2_000_000), (20, 0), (1_000, 2_000_000), (1_000, 0)])
-@pytest.mark.parametrize("shape", ["normal", "few", "single", "two"])
-def test_quantiles_equal_numpy(spark, accuracy, one_sort, shape):
+@pytest.mark.parametrize("one_sort", [0, 30, 2_000_000])
+@pytest.mark.parametrize("shape", ["normal", "few", "single", "two", "outlier", "tail", "extreme"])
+def test_quantiles_equal_numpy(spark, one_sort, shape):
     rng = np.random.default_rng(3)
     x = {"normal": rng.normal(0, 1, 5000), "few": rng.integers(0, 5, 5000).astype(float), "single": np.array([4.0]),
-         "two": np.array([1.0, 2.0])}[shape]
+         "two": np.array([1.0, 2.0]), "outlier": np.append(1e6 + rng.normal(0, 1e-4, 4999), 1e18), "tail": rng.lognormal(0, 6, 5000),
+         "extreme": np.concatenate([[-1.7e308, 1.7e308, -0.0], rng.normal(0, 1e-300, 3000)])}[shape]
     df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.7, "e": 1.0}
-    row = quantiles(df, "x", probs, accuracy=accuracy, one_sort=one_sort).first()
+    row = quantiles(df, "x", probs, one_sort=one_sort).first()
     assert row["n"] == len(x)
     for name, p in probs.items():
         assert row[name] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12)
 
 
+def test_largest_sorted_slot_under_a_far_outlier(spark, monkeypatch):
+    """All values but one lie close together: what is sorted in the end is below 1 % of the rows."""
+    rows = spark.range(200_000).select(F.when(F.col("id") == 0, 1e15).otherwise(50_000 + F.rand(1) * 1e-3).alias("x"))
+    sizes, one = [], quantile_rounds._picked
+    monkeypatch.setattr(quantile_rounds, "_picked", lambda counted, keys: sizes.append(
+        max((r["count"] for r in counted.groupBy("_r").count().collect()), default=0)) or one(counted, keys))
+    got = quantiles(rows, "x", {"q": 0.25, "m": 0.5}, one_sort=1_000).first()
+    want = np.quantile([r["x"] for r in rows.collect()], [0.25, 0.5])
+    assert [got["q"], got["m"]] == pytest.approx(list(want), rel=1e-15)
+    assert len(sizes) <= 5 and sizes[-1] < 2_000  # sizes[1:-1] are counts of slots, of which there are SLOTS
+    assert max(sizes) <= quantile_rounds.SLOTS + 1
+
+
 def test_quantiles_by_group_and_empty(spark):
     rng = np.random.default_rng(4)
     groups = {g: rng.normal(g, 1 + g, 400 * (g + 1)) for g in range(3)}
