@@ -23,8 +23,8 @@ Centroids = list[dict]
 # Rows of a pass that are sums, not value counts.
 SIZE, COST = -1, -2
 SETTLED = 1e-12
-# Values of a categorical whose counts, per cluster and run, are collected; of more only the modes are.
-FEW_VALUES = 200
+# Up to this many tasks, and values of a categorical, the sums of the tasks are collected; else Spark adds them up.
+FEW_TASKS, FEW_VALUES = 64, 200
 
 
 @dataclass(frozen=True)
@@ -72,46 +72,65 @@ class Batch:
         return label, gaps[np.arange(len(self)), label]
 
 
+PARTIAL = "run int, cluster int, feature int, value string, total double"
+
+
+def _partial(frame: pd.DataFrame, features: FeatureSet, listed: list[Centroids], gamma: float) -> pd.DataFrame:
+    """Weighted sums and value counts of one batch in every run."""
+    batch, numeric = Batch(frame, features), len(features.numeric)
+    parts: list[tuple] = []
+    for run, centroids in enumerate(listed):
+        label, gap = batch.nearest(centroids, gamma)
+        k = len(centroids)
+        sums = [(SIZE, batch.weight), (COST, batch.weight * gap)] + [(j, batch.weight * batch.numeric[:, j]) for j in range(numeric)]
+        parts += [(run, feature, np.arange(k), np.full(k, None), np.bincount(label, amount, k)) for feature, amount in sums]
+        for j, (codes, values) in enumerate(zip(batch.codes, batch.values), numeric):
+            counts = np.bincount(label * len(values) + codes, batch.weight, k * len(values))
+            at = np.flatnonzero(counts)
+            parts.append((run, j, at // len(values), np.asarray(values, object)[at % len(values)], counts[at]))
+    sizes = [len(p[4]) for p in parts]
+    return pd.DataFrame({"run": np.repeat([p[0] for p in parts], sizes), "cluster": np.concatenate([p[2] for p in parts]),
+                         "feature": np.repeat([p[1] for p in parts], sizes), "value": np.concatenate([p[3] for p in parts]),
+                         "total": np.concatenate([p[4] for p in parts])})
+
+
+KEY = ["run", "cluster", "feature"]
+
+
 def _pass(tuples: DataFrame, features: FeatureSet, runs: dict[Run, Centroids], gamma: float, few: bool = False) -> list:
     """One pass: (run, cluster, feature, value, total), value counts reduced to the mode of each cluster.
 
-    `few` says that the categoricals have so few values that their counts may come to the driver as they are.
+    `few` says that the tasks are few and the categoricals have few values: then the sums of the tasks are added up on the
+    driver, which saves the shuffles, most of the time of a short pass.
     """
     listed = list(runs.values())
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for frame in batches:
-            batch = Batch(frame, features)
-            parts = []
-            for run, centroids in enumerate(listed):
-                label, gap = batch.nearest(centroids, gamma)
-                k = len(centroids)
-
-                def add(feature, totals, cluster=np.arange(k), value=None):
-                    parts.append(pd.DataFrame({"run": run, "cluster": cluster, "feature": feature, "value": value, "total": totals}))
+            if not len(frame):
+                continue
+            one = _partial(frame, features, listed, gamma)
+            if not few:
+                yield one
+            else:
+                held = one if held is None else pd.concat([held, one]).groupby([*KEY, "value"], dropna=False, as_index=False)["total"].sum()
+        if held is not None:
+            yield held
 
-                add(SIZE, np.bincount(label, batch.weight, k))
-                add(COST, np.bincount(label, batch.weight * gap, k))
-                for j in range(len(features.numeric)):
-                    add(j, np.bincount(label, batch.weight * batch.numeric[:, j], k))
-                for j, (codes, values) in enumerate(zip(batch.codes, batch.values), len(features.numeric)):
-                    counts = np.bincount(label * len(values) + codes, batch.weight, k * len(values))
-                    at = np.flatnonzero(counts)
-                    add(j, counts[at], at // max(len(values), 1), np.asarray(values, object)[at % max(len(values), 1)])
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    counted = (tuples.mapInPandas(summed, "run int, cluster int, feature int, value string, total double")
-               .groupBy("run", "cluster", "feature", "value").agg(F.sum("total").alias("total")))
+    partial = tuples.mapInPandas(summed, PARTIAL)
     if few:
+        totals: dict[tuple, float] = {}
+        for run, cluster, feature, value, total in sorted(partial.collect(), key=repr):  # a fixed order of the sums
+            totals[run, cluster, feature, value] = totals.get((run, cluster, feature, value), 0.0) + total
         best: dict[tuple, tuple] = {}
-        for row in counted.collect():
-            key = row["run"], row["cluster"], row["feature"]
-            best[key] = min(best.get(key, (np.inf, None)), (-row["total"], row["value"]), key=lambda b: (b[0], b[1] or ""))
+        for (*key, value), total in totals.items():
+            best[tuple(key)] = min(best.get(tuple(key), (np.inf, None)), (-total, value), key=lambda b: (b[0], b[1] or ""))
         return [(*key, value, -least) for key, (least, value) in best.items()]
+    counted = partial.groupBy(*KEY, "value").agg(F.sum("total").alias("total"))
     # The most frequent value of each cluster and feature, the smallest on a tie; sums are single rows already.
     pick = F.min(F.struct((-F.col("total")).alias("least"), "value"))
-    return counted.groupBy("run", "cluster", "feature").agg(pick.alias("p")).select("run", "cluster", "feature", "p.value", -F.col("p.least")).collect()
+    return counted.groupBy(*KEY).agg(pick.alias("p")).select(*KEY, "p.value", -F.col("p.least")).collect()
 
 
 def fit(tuples: DataFrame, features: FeatureSet, starts: dict[Run, Centroids], gamma: float, max_iter: int,
@@ -120,7 +139,8 @@ def fit(tuples: DataFrame, features: FeatureSet, starts: dict[Run, Centroids], g
 
     Numeric centroids are weighted means, categorical ones weighted modes; an empty cluster keeps its centroid.
     """
-    few = all(few_values(tuples, c, FEW_VALUES) for c in features.categorical)
+    tasks = tuples.select(F.spark_partition_id()).distinct().count()
+    few = tasks <= FEW_TASKS and all(few_values(tuples, c, FEW_VALUES) for c in features.categorical)
     moving, histories, done = dict(starts), {run: [] for run in starts}, {}
     while moving:
         moved = {run: [dict(c) for c in centroids] for run, centroids in moving.items()}
