@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobgrain.operators.scale import spread_join
+from jobgrain.operators.scale import HOT_SHARE, salts_of, settle, spread_join
 
 
 def keep_first(df: DataFrame, key, order_by: list) -> DataFrame:
@@ -43,9 +43,14 @@ def collect_batches(df: DataFrame, key: str, batch: str, order_by: list,
 
     With all batches in one table a key belongs to the first batch it occurs
     in, so one aggregate replaces the chain of anti-joins: its partial step
-    shrinks hot keys before the shuffle. Rows without a key are all kept.
+    shrinks hot keys before the shuffle. It is written once and also tells which
+    keys are hot, so the input is read twice. Rows without a key are all kept.
     """
-    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(batch).alias("_first"))
-    tied = spread_join(df, first, key, "left")
+    first = settle(df.groupBy(key).agg(F.min(batch).alias("_first"), F.count(F.lit(1)).alias("_rows")))
+    total = first.agg(F.sum("_rows")).first()[0] or 0
+    # At most 1 / share keys.
+    many = first.where(F.col("_rows") > HOT_SHARE * total).select(F.xxhash64(key).alias("code"), "_rows").collect()
+    hot = salts_of({r["code"]: r["_rows"] for r in many}, total) if total else {}
+    tied = spread_join(df, first.where(F.col(key).isNotNull()).drop("_rows"), key, "left", hot=hot)
     kept = tied.where(F.col("_first").isNull() | (F.col(batch) == F.col("_first"))).drop("_first")
     return keep_first(kept, key, order_by) if dedupe_within else kept

@@ -1,18 +1,17 @@
 """Shared ways to keep a join or an iteration safe at any data size."""
 
+import math
 import re
 import tempfile
 import uuid
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than this share of the rows, so at most
 # 1 / HOT_SHARE keys can be hot: the broadcast of hot keys has a fixed bound.
 HOT_SHARE = 0.002
-SPREAD = 64
+# Values a sketch of frequent items keeps at most: counts are right to about a third of a thousandth of the rows.
+TRACKED = 10_000
 BROADCAST_ROWS = 20_000
 
 
@@ -76,32 +75,50 @@ def _listed(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def hot_keys(df: DataFrame, keys, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than `share` of the rows, at most 1 / share of them."""
+def _code(df: DataFrame, keys: list[str]) -> Column:
+    return F.xxhash64(*[df[k] for k in keys])
+
+
+def hot_keys(df: DataFrame, keys, share: float = HOT_SHARE) -> dict[int, int]:
+    """Number of salts of each key that holds more than `share` of the rows, by the hash of the key.
+
+    One pass over the keys alone: every task sends a sketch of its most frequent keys, no key is shuffled. A key gets as many
+    salts as it holds shares. Rows without a key count like a key. Two keys of one hash are only dealt out together.
+    """
     keys = _listed(keys)
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("total"))
-    return counts.where(F.col("_n") > share * total.scalar()).select(*keys)
+    most = int(1 / share) + 1
+    found = df.select(_code(df, keys).alias("_code")).agg(
+        F.expr(f"approx_top_k(_code, {most}, {max(TRACKED, most)})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return salts_of({r["item"]: r["count"] for r in found["top"]}, found["n"], share)
+
+
+def salts_of(counts: dict[int, int], total: int, share: float = HOT_SHARE) -> dict[int, int]:
+    """Salts of the keys of more than `share` of `total` rows."""
+    return {code: math.ceil(n / (share * total)) for code, n in counts.items() if n > share * total}
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys, how: str,
-                share: float = HOT_SHARE, spread: int = SPREAD) -> DataFrame:
+                share: float = HOT_SHARE, hot: dict[int, int] | None = None) -> DataFrame:
     """Equi-join of any `left` with a `right` that has few rows per key.
 
-    Rows of a hot key on the left, and rows without a key, are dealt over
-    `spread` salts and the matching right rows are repeated for each salt, so no
-    task gets a whole hot key. The salt depends only on the input partition,
-    hence a retried task deals its rows the same way.
+    Rows of a hot key on the left, and rows without a key if they are many, are dealt over salts by a hash of the whole row,
+    and the matching right rows are repeated for each salt, so no task gets a whole hot key, however the input is split, and
+    a retried task deals its rows the same way. Without hot keys this is a plain join. `hot` is what `hot_keys` or `salts_of`
+    gives where counts are known already.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     keys = _listed(keys)
+    hot = hot_keys(left, keys, share) if hot is None else hot
+    if not hot:
+        return left.join(right, keys, how)
     # At most 1 / share rows, so safe to broadcast at any size of the inputs.
-    hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
-    absent = reduce(or_, [F.col(k).isNull() for k in keys])
-    salt = F.when(F.col("_hot") | absent, F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(spread)))
-    salted_left = (left.join(hot, keys, "left").withColumn("_salt", F.coalesce(salt.cast("int"), F.lit(0)))
-                   .select(*left.columns, "_salt"))
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = (right.join(hot, keys, "left").select(*right.columns, F.explode(salts).alias("_salt")))
+    table = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), "_hot long, _salts int"))
+    maps = [f.name for f in left.schema.fields if "map<" in f.dataType.simpleString()]  # maps have no hash
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if c not in maps])
+    salted_left = (left.withColumn("_code", _code(left, keys)).join(table, F.col("_code") == F.col("_hot"), "left")
+                   .withColumn("_salt", F.coalesce(F.pmod(row, F.col("_salts")), F.lit(0)).cast("int")).select(*left.columns, "_salt"))
+    salts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_right = (right.withColumn("_code", _code(right, keys)).join(table, F.col("_code") == F.col("_hot"), "left")
+                    .select(*right.columns, F.explode(salts).alias("_salt")))
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

@@ -41,20 +41,46 @@ def test_spread_join_equals_plain_join(spark, how):
     left = _skewed(spark)
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 600, 2)], "k string, x int")
     want = sorted(map(repr, left.join(right, "k", how).collect()))
-    assert sorted(map(repr, scale.spread_join(left, right, "k", how, spread=4).collect())) == want
+    assert sorted(map(repr, scale.spread_join(left, right, "k", how).collect())) == want
+    assert sorted(map(repr, scale.spread_join(left, right, "k", how, hot={}).collect())) == want
 
 
-def test_hot_keys(spark):
-    assert [r[0] for r in scale.hot_keys(_skewed(spark), "k", share=0.05).collect()] == ["hot"]
-
-
-def test_spread_join_splits_a_hot_key(spark):
+def test_hot_keys_and_their_salts(spark):
     left = _skewed(spark)
-    hot = scale.hot_keys(left, "k", 0.05).select(F.col("k").alias("_hot"))
-    assert hot.count() == 1
-    # The salt comes from the input partition, so eight partitions give several salts.
-    salts = left.where("k = 'hot'").select(F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(64))).distinct().count()
-    assert salts >= 6
+    code, missing = left.select(F.xxhash64(F.lit("hot")), F.xxhash64(F.lit(None).cast("string"))).first()
+    found = scale.hot_keys(left, "k", share=0.02)
+    assert set(found) == {code, missing} and 18 <= found[code] <= 22 and 2 <= found[missing] <= 4
+    assert scale.hot_keys(left.where("v < 0"), "k") == {}
+    assert scale.hot_keys(left, ["k", "v"]) == {}
+
+
+def test_spread_join_splits_a_hot_key_of_one_input_split(spark):
+    """40 % of the rows have one key and all rows lie in one split: no task of the join gets more than a small part of them."""
+    left = _skewed(spark).coalesce(1)
+    right = spark.createDataFrame([("hot", 1)], "k string, x int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = scale.spread_join(left, right, "k", "left")
+        per_task = [r["count"] for r in joined.where("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for name in ("adaptive.enabled", "shuffle.partitions", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.{name}")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(per_task) >= 24 and max(per_task) < 0.15 * sum(per_task)
+
+
+def test_ordered_batches_read_their_input_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    rows = _skewed(spark).withColumn("batch", F.col("v") % 3).withColumn("k", F.udf(count, "string").asNondeterministic()("k"))
+    got = dedup.collect_batches(rows, "k", "batch", ["v"])
+    assert got.count() > 2_000 and seen.value <= 2.1 * 6_000
 
 
 def test_collect_batches(spark):
