@@ -11,6 +11,7 @@ from jobgrain import fixed_values as V
 from jobgrain.clustering.profile import profiles
 from jobgrain.clustering.sweep import Sweep, sweep
 from jobgrain.operators import clean, dedup, filters, statistics, tagging
+from jobgrain.operators.scale import settle
 from jobgrain.schema import PAGE, POSTING_RAW
 from jobgrain.sources import postings as io
 
@@ -33,11 +34,11 @@ def observed(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
-def filter_job(raw: DataFrame, path: str, snapshot: str, order_by: list, **phrases) -> tuple[int, int]:
+def filter_job(raw: DataFrame, path: str, snapshot: str, order_by: list, write=io.write_postings, **phrases) -> tuple[int, int]:
     """Filter, write the snapshot, and return the counts before and after."""
     before, n_before = observed(raw, "before")
     after, n_after = observed(relevant(before, order_by, **phrases), "after")
-    io.write_postings(after, path, snapshot)
+    write(after, path, snapshot)
     return n_before.get["n"], n_after.get["n"]
 
 
@@ -65,9 +66,12 @@ def clean_job(raw: DataFrame, path: str, snapshot: str, indicators: bool = True,
               **options) -> DataFrame:
     """Clean, write the snapshot as Parquet, return its statistics.
 
-    The skills that get a column are those of all postings, outliers included.
+    The skills that get a column are those of all postings, outliers included. The raw postings are read and parsed once:
+    the clean rows are written before the vocabulary and the bounds of outliers are taken from them.
     """
     base = clean_table(raw, **options)
+    if indicators or remove_outliers:
+        base = settle(base)
     if indicators:
         base = clean.skill_indicators(base, statistics.skill_vocabulary(base))
     io.write_clean(filters.without_outliers(base) if remove_outliers else base, path, snapshot)
@@ -91,27 +95,45 @@ def analyse(table: DataFrame, selected: list[str], ks=range(2, 13), stem: str =
     return Analysis(found, profiles(found.label(frame), found.best.k, f.numeric, f.categorical, stem))
 
 
+def analyse_newest(spark: SparkSession, path: str, selected: list[str], ks=range(2, 13), **options) -> Analysis:
+    """The newest clean snapshot below `path`, found in the file listing, to clusters and their profiles."""
+    return analyse(io.read_newest_snapshot(spark, path).drop(io.SNAPSHOT), selected, ks, **options)
+
+
 def run_all(spark: SparkSession, pages_path: str, output: str, snapshot: str, as_of: Column,
-            include=V.TITLE_INCLUDE, exclude=V.TITLE_EXCLUDE, roles=V.ANALYST_ROLE_IDS,
+            include=V.TITLE_INCLUDE, exclude=V.TITLE_EXCLUDE, roles=V.ANALYST_ROLE_IDS, malformed: str = "fail",
             **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Collect, filter and clean landed pages; returns (metrics, sample, statistics).
 
-    `pages_path` holds JSON Lines of {batch, page, items}. A failing step fails
-    the run.
+    `pages_path` holds JSON Lines of {batch, page, items}; the steps hand Parquet on, so JSON is parsed once. A failing step
+    fails the run, and so does a malformed page, unless `malformed` is "keep" or "drop"; kept ones are counted in the
+    metrics, as are the cells that could not be read.
     """
     started = time.monotonic()
-    pages = io.read_postings(spark, pages_path, _with_origin(PAGE))
-    raw_path, kept_path = f"{output}/raw", f"{output}/relevant"
-    io.write_postings(collect(pages, roles=roles), raw_path, snapshot)
-    raw = io.read_postings(spark, f"{raw_path}/{io.SNAPSHOT}={snapshot}", _with_origin(POSTING_RAW))
+    pages = io.read_postings(spark, pages_path, _with_origin(PAGE), malformed=malformed)
+    corrupt = None
+    if malformed == "keep":
+        pages, corrupt = _corrupt_counted(pages)
+    raw_path, kept_path, clean_path = f"{output}/raw", f"{output}/relevant", f"{output}/clean"
+    io.write_clean(collect(settle(pages), roles=roles), raw_path, snapshot)
+    raw = spark.read.parquet(f"{raw_path}/{io.SNAPSHOT}={snapshot}")
     order = ["batch", "page", "published_at"]
-    before, after = filter_job(raw, kept_path, snapshot, order, include=include, exclude=exclude)
-    kept = io.read_postings(spark, f"{kept_path}/{io.SNAPSHOT}={snapshot}")
-    stats = clean_job(kept, f"{output}/clean", snapshot, as_of=as_of, **options)
-    metrics, sample = io.run_report(before, kept, after, time.monotonic() - started, ["published_at", "id"])
+    before, after = filter_job(raw, kept_path, snapshot, order, write=io.write_clean, include=include, exclude=exclude)
+    kept = spark.read.parquet(f"{kept_path}/{io.SNAPSHOT}={snapshot}")
+    stats = clean_job(kept, clean_path, snapshot, as_of=as_of, **options)
+    written = spark.read.parquet(f"{clean_path}/{io.SNAPSHOT}={snapshot}")
+    bad = written.agg(F.sum(F.size(clean.BAD_CELLS))).first()[0] if clean.BAD_CELLS in written.columns else 0
+    metrics, sample = io.run_report(before, kept, after, time.monotonic() - started, ["published_at", "id"],
+                                    corrupt=corrupt.get["n"] if corrupt else 0, bad_cells=bad or 0)
     return metrics, sample, stats
 
 
+def _corrupt_counted(pages: DataFrame) -> tuple[DataFrame, Observation]:
+    """Readable pages; the corrupt ones are counted as they pass."""
+    seen = Observation("corrupt")
+    return pages.observe(seen, F.count(io.CORRUPT).alias("n")).where(F.col(io.CORRUPT).isNull()).drop(io.CORRUPT), seen
+
+
 def _with_origin(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField("batch", T.IntegerType()), T.StructField("page", T.IntegerType()),
                          *schema.fields])

@@ -140,11 +140,11 @@ def sample_text(name: Column, salary: Column) -> Column:
 
 
 def run_report(raw_count: int, kept: DataFrame, kept_count: int, seconds: float,
-               order_by: list, sample: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(one-row metrics, first postings as numbered sample)."""
+               order_by: list, sample: int = 10, corrupt: int = 0, bad_cells: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(one-row metrics, first postings as numbered sample); records and cells that could not be read are counted too."""
     spark = kept.sparkSession
-    metrics = spark.createDataFrame([(raw_count, kept_count, float(seconds))],
-                                    "raw_count bigint, kept_count bigint, seconds double")
+    metrics = spark.createDataFrame([(raw_count, kept_count, float(seconds), corrupt, bad_cells)],
+                                    "raw_count bigint, kept_count bigint, seconds double, corrupt_records bigint, bad_cells bigint")
     return metrics, report_sample(kept, order_by, sample)
 
 

@@ -4,12 +4,13 @@ import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobgrain.plans import jobs
 from jobgrain.schema import POSTING_RAW
 from jobgrain.sources import postings as io
-from jobgrain.streaming.ingest import ingest_available, new_postings
+from jobgrain.streaming.ingest import ingest_available, ingest_new, new_postings
 
 
 def test_pretty_array_with_service_columns(spark, tmp_path):
@@ -65,7 +66,7 @@ def test_report_lines(spark):
     df = spark.createDataFrame([("1", "a", (100000.0, None)), ("2", "b", None), ("3", None, (1.0, 2.0))],
                                "id string, name string, salary struct<`from`: double, `to`: double>")
     metrics, sample = io.run_report(5, df, 3, 1.5, ["id"])
-    assert tuple(metrics.first()) == (5, 3, 1.5)
+    assert metrics.first().asDict() == {"raw_count": 5, "kept_count": 3, "seconds": 1.5, "corrupt_records": 0, "bad_cells": 0}
     assert [r["line"] for r in sample.orderBy("id").collect()] == ["a (100000-None)", "b (none)", "untitled (1-2)"]
 
 
@@ -94,3 +95,47 @@ def test_stream_with_bounded_state(spark, tmp_path):
         json.dump([{"id": "1", "published_at": "2026-01-28T10:00:00+0300"}, {"id": "1", "published_at": "2026-01-28T11:00:00+0300"}], f)
     ingest_available(new_postings(spark, landing, lateness="7 days"), out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def _publish(spark, tmp_path, files, **options):
+    landing, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    os.makedirs(landing, exist_ok=True)
+    for name, ids in files.items():
+        with open(f"{landing}/{name}", "w") as f:
+            json.dump([{"id": i, "name": name} for i in ids], f)
+    ingest_new(spark, landing, out, state, **options).awaitTermination()
+    return sorted((r["id"] or "", r["name"], r["batch_id"]) for r in spark.read.parquet(out).collect())
+
+
+def test_batches_keep_their_repeats_and_replays_overwrite(spark, tmp_path):
+    first = _publish(spark, tmp_path, {"1.json": ["a", "b", "b", None]})
+    assert first == [("", "1.json", 0), ("a", "1.json", 0), ("b", "1.json", 0), ("b", "1.json", 0)]
+    second = _publish(spark, tmp_path, {"2.json": ["b", "c", "c", None]})
+    assert second == sorted([*first, ("", "2.json", 1), ("c", "2.json", 1), ("c", "2.json", 1)])
+    # The batch was published, but its commit was lost: it is made again and replaces itself.
+    for name in os.listdir(tmp_path / "state" / "commits"):
+        if name.strip(".").startswith("1"):
+            os.remove(tmp_path / "state" / "commits" / name)
+    assert _publish(spark, tmp_path, {}) == second
+    assert _publish(spark, tmp_path, {"3.json": ["a", "d"]})[-1] == ("d", "3.json", 2)
+
+
+def test_one_file_a_batch(spark, tmp_path):
+    rows = _publish(spark, tmp_path, {f"{i}.json": ["x", f"own {i}"] for i in range(3)}, files_per_batch=1)
+    assert [r[0] for r in rows] == ["own 0", "own 1", "own 2", "x"] and {r[2] for r in rows} == {0, 1, 2}
+
+
+def test_run_reports_what_could_not_be_read(spark, tmp_path):
+    def posting(i, **more):
+        return {"id": str(i), "name": "data analyst", "published_at": "2026-01-28T10:00:00+0300", "professional_roles": [{"id": "156"}], **more}
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    lines = [json.dumps({"batch": 0, "page": p, "items": [posting(2 * p), posting(2 * p + 1)]}) for p in range(3)]
+    (pages / "p.json").write_text("\n".join([*lines, '{"batch": 1, "page": 0, "items": [{"id": "9"']))
+    include = ["analyst"]
+    with pytest.raises(Exception):
+        jobs.run_all(spark, str(pages), str(tmp_path / "o1"), "s", F.lit("2026-02-01").cast("timestamp"), include, [])
+    metrics, sample, stats = jobs.run_all(spark, str(pages), str(tmp_path / "o2"), "s", F.lit("2026-02-01").cast("timestamp"), include, [], malformed="keep")
+    row = metrics.first()
+    assert (row["raw_count"], row["kept_count"], row["corrupt_records"], row["bad_cells"]) == (6, 6, 1, 0)
+    assert sample.count() == 6 and not stats.isEmpty()

@@ -11,7 +11,7 @@ from jobgrain.operators.scale import scratch_path
 from jobgrain.plans import jobs
 from jobgrain.schema import POSTING_CORE
 from jobgrain.sources import postings as io
-from jobgrain.streaming.ingest import ingest_available, new_postings
+from jobgrain.streaming.ingest import ingest_available, ingest_new, new_postings
 from workload.filtering import EXCLUDE, INCLUDE
 from workload.registry import query, r
 from workload.statistics import KEPT, REPORT_SQL
@@ -259,8 +259,7 @@ def l04(spark, sf):
     clean = jobs.clean_table(raw_postings(spark, sf), as_of())
     for snapshot in ("s0", "s1"):
         io.write_clean(clean.where("area_name <> 'NATION_0'") if snapshot == "s0" else clean, path, snapshot)
-    found = jobs.analyse(spark.read.parquet(path), ["График работы", "Местность"], range(2, 4),
-                         restarts=1, final_restarts=1)
+    found = jobs.analyse_newest(spark, path, ["График работы", "Местность"])
     return found.profiles.withColumns({"skills": F.array_join("skills", "|"), "mean_salary": r("mean_salary"),
                                        "remote_rate": r("remote_rate", 6)})
 
@@ -294,6 +293,19 @@ def incremental(spark, sf):
     return spark.read.parquet(out).select("id", "name")
 
 
+@query("incremental_ingest_of_batches", """
+WITH l AS (SELECT l_orderkey AS id, l_linenumber AS n, l_orderkey % 3 AS first FROM lineitem)
+SELECT CAST(id AS VARCHAR) AS id, first AS batch, count(*) AS n FROM l GROUP BY 1, 2""", postings=False)
+def incremental_batches(spark, sf):
+    """Three landings; every line also lands in the next one, where its order is known. Repeats of an order in a landing stay."""
+    landing, out, state = (scratch_path(spark, n) for n in ("landing", "published", "state"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_orderkey") % 3)
+    for i in range(3):
+        lines.where((F.col("(l_orderkey % 3)") == i) | (F.col("(l_orderkey % 3)") == i - 1)).select("id").write.mode("append").json(landing)
+        ingest_new(spark, landing, out, state, schema="id string").awaitTermination()
+    return spark.read.parquet(out).groupBy("id", F.col("batch_id").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("c11_profile_of_one_group", """
 SELECT CAST(1 AS INTEGER) AS id, count(*) AS vacancies_count, round(avg(salary_avg), 4) AS mean_salary FROM p""")
 def one_group(spark, sf):
