@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobgrain.clustering import fused, kmeans, methods, prototypes, quadtree, scoring
+from jobgrain.clustering import fused, kmeans, methods, pairwise, prototypes, quadtree, scoring
 from jobgrain.clustering import sweep as sw
 from jobgrain.clustering.features import CLUSTER, FeatureSet, assign, measure, split_types
 from tests.test_clustering import brute_silhouette
@@ -186,3 +186,25 @@ def test_fewer_tuples_than_clusters(spark):
     assert reasons[4] == reasons[5] == "more clusters than distinct tuples" and reasons[3] is None
     with pytest.raises(ValueError):
         sw.sweep(df, ["salary_avg", "name"], [2], pin=9)
+
+
+@pytest.mark.parametrize("tile_rows", [7, 1_000])
+def test_pairwise_distances(frame, tile_rows):
+    data = data_of(frame, "salary_avg", "min_experience_years", "schedule_name")
+    f, rows = data.features, data.tuples.limit(60)
+    ranges = {c: f.moments[c].z_range for c in f.numeric}
+    found = pairwise.pairwise(rows, ranges, f.categorical, tile_rows=tile_rows)
+    assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    pairs = found.collect()
+    assert len({(p.a.row, p.b.row) for p in pairs}) == len({frozenset((p.a.row, p.b.row)) for p in pairs}) == len(pairs) == 60 * 59 // 2
+    for p in pairs:
+        want = (sum(abs(p.a[c] - p.b[c]) / ranges[c] for c in f.numeric) + (p.a.schedule_name != p.b.schedule_name)) / 3
+        assert p.distance == pytest.approx(want, abs=1e-12)
+    plane = pairwise.pairwise(rows, ranges, [], "euclidean").first()
+    assert plane.distance == pytest.approx(np.hypot(*[plane.a[c] - plane.b[c] for c in f.numeric]))
+    assert {p.distance for p in pairwise.pairwise(rows, {}, f.categorical, "hamming").collect()} <= {0.0, 1.0}
+    with pytest.raises(ValueError):
+        pairwise.pairwise(rows, ranges, f.categorical, limit=59)
+    with pytest.raises(ValueError):
+        pairwise.pairwise(rows, ranges, f.categorical, "euclidean")
+    assert pairwise.pairwise(rows.limit(0), ranges, f.categorical).collect() == []

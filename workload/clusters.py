@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from jobgrain.clustering import euclidean, methods, profile, prototypes, quadtree, scoring, silhouette
+from jobgrain.clustering import euclidean, methods, pairwise, profile, prototypes, quadtree, scoring, silhouette
 from jobgrain.clustering import sweep as W
 from jobgrain.clustering.features import (CLUSTER, FeatureSet, collapse, gower, measure, nearest,
                                           tuples_of)
@@ -199,6 +199,24 @@ def j02(spark, sf):
     return sums.select("pay", "c_mktsegment", CLUSTER, "w", *[r(f"_d{i}", 5).alias(f"to_{i}") for i in range(GIVEN)])
 
 
+@query("j02_pairwise_distances", f"""
+WITH {FEATURES_SQL}, t AS (SELECT years, c_mktsegment, o_orderstatus, avg(pay) AS pay FROM f WHERE years IS NOT NULL GROUP BY 1, 2, 3),
+g AS (SELECT max(pay) - min(pay) AS pays, max(years) - min(years) AS span FROM t)
+SELECT a.c_mktsegment AS a_segment, a.o_orderstatus AS a_status, a.years AS a_years, b.c_mktsegment AS b_segment, b.o_orderstatus AS b_status,
+  b.years AS b_years, round((abs(a.pay - b.pay) / pays + abs(a.years - b.years) * 1.0 / span + CASE WHEN a.c_mktsegment <> b.c_mktsegment THEN 1 ELSE 0 END
+    + CASE WHEN a.o_orderstatus <> b.o_orderstatus THEN 1 ELSE 0 END) / 4, 9) AS distance
+FROM t a JOIN t b ON (a.c_mktsegment, a.o_orderstatus, a.years) < (b.c_mktsegment, b.o_orderstatus, b.years), g""")
+def j02_pairs(spark, sf):
+    """The whole matrix of Gower distances, for groups of postings with their mean pay."""
+    groups = base_rows(spark, sf).where("years is not null").groupBy("years", "c_mktsegment", "o_orderstatus").agg(F.avg("pay").alias("pay"))
+    row = groups.agg(F.max("pay") - F.min("pay"), (F.max("years") - F.min("years")).cast("double")).first()
+    found = pairwise.pairwise(groups, {"pay": row[0], "years": row[1]}, ["c_mktsegment", "o_orderstatus"], tile_rows=20)
+    key = {s: F.struct(f"{s}.c_mktsegment", f"{s}.o_orderstatus", f"{s}.years") for s in "ab"}
+    ordered = found.select(F.least(key["a"], key["b"]).alias("a"), F.greatest(key["a"], key["b"]).alias("b"), r("distance", 9).alias("distance"))
+    return ordered.select(*[F.col(f"{s}.{c}").alias(f"{s}_{n}") for s in "ab" for c, n in
+                            (("c_mktsegment", "segment"), ("o_orderstatus", "status"), ("years", "years"))], "distance")
+
+
 @query("c08_silhouette_line", f"""
 WITH {FEATURES_SQL}, {LINE_SUMS_SQL}, {SCORE_SQL}""")
 def c08_line(spark, sf):
