@@ -10,6 +10,7 @@ from jobgrain.operators.clean import parse_cells
 from jobgrain.operators.filters import by_name_stem, by_role
 from jobgrain.operators.scale import small_join
 from jobgrain.schema import PAGE, POSTING_RAW, ROLE_CATALOGUE
+from jobgrain.sources.arrays import read_array
 
 SNAPSHOT = "snapshot_ts"
 CORRUPT = "_corrupt_record"
@@ -18,13 +19,15 @@ JSON_MODES = {"fail": "FAILFAST", "keep": "PERMISSIVE", "drop": "DROPMALFORMED"}
 
 
 def read_postings(spark: SparkSession, path: str, schema: T.StructType = POSTING_RAW,
-                  whole_array: bool = False, malformed: str = "fail") -> DataFrame:
+                  whole_array: bool | str = False, malformed: str = "fail") -> DataFrame:
     """Postings from JSON Lines (each line a record or an array of records).
 
-    `whole_array` reads files that are one pretty-printed array each; such a
-    file cannot be split, so land many of them. `malformed` text fails the read,
+    `whole_array` reads files that are one array each: True in one task a file, "split" in as many as a large
+    file has splits (see `arrays`), where malformed text always fails. Else `malformed` text fails the read,
     or is kept as a row with nothing but its text in `_corrupt_record`, or dropped.
     """
+    if whole_array == "split":
+        return read_array(spark, path, schema)
     if malformed == "keep":
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     return (spark.read.schema(schema).option("multiLine", whole_array).option("mode", JSON_MODES[malformed])

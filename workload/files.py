@@ -53,6 +53,18 @@ def s01_files(spark, sf):
     return io.read_postings(spark, path, POSTING_CORE, whole_array=True).select("id", "name")
 
 
+@query("s01_json_array_in_splits", ROUND_TRIP_SQL)
+def s01_splits(spark, sf):
+    """All postings as one array in one file, read in splits."""
+    path = scratch_path(spark, "one_array")
+    # An array of all postings is one value; the file is put together line by line.
+    lines = raw_postings(spark, sf).select("k", F.to_json(F.struct(*FIELDS)).alias("line"))
+    first, last = lines.agg(F.min("k"), F.max("k")).first()
+    line = F.concat(F.when(F.col("k") == first, "[").otherwise(""), "line", F.when(F.col("k") == last, "]").otherwise(","))
+    lines.orderBy("k").coalesce(1).select(line).write.text(path)
+    return _flat(io.read_postings(spark, path, POSTING_CORE, whole_array="split"))
+
+
 @query("s02_stringified_cells", ROUND_TRIP_SQL)
 def s02(spark, sf):
     """Records whose nested values arrive as JSON text inside a string."""
