@@ -42,6 +42,34 @@ def test_equals_oracle(spark, db, name):
     assert not found
 
 
+@pytest.fixture(scope="module")
+def postings(spark):
+    return QUERIES["l04_analyse_job"].__globals__["raw_postings"](spark, SF).count()
+
+
+# Fits have no SQL; what must hold of their results is checked here, and the fits themselves in test_fused.
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_without_oracle(spark, postings, name):
+    rows = QUERIES[name](spark, SF).collect()
+    if name == "c01_dispatch_by_types":
+        assert [r["method_name"] for r in rows] == ["K-Means", "K-Modes", "K-Prototypes"]
+        assert all(0 <= r["silhouette_score"] <= 1 and r["n_clusters"] in (2, 3) for r in rows)
+    elif name == "c02_sweep_mixed":
+        assert sorted(r["k"] for r in rows) == list(range(2, 13)) and {r["method_name"] for r in rows} == {"K-Prototypes"}
+        assert all(r["converged"] and -1 <= r["silhouette_score"] <= 1 for r in rows)
+        costs = [r["cost"] for r in sorted(rows, key=lambda r: r["k"])]
+        assert costs[-1] < costs[0] / 2
+    elif name == "c03_kmeans_sizes":
+        assert 2 <= len(rows) <= 12 and all(r["n"] > 0 for r in rows) and sum(r["n"] for r in rows) <= postings
+    elif name == "c14_pinned_sweep":
+        assert [r["cluster"] for r in sorted(rows, key=lambda r: r["cluster"])] == list(range(16)) and sum(r["n"] for r in rows) <= postings
+    elif name == "l04_analyse_job":
+        assert sorted(r["id"] for r in rows) == list(range(1, len(rows) + 1)) and 2 <= len(rows) <= 12
+        assert 0 < sum(r["vacancies_count"] for r in rows) <= postings
+    else:
+        pytest.fail(f"{name} has neither an oracle nor a check")
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
