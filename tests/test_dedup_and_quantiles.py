@@ -164,6 +164,25 @@ def test_anchored_tags_equal_brute_force(spark):
     assert sorted(map(tuple, tagging.tag_texts(docs, lexicon, "id", "t").collect())) == want
 
 
+def test_tags_of_a_lexicon_too_large_to_broadcast(spark, monkeypatch):
+    """Short, long and very long keywords, other scripts, a keyword of one character, and texts without any."""
+    rng = random.Random(11)
+    letters = "ab é😀ж"
+    texts = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(0, 90)))) for i in range(60)] + [(98, None), (99, "")]
+    words = {(f"s{i % 9}", "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9)))) for i in range(80)}
+    words |= {(f"long {i}", texts[i][1][5:5 + 33 + i]) for i in range(12) if len(texts[i][1]) > 60}
+    words |= {("near miss", texts[20][1][:33] + "ab"), ("null", None), ("empty", "")}
+    docs, lexicon = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(sorted(words, key=repr), "skill string, keyword string")
+    want = sorted({(i, s) for i, t in texts if t for s, w in words if w and w in t.lower()})
+    monkeypatch.setattr(tagging, "BROADCAST_ROWS", 5)
+    found = tagging.tag_texts_by_anchor(docs, lexicon, "id", "t")
+    assert sorted(map(tuple, found.collect())) == want and any(s.startswith("long") for _, s in want)
+    anchors = spark.range(3_000).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("_anchor"))
+    bits = tagging.anchor_filter(anchors)
+    assert len(bits) * 8 >= 16 * 3_000 and 0 < np.unpackbits(bits).mean() < 0.15
+    assert tagging.tag_texts_by_anchor(docs, lexicon.where("false"), "id", "t").collect() == []
+
+
 def test_name_lexicon_and_merge(spark):
     df = spark.createDataFrame([("uses Python", None, ["SQL"])], "requirement string, responsibility string, skills_list array<string>")
     assert tagging.tag_skills(df, tagging.name_lexicon(["Python", "SQL"])).first()["skills_list"] == ["Python", "SQL"]

@@ -163,6 +163,20 @@ def j04(spark, sf):
     return tagging.tag_texts(documents(spark, sf), _passages(spark, sf), "doc_id", "text")
 
 
+@query("j04_lexicon_through_a_filter", """
+WITH lex AS (SELECT 'item ' || item_id AS skill, lower(text) AS keyword FROM benchmark UNION SELECT 'start ' || item_id, lower(substr(text, 1, 24)) FROM benchmark
+  UNION SELECT 'part ' || p_partkey, lower(p_name) FROM part)
+SELECT DISTINCT doc_id, skill FROM documents JOIN lex ON keyword <> '' AND contains(lower(text), keyword)""", postings=False)
+def j04_filter(spark, sf):
+    """The way for lexicons that are too large to broadcast: passages, their beginnings, and names of parts."""
+    lower = F.lower("text")
+    item = table(spark, sf, "benchmark")
+    lexicon = (item.select(F.concat(F.lit("item "), "item_id").alias("skill"), lower.alias("keyword"))
+               .union(item.select(F.concat(F.lit("start "), "item_id"), F.lower(F.substring("text", 1, 24))))
+               .union(table(spark, sf, "part").select(F.concat(F.lit("part "), "p_partkey"), F.lower("p_name"))))
+    return tagging.tag_texts_by_anchor(documents(spark, sf), lexicon, "doc_id", "text", broadcast_rows=0)
+
+
 def _passages(spark, sf):
     """A lexicon table: every benchmark passage, and an empty keyword that finds nothing."""
     passages = table(spark, sf, "benchmark").select(
