@@ -9,9 +9,13 @@ or a far outlier costs a round at most, since every round starts from the bounds
 values that are left.
 """
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobgrain.operators.scale import BROADCAST_ROWS, settle, spread_join
 
@@ -42,11 +46,10 @@ def slot_counts(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")))
 
 
-def _held(df: DataFrame) -> tuple[DataFrame, bool]:
-    """The state between rounds, and whether it is small: then it is held as local rows, else written."""
+def _held(df: DataFrame) -> list | DataFrame:
+    """The state between rounds: local rows if they are few, else written."""
     rows = df.limit(BROADCAST_ROWS + 1).collect()
-    small = len(rows) <= BROADCAST_ROWS
-    return (df.sparkSession.createDataFrame(rows, df.schema), True) if small else (settle(df), False)
+    return rows if len(rows) <= BROADCAST_ROWS else settle(df)
 
 
 def _picked(counted: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,14 +59,15 @@ def _picked(counted: DataFrame, keys: list[str]) -> DataFrame:
             .withColumn("_before", F.col("_upto") - F.col("_n")).select(*keys, *STATE))
 
 
-def _narrowed(rows: DataFrame, state: DataFrame, by: list[str], small: bool, one_sort: int) -> DataFrame:
+def _narrowed(rows: DataFrame, state: list | DataFrame, schema: T.StructType, by: list[str], one_sort: int) -> DataFrame:
     """One round over the values within the brackets of `state`."""
-    bracket = F.struct(*STATE)
     if by:
-        brackets = state.groupBy(*by).agg(F.collect_list(bracket).alias("_b"))  # two for each quantile
+        small = isinstance(state, list)
+        brackets = rows.sparkSession.createDataFrame(state, schema) if small else state
+        brackets = brackets.groupBy(*by).agg(F.collect_list(F.struct(*STATE)).alias("_b"))  # two for each quantile
         placed = rows.join(F.broadcast(brackets), by) if small else spread_join(rows, brackets, by, "inner")
     else:
-        listed = [F.struct(*[F.lit(b[c]).alias(c) for c in STATE]) for b in state.collect()]
+        listed = [F.struct(*[F.lit(b[c]).alias(c) for c in STATE]) for b in state]
         placed = rows.withColumn("_b", F.array(*listed))
     inside = F.filter("_b", lambda b: (F.col("_x") >= b["_low"]) & (F.col("_x") <= b["_high"]))
     cut = placed.select(*by, "_x", F.inline(inside))
@@ -91,25 +95,40 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
                       for i, p in enumerate(probs.values()) for up, f in enumerate((F.floor, F.ceil))])
     wanted = (slots.withColumns({"_total": F.sum("_n").over(W.partitionBy(*by)), "_before": F.lit(0).cast("long")})
               .select(*by, "_n", "_low", "_high", "_total", "_before", F.inline(ranks)))
-    state, small = _held(_picked(wanted, by))
-    done = []
+    first = _picked(wanted, by)
+    schema, state, done = first.schema, _held(first), []
     while True:
-        done.append(state.where("_low = _high"))
-        left = state.where("_low < _high")
-        if left.isEmpty():
-            break
-        state, small = _held(_narrowed(rows, left, by, small, one_sort))
-
-    found = done[0]
-    for more in done[1:]:
-        found = found.union(more)
-
-    def at(i: int) -> Column:
-        return F.max(F.when(F.col("_r") == i, F.col("_low")))
-
-    def between(i: int, p: float) -> Column:
+        if isinstance(state, list):
+            left = [r for r in state if r["_low"] < r["_high"]]
+            done.append([r for r in state if r["_low"] == r["_high"]])
+            if not left:
+                break
+        else:
+            left = state.where("_low < _high")
+            done.append(state.where("_low = _high"))
+            if left.isEmpty():
+                break
+        state = _held(_narrowed(rows, left, schema, by, one_sort))
+
+    def between(low: float | None, high: float | None, p: float, total: int) -> float | None:
+        part = p * (total - 1)
+        return None if low is None else low + (high - low) * (part - math.floor(part))
+
+    types = T.StructType([*[f for f in schema.fields if f.name in by], *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("n", T.LongType(), False)])
+    if all(isinstance(d, list) for d in done):
+        groups: dict[tuple, dict] = {} if by else {(): {}}
+        totals: dict[tuple, int] = {}
+        for r in (r for d in done for r in d):
+            key = tuple(r[c] for c in by)
+            groups.setdefault(key, {})[r["_r"]], totals[key] = r["_low"], r["_total"]
+        return spark.createDataFrame([(*key, *[between(at.get(2 * i), at.get(2 * i + 1), float(p), totals.get(key, 0)) for i, p in enumerate(probs.values())],
+                                       totals.get(key, 0)) for key, at in groups.items()], types)
+    frames = [spark.createDataFrame(d, schema) if isinstance(d, list) else d for d in done]
+    found = reduce(DataFrame.union, frames)
+
+    def column(i: int, p: float) -> Column:
+        low, high = (F.max(F.when(F.col("_r") == 2 * i + up, F.col("_low"))) for up in (0, 1))
         part = F.lit(float(p)) * (F.max("_total") - 1)
-        return (at(2 * i) + (at(2 * i + 1) - at(2 * i)) * (part - F.floor(part))).alias(names[i])
+        return (low + (high - low) * (part - F.floor(part))).alias(names[i])
 
-    out = found.groupBy(*by).agg(*[between(i, p) for i, p in enumerate(probs.values())], F.coalesce(F.max("_total"), F.lit(0)).alias("n"))
-    return spark.createDataFrame(out.collect(), out.schema) if small else out
+    return found.groupBy(*by).agg(*[column(i, p) for i, p in enumerate(probs.values())], F.max("_total").alias("n"))

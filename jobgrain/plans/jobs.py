@@ -11,7 +11,7 @@ from jobgrain import fixed_values as V
 from jobgrain.clustering.profile import profiles
 from jobgrain.clustering.sweep import Sweep, sweep
 from jobgrain.operators import clean, dedup, filters, statistics, tagging
-from jobgrain.operators.scale import settle
+from jobgrain.operators.scale import scratch_path
 from jobgrain.schema import PAGE, POSTING_RAW
 from jobgrain.sources import postings as io
 
@@ -71,7 +71,7 @@ def clean_job(raw: DataFrame, path: str, snapshot: str, indicators: bool = True,
     """
     base = clean_table(raw, **options)
     if indicators or remove_outliers:
-        base = settle(base)
+        base = staged(base)
     if indicators:
         base = clean.skill_indicators(base, statistics.skill_vocabulary(base))
     io.write_clean(filters.without_outliers(base) if remove_outliers else base, path, snapshot)
@@ -79,6 +79,13 @@ def clean_job(raw: DataFrame, path: str, snapshot: str, indicators: bool = True,
     return statistics.statistics_report(written)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared scratch folder and read again: later passes read the columns they need."""
+    path = scratch_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @dataclass(frozen=True)
 class Analysis:
     sweep: Sweep
@@ -115,7 +122,7 @@ def run_all(spark: SparkSession, pages_path: str, output: str, snapshot: str, as
     if malformed == "keep":
         pages, corrupt = _corrupt_counted(pages)
     raw_path, kept_path, clean_path = f"{output}/raw", f"{output}/relevant", f"{output}/clean"
-    io.write_clean(collect(settle(pages), roles=roles), raw_path, snapshot)
+    io.write_clean(collect(staged(pages), roles=roles), raw_path, snapshot)
     raw = spark.read.parquet(f"{raw_path}/{io.SNAPSHOT}={snapshot}")
     order = ["batch", "page", "published_at"]
     before, after = filter_job(raw, kept_path, snapshot, order, write=io.write_clean, include=include, exclude=exclude)
