@@ -117,11 +117,12 @@ class Model:
             way = best[start] + x
             if way > best[end]:
                 best[end], start_of[end], ids_of[end] = way, start, piece
-        at, ids, after = size, (), [0] * (size + 1)
+        at, parts, after = size, [], [0] * (size + 1)
         while at:
-            ids = ids_of[at] + ids
+            parts.append(ids_of[at])
             after[start_of[at]] = at
             at = start_of[at]
+        ids = tuple(chain.from_iterable(reversed(parts)))
         rest, second = [LOWEST] * size + [0.0], LOWEST
         for start, end, x in reversed(edges):
             x += rest[end]
@@ -140,7 +141,11 @@ class Model:
         return sorted(self.edges(word), key=lambda e: (e[1], e[0]))
 
     def paths(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best paths of a word, best first: A* from its end, the front scores being exact estimates."""
+        """The n best paths of a word, best first: A* from its end, the front scores being exact estimates.
+
+        A way is a piece and the way behind it, so ids are put together once, at the front. No place is left
+        more than n times: each of the n best paths goes on from it by one of the n best ways behind it.
+        """
         if (word, n) in self.searched:
             return self.searched[word, n]
         size = len(word)
@@ -148,15 +153,22 @@ class Model:
         for edge in self.edges(word):
             into[edge[1]].append(edge)
             best[edge[1]] = max(best[edge[1]], best[edge[0]] + edge[2])
-        order, out = count(), []
-        heap = [(-best[-1], next(order), size, 0.0, ())]
+        order, out, left = count(), [], [0] * (size + 1)
+        heap = [(-best[-1], next(order), size, 0.0, None)]
         while heap and len(out) < n:
-            _, _, at, score, ids = heapq.heappop(heap)
+            _, _, at, score, way = heapq.heappop(heap)
             if at == 0:
-                out.append((score, ids))
+                ids = []
+                while way:
+                    piece, way = way
+                    ids.extend(piece)
+                out.append((score, tuple(ids)))
+                continue
+            if left[at] == n:
                 continue
+            left[at] += 1
             for s, _, x, piece in into[at]:
-                heapq.heappush(heap, (-(best[s] + x + score), next(order), s, score + x, piece + ids))
+                heapq.heappush(heap, (-(best[s] + x + score), next(order), s, score + x, (piece, way)))
         if len(self.searched) >= REMEMBERED // 4:
             self.searched.clear()
         if size <= 64:
