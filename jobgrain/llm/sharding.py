@@ -16,17 +16,39 @@ from jobgrain.llm.common import settle
 DIMENSIONS = ("source", "lang", "n_chars")
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A dimension as a double that keeps its order: text by its first six bytes."""
+def _value(df: DataFrame, name: str) -> Column:
+    """A dimension as whole text or as a double that keeps its order."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        head = F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)
-        return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
+        return F.col(name)
     if isinstance(kind, (T.DateType, T.TimestampType)):
         return F.unix_seconds(F.col(name).cast("timestamp")).cast("double")
     return F.col(name).cast("double")
 
 
+def _text_cuts(docs: DataFrame, texts: dict[str, str], levels: int) -> dict[str, list[str]]:
+    """Per axis the values of its text dimension at the inner quantiles, whole values in byte order.
+
+    Values are counted first, so a frequent one is one row from there on. The running
+    count is the offset of the range partition plus the count inside it. At most
+    `levels` values of an axis come to the driver.
+    """
+    if not texts:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.col(d).alias("value")) for n, d in texts.items()]))
+    counts = docs.select(pairs.alias("p")).select("p.*").where("value IS NOT NULL").groupBy("axis", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = settle(counts.repartitionByRange("axis", "value").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("axis").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("axis", "part").agg(F.sum("n").alias("held"))
+               .withColumns({"base": F.coalesce(F.sum("held").over(before), F.lit(0)),
+                             "total": F.sum("held").over(Window.partitionBy("axis"))}).drop("held"))
+    inside = F.sum("n").over(Window.partitionBy("axis", "part").orderBy("value"))
+    cuts = (placed.withColumn("inside", inside).join(F.broadcast(offsets), ["axis", "part"])
+            .where(F.expr(f"(base + inside) * {levels} div total > (base + inside - n) * {levels} div total"))
+            .select("axis", "value").collect())
+    return {n: sorted(r["value"] for r in cuts if r["axis"] == n) for n in texts}
+
+
 def _index(df: DataFrame, names: list[str], bits: int) -> DataFrame:
     """Columns `names` hold levels below 2**bits; adds `hilbert`, their place on the curve.
 
@@ -65,27 +87,30 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, dimensions=DIMENSIONS, bits
     Shards hold row counts that differ by at most one; `slot` counts from 0 within a
     shard. `size` is the UTF-8 length of the text plus 1.
 
-    Null or empty text has size 1 and the checksum of ''. A null metadata value has
-    level 0. Rows that tie on the curve are ordered by a hash of their text and then
+    Null or empty text has size 1 and the checksum of ''. Text dimensions are cut by
+    whole values in byte order. A null metadata value has level 0. Rows that tie on the curve are ordered by a hash of their text and then
     by the place they were read from, so equal rows are all kept and spread like any
     others; a value that fills a third of the table is cut into several shards. An
     empty table gives an empty result. Other columns are not looked at.
 
-    Only metadata, checksums and `keep` are shuffled, once. The global rank is the
-    offset of the range partition plus the place inside it; the only table that is
+    Checksums and `keep` are shuffled once, and of text dimensions the counts of their
+    distinct values. The global rank is the offset of the range partition plus the place inside it; the only table that is
     broadcast has one row per partition.
     """
     if bits * len(dimensions) > 62:
         raise ValueError("bits times dimensions must stay below 63")
     levels = 1 << bits
     names = [f"axis_{i}" for i in range(len(dimensions))]
-    axes = docs.select(*[_number(docs, d).alias(n) for d, n in zip(dimensions, names)])
-    shares = F.array(*[F.lit(i / levels) for i in range(1, levels)])
-    cuts = axes.agg(*[F.percentile_approx(n, shares, 10_000).alias(n) for n in names]).first()
+    texts = {n: d for d, n in zip(dimensions, names) if isinstance(docs.schema[d].dataType, T.StringType)}
+    numbers = {n: d for d, n in zip(dimensions, names) if n not in texts}
+    cuts = _text_cuts(docs, texts, levels)
+    if numbers:
+        shares = F.array(*[F.lit(i / levels) for i in range(1, levels)])
+        cuts |= docs.agg(*[F.percentile_approx(_value(docs, d), shares, 10_000).alias(n) for n, d in numbers.items()]).first().asDict()
 
     def level(name: str, dimension: str) -> Column:
-        value = _number(docs, dimension)
-        above = [F.coalesce((value > cut).cast("int"), F.lit(0)) for cut in dict.fromkeys(cuts[name] or [])]
+        value = _value(docs, dimension)
+        above = [F.coalesce((value > F.lit(cut)).cast("int"), F.lit(0)) for cut in dict.fromkeys(cuts[name] or [])]
         return sum(above, F.lit(0)).alias(name)
 
     body = F.coalesce(F.col(text), F.lit(""))
