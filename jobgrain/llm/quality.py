@@ -14,6 +14,8 @@ SAMPLE = 40_000
 PAIRS_EACH = 6
 THRESHOLD = 0.3
 FOLDS = 5
+# Steps of the score distribution that the cut is read from.
+QUANTILES = 1_000
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -61,22 +63,37 @@ class Ranker:
         return 1 / (1 + F.exp(-(self.raw(values) - self.cut + log(THRESHOLD / (1 - THRESHOLD)))))
 
 
+def _cut(docs: DataFrame, usable: DataFrame, ranker: "Ranker", text: str) -> float:
+    """The quantile of the scores of all documents in `usable` at the share of 0 labels; no text is shuffled for it."""
+    scores = _described(docs.select("doc_id", F.col(text).alias("text")), "text", "doc_id").select(
+        "doc_id", ranker.raw(F.col("features")).alias("s"))
+    known = scores.groupBy("doc_id").agg(F.min("s").alias("s")).join(usable, "doc_id")
+    held = known.agg(F.percentile_approx("s", F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)]), 10 * QUANTILES).alias("at"),
+                     F.avg(1 - F.col("quality")).alias("share")).first()
+    place = held["share"] * QUANTILES
+    low = min(int(place), QUANTILES - 1)
+    return held["at"][low] + (held["at"][low + 1] - held["at"][low]) * (place - low)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs_each: int = PAIRS_EACH, text: str = "text") -> Ranker:
     """Learn a ranker from `quality` labels outside the held-out fold.
 
-    At most `sample` labelled documents are used, those with the lowest hash of
-    their id. Every document labelled 0 is paired with `pairs_each` documents
+    At most `sample` labelled documents of `docs` are used for the weights, those with
+    the lowest hash of their id. Every document labelled 0 is paired with `pairs_each` documents
     labelled 1, and the logistic loss on the difference of their features is
-    minimised without an intercept. The cut is the quantile of the training scores
-    at the share of 0 labels, so as many documents fall below it as are labelled 0.
+    minimised without an intercept. The cut is the quantile of the scores of all
+    labelled documents outside the held-out fold at their share of 0 labels, so as many
+    of them fall below it as are labelled 0.
 
-    Labels that are null or neither 0 nor 1 are left out. If only one label occurs
+    Labels that are null or neither 0 nor 1, or of documents that `docs` does not have,
+    are left out; of several labels of a document the highest counts. If only one label occurs
     there is nothing to rank: all weights are 0 and the cut puts every document on
     the side of that label; without labels every document passes.
     """
-    usable = labels.where((remainder() != 0) & F.col("quality").isin(0, 1))
-    chosen = (usable.select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("mix"))
-              .orderBy("mix", "doc_id", "quality").limit(sample))
+    usable = (labels.where((remainder() != 0) & F.col("quality").isin(0, 1))
+              .groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
+              .join(docs.select("doc_id"), "doc_id", "left_semi"))
+    chosen = usable.withColumn("mix", F.xxhash64("doc_id")).orderBy("mix", "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     known = _described(texts, "text", "doc_id", "quality", "mix").groupBy("doc_id", "mix").agg(
         F.max("quality").alias("quality"), F.min("features").alias("features"))
@@ -98,8 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs_each: in
                                    regParam=1e-3, maxIter=100).fit(turned)
         turned.unpersist()
         ranker = Ranker(tuple(float(x) for x in model.coefficients), 0.0)
-        cut = known.select(ranker.raw(F.col("features")).alias("s")).agg(F.percentile("s", F.lit(bad / (good + bad)))).first()[0]
-        return Ranker(ranker.weights, cut)
+        return Ranker(ranker.weights, _cut(docs, usable, ranker, text))
     finally:
         ranks.unpersist()
         known.unpersist()
