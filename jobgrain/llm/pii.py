@@ -4,7 +4,9 @@ A match is validated (checksums, calendar, number ranges) and then permuted amon
 the values of its own format: digits stay digits, a card number stays one of the
 same length with a right check digit, a date stays a date. The permutation depends
 only on the key and the format, so equal values stay equal in all documents and
-different values stay different. With the key it can be undone.
+different values stay different. With the key it can be undone. Every format is
+permuted within its valid values: numbers are counted among them, and a day that a
+layout can't hold is permuted on until one comes that it can.
 
 Only column expressions are used. A text is cut at its matches once, and the rounds
 run on the matches alone.
@@ -16,7 +18,10 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 # Days from 1900 to 2099, as a product, so that a day number falls into two halves.
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1900-01-01", 17, 4_297
-KEY = "a key of the operator"
+# More steps than a walk to a day of the layout ever takes: each one fails for 2 of 5 days, and there are 73,049.
+WALK = 64
+# US social security numbers: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999.
+AREAS, GROUPS, SERIALS = 898, 99, 9_999
 
 # What may be personal. A text is searched once for all of them; what matched is validated afterwards.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -134,11 +139,43 @@ def _ip(m: Column, key: Column, undo: bool) -> Column:
         F.shiftright(p[h], s).bitwiseAND(F.lit(255).cast("long")).cast("string") for h in ("l", "r") for s in (8, 0)]))[0]
 
 
+def _day(day: Column, key: Column, undo: bool) -> Column:
+    """The permutation of the days from 1900 to 2099, counted from 0."""
+    pair = permuted(F.floor(day / DAYS_LOW), F.pmod(day, F.lit(DAYS_LOW)), F.lit(DAYS_HIGH), F.lit(DAYS_LOW), key, F.lit("date"), undo)
+    return F.transform(F.array(pair), lambda p: (p["l"] * DAYS_LOW + p["r"]).cast("int"))[0]
+
+
+def _date_of(day: Column) -> Column:
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), day)
+
+
 def _date(m: Column, layout: str, key: Column, undo: bool) -> Column:
+    """The pseudonym of a day in its layout.
+
+    Day/month is only read where month/day is no date, so its days lie behind the 12th:
+    the permutation is repeated until it comes to such a day, and is one among them.
+    """
     day = F.date_diff(F.try_to_date(m, layout), F.lit(FIRST_DAY).cast("date"))
-    pair = permuted(F.floor(day / DAYS_LOW), F.pmod(day, F.lit(DAYS_LOW)), F.lit(DAYS_HIGH), F.lit(DAYS_LOW), key, F.lit("date"), undo)
-    return F.transform(F.array(pair), lambda p: F.date_format(
-        F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS_LOW + p["r"]).cast("int")), layout))[0]
+    new = _day(day, key, undo)
+    if layout == "dd/MM/yyyy":
+        new = F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), new, lambda acc, _: F.when(
+            F.dayofmonth(_date_of(acc)) > 12, acc).otherwise(_day(acc, key, undo)))
+    return F.date_format(_date_of(new), layout)
+
+
+def _ssn(m: Column, key: Column, undo: bool) -> Column:
+    """Permuted among the valid numbers: area and group as one number, the serial as the other."""
+    area, group, serial = (F.split_part(m, F.lit("-"), F.lit(i)).cast("long") for i in (1, 2, 3))
+    left = (area - F.when(area > 666, 2).otherwise(1)) * GROUPS + group - 1
+    pair = permuted(left, serial - 1, F.lit(AREAS * GROUPS), F.lit(SERIALS), key, F.lit("ssn"), undo)
+
+    def written(p: Column) -> Column:
+        area = F.floor(p["l"] / GROUPS)
+        number = area + F.when(area >= 665, 2).otherwise(1)
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in (
+            (number, 3), (p["l"] % GROUPS + 1, 2), (p["r"] + 1, 4))])
+
+    return F.transform(F.array(pair), written)[0]
 
 
 def _email(m: Column, key: Column, undo: bool) -> Column:
@@ -172,7 +209,7 @@ def pseudonym(m: Column, key: Column, undo: bool = False) -> Column:
 
     d = _digits(m)
     plain = F.replace(m, F.lit(" "), F.lit(""))
-    octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
+    octets = F.forall(F.split(m, r"\."), lambda x: (x.cast("int") <= 255) & ~x.rlike("^0."))
     out = F.when(m.contains("@"), _email(m, key, undo))
     out = out.when(is_(ACCESS_KEY), F.concat(F.lit("AKIA"), F.upper(F.substring(F.sha2(F.concat_ws("|", key, m), 256), 1, 16))))
     out = out.when(is_(SECRET), _secret(m, key))
@@ -183,21 +220,23 @@ def pseudonym(m: Column, key: Column, undo: bool = False) -> Column:
     out = out.when(is_(IBAN) & (F.length(_digits(F.substring(plain, F.lit(5), F.length(plain)))) > 1)
                    & (_mod97(_moved(plain, F.substring(plain, 3, 2))) == 1), _iban(m, key, undo))
     out = out.when(is_(SSN) & ~m.rlike("^(?:000|666|9)") & ~m.rlike("-00-") & ~m.rlike("0000$"),
-                   _filled(m, permuted_string(d, key, F.lit("ssn"), undo=undo), "0-9"))
+                   _ssn(m, key, undo))
     out = out.when(is_(CARD) & (_luhn(d) % 10 == 0), _card(m, key, undo))
     out = out.when(is_(PHONE) & F.length(d).between(7, 15), _phone(m, key, undo))
     return out.otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", undo: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", undo: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, and n_pii, the number of values replaced, of every row.
 
     E-mail addresses (local part), IPv4 addresses, calendar dates from 1900 to 2099,
     IBANs, US social security numbers, payment cards and telephone numbers are
     permuted within their format; access keys and named secrets get a one-way hash of
     the same length. Numbers that fail their check, impossible dates and all other
-    text stay as they are. Dates in slashes are read as month/day where that is a
-    date, else as day/month. `undo` gives back what was permuted.
+    text stay as they are; so do IPv4 addresses with a leading zero. Dates in slashes are read as month/day where that is a
+    date, else as day/month, and are written back as they are read; the pseudonym of a day is
+    the same in all layouts, but for day/month where it falls on the 12th or before.
+    `undo` with the same key gives back what was permuted, e-mail names in lower case.
 
     A null text stays null with n_pii 0, an empty one ''. Rows are independent:
     repeated rows give equal rows, extra columns are not looked at, an empty table
