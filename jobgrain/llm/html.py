@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                 r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+                 r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 MARKED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 SPACE = re.compile(r"\s+")
+SENTENCE = re.compile(r"[^\W\d_].*\s.*\s.*[.!?\u2026\u3002\uff01\uff1f][\"')\]\u00bb\u201d\u2019]*$", re.S)
+FOOTING = re.compile(r"\u00a9|\(c\)|copyright|all rights reserved|cookie|javascript", re.I)
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
@@ -75,12 +77,13 @@ class _Page:
         return hints
 
     def add(self, text: str, in_link: bool) -> None:
+        text = entities.unescape(text) if "&" in text else text
         self.pieces.append(text)
         if in_link:
             self.linked += len(SPACE.sub("", text))
 
     def cut(self) -> None:
-        text = SPACE.sub(" ", entities.unescape("".join(self.pieces))).strip()
+        text = SPACE.sub(" ", "".join(self.pieces)).strip()
         if text:
             self.blocks.append((text, self.linked, self.zone(), any(n[0] == "h" and n[1:].isdigit() for n, _ in self.open)))
         self.pieces, self.linked = [], 0
@@ -240,24 +243,32 @@ def _in_main(text: str, linked: int, rules: Rules) -> str:
     return "good"
 
 
+def _is_sentence(text: str) -> bool:
+    """Three words and more that end like a sentence and are not what stands below every page."""
+    return bool(SENTENCE.match(text)) and not FOOTING.search(text)
+
+
 def _first_pass(blocks: list[tuple], rules: Rules) -> list[str]:
     """Every block is labelled by its text, then by its container.
 
     The article and main containers are trusted if they hold at least as much text
     as the good blocks outside them. Then all of their text is good, and outside
     them only blocks that are good by themselves count. If not, they decide nothing.
-    A form, or a class or an id of furniture, is a hint that counts as long as there
-    is good text with fewer hints around it.
+    A form, or a class or an id of furniture, is a hint that counts as long as any
+    text with fewer hints around it remains: good or near blocks, or a sentence however
+    short. A page whose text is all that short keeps its sentences.
     """
     labels = _texts(blocks, rules)
-    # Hints are followed while good text remains: what has more of them around it than the best text has is furniture.
     hints = [zone.count("hint") for _, _, zone, _ in blocks]
-    least = min((h for h, x in zip(hints, labels) if x == "good"), default=0)
+    said = [x in ("good", "near") or x == "short" and (zone == "main" or _is_sentence(text)) for (text, _, zone, _), x in zip(blocks, labels)]
+    least = min((h for h, x in zip(hints, said) if x), default=0)
     labels = ["bad" if h > least else x for h, x in zip(hints, labels)]
     inside = [_in_main(text, linked, rules) if zone == "main" else None for text, linked, zone, _ in blocks]
     held = sum(len(b[0]) for b, x in zip(blocks, inside) if x == "good")
     if held and held >= sum(len(b[0]) for b, x, own in zip(blocks, inside, labels) if x is None and own == "good"):
         labels = [x or ("bad" if own in ("near", "short") else own) for x, own in zip(inside, labels)]
+    if "good" not in labels:
+        labels = ["good" if x in ("near", "short") and _is_sentence(b[0]) else x for b, x in zip(blocks, labels)]
     return labels
 
 
