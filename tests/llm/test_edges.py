@@ -73,9 +73,9 @@ def test_html(spark):
 
 
 def test_pii(docs, none):
-    got = pii.pseudonymise(docs).collect()
+    got = pii.pseudonymise(docs, "k").collect()
     assert [(r.doc_id, r.text, r.n_pii) for r in got] == [(r[0], r[1], 0) for r in ROWS]
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
 
 
 def test_pieces(docs, none):

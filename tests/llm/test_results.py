@@ -1,10 +1,13 @@
 """Results against brute force, exact round trips, SQL and held-out labels."""
 
+import datetime
 import glob
 import math
 import os
 import random
 import re
+import time
+import zlib
 from collections import defaultdict
 
 import duckdb
@@ -114,11 +117,14 @@ def test_html_without_article():
     assert html.main_text("<article><p>x<article class=comment>y</article><p>z<form>no</form></article>") == "x\n\nz"
 
 
+KEY = "a key"
+
+
 def test_pii_formats(spark):
     rows = ["a.b1@x.org", "10.0.0.255", "4111 1111 1111 1111", "+1 (988) 555-2485", "1999-02-28", "31.12.1901", "DE89 3704 0044 0532 0130 00", "078-05-1120"]
     bad = ["999.1.1.1", "4111 1111 1111 1112", "1999-02-30", "DE88 3704 0044 0532 0130 00", "000-05-1120", "1234567890123456"]
     df = spark.createDataFrame([(i, f"see {x}, again {x}.") for i, x in enumerate(rows + bad)], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, KEY).collect()}
     for i, x in enumerate(rows):
         first, second = re.fullmatch(r"see (.+), again (.+)\.", got[i].text).groups()
         assert first == second != x and got[i].n_pii == 2
@@ -126,12 +132,39 @@ def test_pii_formats(spark):
     assert [got[len(rows) + i].text for i in range(len(bad))] == [f"see {x}, again {x}." for x in bad]
     digits = re.sub(r"\D", "", got[2].text.split(",")[0])
     assert sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
-    back = pii.pseudonymise(pii.pseudonymise(df).select("doc_id", "text"), undo=True)
+    back = pii.pseudonymise(pii.pseudonymise(df, KEY).select("doc_id", "text"), KEY, undo=True)
     assert {r.doc_id: r.text for r in back.collect()} == {r.doc_id: r.text for r in df.collect()}
     other = {r.doc_id: r.text for r in pii.pseudonymise(df, key="another").collect()}
     assert other[2] != got[2].text
 
 
+def test_pseudonyms_are_one_to_one_in_every_format(spark):
+    """Different values get different valid pseudonyms, and each comes back."""
+    rng = random.Random(3)
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(d) for d in rng.sample(range(73_049), 1_500)]
+    values = {f"{rng.choice([a for a in range(1, 900) if a != 666]):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}" for _ in range(1_500)}
+    values |= {"001-01-0001", "899-99-9999", "665-99-9999", "667-01-0001"}
+    for layout in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"):
+        values |= {d.strftime(layout) for d in days}
+    values |= {d.strftime("%d/%m/%Y") for d in days if d.day > 12}
+    values |= {".".join(str(rng.randint(0, 255)) for _ in range(4)) for _ in range(300)}
+    values |= {f"({rng.randint(100, 999)}) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}" for _ in range(300)}
+    values |= {f"user.{i}@example.org" for i in range(300)}
+    df = spark.createDataFrame(list(enumerate(sorted(values))), "doc_id long, text string").repartition(8)
+    new = pii.pseudonymise(df, KEY).select("doc_id", "text", "n_pii").persist()
+    texts = {r.doc_id: r.text for r in new.collect()}
+    assert len(set(texts.values())) == len(values)
+    assert new.where("n_pii = 0").count() < 5  # a value may be its own pseudonym
+    assert all(not re.match(r"000|666|9|...-00|.{7}0000", t) for t in texts.values() if re.fullmatch(r"\d{3}-\d{2}-\d{4}", t))
+    back = {r.doc_id: r.text for r in pii.pseudonymise(new, KEY, undo=True).collect()}
+    assert back == dict(enumerate(sorted(values)))
+    # One day is one day in all layouts that month/day or a longer form write.
+    at = {x: texts[i] for i, x in enumerate(sorted(values))}
+    for d in days[:200]:
+        assert (datetime.datetime.strptime(at[d.strftime("%Y-%m-%d")], "%Y-%m-%d") == datetime.datetime.strptime(at[d.strftime("%d.%m.%Y")], "%d.%m.%Y")
+                == datetime.datetime.strptime(at[d.strftime("%m/%d/%Y")], "%m/%d/%Y"))
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select("id", F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
     new = df.select("s", pii.permuted_string(F.col("s"), F.lit("k"), F.lit("t")).alias("p"))
@@ -171,6 +204,23 @@ def test_n_best_segmentations():
         assert len(set(full)) == len(full) and all(model.decode(x) == text for x in full)
 
 
+def test_long_word_without_spaces():
+    """Time grows with the length, and the N best stay right where many segmentations tie."""
+    model = pieces.Model(*pieces.Model.load(pieces.MODEL))
+    rng = random.Random(4)
+    for text in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "a" * 100_000, "\u4e2d" * 50_000):
+        start = time.monotonic()
+        score, ids, others = model.encode(text)
+        assert time.monotonic() - start < 30 and model.decode(ids) == text
+        assert len(others) == (0 if "\u4e2d" in text else 3)
+        assert all(x <= score + 1e-6 for x, _ in others)
+    for text in ("aaaaaaaaaaa", "ababababab", "eeeeeeee"):
+        word = pieces.SPACE + text
+        want = [x for x, _ in all_paths(model, word)[:8]]
+        got = model.paths(word, 8)
+        assert [x for x, _ in got] == pytest.approx(want) and len({ids for _, ids in got}) == len(want)
+
+
 def test_pieces_round_trip(spark, docs, texts):
     got = pieces.encode(docs)
     rows = pieces.decode(got, text="back").select("doc_id", "back").collect()
@@ -205,6 +255,58 @@ def test_hilbert_curve(spark):
     assert all(sum(abs(x - y) for x, y in zip(p["at"], q["at"])) == 1 for p, q in zip(rows, rows[1:]))
 
 
+def test_sharding_query_against_plain_placement(spark, docs):
+    """Levels from whole values, runs of equal counts along the curve, sizes and checksums."""
+    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").collect()
+    levels = []
+    for column in ("source", "lang", "n_chars"):
+        values = sorted(r[column] for r in rows if r[column] is not None)
+        cuts = sorted({values[-(-i * len(values) // 16) - 1] for i in range(1, 16)})
+        levels.append({r.doc_id: sum(r[column] > c for c in cuts) if r[column] is not None else 0 for r in rows})
+    got = {r.doc_id: r for r in queries.op7_hilbert_sharding(spark, SF).collect()}
+    assert len(got) == len(rows)
+    at = defaultdict(set)
+    for r in rows:
+        body = (r.text or "").encode()
+        assert (got[r.doc_id].size, got[r.doc_id].text_crc32) == (len(body) + 1, zlib.crc32(body))
+        at[tuple(x[r.doc_id] for x in levels)].add(got[r.doc_id].hilbert)
+    assert all(len(x) == 1 for x in at.values()) and len(set.union(*at.values())) == len(at)
+    order = sorted(got.values(), key=lambda r: (r.shard, r.slot))
+    assert [r.hilbert for r in order] == sorted(r.hilbert for r in order)
+    assert [r.shard for r in order] == [i * 8 // len(order) for i in range(len(order))]
+    assert all([r.slot for r in order if r.shard == s] == list(range(sum(r.shard == s for r in order))) for s in range(8))
+
+
+def test_sources_of_one_long_prefix_are_told_apart(spark):
+    df = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("https://a.very.long.prefix/source_"), F.col("id") % 20).alias("source"),
+                                   F.lit("en").alias("lang"), (F.col("id") * 7 % 4_000).alias("n_chars"), F.lit("x").alias("text"))
+    df = df.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit("https://a.very.long.prefix/source_0")).otherwise(F.col("source")))
+    placed = sharding.hilbert_shards(df, keep=("doc_id", "source")).groupBy("source").agg(F.countDistinct("shard").alias("n")).collect()
+    assert sum(r.n <= 4 for r in placed) >= 15
+    values = sorted(r.source for r in df.collect())
+    assert sharding._text_cuts(df, {"a": "source"}, 4)["a"] == sorted({values[i * 1_000 - 1] for i in range(1, 5)})
+
+
+def test_shards_are_written_in_curve_order(spark, tmp_path):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("string").alias("source"), F.lit("en").alias("lang"),
+                                 (F.col("id") * 13 % 101).alias("n_chars"), F.concat(F.lit("t"), "id").alias("text"), F.col("id").alias("slot"))
+    sharding.write_shards(df, str(tmp_path / "out"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert [r["count"] for r in back.groupBy("_shard").count().orderBy("_shard").collect()] == [125] * 4
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_quality_labels_of_other_documents_take_no_room(spark, docs):
+    """The sample is taken of the documents at hand, and the cut of all their labels."""
+    labels = table(spark, SF, "labels").select("doc_id", "quality")
+    others = spark.range(100_000, 150_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    alone = quality.fit(docs, labels)
+    assert quality.fit(docs, labels.unionByName(others), sample=1_000) == quality.fit(docs, labels, sample=1_000)
+    train = [r for r in quality.score(docs, alone).join(labels, "doc_id").where("not held_out").collect()]
+    below = sum(r.predicted == 0 for r in train)
+    assert abs(below - sum(r.quality == 0 for r in train)) <= 1
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     if not os.path.isdir(sf):
@@ -348,3 +450,27 @@ def test_html_thresholds_without_article():
     polish = "Wczoraj wieczorem mieszkańcy naszego miasta zebrali się przed ratuszem, żeby wysłuchać przemówienia nowego burmistrza. " * 2
     page = f"<ul><li><a>Strona</a><li><a>Kontakt</a></ul><div><h1>Wieczór</h1><p>{polish}</p><p>{polish}</p></div><div><a>Dalej</a></div>"
     assert html.main_text(page).split("\n\n") == ["Wieczór", polish.strip(), polish.strip()]
+
+
+def test_html_hints_win_over_any_text_outside_of_them():
+    comments = f"<p>{PROSE}</p><p>{PROSE * 2}</p>"
+    for name in ("comments", "cookie-notice", "sidebar"):
+        beside = f"<article><h1>News</h1><p>The shop is closed on Monday.</p></article><div class={name}>{comments}</div>"
+        inside = f"<article><h1>News</h1><p>The shop is closed on Monday.</p><div class={name}>{comments}</div></article>"
+        alone = f"<div><h1>News</h1><p>The shop is closed on Monday.</p></div><div class={name}>{comments}</div>"
+        for page in (beside, inside, alone):
+            assert html.main_text(page) == "News\n\nThe shop is closed on Monday."
+    around = f"<form action=/><h1>News</h1><p>{PROSE * 2}</p></form><div>\u00a9 2020 A shop. All rights reserved.</div>"
+    assert html.main_text(around) == f"News\n\n{(PROSE * 2).strip()}"
+
+
+def test_html_references_are_decoded_before_links_are_counted():
+    word = "".join(f"&#{ord(c)};" for c in "\u0441\u043b\u043e\u0432\u043e")
+    got = html.main_text(f"<article><p>{' '.join([word] * 26)} <a href=x>{' '.join([word] * 4)}</a></p></article>")
+    assert got == " ".join(["\u0441\u043b\u043e\u0432\u043e"] * 30)
+
+
+def test_html_broken_attributes_leave_no_markup():
+    assert html.main_text('<article><p title="oops>text one</p><p>two') == "text one\n\ntwo"
+    assert html.main_text("<article><p title='oops>text one</p><p>two") == "text one\n\ntwo"
+    assert "<" not in html.main_text('<article><p title="oops>text one</p><p class="x">two</p><p>three</p></article>')
