@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # Rows that are broadcast at most, and the number of parts of a hot key beyond that.
 BROADCAST_ROWS = 500_000
 SALTS = 16
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # ASCII letters only: the other letters of a text keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,12 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """Actions inside run with `name` set to `value`."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage.
 
     The folder is the one the cluster names in `spark.checkpoint.dir`. Without
     that setting a local master gets a folder of its own; a cluster is refused,
-    since its executors could not read each other's files.
+    since its executors could not read each other's files. Shuffle files of `df` are
+    deleted once its rows are written, as nothing reads them any more.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -32,7 +48,8 @@ def settle(df: DataFrame) -> DataFrame:
         if named is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    with setting(df.sparkSession, SHUFFLE_CLEANUP, "true"):
+        return df.checkpoint(eager=True)
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], unique: str) -> DataFrame:
@@ -55,13 +72,8 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], unique: str) -> D
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Actions inside hand at most `rows` rows at once to a Python worker, which bounds its memory for long texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def ascii_lower(text):

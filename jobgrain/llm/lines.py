@@ -34,7 +34,10 @@ def _lines(text: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"\s+"), "")
+    """Lower-cased words between white space; most lines only have blanks, which are cut without a pattern."""
+    low = F.lower(line)
+    other = [line.contains(F.lit(c)) for c in "\t\n\x0b\f\r"]
+    return F.array_remove(F.when(other[0] | other[1] | other[2] | other[3] | other[4], F.split(low, r"\s+")).otherwise(F.split(low, " ")), "")
 
 
 def frequent_words(docs: DataFrame, limit: int = FREQUENT) -> list[str]:
@@ -145,7 +148,8 @@ def later_matches(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -
     in all pairs; all other postings meet every earlier line of their lists. Lines
     that were left with a failed comparison then meet all earlier lines too.
     """
-    postings = _postings(classes)
+    # Dealt by word once: both sides of the join read the same shuffle.
+    postings = _postings(classes).repartition("word")
     hub = F.first(F.struct("number", "np", "sketch")).over(Window.partitionBy("word").orderBy("number"))
     hubbed = postings.withColumn("hub", hub).where(F.col("hub.number") < F.col("number")).withColumn("near", _may_match("", "hub.", percent))
     other = postings.select("word", F.col("number").alias("other"), F.col("np").alias("onp"), F.col("sketch").alias("osketch"))
