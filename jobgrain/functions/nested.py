@@ -1,5 +1,8 @@
 """Nested cells: literal text to typed values, element and field access."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,15 +17,19 @@ _BARE_WORD = (r"""\G((?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|
 
 def literal_to_json(c: Column) -> Column:
     """Rewrite bare None/True/False outside quotes; single quotes are read as is."""
-    for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
-        # The cheap test spares almost every cell the regular expression.
-        c = F.when(F.contains(c, F.lit(word)),
-                   F.regexp_replace(c, _BARE_WORD % word, f"$1{json_word}")).otherwise(c)
-    return c
+    words = {"None": "null", "True": "true", "False": "false"}
+    rewritten = c
+    for word, json_word in words.items():  # text without the word comes back as it is
+        rewritten = F.regexp_replace(rewritten, _BARE_WORD % word, f"$1{json_word}")
+    # The cheap test spares almost every cell the regular expressions; `c` is named once in each branch, not once more for every word.
+    return F.when(reduce(or_, [F.contains(c, F.lit(w)) for w in words]), rewritten).otherwise(c)
 
 
 def looks_nested(c: Column) -> Column:
-    text = strip(c)
+    return _nested(strip(c))
+
+
+def _nested(text: Column) -> Column:
     return ((F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")))
             | (F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]"))))
 
@@ -30,7 +37,9 @@ def looks_nested(c: Column) -> Column:
 def parse_cell(c: Column, schema: T.DataType) -> Column:
     """Typed value of a stringified dict or list; NULL when it cannot be read."""
     options = {"allowBackslashEscapingAnyCharacter": "true", "mode": "PERMISSIVE"}
-    return F.when(looks_nested(c), F.from_json(literal_to_json(strip(c)), schema, options))
+    # A lambda binds the stripped text once; written out, it would be stripped again wherever it is named.
+    read = F.transform(F.array(strip(c)), lambda t: F.when(_nested(t), F.from_json(literal_to_json(t), schema, options)))
+    return F.get(read, F.lit(0))
 
 
 def first_field(c: Column, field: str) -> Column:

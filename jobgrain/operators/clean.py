@@ -36,21 +36,23 @@ def parse_cells(df: DataFrame, schema: T.StructType = POSTING_CORE) -> DataFrame
     listed in `_bad_cells`.
     """
     wanted = {f.name: f.dataType for f in schema.fields}
-    out, bad = [], []
+    out, texts, bad = [], [], []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         target = wanted.get(field.name, field.dataType)
         if not isinstance(field.dataType, T.StringType):
             out.append(c)
         elif isinstance(target, (T.StructType, T.ArrayType)):
-            parsed = nested.parse_cell(c, target)
-            out.append(parsed.alias(field.name))
-            bad.append(F.when(c.isNotNull() & parsed.isNull() & (text.strip(c) != ""), F.lit(field.name)))
+            out.append(nested.parse_cell(c, target).alias(field.name))
+            held = f"_text_{len(bad)}"
+            texts.append(c.alias(held))
+            bad.append(F.when(F.col(f"`{field.name}`").isNull() & F.col(held).isNotNull() & (text.strip(F.col(held)) != ""), F.lit(field.name)))
         else:
             out.append(text.strip(c).alias(field.name))
-    if bad:
-        out.append(F.array_compact(F.array(*bad)).alias(BAD_CELLS))
-    return df.select(*out)
+    if not bad:
+        return df.select(*out)
+    # The names of unreadable cells come from the parsed cells in a second step, so that none is parsed twice.
+    return df.select(*out, *texts).select(*[F.col(f"`{c}`") for c in df.columns], F.array_compact(F.array(*bad)).alias(BAD_CELLS))
 
 
 def salary_columns(salary: str = "salary") -> list[Column]:
