@@ -13,6 +13,7 @@ HOT_SHARE = 0.002
 # Values a sketch of frequent items keeps at most: counts are right to about a third of a thousandth of the rows.
 TRACKED = 10_000
 BROADCAST_ROWS = 20_000
+HUGE_METHOD, HUGE_METHOD_DEFAULT = "spark.sql.codegen.hugeMethodLimit", "65535"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -56,6 +57,16 @@ def small_join(left: DataFrame, right: DataFrame, keys, how: str = "inner",
     return left.join(F.broadcast(left.sparkSession.createDataFrame(rows, right.schema)), _listed(keys), how)
 
 
+def compile_wide(spark: SparkSession) -> None:
+    """Has Spark split the code of wide projections, unless the session sets a limit of its own.
+
+    The virtual machine leaves methods of more than 8,000 bytes uncompiled, and a projection of some dozen nested columns in
+    whole-stage code is one such method. With this limit Spark runs it by its split code instead.
+    """
+    if spark.conf.get(HUGE_METHOD) == HUGE_METHOD_DEFAULT:
+        spark.conf.set(HUGE_METHOD, "8000")
+
+
 def few_values(df: DataFrame, column: str, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a column has at most `limit` distinct values."""
     return df.select(column).distinct().limit(limit + 1).count() <= limit

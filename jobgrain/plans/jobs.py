@@ -11,7 +11,7 @@ from jobgrain import fixed_values as V
 from jobgrain.clustering.profile import profiles
 from jobgrain.clustering.sweep import Sweep, sweep
 from jobgrain.operators import clean, dedup, filters, statistics, tagging
-from jobgrain.operators.scale import scratch_path
+from jobgrain.operators.scale import compile_wide, scratch_path
 from jobgrain.schema import PAGE, POSTING_RAW
 from jobgrain.sources import postings as io
 
@@ -50,6 +50,7 @@ def clean_table(raw: DataFrame, as_of: Column | None = None, remove_outliers: bo
     `remove_json` drops the nested sources and service columns; all other columns of the
     input stay, and `_bad_cells` names the cells that could not be read.
     """
+    compile_wide(raw.sparkSession)
     out = clean.flatten(clean.parse_cells(raw), as_of, keep_raw=True)
     if remove_json:
         out = clean.drop_raw(out)

@@ -42,3 +42,22 @@ def test_a_cell_is_parsed_and_stripped_once(spark):
     found = [(r["salary"] and r["salary"]["from"], r["salary"] is None, r[clean.BAD_CELLS]) for r in out.collect()]
     assert found[:3] == [(None, False, []), (2.5, False, []), (None, True, ["salary"])]
     assert found[4:] == [(None, True, ["salary"]), (None, True, []), (None, True, [])]
+
+
+def test_wide_projections_run_by_split_code_unless_the_session_says_otherwise(spark):
+    before = spark.conf.get(scale.HUGE_METHOD)
+    try:
+        for given, then in ((scale.HUGE_METHOD_DEFAULT, "8000"), ("30000", "30000")):
+            spark.conf.set(scale.HUGE_METHOD, given)
+            scale.compile_wide(spark)
+            assert spark.conf.get(scale.HUGE_METHOD) == then
+    finally:
+        spark.conf.set(scale.HUGE_METHOD, before)
+
+
+def test_postings_made_in_their_pages_are_the_raw_ones(spark, small):
+    raw = tables.raw_postings(spark, small).select(files.FIELDS)
+    paged = (tables.keyed_rows(spark, small).groupBy().agg(F.collect_list(F.struct(*tables.KEYED)).alias("items"))
+             .select(F.explode(tables.postings_of("items")).alias("p")).select("p.*"))
+    assert [(f.name, f.dataType.simpleString()) for f in paged.schema] == [(f.name, f.dataType.simpleString()) for f in POSTING_CORE]
+    assert raw.count() == ROWS and sorted(map(repr, raw.collect())) == sorted(map(repr, paged.collect()))

@@ -4,10 +4,13 @@
 a clean table should look.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jobgrain.operators.scale import use_all_cores
+from jobgrain.operators.scale import compile_wide, use_all_cores
 from jobgrain.schema import POSTING_CORE
 
 AS_OF = "2001-09-01 00:00:00"
@@ -78,14 +81,34 @@ RAW_COLUMNS = {
 }
 
 
-def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`POSTING_CORE` plus `k` (the order key) and three service columns."""
-    keyed = base(spark, sf_dir).selectExpr(
+# What the columns of a posting are made from.
+KEYED = ["k", "lvl", "exp_id", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
+         "c_custkey", "c_name", "c_mktsegment", "n_nationkey", "n_name"]
+
+
+def keyed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat rows that postings are made from."""
+    compile_wide(spark)
+    return base(spark, sf_dir).selectExpr(
         "*", "o_orderkey as k", "substring(o_orderpriority, 3) as lvl",
         "case substring(o_orderpriority, 1, 1) when '1' then 'noExperience' when '2' then 'between1And3'"
         " when '3' then 'between3And6' when '4' then 'moreThan6' end as exp_id")
-    return keyed.selectExpr(
-        *[f"cast({RAW_COLUMNS[f.name]} as {f.dataType.simpleString()}) as {f.name}" for f in POSTING_CORE.fields],
+
+
+def _typed(field: T.StructField) -> str:
+    return f"cast({RAW_COLUMNS[field.name]} as {field.dataType.simpleString()})"
+
+
+def postings_of(items: str) -> Column:
+    """An array of `KEYED` structs as an array of the postings made from them, with the fields of `POSTING_CORE`."""
+    fields = ", ".join(f"'{f.name}', {_typed(f)}" for f in POSTING_CORE.fields)
+    return F.expr(f"transform({items}, r -> named_struct({re.sub(rf'\b({'|'.join(KEYED)})\b', r'r.\1', fields)}))")
+
+
+def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`POSTING_CORE` plus `k` (the order key) and three service columns."""
+    return keyed_rows(spark, sf_dir).selectExpr(
+        *[f"{_typed(f)} as {f.name}" for f in POSTING_CORE.fields],
         "concat('/p/', k) as alternate_url", "string(k % 17 = 0) as archived", "string(o_orderdate) as created_at", "k")
 
 
