@@ -61,3 +61,10 @@ def test_postings_made_in_their_pages_are_the_raw_ones(spark, small):
              .select(F.explode(tables.postings_of("items")).alias("p")).select("p.*"))
     assert [(f.name, f.dataType.simpleString()) for f in paged.schema] == [(f.name, f.dataType.simpleString()) for f in POSTING_CORE]
     assert raw.count() == ROWS and sorted(map(repr, raw.collect())) == sorted(map(repr, paged.collect()))
+
+
+def test_one_array_file_of_repeated_records_is_written_unsorted(spark, tmp_path):
+    lines = spark.range(1000, numPartitions=5).select(F.to_json(F.struct((F.col("id") % 10).alias("id"))).alias("line"))
+    files._write_one_array(lines, f"{tmp_path}/one")
+    written, = glob.glob(f"{tmp_path}/one/part-*")
+    assert sorted(r["id"] for r in json.load(open(written))) == sorted(list(range(10)) * 100)
