@@ -68,3 +68,12 @@ def test_one_array_file_of_repeated_records_is_written_unsorted(spark, tmp_path)
     files._write_one_array(lines, f"{tmp_path}/one")
     written, = glob.glob(f"{tmp_path}/one/part-*")
     assert sorted(r["id"] for r in json.load(open(written))) == sorted(list(range(10)) * 100)
+
+
+def test_pages_shuffle_flat_rows(spark, small):
+    pages = files._landed_pages(spark, small)
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "partial_collect_list" in line]
+    assert grouped and not any("salary" in line for line in grouped)
+    landed = pages.select("batch", "page", F.explode("items.id").alias("id")).collect()
+    assert sorted(map(tuple, landed)) == sorted((k % 3 + late, k // 100, str(k)) for k in range(ROWS) for late in range(1 + (k % 5 == 0)))

@@ -15,7 +15,7 @@ from jobgrain.streaming.ingest import ingest_available, ingest_new, new_postings
 from workload.filtering import EXCLUDE, INCLUDE
 from workload.registry import query, r
 from workload.statistics import KEPT, REPORT_SQL
-from workload.tables import as_of, raw_postings, table
+from workload.tables import KEYED, as_of, keyed_rows, postings_of, raw_postings, table
 
 FIELDS = [f.name for f in POSTING_CORE.fields]
 
@@ -202,9 +202,11 @@ def _landed_pages(spark, sf):
     """Pages of at most 100 postings in three batches; each fifth posting also lands in the next batch."""
     rows = raw_postings(spark, sf)
     own = (F.col("k") % 3).cast("int")
-    placed = rows.select(*FIELDS, F.floor(F.col("k") / 100).cast("int").alias("page"),
-                         F.explode(F.array_compact(F.array(own, F.when(F.col("k") % 5 == 0, own + 1)))).alias("batch"))
-    return placed.groupBy("batch", "page").agg(F.collect_list(F.struct(*FIELDS)).alias("items"))
+    placed = keyed_rows(spark, sf).select(*KEYED, F.floor(F.col("k") / 100).cast("int").alias("page"),
+                                          F.explode(F.array_compact(F.array(own, F.when(F.col("k") % 5 == 0, own + 1)))).alias("batch"))
+    # The flat rows are shuffled, some ten times smaller than the postings made from them.
+    pages = placed.groupBy("batch", "page").agg(F.collect_list(F.struct(*KEYED)).alias("items"))
+    return pages.select("batch", "page", postings_of("items").alias("items"))
 
 
 @query("l01_filter_job_twice", f"SELECT count(*) AS n, 2 AS runs FROM {KEPT}")
@@ -265,7 +267,7 @@ def k03(spark, sf):
 
 @query("l03_collect_job", f"SELECT id, CAST(k % 3 AS INTEGER) AS batch FROM p WHERE list_has_any(roles, [{ROLES}])")
 def l03(spark, sf):
-    return jobs.collect(_landed_pages(spark, sf), dedupe_within=True).select("id", "batch")
+    return jobs.collect(jobs.staged(_landed_pages(spark, sf)), dedupe_within=True).select("id", "batch")
 
 
 @query("l04_analyse_job")
@@ -290,7 +292,7 @@ UNION ALL SELECT 'median', round(quantile_cont(salary_avg, 0.5), 4) FROM kept
 UNION ALL SELECT 'mean_skills', round(avg(len(skills_list)), 4) FROM kept""")
 def l05(spark, sf):
     pages, out = scratch_path(spark, "pages"), scratch_path(spark, "run")
-    _landed_pages(spark, sf).write.json(pages)
+    _landed_pages(spark, sf).write.option("compression", "gzip").json(pages)
     metrics, _, stats = jobs.run_all(spark, pages, out, "s1", as_of(), INCLUDE, EXCLUDE)
     counts = metrics.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value"))
                                                for c in ("raw_count", "kept_count")])))
