@@ -77,3 +77,10 @@ def test_pages_shuffle_flat_rows(spark, small):
     assert grouped and not any("salary" in line for line in grouped)
     landed = pages.select("batch", "page", F.explode("items.id").alias("id")).collect()
     assert sorted(map(tuple, landed)) == sorted((k % 3 + late, k // 100, str(k)) for k in range(ROWS) for late in range(1 + (k % 5 == 0)))
+
+
+def test_landings_are_compressed(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "scratch_path", lambda _, name: f"{tmp_path}/scratch/{name}")
+    assert sorted(int(r["id"]) for r in files.incremental(spark, small).collect()) == list(range(ROWS))
+    landed = glob.glob(f"{tmp_path}/scratch/landing/part-*")
+    assert landed and all(f.endswith(".json.gz") for f in landed)

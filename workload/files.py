@@ -200,7 +200,6 @@ def l02(spark, sf):
 
 def _landed_pages(spark, sf):
     """Pages of at most 100 postings in three batches; each fifth posting also lands in the next batch."""
-    rows = raw_postings(spark, sf)
     own = (F.col("k") % 3).cast("int")
     placed = keyed_rows(spark, sf).select(*KEYED, F.floor(F.col("k") / 100).cast("int").alias("page"),
                                           F.explode(F.array_compact(F.array(own, F.when(F.col("k") % 5 == 0, own + 1)))).alias("batch"))
@@ -306,7 +305,8 @@ def incremental(spark, sf):
     landing, out, state = (scratch_path(spark, n) for n in ("landing", "ingested", "state"))
     rows = raw_postings(spark, sf).select(FIELDS)
     for half in (rows.where("id % 3 <> 0"), rows.where("id % 3 <> 1")):
-        half.write.mode("append").json(landing)
+        # Files that are not split, so none is large.
+        half.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", 200_000).json(landing)
         ingest_available(new_postings(spark, landing), out, state).awaitTermination()
     return spark.read.parquet(out).select("id", "name")
 
