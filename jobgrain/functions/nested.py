@@ -19,8 +19,8 @@ def literal_to_json(c: Column) -> Column:
     """Rewrite bare None/True/False outside quotes; single quotes are read as is."""
     words = {"None": "null", "True": "true", "False": "false"}
     rewritten = c
-    for word, json_word in words.items():  # text without the word comes back as it is
-        rewritten = F.regexp_replace(rewritten, _BARE_WORD % word, f"$1{json_word}")
+    for word, json_word in words.items():  # never run on text without the word: it would go through long text to its end
+        rewritten = F.when(F.contains(c, F.lit(word)), F.regexp_replace(rewritten, _BARE_WORD % word, f"$1{json_word}")).otherwise(rewritten)
     # The cheap test spares almost every cell the regular expressions; `c` is named once in each branch, not once more for every word.
     return F.when(reduce(or_, [F.contains(c, F.lit(w)) for w in words]), rewritten).otherwise(c)
 

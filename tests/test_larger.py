@@ -38,23 +38,12 @@ def test_a_cell_is_parsed_and_stripped_once(spark):
     cells = [(" {'from': None} ",), ("{'from': 2.5}",), ("{'from': ",), ("{'from': 1,}",), ("plain",), ("  ",), (None,)]
     out = clean.parse_cells(spark.createDataFrame(cells, "salary string"), schema)
     assert _plan(out).count("from_json") == 1
-    assert _plan(out).count("regexp_replace") == 5  # strip, three words, and strip where a cell could not be read
+    assert _plan(out).count("regexp_replace") < 12  # 100 and more when each word's test named the text again
     found = [(r["salary"] and r["salary"]["from"], r["salary"] is None, r[clean.BAD_CELLS]) for r in out.collect()]
     assert found[:3] == [(None, False, []), (2.5, False, []), (None, True, ["salary"])]
     assert found[4:] == [(None, True, ["salary"]), (None, True, []), (None, True, [])]
 
 
-def test_wide_projections_run_by_split_code_unless_the_session_says_otherwise(spark):
-    before = spark.conf.get(scale.HUGE_METHOD)
-    try:
-        for given, then in ((scale.HUGE_METHOD_DEFAULT, "8000"), ("30000", "30000")):
-            spark.conf.set(scale.HUGE_METHOD, given)
-            scale.compile_wide(spark)
-            assert spark.conf.get(scale.HUGE_METHOD) == then
-    finally:
-        spark.conf.set(scale.HUGE_METHOD, before)
-
-
 def test_postings_made_in_their_pages_are_the_raw_ones(spark, small):
     raw = tables.raw_postings(spark, small).select(files.FIELDS)
     paged = (tables.keyed_rows(spark, small).groupBy().agg(F.collect_list(F.struct(*tables.KEYED)).alias("items"))
@@ -63,13 +52,6 @@ def test_postings_made_in_their_pages_are_the_raw_ones(spark, small):
     assert raw.count() == ROWS and sorted(map(repr, raw.collect())) == sorted(map(repr, paged.collect()))
 
 
-def test_one_array_file_of_repeated_records_is_written_unsorted(spark, tmp_path):
-    lines = spark.range(1000, numPartitions=5).select(F.to_json(F.struct((F.col("id") % 10).alias("id"))).alias("line"))
-    files._write_one_array(lines, f"{tmp_path}/one")
-    written, = glob.glob(f"{tmp_path}/one/part-*")
-    assert sorted(r["id"] for r in json.load(open(written))) == sorted(list(range(10)) * 100)
-
-
 def test_pages_shuffle_flat_rows(spark, small):
     pages = files._landed_pages(spark, small)
     plan = pages._jdf.queryExecution().executedPlan().toString()
@@ -79,8 +61,26 @@ def test_pages_shuffle_flat_rows(spark, small):
     assert sorted(map(tuple, landed)) == sorted((k % 3 + late, k // 100, str(k)) for k in range(ROWS) for late in range(1 + (k % 5 == 0)))
 
 
+def test_one_array_file_of_repeated_records_is_written_unsorted(spark, tmp_path):
+    lines = spark.range(1000, numPartitions=5).select(F.to_json(F.struct((F.col("id") % 10).alias("id"))).alias("line"))
+    files._write_one_array(lines, f"{tmp_path}/one")
+    written, = glob.glob(f"{tmp_path}/one/part-*")
+    assert sorted(r["id"] for r in json.load(open(written))) == sorted(list(range(10)) * 100)
+
+
 def test_landings_are_compressed(spark, small, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "scratch_path", lambda _, name: f"{tmp_path}/scratch/{name}")
     assert sorted(int(r["id"]) for r in files.incremental(spark, small).collect()) == list(range(ROWS))
     landed = glob.glob(f"{tmp_path}/scratch/landing/part-*")
     assert landed and all(f.endswith(".json.gz") for f in landed)
+
+
+def test_wide_projections_run_by_split_code_unless_the_session_says_otherwise(spark):
+    before = spark.conf.get(scale.HUGE_METHOD)
+    try:
+        for given, then in ((scale.HUGE_METHOD_DEFAULT, "8000"), ("30000", "30000")):
+            spark.conf.set(scale.HUGE_METHOD, given)
+            scale.compile_wide(spark)
+            assert spark.conf.get(scale.HUGE_METHOD) == then
+    finally:
+        spark.conf.set(scale.HUGE_METHOD, before)
