@@ -4,9 +4,17 @@ A run is one fit, named by (k, restart). One pass assigns each tuple to its near
 centroid in every run and hands on weighted sums and value counts, which Spark adds
 up; the driver holds nothing but centroids. A run that has settled leaves the pass,
 so a sweep costs as many passes as its longest fit, not their sum.
+
+Tuples that follow each other with equal categories act as a block. The tuples nearest to
+one centroid form a convex set, so if all corners of a block's box have the same label,
+the whole block has it, and its sums do; only the blocks on a border are taken tuple by
+tuple. Where tuples come in order, as from `methods.Data`, that is nearly all of the work saved.
+Blocks are made once in a fit and written as pages, which a pass reads without making rows of them.
 """
 
+import pickle
 from dataclasses import dataclass
+from itertools import product
 from typing import Iterator
 
 import numpy as np
@@ -15,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobgrain.clustering.features import WEIGHT, FeatureSet
-from jobgrain.operators.scale import few_values
+from jobgrain.operators.scale import few_values, setting, settle
 from jobgrain.schema import with_fields
 
 Run = tuple[int, int]
@@ -25,6 +33,9 @@ SIZE, COST = -1, -2
 SETTLED = 1e-12
 # Up to this many tasks, and values of a categorical, the sums of the tasks are collected; else Spark adds them up.
 FEW_TASKS, FEW_VALUES = 64, 200
+# Tuples of a block and of a page at most, the most numeric features (a box has 2 ** n corners), and the pages handed to Python at once.
+BLOCK, PAGE_ROWS, BOXED, PAGES = 64, 50_000, 3, 4
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @dataclass(frozen=True)
@@ -53,6 +64,14 @@ class Batch:
     def __len__(self) -> int:
         return len(self.weight)
 
+    def at(self, rows: np.ndarray, numeric: np.ndarray | None = None, weight: np.ndarray | None = None) -> "Batch":
+        """Some of the tuples, or others with their categories."""
+        out = object.__new__(Batch)
+        out.features, out.values, out.codes = self.features, self.values, [codes[rows] for codes in self.codes]
+        out.numeric = self.numeric[rows] if numeric is None else numeric
+        out.weight = self.weight[rows] if weight is None else weight
+        return out
+
     def distances(self, centroids: Centroids, gamma: float) -> np.ndarray:
         """Squared Euclidean plus gamma times the mismatches, tuples x centroids."""
         out = np.zeros((len(self), len(centroids)))
@@ -62,7 +81,7 @@ class Batch:
         for codes, values, c in zip(self.codes, self.values, self.features.categorical):
             place = {v: i for i, v in enumerate(values)}
             wanted = np.array([place.get(m[c], -1) for m in centroids])
-            out += np.where(codes[:, None] == wanted, 0.0, gamma)
+            out += np.where(np.arange(len(values))[:, None] == wanted, 0.0, gamma)[codes]
         return out
 
     def nearest(self, centroids: Centroids, gamma: float) -> tuple[np.ndarray, np.ndarray]:
@@ -72,20 +91,88 @@ class Batch:
         return label, gaps[np.arange(len(self)), label]
 
 
+class Blocks:
+    """Runs of tuples with equal categories, at most BLOCK long, with their boxes, means and squares about the means."""
+
+    def __init__(self, batch: Batch):
+        first = np.zeros(len(batch), bool)
+        first[::BLOCK] = True
+        for codes in batch.codes:
+            first[1:] |= codes[1:] != codes[:-1]
+        self.batch, self.starts = batch, np.flatnonzero(first)
+        self.sizes = np.diff(np.append(self.starts, len(batch)))
+        weight, mass = batch.weight[:, None], batch.weight[:, None] * batch.numeric
+        total = np.add.reduceat(batch.weight, self.starts)
+        low, high = (f.reduceat(batch.numeric, self.starts) for f in (np.minimum, np.maximum))
+        mean = np.clip(np.add.reduceat(mass, self.starts) / total[:, None], low, high)
+        self.within = np.add.reduceat((weight * (batch.numeric - np.repeat(mean, self.sizes, 0)) ** 2).sum(1), self.starts)
+        self.mean = batch.at(self.starts, mean, total)
+        self.corners = [batch.at(self.starts, np.where(at, high, low), total) for at in product((False, True), repeat=mean.shape[1])]
+
+    @staticmethod
+    def of(batch: Batch) -> "Blocks | None":
+        """None where blocks would save nothing: the tuples have no order, many categories or too many numbers."""
+        if not 0 < len(batch.features.numeric) <= BOXED or len(batch) < 2 * BLOCK:
+            return None
+        found = Blocks(batch)
+        return found if 8 * len(found.starts) <= len(batch) else None
+
+    def labelled(self, listed: list[Centroids], gamma: float) -> Iterator[tuple[Batch, np.ndarray, np.ndarray]]:
+        """Per run: whole blocks at their means and the tuples of all others, their labels, and what each adds to the cost."""
+        flat = [c for centroids in listed for c in centroids]
+        corners = [c.distances(flat, gamma) for c in self.corners]
+        means, start = self.mean.distances(flat, gamma), 0
+        for centroids in listed:
+            mine = slice(start, start + len(centroids))
+            labels = [c[:, mine].argmin(1) for c in corners]
+            whole = np.logical_and.reduce([labels[0] == label for label in labels])
+            rows, blocks = np.flatnonzero(np.repeat(~whole, self.sizes)), np.flatnonzero(whole)
+            single = self.batch.at(rows)
+            label, gap = single.nearest(centroids, gamma)
+            common = labels[0][blocks]
+            units = self.batch.at(np.concatenate([self.starts[blocks], rows]), np.concatenate([self.mean.numeric[blocks], single.numeric]),
+                                  np.concatenate([self.mean.weight[blocks], single.weight]))
+            cost = np.concatenate([self.within[blocks] + self.mean.weight[blocks] * means[blocks, start + common], single.weight * gap])
+            yield units, np.concatenate([common, label]), cost
+            start = mine.stop
+
+
 PARTIAL = "run int, cluster int, feature int, value string, total double"
 
 
-def _partial(frame: pd.DataFrame, features: FeatureSet, listed: list[Centroids], gamma: float) -> pd.DataFrame:
-    """Weighted sums and value counts of one batch in every run."""
-    batch, numeric = Batch(frame, features), len(features.numeric)
+def _paged(tuples: DataFrame, features: FeatureSet) -> DataFrame:
+    """The tuples of each Arrow batch as one page: their blocks, or the plain batch where those would save nothing."""
+    plain = FeatureSet(features.numeric, features.categorical)
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if len(frame):
+                batch = Batch(frame, plain)
+                yield pd.DataFrame({"page": [pickle.dumps(Blocks.of(batch) or batch, pickle.HIGHEST_PROTOCOL)]})
+
+    with setting(tuples.sparkSession, BATCH, str(PAGE_ROWS)):
+        return settle(tuples.select(*features.columns, WEIGHT).mapInPandas(pages, "page binary"))
+
+
+def _labelled(page: "Blocks | Batch", listed: list[Centroids], gamma: float) -> Iterator[tuple[Batch, np.ndarray, np.ndarray]]:
+    if isinstance(page, Blocks):
+        yield from page.labelled(listed, gamma)
+        return
+    for centroids in listed:
+        label, gap = page.nearest(centroids, gamma)
+        yield page, label, page.weight * gap
+
+
+def _partial(page: "Blocks | Batch", features: FeatureSet, listed: list[Centroids], gamma: float) -> pd.DataFrame:
+    """Weighted sums and value counts of one page in every run, of the clusters that have tuples in it."""
     parts: list[tuple] = []
-    for run, centroids in enumerate(listed):
-        label, gap = batch.nearest(centroids, gamma)
-        k = len(centroids)
-        sums = [(SIZE, batch.weight), (COST, batch.weight * gap)] + [(j, batch.weight * batch.numeric[:, j]) for j in range(numeric)]
-        parts += [(run, feature, np.arange(k), np.full(k, None), np.bincount(label, amount, k)) for feature, amount in sums]
-        for j, (codes, values) in enumerate(zip(batch.codes, batch.values), numeric):
-            counts = np.bincount(label * len(values) + codes, batch.weight, k * len(values))
+    for run, (units, label, cost) in enumerate(_labelled(page, listed, gamma)):
+        k, numeric = len(listed[run]), len(features.numeric)
+        used = np.flatnonzero(np.bincount(label, minlength=k))
+        sums = [(SIZE, units.weight), (COST, cost)] + [(j, units.weight * units.numeric[:, j]) for j in range(numeric)]
+        parts += [(run, feature, used, np.full(len(used), None), np.bincount(label, amount, k)[used]) for feature, amount in sums]
+        for j, (codes, values) in enumerate(zip(units.codes, units.values), numeric):
+            counts = np.bincount(label * len(values) + codes, units.weight, k * len(values))
             at = np.flatnonzero(counts)
             parts.append((run, j, at // len(values), np.asarray(values, object)[at % len(values)], counts[at]))
     sizes = [len(p[4]) for p in parts]
@@ -97,7 +184,7 @@ def _partial(frame: pd.DataFrame, features: FeatureSet, listed: list[Centroids],
 KEY = ["run", "cluster", "feature"]
 
 
-def _pass(tuples: DataFrame, features: FeatureSet, runs: dict[Run, Centroids], gamma: float, few: bool = False) -> list:
+def _pass(pages: DataFrame, features: FeatureSet, runs: dict[Run, Centroids], gamma: float, few: bool = False) -> list:
     """One pass: (run, cluster, feature, value, total), value counts reduced to the mode of each cluster.
 
     `few` says that the tasks are few and the categoricals have few values: then the sums of the tasks are added up on the
@@ -107,10 +194,8 @@ def _pass(tuples: DataFrame, features: FeatureSet, runs: dict[Run, Centroids], g
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
-        for frame in batches:
-            if not len(frame):
-                continue
-            one = _partial(frame, features, listed, gamma)
+        for page in (p for frame in batches for p in frame["page"]):
+            one = _partial(pickle.loads(page), features, listed, gamma)
             if not few:
                 yield one
             else:
@@ -118,7 +203,7 @@ def _pass(tuples: DataFrame, features: FeatureSet, runs: dict[Run, Centroids], g
         if held is not None:
             yield held
 
-    partial = tuples.mapInPandas(summed, PARTIAL)
+    partial = pages.mapInPandas(summed, PARTIAL)
     if few:
         totals: dict[tuple, float] = {}
         for run, cluster, feature, value, total in sorted(partial.collect(), key=repr):  # a fixed order of the sums
@@ -141,12 +226,15 @@ def fit(tuples: DataFrame, features: FeatureSet, starts: dict[Run, Centroids], g
     """
     tasks = tuples.select(F.spark_partition_id()).distinct().count()
     few = tasks <= FEW_TASKS and all(few_values(tuples, c, FEW_VALUES) for c in features.categorical)
+    pages = _paged(tuples, features)
     moving, histories, done = dict(starts), {run: [] for run in starts}, {}
     while moving:
+        with setting(tuples.sparkSession, BATCH, str(PAGES)):
+            found = _pass(pages, features, moving, gamma, few)
         moved = {run: [dict(c) for c in centroids] for run, centroids in moving.items()}
         sizes: dict[tuple[Run, int], float] = {}
         sums, costs, names = [], dict.fromkeys(moving, 0.0), list(moving)
-        for at, cluster, feature, value, total in _pass(tuples, features, moving, gamma, few):
+        for at, cluster, feature, value, total in found:
             run = names[at]
             if feature == SIZE:
                 sizes[run, cluster] = total

@@ -50,8 +50,9 @@ class Data:
         found = settle(tuples_of(df, features))
         count = found.count()
         parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_ROWS))
-        # The exchange that made the tuples may have left them in a few tasks.
-        return Data(settle(found.repartition(parts, *features.columns)), features, count, prototypes.default_gamma(features))
+        # The exchange that made the tuples may have left them in a few tasks. In order, neighbours have the same label in a fit.
+        order = features.categorical + features.numeric
+        return Data(settle(found.repartitionByRange(parts, *order).sortWithinPartitions(*order)), features, count, prototypes.default_gamma(features))
 
     def labelled(self, fits: list[Fit]) -> DataFrame:
         """Tuples with an array of labels, in the order of the fits."""

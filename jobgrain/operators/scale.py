@@ -4,6 +4,8 @@ import math
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """Actions inside run with `name` set to `value`."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def small_join(left: DataFrame, right: DataFrame, keys, how: str = "inner",
                limit: int = BROADCAST_ROWS) -> DataFrame:
     """Equi-join that broadcasts `right` if it has at most `limit` rows.

@@ -1,6 +1,10 @@
 """Fits and scores of many k at once against one at a time, brute force and their properties."""
 
+import pickle
+import sys
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +212,37 @@ def test_pairwise_distances(frame, tile_rows):
     with pytest.raises(ValueError):
         pairwise.pairwise(rows, ranges, f.categorical, "euclidean")
     assert pairwise.pairwise(rows.limit(0), ranges, f.categorical).collect() == []
+
+
+def _ordered_batch(rows=20_000):
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"a": rng.normal(size=rows).round(4), "c": rng.choice(list("uvwx"), rows), "w": rng.integers(1, 4, rows)})
+    return frame.sort_values(["c", "a"], ignore_index=True)
+
+
+def test_blocks_of_ordered_tuples_are_assigned_whole():
+    features = FeatureSet(["a"], ["c"])
+    batch = fused.Batch(_ordered_batch(), features)
+    blocks = fused.Blocks.of(batch)
+    listed = [[{"a": -1.0, "c": "u"}, {"a": 0.2, "c": "v"}, {"a": 0.25, "c": "w"}, {"a": 0.25, "c": "w"}], [{"a": 0.0, "c": "x"}, {"a": 2.0, "c": "x"}]]
+    for (units, label, cost), centroids in zip(blocks.labelled(listed, 0.5), listed):
+        assert len(units) < len(batch) / 8  # most of the tuples were taken in blocks
+        assert units.weight.sum() == batch.weight.sum() and len(label) == len(cost) == len(units)
+    key = ["run", "cluster", "feature", "value"]
+    whole, single = (fused._partial(page, features, listed, 0.5).sort_values(key, ignore_index=True) for page in (blocks, batch))
+    pd.testing.assert_frame_equal(whole[key], single[key])
+    np.testing.assert_allclose(whole["total"], single["total"], rtol=1e-11, atol=1e-9)
+
+
+def test_tuples_without_order_or_numbers_make_no_blocks():
+    frame = _ordered_batch().sample(frac=1, random_state=1)
+    assert fused.Blocks.of(fused.Batch(frame, FeatureSet(["a"], ["c"]))) is None
+    assert fused.Blocks.of(fused.Batch(frame, FeatureSet([], ["c"]))) is None
+
+
+def test_data_hands_tuples_on_in_order(spark):
+    rows = [(float(i * 37 % 101), "uv"[i % 2]) for i in range(101)]
+    frame = spark.createDataFrame(rows, "salary_avg double, name string")
+    data = methods.Data.of(frame, measure(frame, FeatureSet(["salary_avg"], ["name"])))
+    for part in data.tuples.select("name", "salary_avg").rdd.glom().collect():
+        assert [tuple(r) for r in part] == sorted(tuple(r) for r in part)
