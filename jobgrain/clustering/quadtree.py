@@ -3,16 +3,18 @@
 The plane is cut into a quadtree whose leaves hold few tuples. The distance to a tuple
 is smooth in that tuple's place as soon as it is a cell's width away from the cell, so
 seen from there all tuples of a cell act, to rounding, like NODES x NODES weighted
-points at its Chebyshev nodes. Each leaf meets the tuples of the leaves next to it one
-by one, and everything else through the largest cells that are far enough away. The
-work grows with tuples * log(tuples), never with tuples squared, for all labellings at
-once.
+points at its Chebyshev nodes; and the sums over tuples that far away are as smooth within
+a cell, so they are made at its nodes and handed down to the cells below it. Each leaf meets
+the tuples of the leaves next to it one by one, and everything else through cells that are
+far enough away, each at the highest level that allows it. The work grows with the tuples,
+never with tuples squared, for all labellings at once.
 
 Cells are numbered so that the parent of cell c is c >> 2; the root is 1. The leaves
 of a block (a cell with up to BLOCK_LEAVES leaves) are done by one task, which gets
 their tuples, those of the leaves next to them, and the weighted points of the far cells.
 """
 
+import pickle
 from typing import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ DEPTH = 30
 # Levels whose cells are counted, or merged, in one step.
 STEP = 3
 # Distances held at once.
-TILE = 1 << 20
+TILE = 1 << 17
 
 NODE = np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
 SERIES = np.cos(np.arange(NODES)[:, None] * np.arccos(NODE)) * np.where(np.arange(NODES) == 0, 1.0, 2.0)[:, None] / NODES
@@ -116,6 +118,36 @@ class Tree:
                 open_ += self.children[cell]
         return near, far
 
+    def plan(self, block: int) -> list[tuple]:
+        """What the cells of a block meet, parents first: (cell, parent, far, apart, near).
+
+        `far` cells act on the cell's nodes, or on the tuples of a small leaf; leaves also have cells that are far enough from
+        each of their tuples but too near for the nodes (`apart`), and leaves that are met tuple by tuple (`near`; else None).
+        """
+        found, open_ = [], [(block, 0, [1])]
+        while open_:
+            cell, parent, waiting = open_.pop()
+            x, y, h = self.boxes[cell]
+            leaf, far, apart, near, below = cell in self.is_leaf, [], [], [], []
+            while waiting:
+                other = waiting.pop()
+                ox, oy, oh = self.boxes[other]
+                gap = max(abs(x - ox), abs(y - oy)) - h - oh
+                if gap >= 2 * max(h, oh) * (1 - 1e-9):
+                    far.append(other)
+                elif leaf and gap >= 2 * oh * (1 - 1e-9):
+                    apart.append(other)
+                elif leaf and other in self.is_leaf:
+                    near.append(other)
+                elif other not in self.is_leaf and (leaf or oh > h):
+                    waiting += self.children[other]
+                else:
+                    below.append(other)
+            found.append((cell, parent, far, apart, near if leaf else None))
+            if not leaf:
+                open_ += [(c, cell, list(below)) for c in self.children[cell]]
+        return found
+
     def blocks(self) -> dict[int, list[int]]:
         """Leaves by block: the largest cells with at most BLOCK_LEAVES leaves."""
         found, open_ = {}, [1]
@@ -174,6 +206,29 @@ def _polynomials(u: np.ndarray) -> np.ndarray:
     return np.cos(np.arange(NODES) * np.arccos(np.clip(u, -1.0, 1.0))[:, None])
 
 
+def _distance_sums(xs, ys, from_x, from_y, from_w: np.ndarray) -> np.ndarray:
+    """Weighted sums of the distances of each place to all of the others, TILE distances at a time."""
+    sums = np.zeros((len(xs), from_w.shape[1]))
+    step = max(1, TILE // max(1, len(xs)))
+    for i in range(0, len(from_x), step):
+        gaps, across = xs[:, None] - from_x[i:i + step], ys[:, None] - from_y[i:i + step]
+        gaps *= gaps
+        across *= across
+        gaps += across
+        sums += np.sqrt(gaps, out=gaps) @ from_w[i:i + step]
+    return sums
+
+
+def _between(box: tuple[float, float, float], values: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Values at places in a cell from those at its nodes (NODES * NODES x width)."""
+    cx, cy, h = box
+    over_x, over_y = _polynomials((xs - cx) / h) @ SERIES, _polynomials((ys - cy) / h) @ SERIES
+    lines, out = values.reshape(NODES, NODES, -1), np.zeros((len(xs), values.shape[1]))
+    for i in range(NODES):
+        out += over_x[:, i, None] * (over_y @ lines[i])
+    return out
+
+
 def _as_nodes(square: Square, cell: int, xs: np.ndarray, ys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The weighted points that stand for those of a cell, seen from a cell's width away."""
     if len(xs) <= FEW:
@@ -243,19 +298,24 @@ def plane_sums(labelled: DataFrame, x: str, y: str, ks: list[int], leaf_rows: in
     celled = settle(kept.mapInPandas(numbered, with_fields(kept.schema, _cell="long")))
     tree = grow(celled, square, leaf_rows)
 
+    firsts, of_first = tree.starts, tree.leaves  # all that a task needs of the tree
+
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            yield frame.assign(_leaf=tree.leaf_of(frame["_cell"].to_numpy(np.int64)))
+            yield frame.assign(_leaf=of_first[np.searchsorted(firsts, frame["_cell"].to_numpy(np.int64), side="right") - 1])
 
     points = settle(celled.mapInPandas(placed, with_fields(celled.schema, _leaf="long")))
     cells = sources(points, tree, ks)
 
-    blocks, meets = tree.blocks(), {leaf: tree.met(leaf) for leaf in tree.leaves.tolist()}
-    near = {(b, c) for b, leaves in blocks.items() for leaf in leaves for c in meets[leaf][0]}
-    far = {(b, c) for b, leaves in blocks.items() for leaf in leaves for c in meets[leaf][1]}
+    plans, near, far = {}, [], []  # a plan is packed until its task unpacks it: every worker holds all of them
+    for block in tree.blocks():
+        plan = tree.plan(block)
+        near += [(block, c) for c in {c for step in plan for c in step[4] or []}]
+        far += [(block, c) for c in {c for step in plan for c in step[2] + step[3]}]
+        plans[block] = pickle.dumps(plan)
     spark = labelled.sparkSession
-    beside = small_join(points.drop("_cell"), spark.createDataFrame(list(near), "_block long, _leaf long"), "_leaf")
-    beyond = small_join(cells, spark.createDataFrame(list(far), "_far_block long, cell long"), "cell")
+    beside = small_join(points.drop("_cell"), spark.createDataFrame(near, "_block long, _leaf long"), "_leaf")
+    beyond = small_join(cells, spark.createDataFrame(far, "_far_block long, cell long"), "cell")
     width = sum(ks)
 
     def summed(key: tuple, tuples: pd.DataFrame, far_cells: pd.DataFrame) -> pd.DataFrame:
@@ -263,18 +323,32 @@ def plane_sums(labelled: DataFrame, x: str, y: str, ks: list[int], leaf_rows: in
         xs, ys, weights = tuples[x].to_numpy(np.float64), tuples[y].to_numpy(np.float64), _onehot(tuples, ks)
         held = {int(c): (np.array(a), np.array(b), np.array(w).reshape(len(a), width))
                 for c, a, b, w in zip(far_cells["cell"], far_cells["xs"], far_cells["ys"], far_cells["weights"])}
-        out = []
-        for leaf in blocks[int(key[0])]:
-            own, (beside_it, far_off) = at[leaf], meets[leaf]
+
+        def over(to_x, to_y, others: list[int]) -> np.ndarray:
+            if not others:
+                return np.zeros((len(to_x), width))
+            return _distance_sums(to_x, to_y, *(np.concatenate([held[c][i] for c in others]) for i in range(3)))
+
+        out, handed = [], {}
+        for cell, parent, far_off, apart, beside_it in pickle.loads(plans[int(key[0])]):
+            box = tuple(float(v) for v in square.box(cell))
+            own = None if beside_it is None else at[cell]
+            small = own is not None and len(own) <= FEW
+            if small:
+                to_x, to_y = xs[own], ys[own]
+            else:
+                grid = np.meshgrid(box[0] + box[2] * NODE, box[1] + box[2] * NODE, indexing="ij")
+                to_x, to_y = grid[0].ravel(), grid[1].ravel()
+            sums = over(to_x, to_y, far_off)
+            if parent:
+                sums += _between(*handed[parent], to_x, to_y)
+            if own is None:
+                handed[cell] = box, sums
+                continue
+            if not small:
+                sums = _between(box, sums, xs[own], ys[own])
             one_by_one = np.concatenate([at[c] for c in beside_it])
-            from_x = np.concatenate([xs[one_by_one], *[held[c][0] for c in far_off]])
-            from_y = np.concatenate([ys[one_by_one], *[held[c][1] for c in far_off]])
-            from_w = np.concatenate([weights[one_by_one], *[held[c][2] for c in far_off]])
-            sums = np.zeros((len(own), width))
-            step = max(1, TILE // len(own))
-            for i in range(0, len(from_x), step):
-                gaps = np.hypot(xs[own][:, None] - from_x[i:i + step], ys[own][:, None] - from_y[i:i + step])
-                sums += gaps @ from_w[i:i + step]
+            sums += over(xs[own], ys[own], apart) + _distance_sums(xs[own], ys[own], xs[one_by_one], ys[one_by_one], weights[one_by_one])
             out.append(tuples.iloc[own][[x, y, WEIGHT, LABELS]].assign(**{SUMS: list(sums)}))
         return pd.concat(out)
 

@@ -246,3 +246,47 @@ def test_data_hands_tuples_on_in_order(spark):
     data = methods.Data.of(frame, measure(frame, FeatureSet(["salary_avg"], ["name"])))
     for part in data.tuples.select("name", "salary_avg").rdd.glom().collect():
         assert [tuple(r) for r in part] == sorted(tuple(r) for r in part)
+
+
+def _grown(n=6_000):
+    rng = np.random.default_rng(5)
+    places = np.concatenate([rng.normal(size=(n // 2, 2)), rng.normal(size=(n // 2, 2)) * 0.01 + 1])
+    square = quadtree.Square("x", "y", tuple(places.min(0)), tuple(places.max(0)))
+    deepest = square.deepest(pd.DataFrame(places, columns=["x", "y"]))
+    counts, leaves, open_ = {}, [], [1]
+    while open_:
+        cell = open_.pop()
+        depth = (cell.bit_length() - 1) // 2
+        counts[cell] = int((deepest >> 2 * (quadtree.DEPTH - depth) == cell).sum())
+        if counts[cell] <= 20:
+            leaves.append(cell) if counts[cell] else counts.pop(cell)
+        else:
+            open_ += range(4 * cell, 4 * cell + 4)
+    return quadtree.Tree(square, counts, leaves)
+
+
+def test_a_plan_meets_every_tuple_once_and_shares_the_far_cells():
+    tree = _grown()
+    met = sum(len(tree.met(leaf)[1]) for leaf in tree.leaves.tolist())
+    shared, seen = 0, set()
+    for block, leaves in tree.blocks().items():
+        above, plan = {}, tree.plan(block)
+        shared += sum(len(step[2]) + len(step[3]) for step in plan)
+        for cell, parent, far, apart, near in plan:
+            above[cell] = above.get(parent, []) + far
+            x, y, h = tree.boxes[cell]
+            for c in far:
+                cx, cy, ch = tree.boxes[c]
+                assert max(abs(x - cx), abs(y - cy)) - h - ch >= 2 * max(h, ch) * (1 - 1e-9)
+            if near is not None:
+                seen.add(cell)
+                assert sum(tree.counts[c] for c in above[cell] + apart + near) == tree.counts[1]
+    assert seen == tree.is_leaf
+    assert shared < met / 3
+
+
+def test_what_a_task_holds_of_the_plans_is_packed():
+    tree = _grown()
+    packed = sum(len(pickle.dumps(tree.plan(block))) for block in tree.blocks())
+    lists = sum(sys.getsizeof(ids) + sum(map(sys.getsizeof, ids)) for leaf in tree.leaves.tolist() for ids in tree.met(leaf))
+    assert packed < lists / 8
