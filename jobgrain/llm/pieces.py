@@ -12,7 +12,6 @@ import hashlib
 import heapq
 import re
 from itertools import chain, count
-from operator import itemgetter
 
 import ahocorasick
 import pandas as pd
@@ -56,7 +55,7 @@ class Model:
         usual = [s for _, s in self.known.values() if s > -1e8]
         self.unknown = min(usual, default=0.0) - UNKNOWN_PENALTY
         self.words = self._cuts()
-        self.young, self.old, self.searched = {}, {}, {}
+        self.young, self.old, self.searched, self.losses = {}, {}, {}, {}
 
     @classmethod
     def load(cls, path: str) -> tuple:
@@ -110,35 +109,75 @@ class Model:
 
     def _best(self, word: str) -> tuple[float, tuple[int, ...], float]:
         size = len(word)
-        best, start_of, ids_of = [0.0] + [LOWEST] * size, [0] * (size + 1), [()] * (size + 1)
-        edges = []
-        for start, end, x, piece in self._by_end(word):
-            edges.append((start, end, x))
-            way = best[start] + x
-            if way > best[end]:
-                best[end], start_of[end], ids_of[end] = way, start, piece
-        at, parts, after = size, [], [0] * (size + 1)
-        while at:
-            parts.append(ids_of[at])
-            after[start_of[at]] = at
-            at = start_of[at]
-        ids = tuple(chain.from_iterable(reversed(parts)))
-        rest, second = [LOWEST] * size + [0.0], LOWEST
-        for start, end, x in reversed(edges):
-            x += rest[end]
-            if x > rest[start]:
-                rest[start] = x
-            if after[start] != end:
-                x += best[start]
-                if x > second:
-                    second = x
-        return best[size], ids, best[size] - second
+        # By the last character of a piece; the last place, -1, is the front of the word.
+        best, into = [LOWEST] * size + [0.0], [None] * size
+        second = [LOWEST] * size  # of the ways to a place, the one behind the best
+        for last, edge in self._by_end(word):
+            n, x, _ = edge
+            x += best[last - n]
+            if x > best[last]:
+                second[last] = best[last]
+                best[last] = x
+                into[last] = edge
+            elif x > second[last]:
+                second[last] = x
+        at, parts, loss = size - 1, [], -LOWEST
+        while at >= 0:  # the second-best path leaves the best one for good at one of its places
+            less = best[at] - second[at]
+            if less < loss:
+                loss = less
+            n, _, ids = into[at]
+            parts.append(ids)
+            at -= n
+        parts.reverse()
+        return best[size - 1], tuple(chain.from_iterable(parts)), loss
+
+    def loss(self, word: str) -> float:
+        """What the second-best path of a word loses, summed over whole paths: tells losses apart that are nearly equal."""
+        hit = self.losses.get(word)
+        if hit is not None:
+            return hit
+        size, found = len(word), list(self._by_end(word))
+        best, into = [LOWEST] * size + [0.0], [None] * size
+        for last, edge in found:
+            way = best[last - edge[0]] + edge[1]
+            if way > best[last]:
+                best[last], into[last] = way, edge
+        at, on = size - 1, [None] * size
+        while at >= 0:
+            on[at] = into[at]
+            at -= into[at][0]
+        rest, second = [LOWEST] * (size + 1), LOWEST
+        rest[size - 1] = 0.0
+        for last, edge in reversed(found):
+            x, start = edge[1] + rest[last], last - edge[0]
+            rest[start] = max(rest[start], x)
+            if on[last] is not edge:
+                second = max(second, x + best[start])
+        hit = best[size - 1] - second
+        if len(self.losses) >= REMEMBERED // 4:
+            self.losses.clear()
+        if size <= 64:
+            self.losses[word] = hit
+        return hit
 
     def _by_end(self, word: str):
-        """The edges of a word by end: found in one pass if each of its characters is a piece."""
+        """(place of the last character, (length, score, ids)) of the edges of a word by end: found in one pass if each
+        of its characters is a piece."""
         if self.alone.issuperset(word):
-            return [(end + 1 - n, end + 1, x, ids) for end, (n, x, ids) in self.matcher.iter(word)]
-        return sorted(self.edges(word), key=lambda e: (e[1], e[0]))
+            return self.matcher.iter(word)
+        return [(end - 1, (end - start, x, ids)) for start, end, x, ids in sorted(self.edges(word), key=lambda e: (e[1], e[0]))]
+
+    def _close(self, words: list[str], losses: tuple[float, ...], n: int) -> list[int]:
+        """Places of the n words that lose least, the first ones of equal losses, in order of place."""
+        left, low = list(losses), LOWEST
+        for _ in range(min(n, len(left))):
+            low = min(left)
+            left[left.index(low)] = -LOWEST
+        near = [i for i, x in enumerate(losses) if x <= low + 1e-6]
+        if len(near) > n:
+            near = [i for _, i in heapq.nsmallest(n, [(self.loss(words[i]), i) for i in near])]
+        return sorted(near)
 
     def paths(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths of a word, best first: A* from its end, the front scores being exact estimates.
@@ -182,18 +221,17 @@ class Model:
         words = self.words.findall(SPACE + text.replace(SPACE, MARK).replace(" ", SPACE))
         known, best = self.young.get, self.best
         parts = [known(w) or best(w) for w in words]
-        total = sum(map(itemgetter(0), parts))
-        ids = list(chain.from_iterable(map(itemgetter(1), parts)))
+        scores, pieces, losses = zip(*parts)
+        total = sum(scores)
+        ids = list(chain.from_iterable(pieces))
         if n < 2:
             return total, ids, []
-        close = sorted(i for _, i in heapq.nsmallest(n - 1, zip(map(itemgetter(2), parts), count())))
+        close = self._close(words, losses, n - 1)
         choices = [self.paths(words[i], n) for i in close]
-        at, starts = 0, {}
-        wanted = set(close)
-        for i, p in enumerate(parts):
-            if i in wanted:
-                starts[i] = at
-            at += len(p[1])
+        at, before, starts = 0, 0, {}
+        for i in close:
+            at += sum(map(len, pieces[before:i]))
+            before, starts[i] = i, at
         order, out = count(), []
         heap = [(-total, next(order), len(close), 0.0, ())]
         while heap and len(out) < n:  # the same search over whole words: what lies in front is at its best

@@ -229,6 +229,17 @@ def test_pieces_round_trip(spark, docs, texts):
     assert sorted((r.doc_id, r.text) for r in pieces.decode(other).select("doc_id", "text").collect()) == texts
 
 
+def test_words_that_lose_least(texts):
+    model = pieces.Model(*pieces.Model.load(pieces.MODEL))
+    words = [w for _, t in texts[:40] for w in model.words.findall(pieces.SPACE + t.replace(" ", pieces.SPACE))][:3000] + ["▁漢é漢", "a", "x" * 70]
+    losses = tuple(model.best(w)[2] for w in words)
+    for w, loss in zip(words, losses):
+        ways = [x for x, _ in model.paths(w, 2)]
+        assert loss == pytest.approx(ways[0] - ways[1] if len(ways) == 2 else math.inf)
+    for n in (0, 1, 3, 50):
+        assert model._close(words, losses, n) == sorted(sorted(range(len(words)), key=lambda i: (model.loss(words[i]), i))[:n])
+
+
 def test_substrings(docs, texts):
     first, gone = {}, defaultdict(set)
     for d, t in texts:
