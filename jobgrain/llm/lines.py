@@ -6,6 +6,8 @@ the length and positional filters are compared word by word, and the later one o
 similar pair is removed.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ TRACKED = 100_000
 BROADCAST_ROWS = 200_000
 UNNAMED = 1 << 62
 HASH_BITS = 59
+# Sets of this many words and more have sketches of four numbers: 64 bits fill up, and any two such sets would look alike.
+LONG = 72
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def _ordered(docs: DataFrame, *more: str) -> DataFrame:
@@ -69,13 +74,19 @@ def _keys(words: str, frequent: list[str]) -> Column:
     return F.expr(f"sort_array(array_distinct(transform({words}, w -> {key})))")
 
 
+def _parity(words: str) -> str:
+    """The parity of the words of each of 64 hash classes."""
+    return f"aggregate({words}, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63L AS int)))"
+
+
 def line_classes(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -> DataFrame:
-    """One row per distinct set of words: (ord, spot) of its first line, n, sketches and prefix, and its number.
+    """One row per distinct set of words: (ord, spot) of its first line, n, sketch and prefix, and its number.
 
-    `spot` is the mark of the text above the number of the line. `wide` has one bit
-    for the parity of the words of each of 256 hash classes, `sketch` of each of 64:
-    two sets differ in at least as many words as their sketches do in bits. Numbers
-    rise with (ord, spot).
+    `spot` is the mark of the text above the number of the line. `sketch` has one bit
+    for the parity of the words of each of 64 hash classes, in sets of LONG words of
+    each of 256: two sets differ in at least as many words as their sketches do in
+    bits, and the four parts of a long one add up to one of 64 bits. Numbers rise
+    with (ord, spot).
     """
     lines = (_ordered(docs).select("ord", "mark", F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
              .where(F.col("raw").rlike(r"\S")))  # on the line itself, so that its words are not made twice
@@ -84,12 +95,12 @@ def line_classes(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -
     n = F.size("k")
     rows = keyed.select(
         "ord", "spot", F.xxhash64("k").alias("c1"), F.xxhash64(F.lit(1), "k").alias("c2"), n.alias("n"),
-        F.expr("transform(sequence(0, 3), j -> aggregate(filter(k, x -> (shiftright(x, 6) & 3L) = j), 0L,"
-               " (acc, x) -> acc ^ shiftleft(1L, cast(x & 63L AS int))))").alias("wide"),
+        F.expr(f"if(size(k) < {LONG}, array({_parity('k')}), transform(sequence(0, 3), j -> "
+               f"{_parity('filter(k, x -> (shiftright(x, 6) & 3L) = j)')}))").alias("sketch"),
         F.slice("k", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
     classes = (rows.groupBy("c1", "c2").agg(F.min(F.struct("ord", "spot")).alias("at"), F.first("n").alias("n"),
-                                            F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
-               .select("at.ord", "at.spot", "n", "wide", F.expr("aggregate(wide, 0L, (acc, x) -> acc ^ x)").alias("sketch"), "prefix"))
+                                            F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+               .select("at.ord", "at.spot", "n", "sketch", "prefix"))
     return (classes.repartitionByRange("ord", "spot").sortWithinPartitions("ord", "spot")
             .withColumn("number", F.monotonically_increasing_id()))
 
@@ -97,19 +108,25 @@ def line_classes(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -
 def _may_match(a: str, b: str, percent: int) -> Column:
     """Length, positional and sketch filters for two postings of one word; `a` and `b` go before their columns.
 
-    `np` holds the size of the set above the place of the word in its prefix.
+    `np` holds the size of the set above the place of the word in its prefix. Two
+    long sets are compared in all parts of their sketches, others in the sum of these.
     """
     n1, n2 = (F.shiftright(f"{x}np", 32) for x in (a, b))
     place = [F.col(f"{x}np").bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a, b)]
     rest = F.least(n1 - place[0], n2 - place[1])
+    parts = [F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}")) for s in SKETCH]
+    apart = F.bit_count(reduce(Column.bitwiseXOR, parts))
+    apart_long = reduce(Column.__add__, map(F.bit_count, parts))
     return ((100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * rest >= percent * (n1 + n2))
-            & ((100 + percent) * F.bit_count(F.col(f"{a}sketch").bitwiseXOR(F.col(f"{b}sketch"))) <= (100 - percent) * (n1 + n2)))
+            & ((100 + percent) * apart <= (100 - percent) * (n1 + n2))
+            & ((F.least(n1, n2) < LONG) | ((100 + percent) * apart_long <= (100 - percent) * (n1 + n2))))
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(word, number, np, sketch) for each word of each prefix."""
-    rows = classes.select("number", "n", "sketch", F.posexplode("prefix").alias("place", "word"))
-    return rows.select("word", "number", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("np"), "sketch")
+    """(word, number, np, parts of the sketch) for each word of each prefix."""
+    parts = [F.coalesce(F.get("sketch", F.lit(i)), F.lit(0)).alias(s) for i, s in enumerate(SKETCH)]
+    rows = classes.select("number", "n", *parts, F.posexplode("prefix").alias("place", "word"))
+    return rows.select("word", "number", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("np"), *SKETCH)
 
 
 def _checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -119,11 +136,6 @@ def _checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Numbers of the pairs (number, other) whose whole sets of words reach the similarity; the lines are read again."""
-    marks = classes.select("number", F.col("n").alias("n1"), F.col("wide").alias("w1"))
-    others = classes.select(F.col("number").alias("other"), F.col("n").alias("n2"), F.col("wide").alias("w2"))
-    apart = F.expr("aggregate(zip_with(w1, w2, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
-    pairs = settle(pairs.join(marks, "number").join(others, "other")
-                   .where((100 + percent) * apart <= (100 - percent) * (F.col("n1") + F.col("n2"))).select("number", "other"))
     numbers = pairs.select(F.explode(F.array("number", "other")).alias("number")).distinct()
     spots = classes.select("number", "ord", "spot").join(_checked_broadcast(settle(numbers)), "number", "left_semi")
     per = settle(spots.groupBy("ord", F.col("spot").bitwiseAND(F.lit(-(1 << 32))).alias("mark")).agg(F.collect_list(F.struct(
@@ -150,9 +162,9 @@ def later_matches(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -
     """
     # Dealt by word once: both sides of the join read the same shuffle.
     postings = _postings(classes).repartition("word")
-    hub = F.first(F.struct("number", "np", "sketch")).over(Window.partitionBy("word").orderBy("number"))
+    hub = F.first(F.struct("number", "np", *SKETCH)).over(Window.partitionBy("word").orderBy("number"))
     hubbed = postings.withColumn("hub", hub).where(F.col("hub.number") < F.col("number")).withColumn("near", _may_match("", "hub.", percent))
-    other = postings.select("word", F.col("number").alias("other"), F.col("np").alias("onp"), F.col("sketch").alias("osketch"))
+    other = postings.select("word", F.col("number").alias("other"), F.col("np").alias("onp"), *[F.col(s).alias(f"o{s}") for s in SKETCH])
     alone = F.col("near") & (F.col("other") == F.col("hub.number"))
     every = ~F.col("near") & (F.col("other") < F.col("number")) & _may_match("", "o", percent)
     pairs = settle(hubbed.join(other, "word").where(alone | every)
@@ -178,8 +190,9 @@ def _kept(docs: DataFrame, percent: int) -> DataFrame:
 
 def _rebuilt(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(row, text, all, stay) of every row: its columns, its new text, its old lines and the numbers of those that stay."""
-    rows = (_ordered(docs.select(F.struct("*").alias("row"), "doc_id", "text"), "row").join(kept, ["ord", "mark"], "left")
-            .withColumn("all", _lines(F.col("text"))))
+    # The text goes through the join once, in its row.
+    rows = (_ordered(docs.select(F.struct("*").alias("row"), "doc_id", "text"), "row").select("row", "ord", "mark")
+            .join(kept, ["ord", "mark"], "left").withColumn("text", F.col("row.text")).withColumn("all", _lines(F.col("text"))))
     blank = F.filter(F.transform("all", lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("stay", F.array_sort(F.array_union(F.coalesce("kept", F.array().cast("array<int>")), blank)))
     text = F.when(F.size("stay") == F.size("all"), F.col("text")).otherwise(

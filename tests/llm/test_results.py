@@ -97,6 +97,19 @@ def test_line_groups_without_their_hub(spark):
     assert {r.doc_id for r in lines.dedup_lines(df).where("n_removed = 1").collect()} == gone and 0 < len(gone) < len(rows)
 
 
+def test_long_lines_that_are_not_alike_do_not_meet(spark):
+    """Lines of many words over a small vocabulary share words of their prefixes, but only similar ones become pairs."""
+    draw = random.Random(5)
+    sets = [draw.sample([f"w{i}" for i in range(600)], 120) for _ in range(200)]
+    sets.append(sets[7][:115] + [f"x{i}" for i in range(5)])
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(sets)], "doc_id long, text string")
+    postings = lines._postings(lines.line_classes(df, []))
+    other = postings.select("word", *[F.col(c).alias(f"o{c}") for c in postings.columns if c != "word"])
+    met = postings.join(other, "word").where((F.col("onumber") < F.col("number")) & lines._may_match("", "o", 80))
+    assert met.select("number", "onumber").distinct().count() == 1
+    assert [r.doc_id for r in lines.dedup_lines(df).where("n_removed = 1").collect()] == [200]
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body>
 <header><a href=/>Home</a></header><div class="navbar"><ul><li><a>A</a><li><a>B</a></ul></div>
 <div id=content><h1>A title of the page</h1><p>This is the first paragraph of the text, and it is long enough to be told apart from
