@@ -10,22 +10,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import settle
+from jobgrain.llm.common import packed, settle
 
 # A sentence, or a clause of one, ends behind a punctuation mark before white space, and at a line break.
 END = re.compile(r"(?<=[.!?…,;:。！？])\s+|\s*\n\s*")
+MARKS = frozenset(".!?…,;:。！？")
 WORD = re.compile(r"\S+")
 RUN = 3
 MIN_WORDS = 8
 # Words of a window, and of an anchor: the anchor of a window is the gram of least hash in it, so equal windows have equal anchors.
 WINDOW = 50
 ANCHOR = 25
-# Bits of the sketch of repeated anchors; a full sketch costs time, never a window.
-SKETCH_BITS = 1 << 26
+# Bits of the sketch of repeated anchors and runs; a full sketch costs time, never a run.
+SKETCH_BITS = 1 << 28
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BASES = (0xD6E8FEB86659FD95, 0xA0761D6478BD642D)
 # Ids of documents without one lie above all others, told apart by their text.
 UNNAMED = 1 << 62
+# Places that stand for a text: it may have runs twice, or an earlier document has all of it.
+INSIDE, COPY = -(1 << 31), 1 - (1 << 31)
+# Keys of later copies that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -35,6 +40,25 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(starts, [*ends, len(text)]) if b > a]
 
 
+def words_and_ends(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text, and for each of its sentences how many words of the text lie up to its end.
+
+    The same sentences as `sentences` finds: white space before the first word is
+    one of its own if it has a line break.
+    """
+    words, ends = [], []
+    for line in text.split("\n"):
+        here = line.split()
+        if here:
+            ends += [i for i, w in enumerate(here, len(words) + 1) if w[-1] in MARKS]
+            words += here
+            if ends[-1:] != [len(words)]:
+                ends.append(len(words))
+        elif not ends and text:
+            ends.append(0)
+    return words, ends
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(SEEDS[0])
     x = (x ^ (x >> np.uint64(29))) * np.uint64(SEEDS[1])
@@ -48,45 +72,90 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(powers)
 
 
-def _rolled(codes: np.ndarray, base: int, *sizes: int) -> list[np.ndarray]:
-    """For each size, a hash of every gram of that many codes: a polynomial modulo 2 ** 64, from prefix sums."""
+def _sums(codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the codes times powers of `base`, modulo 2 ** 64, and the powers of its inverse."""
     n = len(codes)
     room = 1 << n.bit_length()
-    powers, back = _powers(base, room), _powers(pow(base, -1, 1 << 64), room)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes * powers[:n], out=sums[1:])
-    return [_mixed((sums[k:] - sums[:n + 1 - k]) * back[:n + 1 - k]) for k in sizes]
+    np.cumsum(codes * _powers(base, room)[:n], out=sums[1:])
+    return sums, _powers(pow(base, -1, 1 << 64), room)
+
+
+def _grams(sums: np.ndarray, back: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every gram of `size` codes."""
+    n = len(sums) - 1
+    return _mixed((sums[size:] - sums[:n + 1 - size]) * back[:n + 1 - size])
 
 
-def word_codes(text: str) -> np.ndarray:
-    """A code of each word of a text in lower case."""
-    words = text.lower().split()
+def word_codes(words: list[str]) -> np.ndarray:
+    """A code of each word."""
     try:
         return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     except UnicodeEncodeError:  # half of a surrogate pair
         return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
-def windows(codes: np.ndarray) -> np.ndarray:
-    """Digests, two numbers each, of all windows of WINDOW words in order."""
-    if len(codes) < WINDOW:
-        return np.empty((0, 2), np.int64)
-    one, = _rolled(codes, BASES[0], WINDOW)
-    two, = _rolled(_mixed(codes), BASES[1], WINDOW)
-    return np.stack([one, two], axis=1).view(np.int64)
+class Passages:
+    """The runs of a text: of `run` sentences with at least `min_words` words, and of any WINDOW words.
 
+    Words are compared in lower case and without regard to white space. A digest is
+    two numbers; the second one is only made when it is asked for.
+    """
 
-def anchors(codes: np.ndarray) -> np.ndarray:
-    """The anchor of each window of WINDOW words."""
-    if len(codes) < WINDOW:
-        return np.empty(0, np.int64)
-    low, = _rolled(codes, BASES[0], ANCHOR)
-    reach, span = 1, WINDOW - ANCHOR + 1
-    while reach < span:  # the least of `reach` grams each; steps may overlap
-        step = min(reach, span - reach)
-        low = np.minimum(low[:-step], low[step:])
-        reach += step
-    return low.view(np.int64)
+    def __init__(self, text: str, run: int, min_words: int):
+        words, ends = words_and_ends(text.lower())
+        self.run, self.codes, self.bounds = run, word_codes(words), np.array([0, *ends], np.int64)
+        self.first_sentence = np.flatnonzero(self.bounds[run:] - self.bounds[:-run] >= min_words) if len(ends) >= run else np.empty(0, np.int64)
+        self._one = _sums(self.codes, BASES[0])
+        self._two = None
+        self.sentence_half, self.window_half = self._halves(BASES[0], *self._one)
+
+    def _halves(self, base: int, sums: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One number of each digest: of the runs of sentences, and of the windows."""
+        runs = windows = np.empty(0, np.uint64)
+        if len(self.first_sentence):
+            starts, ends = self.bounds[:-1], self.bounds[1:]
+            each = _mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+            runs = _grams(*_sums(each, base), self.run)[self.first_sentence]
+        if len(self.codes) >= WINDOW:
+            windows = _grams(sums, back, WINDOW)
+        return runs.view(np.int64), windows.view(np.int64)
+
+    def anchors(self) -> np.ndarray:
+        """The anchor of each window."""
+        if len(self.codes) < WINDOW:
+            return np.empty(0, np.int64)
+        low = _grams(*self._one, ANCHOR)
+        reach, span = 1, WINDOW - ANCHOR + 1
+        while reach < span:  # the least of `reach` grams each; steps may overlap
+            step = min(reach, span - reach)
+            low = np.minimum(low[:-step], low[step:])
+            reach += step
+        return low.view(np.int64)
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Digests, two numbers each, of the runs of sentences and of the windows in order."""
+        if self._two is None:
+            self._two = self._halves(BASES[1], *_sums(_mixed(self.codes), BASES[1]))
+        return tuple(np.stack(x, axis=1) for x in zip((self.sentence_half, self.window_half), self._two))
+
+    def repeats(self) -> bool:
+        """Whether the text may have a run twice."""
+        return any(len(_distinct(half)) < len(half) for half in (self.sentence_half, self.window_half))
+
+    def places(self) -> np.ndarray:
+        """The place of each run: its first sentence, or -1 - its first word."""
+        return np.concatenate([self.first_sentence, -1 - np.arange(len(self.window_half))])
+
+    def again(self) -> np.ndarray:
+        """Places of the runs that come a second time in the text, or more often."""
+        return self.places()[np.concatenate([_later(d) for d in self.digests()])]
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """The codes in order, each once."""
+    codes = np.sort(codes)
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])[:len(codes)]]
 
 
 def _later(digests: np.ndarray) -> np.ndarray:
@@ -104,28 +173,8 @@ def runs(text: str, run: int, min_words: int) -> list[tuple[int, bytes]]:
     A run is `run` sentences with at least `min_words` words, its place the first
     sentence, or any WINDOW consecutive words, its place -1 - the first word.
     """
-    return _sentence_runs(text, run, min_words) + [(-1 - i, d.tobytes()) for i, d in enumerate(windows(word_codes(text)))]
-
-
-def _sentence_runs(text: str, run: int, min_words: int) -> list[tuple[int, bytes]]:
-    """(first sentence, digest) of every run of `run` sentences that has at least `min_words` words.
-
-    Sentences are compared in lower case and without regard to white space.
-    """
-    words = [text[a:b].lower().split() for a, b in sentences(text)]
-    flat = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
-    sizes = [len(w) for w in words]
-    return [(i, xxhash.xxh3_128_digest(b"\n".join(flat[i:i + run]))) for i in range(len(flat) - run + 1)
-            if sum(sizes[i:i + run]) >= min_words]
-
-
-def _first_runs(text: str, run: int, min_words: int) -> tuple[dict[bytes, int], list[int]]:
-    """Each digest with its first place, and the places where a digest comes again in the same text."""
-    first, again = {}, []
-    for at, digest in _sentence_runs(text, run, min_words):
-        if first.setdefault(digest, at) != at:
-            again.append(at)
-    return first, again
+    found = Passages(text, run, min_words)
+    return [(int(at), d.tobytes()) for at, d in zip(found.places(), np.concatenate(found.digests()))]
 
 
 def cut(text: str, places, run: int) -> tuple[str, int, list[tuple[int, int]]]:
@@ -197,61 +246,75 @@ def _by_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.iloc[begin:begin + 256]
 
 
-def repeated_anchors(docs: DataFrame) -> np.ndarray:
-    """A sketch of the anchors that documents of different places share."""
+def _checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` to be broadcast if it has at most `limit` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(place, mark) of the documents whose whole text an earlier document has."""
+    slim = docs.where("text is not null").select("place", "mark", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    copied = settle(slim.groupBy("t1", "t2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+                    .where("first < last").drop("last"))
+    return settle(slim.join(_checked_broadcast(copied), ["t1", "t2"]).where("place > first").select("place", "mark").distinct())
+
+
+def shared_codes(texts: DataFrame, run: int, min_words: int) -> np.ndarray:
+    """A sketch of the anchors, and of the first numbers of the digests of runs of sentences, that documents of different places share."""
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _by_parts(batches):
-            found = [np.unique(anchors(word_codes(t))) for t in part["text"]]
-            yield pd.DataFrame({"place": np.repeat(part["place"].to_numpy(np.int64), [len(f) for f in found]), "anchor": np.concatenate(found)})
+            found = []
+            for text in part["text"]:
+                here = Passages(text, run, min_words)
+                found.append(_distinct(np.concatenate([here.sentence_half, here.anchors()])))
+            yield pd.DataFrame({"place": np.repeat(part["place"].to_numpy(np.int64), [len(f) for f in found]), "code": np.concatenate(found)})
 
-    shared = (docs.where("text is not null").select(_order().alias("place"), "text").mapInPandas(emitted, "place long, anchor long")
-              .groupBy("anchor").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last"))
-    return _sketch(shared, "anchor")
+    shared = (texts.select("place", "text").mapInPandas(emitted, "place long, code long")
+              .groupBy("code").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last"))
+    return _sketch(shared, "code")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """(place, mark, at): in the document at `place` whose text has the hash `mark`, the run at `at` also occurs in an earlier document.
 
-    Every document hands on each of its runs once; of its windows only those whose
-    anchor another document has too, for no other window can be repeated. They are
-    counted by digest, with partial sums, so a passage that a third of all documents
-    share is one row per task. Then the runs are made again, and those in a sketch of
-    the repeated digests meet one row per digest in a join that keeps the documents
-    behind the first one. Sketches have a fixed size; they only save rows.
+    `docs` has place, mark and text, and each text in its first documents only, which
+    speak for the later ones. A row whose `at` is INSIDE stands for a text that may
+    have runs twice. Runs are handed on once each, if another document has the same
+    anchor, or for sentences the same half of a digest; no other can be repeated. They are written once and counted by digest, with
+    partial sums, so a passage that a third of all documents share is one row per
+    task; then they meet one row per digest in a join that keeps the documents behind
+    the first one. The sketch has a fixed size; it only saves rows.
     """
-    context = docs.sparkSession.sparkContext
-    common = context.broadcast(repeated_anchors(docs))
-
-    def emitting(wanted=None):
-        def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in _by_parts(batches):
-                digests, places = [], []
-                for text in part["text"]:
-                    found = _first_runs(text, run, min_words)[0]
-                    here, at = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2), np.fromiter(found.values(), np.int32, len(found))
-                    codes = word_codes(text)
-                    shared = _in_sketch(common.value, anchors(codes))
-                    if len(shared):
-                        new = windows(codes)[shared]
-                        first = ~_later(new)
-                        here, at = np.concatenate([here, new[first]]), np.concatenate([at, (-1 - shared[first]).astype(np.int32)])
-                    if wanted is not None:
-                        asked = _in_sketch(wanted.value, here[:, 0])
-                        here, at = here[asked], at[asked]
-                    digests.append(here)
-                    places.append(at)
-                sizes = [len(x) for x in places]
-                halves = np.concatenate(digests)
-                yield pd.DataFrame({"place": np.repeat(part["place"].to_numpy(np.int64), sizes),
-                                    "mark": np.repeat(part["mark"].to_numpy(np.int32), sizes), "d1": halves[:, 0], "d2": halves[:, 1],
-                                    "at": np.concatenate(places)})
-        return texts.mapInPandas(emitted, "place long, mark int, d1 long, d2 long, at int")
-
-    texts = docs.where("text is not null").select(_order().alias("place"), _mark().alias("mark"), "text")
-    firsts = settle(emitting().groupBy("d1", "d2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    texts = docs.where("text is not null").select("place", "mark", "text")
+    common = docs.sparkSession.sparkContext.broadcast(shared_codes(texts, run, min_words))
+
+    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _by_parts(batches):
+            digests, places = [], []
+            for text in part["text"]:
+                here = Passages(text, run, min_words)
+                shared = np.concatenate([_in_sketch(common.value, here.sentence_half),
+                                         len(here.sentence_half) + _in_sketch(common.value, here.anchors())])
+                at = here.places()[shared]
+                halves = np.concatenate(here.digests())[shared] if len(shared) else np.empty((0, 2), np.int64)
+                if here.repeats():
+                    first = ~_later(halves)
+                    at, halves = np.append(at[first], INSIDE), np.append(halves[first], [[0, 0]], axis=0)
+                digests.append(halves)
+                places.append(at)
+            sizes = [len(x) for x in places]
+            halves = np.concatenate(digests)
+            yield pd.DataFrame({"place": np.repeat(part["place"].to_numpy(np.int64), sizes),
+                                "mark": np.repeat(part["mark"].to_numpy(np.int32), sizes), "d1": halves[:, 0], "d2": halves[:, 1],
+                                "at": np.concatenate(places).astype(np.int32)})
+
+    rows = packed(texts.mapInPandas(emitted, "place long, mark int, d1 long, d2 long, at int"))
+    common.unpersist()
+    found = rows.where(F.col("at") != INSIDE)
+    firsts = packed(found.groupBy("d1", "d2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
                     .where("first < last").drop("last"))
-    rows = emitting(context.broadcast(_sketch(firsts, "d1")))
-    return rows.join(firsts, ["d1", "d2"]).where("place > first").select("place", "mark", "at")
+    return (found.join(firsts, ["d1", "d2"]).where("place > first").select("place", "mark", "at")
+            .union(rows.where(F.col("at") == INSIDE).select("place", "mark", "at")))
 
 
 def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -268,7 +331,9 @@ def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFr
     result; extra columns are not looked at.
     """
     named = docs.select("doc_id", F.col("text")).withColumns({"place": _order(), "mark": _mark()})
-    hits = (repeated_runs(docs.select("doc_id", "text"), run, min_words)
+    copies = later_copies(named)
+    hits = (repeated_runs(named.join(_checked_broadcast(copies), ["place", "mark"], "left_anti"), run, min_words)
+            .union(copies.select("place", "mark", F.lit(COPY)))
             .groupBy("place", "mark").agg(F.collect_set("at").alias("places")))
 
     @F.pandas_udf("text string, n_sentences int, n_removed int, removed array<struct<start:int, stop:int>>")
@@ -276,10 +341,13 @@ def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFr
         rows = []
         for text, at in zip(texts, places):
             text = text or ""
-            _, again = _first_runs(text, run, min_words)
-            again.extend(-1 - np.flatnonzero(_later(windows(word_codes(text)))))
-            left, n, stretches = cut(text, [*again, *(at if at is not None else ())], run)
-            rows.append((left, len(sentences(text)), n, [{"start": a, "stop": b} for a, b in stretches]))
+            gone = set(at.tolist()) if at is not None else set()
+            if INSIDE in gone or COPY in gone:
+                here = Passages(text, run, min_words)
+                gone.update((here.places() if COPY in gone else here.again()).tolist())
+                gone -= {INSIDE, COPY}
+            left, n, stretches = cut(text, gone, run) if gone else (text, 0, [])
+            rows.append((left, len(words_and_ends(text)[1]), n, [{"start": a, "stop": b} for a, b in stretches]))
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed"])
 
     return (named.join(hits, ["place", "mark"], "left").select("doc_id", kept("text", "places").alias("k")).select("doc_id", "k.*"))

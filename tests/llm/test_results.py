@@ -271,6 +271,26 @@ def test_repeated_passage_is_cut(spark):
     assert "nineteen" in got[0] and all("twelve" not in got[i] and got[i].startswith(f"Start number {i}") for i in (1, 2, 3))
 
 
+def test_copies_of_a_text_hand_on_no_runs(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    text = " ".join(rng.choice(["one", "two", "three", "four,", "five."]) for _ in range(300))
+    monkeypatch.setattr(substrings, "packed", lambda df: rows.append(df.count()) or df)
+    df = spark.createDataFrame([(i, text) for i in range(40)] + [(99, "before it " + text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.dedup(df).collect()}
+    assert rows[0] < 3 * 400  # of the first copy and of the text that holds one
+    assert got[0].n_removed == 0 and all(got[i].text == "" and got[i].n_removed == got[i].n_sentences for i in range(1, 40))
+    assert got[99].text.startswith("before it") and len(got[99].text) < 100
+
+
+def test_sentences_by_words():
+    rng = random.Random(6)
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", "B", "c.", "d,", " ", "\n", "\t", "x!", "。", "Σ", "İ", "\u2028", "é;"]) for _ in range(rng.randint(0, 15)))
+        words, ends = substrings.words_and_ends(t)
+        sizes = [len(t[a:b].split()) for a, b in substrings.sentences(t)]
+        assert (words, ends) == (t.split(), [sum(sizes[:i + 1]) for i in range(len(sizes))])
+
+
 def test_hilbert_curve(spark):
     bits, names = 3, ["a", "b", "c"]
     df = spark.range(512).select(*[F.shiftright("id", 3 * i).bitwiseAND(F.lit(7).cast("long")).cast("int").alias(n) for i, n in enumerate(names)])
