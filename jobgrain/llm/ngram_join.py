@@ -16,7 +16,7 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobgrain.llm.common import connected, settle, small_batches
@@ -35,7 +35,7 @@ BATCH = 500
 BROADCAST_ROWS = 500_000
 
 SET = "node binary, n int, family binary, sketch array<long>, prefix array<long>"
-# Bits of a sketch: the parity of the grams of each hash class. Sets differ in at least as many grams as sketches in bits.
+# Least bits of a sketch: the parity of the grams of each hash class. Sets differ in at least as many grams as sketches in bits.
 SKETCH = 1_024
 
 
@@ -68,6 +68,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1 if n else 0
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of n grams, a power of two: half of n at least, else any two large sets would look alike."""
+    return max(SKETCH, 1 << (n // 2).bit_length())
+
+
 def frequent_grams(docs: DataFrame, n: int = N, limit: int = FREQUENT) -> np.ndarray:
     """Codes of the most frequent grams, the most frequent one last.
 
@@ -118,7 +123,8 @@ def gram_sets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int =
                 rank = np.where(known[at] == codes, by_code[at] + 1, 0)
             prefix = codes[np.lexsort((codes, rank))][:prefix_length(len(codes), percent)]
             node = xxhash.xxh3_128_digest(codes.tobytes())
-            parity = np.bincount(codes & (SKETCH - 1), minlength=SKETCH) & 1
+            bits = sketch_bits(len(codes))
+            parity = np.bincount(codes & (bits - 1), minlength=bits) & 1
             rows.append((node, len(codes), xxhash.xxh3_128_digest(np.append(prefix, len(codes)).tobytes()),
                          np.packbits(parity.astype(np.uint8)).view(np.int64), prefix))
         return pd.DataFrame(rows, columns=["node", "n", "family", "sketch", "prefix"])
@@ -133,6 +139,15 @@ def _may_reach(n1, n2, at1, at2, percent: int):
             & ((100 + percent) * rest.cast("long") >= percent * (n1 + n2).cast("long")))
 
 
+def _apart() -> Column:
+    """In how many bits the sketches sa and sb differ; the larger one is folded, for parities of classes add up."""
+    folded = "transform(sequence(0, {m} - 1), i -> aggregate(sequence(i, size({s}) - 1, {m}), 0L, (t, j) -> t ^ {s}[j]))"
+    differing = "aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
+    less, more = (folded.format(s=s, m=f"size({m})") for s, m in (("sb", "sa"), ("sa", "sb")))
+    return F.expr(f"case when size(sa) = size(sb) then {differing.format(a='sa', b='sb')} "
+                  f"when size(sa) < size(sb) then {differing.format(a='sa', b=less)} else {differing.format(a=more, b='sb')} end")
+
+
 def _checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` to be broadcast if it has at most `limit` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -149,9 +164,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
     described = described.asNondeterministic()
     marks = nodes.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     other = nodes.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
     pairs = settle(pairs.join(marks, "a").join(other, "b")
-                   .where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"))
+                   .where((100 + percent) * _apart() <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"))
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes, "nid").select("nid", "node", "id"))
     slim = docs.select("doc_id", "text")
     ids = wanted.where("id is not null").select(F.col("id").alias("doc_id")).distinct()
