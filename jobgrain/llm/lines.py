@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import settle
+from jobgrain.llm.common import packed, settle
 
 PERCENT = 80
 # Words looked for among the frequent ones, and the ends of their classes, most frequent first.
@@ -105,6 +105,15 @@ def line_classes(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -
             .withColumn("number", F.monotonically_increasing_id()))
 
 
+def _parts(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}")) for s in SKETCH]
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many bits the parts of two sketches differ."""
+    return reduce(Column.__add__, map(F.bit_count, _parts(a, b)))
+
+
 def _may_match(a: str, b: str, percent: int) -> Column:
     """Length, positional and sketch filters for two postings of one word; `a` and `b` go before their columns.
 
@@ -114,9 +123,8 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     n1, n2 = (F.shiftright(f"{x}np", 32) for x in (a, b))
     place = [F.col(f"{x}np").bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a, b)]
     rest = F.least(n1 - place[0], n2 - place[1])
-    parts = [F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}")) for s in SKETCH]
-    apart = F.bit_count(reduce(Column.bitwiseXOR, parts))
-    apart_long = reduce(Column.__add__, map(F.bit_count, parts))
+    apart = F.bit_count(reduce(Column.bitwiseXOR, _parts(a, b)))
+    apart_long = _apart(a, b)
     return ((100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * rest >= percent * (n1 + n2))
             & ((100 + percent) * apart <= (100 - percent) * (n1 + n2))
             & ((F.least(n1, n2) < LONG) | ((100 + percent) * apart_long <= (100 - percent) * (n1 + n2))))
@@ -155,33 +163,38 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 def later_matches(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Numbers of the classes whose first line is similar to an earlier line.
 
-    A posting that passes the filters against the first line of its word's list is
-    compared with that line alone, which keeps a group of near copies from meeting
-    in all pairs; all other postings meet every earlier line of their lists. Lines
-    that were left with a failed comparison then meet all earlier lines too.
+    A posting that passes the filters against the first line of its word's list only
+    meets that line there, any other posting meets every earlier line of its list. Of
+    all lines a line meets, the one of the nearest sketch is compared with it, so
+    that a group of near copies is not compared in all pairs. Lines that were left
+    with a failed comparison are compared with all other earlier lines of their lists.
     """
     # Dealt by word once: both sides of the join read the same shuffle.
     postings = _postings(classes).repartition("word")
     hub = F.first(F.struct("number", "np", *SKETCH)).over(Window.partitionBy("word").orderBy("number"))
     hubbed = postings.withColumn("hub", hub).where(F.col("hub.number") < F.col("number")).withColumn("near", _may_match("", "hub.", percent))
-    other = postings.select("word", F.col("number").alias("other"), F.col("np").alias("onp"), *[F.col(s).alias(f"o{s}") for s in SKETCH])
+    other = [F.col("number").alias("other"), F.col("np").alias("onp"), *[F.col(s).alias(f"o{s}") for s in SKETCH]]
     alone = F.col("near") & (F.col("other") == F.col("hub.number"))
     every = ~F.col("near") & (F.col("other") < F.col("number")) & _may_match("", "o", percent)
-    pairs = settle(hubbed.join(other, "word").where(alone | every)
-                   .groupBy("number", "other").agg(F.max("near").alias("near")))
-    removed = _verified(pairs.drop("near"), classes, docs, percent)
-    failed = settle(pairs.where("near").select("number").distinct().join(removed, "number", "left_anti"))
+    met = hubbed.join(postings.select("word", *other), "word").where(alone | every).select("number", "other", "near", _apart("", "o").alias("apart"))
+    pairs = settle(met.groupBy("number").agg(F.min(F.struct("apart", "other")).alias("nearest"),
+                                             (F.max("near") | (F.min("other") != F.max("other"))).alias("others"))
+                   .select("number", "nearest.other", "others"))
+    removed = _verified(pairs.drop("others"), classes, docs, percent)
+    failed = settle(pairs.where("others").select("number").join(removed, "number", "left_anti"))
     if failed.isEmpty():
         return removed
     probes = settle(_postings(classes.join(_checked_broadcast(failed), "number", "left_semi")))
-    more = settle(other.join(_checked_broadcast(probes), "word").where((F.col("other") < F.col("number")) & _may_match("", "o", percent))
+    # Not dealt by word: few probes are broadcast, and the postings stay where they are.
+    more = settle(_postings(classes).select("word", *other).join(_checked_broadcast(probes), "word")
+                  .where((F.col("other") < F.col("number")) & _may_match("", "o", percent))
                   .select("number", "other").distinct().join(pairs.select("number", "other"), ["number", "other"], "left_anti"))
     return removed if more.isEmpty() else removed.union(_verified(more, classes, docs, percent))
 
 
 def _kept(docs: DataFrame, percent: int) -> DataFrame:
     """(ord, mark, kept): the numbers of the lines with words that stay, per text."""
-    classes = settle(line_classes(docs, frequent_words(docs), percent))
+    classes = packed(line_classes(docs, frequent_words(docs), percent))
     removed = later_matches(docs, classes, percent)
     return (classes.select("number", "ord", "spot").join(_checked_broadcast(removed), "number", "left_anti")
             .groupBy("ord", F.col("spot").bitwiseAND(F.lit(-(1 << 32))).alias("mark"))

@@ -11,6 +11,7 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,18 @@ def test_line_groups_without_their_hub(spark):
     assert {r.doc_id for r in lines.dedup_lines(df).where("n_removed = 1").collect()} == gone and 0 < len(gone) < len(rows)
 
 
+def test_near_copies_without_their_hub_are_compared_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(0, "w0 w1 w2 " + " ".join(f"x{i}" for i in range(27)))]  # first in the lists of w0, w1 and w2
+    rows += [(1 + i, " ".join([*words, f"end{i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    compared, verified = [], lines._verified
+    monkeypatch.setattr(lines, "frequent_words", lambda docs: [f"w{i}" for i in range(3, 30)])
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    assert {r.doc_id for r in lines.dedup_lines(df).where("n_removed = 1").collect()} == set(range(2, 61))
+    assert sum(compared) < 3 * 60
+
+
 def test_long_lines_that_are_not_alike_do_not_meet(spark):
     """Lines of many words over a small vocabulary share words of their prefixes, but only similar ones become pairs."""
     draw = random.Random(5)
@@ -291,6 +304,23 @@ def test_sentences_by_words():
         assert (words, ends) == (t.split(), [sum(sizes[:i + 1]) for i in range(len(sizes))])
 
 
+def test_sketches_tell_large_sets_apart(spark):
+    rng = np.random.default_rng(8)
+    sizes, one = (1000, 2600, 9000, 10000, 70000), rng.integers(-2**62, 2**62, 70000)
+
+    def sketch(codes):
+        bits = ngram_join.sketch_bits(len(codes))
+        return np.packbits((np.bincount(codes & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+    pairs = [(a[:-30], a) for a in (one[:n] for n in sizes)] + [(one[:n], rng.integers(-2**62, 2**62, n - n // 9)) for n in sizes]
+    pairs += [(b, a) for a, b in pairs]
+    df = spark.createDataFrame([(i, sketch(a), sketch(b)) for i, (a, b) in enumerate(pairs)], "i int, sa array<long>, sb array<long>")
+    got = [r.apart for r in df.select("i", ngram_join._apart().alias("apart")).orderBy("i").collect()]
+    for (a, b), apart in zip(pairs, got):
+        alike = len(np.intersect1d(a, b)) > 0
+        assert apart <= 30 if alike else 185 * apart > 15 * (len(a) + len(b))
+
+
 def test_hilbert_curve(spark):
     bits, names = 3, ["a", "b", "c"]
     df = spark.range(512).select(*[F.shiftright("id", 3 * i).bitwiseAND(F.lit(7).cast("long")).cast("int").alias(n) for i, n in enumerate(names)])
